@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_stream import bpe_round_trip
 from .common import vocab_path
 from .license_scan import license_scan
+from .packing import pack_documents
 from .token_count import token_counts
+from .token_store import token_store_digest
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +30,16 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_documents(spark, sf_dir), vocab_path("word_bpe_49k.json"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store_digest(_documents(spark, sf_dir), vocab_path("word_bpe_49k.json"), end_id=1)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir), vocab_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_bpe_round_trip, op6_token_store, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
