@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_stream import bpe_round_trip
 from .common import vocab_path
 from .license_scan import license_scan
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .token_count import token_counts
 from .token_store import token_store_digest
@@ -38,8 +39,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), vocab_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), words=5, percent=75)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_bpe_round_trip, op6_token_store, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_bpe_round_trip, op6_token_store, op8_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
