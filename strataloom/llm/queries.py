@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_stream import bpe_round_trip
 from .common import vocab_path
 from .license_scan import license_scan
+from .line_dedup import ORACLE as LINE_DEDUP_SQL
+from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .quality import quality_rules
 from .token_count import token_counts
 from .token_store import token_store_digest
 
@@ -35,17 +38,25 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store_digest(_documents(spark, sf_dir), vocab_path("word_bpe_49k.json"), end_id=1)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), vocab_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), words=5, percent=75)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_bpe_round_trip, op6_token_store, op8_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_bpe_round_trip, op6_token_store, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": LINE_DEDUP_SQL}
