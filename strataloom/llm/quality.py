@@ -215,3 +215,19 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_share: float = 0.5, id
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=[id_col, *longs, "base_failed", "content_share", "kept"])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
+def quality_filter(docs: DataFrame, field: LineField | None, min_share: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text passes, with all their columns; what counts as passing is as in quality_rules."""
+
+    def run(batches):
+        for b in batches:
+            at = b.schema.names.index(text_col)
+            keep = []
+            for i, v in enumerate(b.column(at)):
+                text = v.as_py() or ""
+                if not base_counts(text)[5] and (field is None or field.content_share(text) >= min_share):
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)
