@@ -16,6 +16,8 @@ from .packing import pack_documents
 from .quality import quality_rules
 from .token_count import token_counts
 from .token_store import token_store_digest
+from .warc import ORACLE as WARC_SQL
+from .warc import warc_round_trip
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +36,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_documents(spark, sf_dir), vocab_path("word_bpe_49k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=1000)
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store_digest(_documents(spark, sf_dir), vocab_path("word_bpe_49k.json"), end_id=1)
 
@@ -55,8 +61,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_bpe_round_trip, op6_token_store, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_bpe_round_trip, op5_warc, op6_token_store, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": LINE_DEDUP_SQL}
+    return {"op5_warc": WARC_SQL, "op7_line_dedup": LINE_DEDUP_SQL}
