@@ -4,11 +4,11 @@
 2. The least values of a class's set are its bottom-k sketch. Inverted lists of retained values give the overlaps. A pair
    over the threshold shares many retained values, so a class enters only the lists of its rarest ones (prefix filter):
    values of passages that thousands of unlike documents hold are passed over unless little else is left.
-3. Each list pairs its members with its least member only. The union sketch of a pair estimates its similarity; pairs
-   far below the threshold go, the rest are verified on the full sets, and links join classes into components.
-4. Lists whose members still lie in several components are searched again for pairs between components, in blocks
-   inside a task that hands out only pairs with enough overlap. So no link is lost, and a group of thousands of near
-   copies costs a few pairs per member instead of all pairs.
+3. In a few rounds each list pairs one pivot with its members of other components. The union sketch of a pair estimates
+   its similarity; pairs far below the threshold go, the rest are verified on the full sets, and links join components.
+   Lists that overlap choose the same pivots, so a group of thousands of near copies costs a few pairs per member.
+4. In lists that still lie in several components, the members outside the main one are held against all others, in
+   blocks within a task that hands out true links only. So no link between components is lost, and no pairs are listed.
 """
 
 from __future__ import annotations
@@ -105,10 +105,10 @@ def _near_enough(pairs: DataFrame, classes: DataFrame, threshold: float) -> Data
     return both.where(shared >= ESTIMATE / 0.75 * threshold * F.size(union)).select("a", "b")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs whose full shingle sets are similar."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("i"))
-    cells = [r.c for r in ids.select(F.pmod(F.xxhash64("i"), F.lit(CELLS)).alias("c")).distinct().collect()]
+def _full_sets(docs: DataFrame, wanted_ids: DataFrame, words: int) -> DataFrame:
+    """(rep, full): the shingle sets, as bytes, of the documents with the wanted ids (column rep)."""
+    # A map of fixed size lets a scan skip most other texts before they are cut; the join is exact.
+    cells = [r.c for r in wanted_ids.select(F.pmod(F.xxhash64("rep"), F.lit(CELLS)).alias("c")).distinct().collect()]
     wanted = np.zeros(CELLS, bool)
     wanted[cells] = True
 
@@ -118,10 +118,15 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
             for lo in range(0, len(at), 512):
                 part = at[lo : lo + 512]
                 made = [shingle_set(b.column(1)[int(i)].as_py(), words).tobytes() for i in part]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(part)), pa.array(made, pa.binary())], names=["i", "full"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(part)), pa.array(made, pa.binary())], names=["rep", "full"])
+
+    scanned = docs.where("doc IS NOT NULL").withColumn("cell", F.pmod(F.xxhash64("doc"), F.lit(CELLS))).mapInArrow(sets, "rep long, full binary")
+    return scanned.join(wanted_ids, "rep", "left_semi")
+
 
-    full = docs.where("doc IS NOT NULL").withColumn("cell", F.pmod(F.xxhash64("doc"), F.lit(CELLS))).mapInArrow(sets, "i long, full binary")
-    both = pairs.join(full.select(F.col("i").alias("a"), F.col("full").alias("fa")), "a").join(full.select(F.col("i").alias("b"), F.col("full").alias("fb")), "b")
+def _verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Those pairs whose full shingle sets are similar."""
+    both = pairs.join(full.select(F.col("rep").alias("a"), F.col("full").alias("fa")), "a").join(full.select(F.col("rep").alias("b"), F.col("full").alias("fb")), "b")
 
     def compare(batches):
         for b in batches:
@@ -130,14 +135,17 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
                 raw = x.as_py()
                 if raw != last:
                     last, left = raw, np.frombuffer(raw, np.int64)
-                right = np.frombuffer(y.as_py(), np.int64)
-                inter = len(np.intersect1d(left, right, assume_unique=True))
-                if 100 * inter >= percent * (len(left) + len(right) - inter) > 0:
+                if _similar(left, np.frombuffer(y.as_py(), np.int64), percent):
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
 
-    return both.select("a", "b", "fa", "fb").mapInArrow(compare, "a long, b long").distinct()
+    return both.select("a", "b", "fa", "fb").mapInArrow(compare, "a long, b long")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    inter = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * inter >= percent * (len(x) + len(y) - inter) > 0
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -161,62 +169,126 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _between(keys: DataFrame, classes: DataFrame, parts: DataFrame, threshold: float, block: int = 256) -> DataFrame:
-    """Pairs of classes that share a list but lie in different components."""
-    placed = keys.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = placed.groupBy("v").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("m > 2 AND lo < hi")
-    rows = placed.join(open_.select("v", "m"), "v").join(classes, "rep")
-    blocks_ = F.ceil(F.col("m") / block).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks_).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks_ - 1)))
-    rows = rows.select("v", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "rep", "component", "n", "sketch")
-    floor = ESTIMATE / 0.75 * threshold
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], wide: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of incidence blocks of bounded width."""
+    values, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    who = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    order = np.argsort(at, kind="stable")
+    at, who = at[order], who[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(values), wide):
+        i, j = np.searchsorted(at, [lo, lo + wide])
+        held = np.zeros((len(left) + len(right), min(wide, len(values) - lo)), np.float32)
+        held[who[i:j], at[i:j] - lo] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out
+
+
+def _block_links(rep, comp, outside, sets, percent: int) -> list[tuple[int, int]]:
+    """Links between components found in one block, without those that earlier ones make needless."""
+    left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
+    if not len(left) or not len(right):
+        return []
+    size = np.array([len(s) for s in sets])
+    lo, hi = np.minimum.outer(size[left], size[right]), np.maximum.outer(size[left], size[right])
+    ok = (comp[left][:, None] != comp[right][None, :]) & (100 * lo >= percent * hi)
+    short = [s[:SKETCH] for s in sets]
+    held = np.minimum(size, SKETCH)
+    ok &= _overlaps([short[i] for i in left], [short[i] for i in right]) >= ESTIMATE / 75 * percent * np.minimum.outer(held[left], held[right]) * 0.9
+    # Pair by pair, or all at once, whichever is cheaper; both are exact.
+    i, j = np.nonzero(ok)
+    if not len(i):
+        return []
+    by_pair = len(i) * 2e-5 + (size[left][i] + size[right][j]).sum() * 2e-8
+    rows, cols = np.unique(i), np.unique(j)
+    at_once = len(rows) * len(cols) * (size[left][rows].sum() + size[right][cols].sum()) * 1e-10
+    if by_pair > at_once:
+        inter = np.zeros(ok.shape, np.float32)
+        inter[np.ix_(rows, cols)] = _overlaps([sets[left[k]] for k in rows], [sets[right[k]] for k in cols])
+        ok &= 100 * inter >= percent * (size[left][:, None] + size[right][None, :] - inter)
+        found = zip(*np.nonzero(ok))
+    else:
+        found = ((x, y) for x, y in zip(i, j) if _similar(sets[left[x]], sets[right[y]], percent))
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for x, y in found:
+        a, b = top(int(comp[left[x]])), top(int(comp[right[y]]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((int(rep[left[x]]), int(rep[right[y]])))
+    return out
+
+
+def _between(placed: DataFrame, full: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) between classes that share a list but lie in different components."""
+    per = placed.groupBy("v", "component").agg(F.count("*").alias("c"))
+    # Lists of two were compared in the first round.
+    lists = per.groupBy("v").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top"), F.count("*").alias("parts"))
+    lists = lists.where("parts > 1 AND m > 2").select("v", "main", F.ceil(F.col("m") / block).cast("int").alias("nb"), F.ceil((F.col("m") - F.col("top")) / block).cast("int").alias("nc"))
+    rows = placed.join(lists, "v").join(full, "rep")
+    outside = F.col("component") != F.col("main")
+    spread = lambda of: F.pmod(F.xxhash64("rep"), of).cast("int")
+    place = lambda x, y, role: F.struct(x.alias("x"), y.alias("y"), F.lit(role).alias("role"))
+    inner = F.transform(F.sequence(F.lit(0), F.col("nc") - 1), lambda c: place(spread(F.col("nb")), c, False))
+    outer = F.when(outside, F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: place(b, spread(F.col("nc")), True))).otherwise(F.slice(inner, 1, 0))
+    rows = rows.select("v", "rep", "component", "full", F.explode(F.concat(inner, outer)).alias("p")).select("v", "p.*", "rep", "component", "full")
 
     def search(pdf):
-        n = len(pdf)
-        rep, comp, size = (pdf[c].to_numpy() for c in ("rep", "component", "n"))
-        values, at = np.unique(np.concatenate(pdf["sketch"].tolist()), return_inverse=True)
-        held = np.zeros((n, len(values)), np.float32)
-        lens = pdf["sketch"].map(len).to_numpy()
-        held[np.repeat(np.arange(n), lens), at] = 1
-        common = held @ held.T
-        ok = common >= floor * np.minimum.outer(lens, lens) * 0.9
-        ok &= comp[:, None] != comp[None, :]
-        ok &= np.minimum.outer(size, size) >= threshold * np.maximum.outer(size, size)
-        ok &= rep[:, None] < rep[None, :]
-        i, j = np.nonzero(ok)
-        return pd.DataFrame({"a": rep[i], "b": rep[j]})
+        sets = [np.frombuffer(x, np.int64) for x in pdf["full"]]
+        links = _block_links(pdf["rep"].to_numpy(), pdf["component"].to_numpy(), pdf["role"].to_numpy(), sets, percent)
+        return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}, dtype="int64")
 
     return rows.groupBy("v", "x", "y").applyInPandas(search, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _place(keys: DataFrame, parts: DataFrame) -> DataFrame:
+    return keys.join(parts, "rep", "left").select("v", "rep", F.coalesce("component", "rep").alias("component"))
+
+
+def _join_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, component) after more links."""
+    edges = parts.where("rep <> component").select(F.col("rep").alias("a"), F.col("component").alias("b")).unionAll(links)
+    return connected_components(edges).withColumnRenamed("node", "rep")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of ``docs``.
 
     Words are maximal runs without white space (blank, tab, line ends), A-Z in lower case. Two documents are linked if
     the intersection of their shingle sets is at least ``percent`` per cent of the union; ``component_id`` is the least id
     that links reach. Null, empty and wordless texts have an empty set and are linked with nothing. Rows with a null id
     get a null component and are kept. Rows that repeat an id count as one node of the graph, each with its own text.
-    An empty table gives no rows; other columns are neither read nor returned. Ids must be integers.
+    An empty table gives no rows; other columns are neither read nor returned. Ids must be integers. ``rounds`` of pivots
+    change the cost, not the result.
     """
-    threshold = percent / 100
+    threshold, spark = percent / 100, docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("body"))
     rows = materialize(_sketches(source, words), "sketches")
     able = rows.where("n > 0 AND doc IS NOT NULL")
     classes = materialize(able.groupBy("set_key").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     shape = classes.select("rep", "n", "sketch")
-    keys = materialize(_list_keys(shape, threshold), "list-keys")
-    lead = keys.groupBy("v").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1").select("v", "a")
-    first = keys.join(lead, "v").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    first = materialize(_near_enough(first, shape, threshold), "pairs")
-    links = materialize(_verify(first, source, words, percent), "links")
-    parts = connected_components(links)
-    more = materialize(_between(keys, shape, parts, threshold).join(first, ["a", "b"], "left_anti"), "pairs-between")
-    more = materialize(_near_enough(more, shape, threshold), "pairs-between-near")
-    if not more.isEmpty():
-        late = _verify(more, source, words, percent)
-        parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(late))
-    placed = classes.select("set_key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    keys = _list_keys(shape, threshold)
+    shared_lists = keys.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v")
+    keys = materialize(keys.join(shared_lists, "v"), "list-keys")
+    full = materialize(_full_sets(source, keys.select("rep").distinct(), words), "full-sets")
+    parts = spark.createDataFrame([], "rep long, component long")
+    for turn in range(rounds):
+        placed = _place(keys, parts)
+        # One order of the classes for all lists: lists of one group choose the same pivots.
+        turn_hash = F.xxhash64(F.lit(turn), "rep")
+        pivot = placed.groupBy("v").agg(F.min_by(F.struct("rep", "component"), F.struct(turn_hash, "rep")).alias("p")).select("v", F.col("p.rep").alias("a"), F.col("p.component").alias("its"))
+        pairs = placed.join(pivot, "v").where("component <> its").select("a", F.col("rep").alias("b")).distinct()
+        links = materialize(_verify(_near_enough(pairs, shape, threshold), full, percent), "links")
+        parts = _join_parts(parts, links)
+    late = materialize(_between(_place(keys, parts), full, percent), "links-between")
+    parts = _join_parts(parts, late)
+    placed = classes.select("set_key", "rep").join(parts, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc", "n", "set_key").join(placed.withColumnRenamed("set_key", "its_key"), (F.col("set_key") == F.col("its_key")) & (F.col("n") > 0) & F.col("doc").isNotNull(), "left")
     component = F.coalesce("component", "doc")
     return out.select(
