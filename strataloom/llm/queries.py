@@ -12,6 +12,7 @@ from .license_scan import license_scan
 from .line_dedup import ORACLE as LINE_DEDUP_SQL
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
+from .order_minhash import order_minhash
 from .packing import pack_documents
 from .quality import quality_rules
 from .token_count import token_counts
@@ -36,6 +37,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_documents(spark, sf_dir), vocab_path("word_bpe_49k.json"))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash(_documents(spark, sf_dir), k=3, parts=32, keep=2)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=1000)
 
@@ -61,7 +66,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_bpe_round_trip, op5_warc, op6_token_store, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_bpe_round_trip, op4_order_minhash, op5_warc, op6_token_store, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
