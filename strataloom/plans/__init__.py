@@ -1 +1,4 @@
-"""Plans of the engine."""
+"""Plans of the engine: the registered queries, by family."""
+
+from . import filter_queries  # noqa: F401
+from .registry import ORACLES, QUERIES, Tables, query  # noqa: F401
