@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -58,14 +59,25 @@ def scratch_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, what: str, made: list[str] | None = None) -> DataFrame:
+    """Write the rows to the shared folder and read them back: cuts lineage, survives lost executors.
+
+    The folder's name is added to ``made``, for :func:`drop_dirs` once nothing reads the rows any more.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark, what)
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_dirs(spark: SparkSession, made: list[str], keep: int = 0) -> None:
+    """Delete written folders but the last ``keep``."""
+    while len(made) > keep:
+        remove_dir(spark, made.pop(0))
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Delete a folder through the Hadoop file system that owns it."""
     jvm = spark.sparkContext._jvm
@@ -73,6 +85,18 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs that run inside: rows that hold whole sets stay few in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def id_bounds(df: DataFrame, col: str, rows_per_bucket: int, most: int = 20_000) -> list[int]:
     """Ascending upper cuts that deal the ids into buckets of about ``rows_per_bucket`` rows.
 

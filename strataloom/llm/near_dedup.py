@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize
+from .common import arrow_rows, blocks, drop_dirs, materialize
 
 #: Values kept of each set, values that make lists, and how many of those a similar pair shares at the least.
 SKETCH, LISTED, SHARED = 64, 32, 10
@@ -42,7 +42,7 @@ _WORDS = _WordHash()
 def _word_hashes(text: str) -> np.ndarray:
     out = []
     for block in blocks(text):
-        if len(_WORDS) > 1_000_000:
+        if len(_WORDS) > 200_000:
             _WORDS.clear()
         words = block.encode("utf-8", "surrogatepass").lower().split()
         out.append(np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)))
@@ -85,14 +85,14 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _list_keys(classes: DataFrame, threshold: float) -> DataFrame:
-    """(v, rep): the lists that each class enters."""
-    vals = classes.select("rep", F.least("n", F.lit(LISTED)).alias("k"), F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
+    """(v, rep, n): the lists that each class enters, and its size."""
+    vals = classes.select("rep", "n", F.least("n", F.lit(LISTED)).alias("k"), F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
     often = vals.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    mine = vals.join(often, "v").groupBy("rep", "k").agg(F.collect_list(F.struct("df", "v")).alias("own"))
+    mine = vals.join(often, "v").groupBy("rep", "n", "k").agg(F.collect_list(F.struct("df", "v")).alias("own"))
     # A set that is listed whole shares threshold * k values at least with any similar one.
     shared = F.when(F.col("k") < LISTED, F.ceil(F.col("k") * threshold - 1e-9)).otherwise(SHARED)
     take = F.col("k") - shared + 1 - (F.col("k") - F.size("own"))
-    return mine.select("rep", F.explode(F.slice(F.array_sort("own"), F.lit(1), F.greatest(take, F.lit(0)).cast("int"))).alias("x")).select("x.v", "rep")
+    return mine.select("rep", "n", F.explode(F.slice(F.array_sort("own"), F.lit(1), F.greatest(take, F.lit(0)).cast("int"))).alias("x")).select("x.v", "rep", "n")
 
 
 def _near_enough(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -153,7 +153,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps; every round is written to the shared folder, so no lineage grows.
     """
-    now, mark = edges.select("a", "b").where("a <> b").distinct(), None
+    now, mark, made = edges.select("a", "b").where("a <> b").distinct(), None, []
     for _ in range(rounds):
         arcs = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = arcs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -161,7 +161,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Now b < a in each row.
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        now = materialize(small.select("e.*").where("a <> b").distinct(), "components")
+        now = materialize(small.select("e.*").where("a <> b").distinct(), "components", made)
+        drop_dirs(edges.sparkSession, made, keep=1)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (seen.n, seen.h) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
@@ -225,12 +226,17 @@ def _block_links(rep, comp, outside, sets, percent: int) -> list[tuple[int, int]
     return out
 
 
-def _between(placed: DataFrame, full: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Links (a, b) between classes that share a list but lie in different components."""
-    per = placed.groupBy("v", "component").agg(F.count("*").alias("c"))
+def _between(placed: DataFrame, full: DataFrame, percent: int, block: int = 512, values: int = 1 << 19) -> DataFrame:
+    """Links (a, b) between classes that share a list but lie in different components.
+
+    A block holds about ``block`` classes and ``values`` shingles of either side, so long texts make small blocks.
+    """
+    per = placed.groupBy("v", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     # Lists of two were compared in the first round.
-    lists = per.groupBy("v").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top"), F.count("*").alias("parts"))
-    lists = lists.where("parts > 1 AND m > 2").select("v", "main", F.ceil(F.col("m") / block).cast("int").alias("nb"), F.ceil((F.col("m") - F.col("top")) / block).cast("int").alias("nc"))
+    main = F.max_by(F.struct("component", "c", "n"), F.struct("c", "component")).alias("main")
+    lists = per.groupBy("v").agg(main, F.sum("c").alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1 AND m > 2")
+    count = lambda m, n: F.ceil(F.greatest(m / block, n / values)).cast("int")
+    lists = lists.select("v", F.col("main.component").alias("main"), count(F.col("m"), F.col("n")).alias("nb"), count(F.col("m") - F.col("main.c"), F.col("n") - F.col("main.n")).alias("nc"))
     rows = placed.join(lists, "v").join(full, "rep")
     outside = F.col("component") != F.col("main")
     spread = lambda of: F.pmod(F.xxhash64("rep"), of).cast("int")
@@ -248,7 +254,7 @@ def _between(placed: DataFrame, full: DataFrame, percent: int, block: int = 512)
 
 
 def _place(keys: DataFrame, parts: DataFrame) -> DataFrame:
-    return keys.join(parts, "rep", "left").select("v", "rep", F.coalesce("component", "rep").alias("component"))
+    return keys.join(parts, "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("component"))
 
 
 def _join_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -257,26 +263,17 @@ def _join_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
     return connected_components(edges).withColumnRenamed("node", "rep")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) for every row of ``docs``.
-
-    Words are maximal runs without white space (blank, tab, line ends), A-Z in lower case. Two documents are linked if
-    the intersection of their shingle sets is at least ``percent`` per cent of the union; ``component_id`` is the least id
-    that links reach. Null, empty and wordless texts have an empty set and are linked with nothing. Rows with a null id
-    get a null component and are kept. Rows that repeat an id count as one node of the graph, each with its own text.
-    An empty table gives no rows; other columns are neither read nor returned. Ids must be integers. ``rounds`` of pivots
-    change the cost, not the result.
-    """
-    threshold, spark = percent / 100, docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("body"))
+def _components_of(source: DataFrame, words: int, percent: int, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with their set keys, classes, components of classes), all written to the shared folder."""
+    threshold, spark, made = percent / 100, source.sparkSession, []
     rows = materialize(_sketches(source, words), "sketches")
     able = rows.where("n > 0 AND doc IS NOT NULL")
     classes = materialize(able.groupBy("set_key").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     shape = classes.select("rep", "n", "sketch")
     keys = _list_keys(shape, threshold)
     shared_lists = keys.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v")
-    keys = materialize(keys.join(shared_lists, "v"), "list-keys")
-    full = materialize(_full_sets(source, keys.select("rep").distinct(), words), "full-sets")
+    keys = materialize(keys.join(shared_lists, "v"), "list-keys", made)
+    full = materialize(_full_sets(source, keys.select("rep").distinct(), words), "full-sets", made)
     parts = spark.createDataFrame([], "rep long, component long")
     for turn in range(rounds):
         placed = _place(keys, parts)
@@ -284,10 +281,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, rounds:
         turn_hash = F.xxhash64(F.lit(turn), "rep")
         pivot = placed.groupBy("v").agg(F.min_by(F.struct("rep", "component"), F.struct(turn_hash, "rep")).alias("p")).select("v", F.col("p.rep").alias("a"), F.col("p.component").alias("its"))
         pairs = placed.join(pivot, "v").where("component <> its").select("a", F.col("rep").alias("b")).distinct()
-        links = materialize(_verify(_near_enough(pairs, shape, threshold), full, percent), "links")
+        links = materialize(_verify(_near_enough(pairs, shape, threshold), full, percent), "links", made)
         parts = _join_parts(parts, links)
-    late = materialize(_between(_place(keys, parts), full, percent), "links-between")
+    late = materialize(_between(_place(keys, parts), full, percent), "links-between", made)
     parts = _join_parts(parts, late)
+    drop_dirs(spark, made)
+    return rows, classes, parts
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) for every row of ``docs``.
+
+    Words are maximal runs without white space (blank, tab, line ends), A-Z in lower case. Two documents are linked if
+    the intersection of their shingle sets is at least ``percent`` per cent of the union; ``component_id`` is the least id
+    that links reach. Null, empty and wordless texts have an empty set and are linked with nothing. Rows with a null id
+    get a null component and are kept. Rows that repeat an id count as one node of the graph, each with its own text.
+    An empty table gives no rows; other columns are neither read nor returned. Ids must be integers. ``rounds`` of pivots
+    change the cost, not the result.
+    """
+    spark = docs.sparkSession
+    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("body"))
+    with arrow_rows(spark, 500):
+        rows, classes, parts = _components_of(source, words, percent, rounds)
     placed = classes.select("set_key", "rep").join(parts, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc", "n", "set_key").join(placed.withColumnRenamed("set_key", "its_key"), (F.col("set_key") == F.col("its_key")) & (F.col("n") > 0) & F.col("doc").isNotNull(), "left")
     component = F.coalesce("component", "doc")
