@@ -28,20 +28,17 @@ def _shared(df: DataFrame, what: str) -> DataFrame:
 def closure(entities: DataFrame, depth: int = 4) -> DataFrame:
     """(id, ancestor_id, depth), each entity being its own ancestor at depth 0.
 
-    ``depth`` is the height of the containment model, not a cap on rows: bands are four. The joins are unrolled, so one
-    plan with no driver loop comes out. A cycle ends where it meets an entity again.
+    ``depth`` is the height of the containment model, not a cap on rows: bands are four. Each level is one join that adds
+    to the entity's chain, so the plan is as long as the tree is high. A cycle ends where it meets an entity again. Where
+    ids repeat, each row has its own chain.
     """
     parents = entities.select(F.col("id").alias("p"), F.col("parent_id").alias("pp"))
-    level = entities.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("depth"), F.col("parent_id").alias("up"), F.array("id").alias("seen"))
-    levels = [level]
-    for d in range(1, depth + 1):
-        level = level.where("up IS NOT NULL").join(parents, F.col("up") == F.col("p"))
-        level = level.where(~F.array_contains("seen", F.col("p"))).select("id", F.col("p").alias("ancestor_id"), F.lit(d).alias("depth"), F.col("pp").alias("up"), F.concat("seen", F.array("p")).alias("seen"))
-        levels.append(level)
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionAll(more)
-    return out.select("id", "ancestor_id", "depth")
+    chain = entities.select("id", F.array("id").alias("chain"), F.col("parent_id").alias("up"))
+    for _ in range(depth):
+        step = chain.join(parents, F.col("up") == F.col("p"), "left")
+        on = F.col("p").isNotNull() & ~F.array_contains("chain", F.col("p"))
+        chain = step.select("id", F.when(on, F.concat("chain", F.array("p"))).otherwise(F.col("chain")).alias("chain"), F.when(on, F.col("pp")).alias("up"))
+    return chain.select("id", F.posexplode("chain").alias("depth", "ancestor_id")).select("id", "ancestor_id", "depth")
 
 
 def representatives(entities: DataFrame, rank: int, depth: int = 4) -> DataFrame:

@@ -6,9 +6,12 @@ answers many.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Words that say nothing, weights and length normalisation of the fields, and the constants of the score.
 STOPWORDS = tuple(
     "a about after all also an and any are as at be been before being but by can could did do does doing done each for from get gets had has have how"
@@ -20,6 +23,8 @@ FIELD_WEIGHTS = {"name": 3.0, "symbol": 3.0, "path": 2.0, "summary": 1.5, "paren
 FIELD_NORM = {"name": 0.3, "symbol": 0.3, "path": 0.3, "summary": 0.6, "parents": 0.2, "excerpt": 0.75}
 K1, FUZZY_WEIGHT, PREFIX_WEIGHT, SYNONYM_WEIGHT = 1.2, 0.6, 0.7, 0.5
 MOST_EXPANSIONS, MOST_TOKENS = 24, 32
+#: Up to so many unknown question tokens are broadcast; beyond, both sides meet over their deletion neighbourhoods.
+BROADCAST_TOKENS = 2000
 #: The software vocabulary bridge.
 SYNONYMS = {
     "sign": ("auth", "oauth", "login", "session"),
@@ -111,7 +116,7 @@ def build_index(fields: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     A term's weight in a document is the sum over fields of weight * tf / (1 - b + b * length / mean length), the mean
     being at least 1.
     """
-    toks = tokens(fields, ["doc", "field"], F.col("text"), compounds=True)
+    toks = tokens(spread(fields), ["doc", "field"], F.col("text"), compounds=True)
     tf = toks.groupBy("doc", "field", "term").agg(F.count("*").alias("tf"))
     lengths = tf.groupBy("doc", "field").agg(F.sum("tf").alias("len"))
     docs = fields.agg(F.count_distinct("doc").alias("n"))
@@ -120,8 +125,10 @@ def build_index(fields: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # One row per field, six at most.
     both = tf.join(lengths, ["doc", "field"]).join(F.broadcast(mean), "field")
     part = pick(FIELD_WEIGHTS) * F.col("tf") / (1 - pick(FIELD_NORM) + pick(FIELD_NORM) * F.col("len") / F.col("mean"))
-    postings = both.groupBy("term", "doc").agg(F.sum(part).alias("wtf"))
-    return postings, postings.groupBy("term").agg(F.count("*").alias("df")), docs
+    # The index is read several times: it is kept on disk where memory ends, and made again where an executor is lost.
+    postings = both.groupBy("term", "doc").agg(F.sum(part).alias("wtf")).persist(StorageLevel.MEMORY_AND_DISK)
+    vocabulary = postings.groupBy("term").agg(F.count("*").alias("df")).persist(StorageLevel.MEMORY_AND_DISK)
+    return postings, vocabulary, docs
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -143,10 +150,20 @@ def expand(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
     bridge = bridge.join(vocabulary.select("term"), "term", "left_semi").select("token", "term", F.lit(SYNONYM_WEIGHT).alias("weight"))
     loose = q.join(exact, "token", "left_anti").where("length(token) BETWEEN 3 AND 40").withColumn("limit", F.when(F.length("token") >= 7, 2).otherwise(1))
     vocab = vocabulary.select("term").where("length(term) BETWEEN 2 AND 42")
-    near = _deletions(loose, "token", F.col("limit")).join(_deletions(vocab, "term", F.lit(2)), "gone").select("token", "limit", "term").distinct()
-    fuzzy = near.where(F.levenshtein("token", "term") <= F.col("limit")).select("token", "term", F.lit(FUZZY_WEIGHT).alias("weight"))
-    heads = vocab.select("term", F.explode(F.sequence(F.lit(4), F.length("term"))).alias("k")).where("length(term) > 4").select("term", F.substring(F.col("term"), F.lit(1), F.col("k")).alias("head"))
-    prefix = loose.where("length(token) >= 4").join(heads, F.col("token") == F.col("head")).where(F.length("term") > F.length("token") + F.col("limit")).select("token", "term", F.lit(PREFIX_WEIGHT).alias("weight"))
+    asked = loose.count()
+    if asked <= BROADCAST_TOKENS:
+        # The question tokens are few and counted: each term is held against all of them where it lies.
+        far = F.length("term") > F.length("token") + F.col("limit")
+        ahead = far & (F.length("token") >= 4) & F.startswith(F.col("term"), F.col("token"))
+        close = (F.abs(F.length("term") - F.length("token")) <= F.col("limit")) & (F.levenshtein("token", "term") <= F.col("limit"))
+        both = vocab.join(F.broadcast(loose), close | ahead)
+        fuzzy = both.select("token", "term", F.when(far, PREFIX_WEIGHT).otherwise(FUZZY_WEIGHT).alias("weight"))
+        prefix = fuzzy.limit(0)
+    else:
+        near = _deletions(loose, "token", F.col("limit")).join(_deletions(vocab, "term", F.lit(2)), "gone").select("token", "limit", "term").distinct()
+        fuzzy = near.where(F.levenshtein("token", "term") <= F.col("limit")).select("token", "term", F.lit(FUZZY_WEIGHT).alias("weight"))
+        heads = vocab.select("term", F.explode(F.sequence(F.lit(4), F.length("term"))).alias("k")).where("length(term) > 4").select("term", F.substring(F.col("term"), F.lit(1), F.col("k")).alias("head"))
+        prefix = loose.where("length(token) >= 4").join(heads, F.col("token") == F.col("head")).where(F.length("term") > F.length("token") + F.col("limit")).select("token", "term", F.lit(PREFIX_WEIGHT).alias("weight"))
     rest = fuzzy.unionAll(prefix).unionAll(bridge.join(loose.select("token"), "token", "left_semi")).groupBy("token", "term").agg(F.max("weight").alias("weight"))
     rest = rest.withColumn("n", F.row_number().over(Window.partitionBy("token").orderBy("term"))).where(F.col("n") <= MOST_EXPANSIONS).drop("n")
     hit = exact.select("token", F.col("token").alias("term"), F.lit(1.0).alias("weight")).unionAll(bridge.join(exact, "token", "left_semi"))
@@ -202,7 +219,7 @@ def retrieve(questions: DataFrame, fields: DataFrame, containers: DataFrame, edg
     postings, vocabulary, size = build_index(fields)
     asked = tokens(questions, ["q"], F.col("text")).groupBy("q", F.col("term").alias("token")).agg(F.min("position").alias("p"))
     asked = asked.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("p"))).where(F.col("n") <= MOST_TOKENS).select("q", "token")
-    base = bm25f(expand(asked, vocabulary), postings, vocabulary, size)
+    base = bm25f(expand(asked, vocabulary), postings, vocabulary, size).persist(StorageLevel.MEMORY_AND_DISK)
     lift = graph_lift(base, edges)
     both = base.join(lift, ["q", "doc"], "full_outer").select("q", "doc", (F.coalesce("score", F.lit(0.0)) + F.coalesce("lift", F.lit(0.0))).alias("score"))
     spread = both.join(containers, "doc").withColumn("k", F.row_number().over(Window.partitionBy("q", "container").orderBy(F.desc("score"), "doc")))

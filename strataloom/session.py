@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "strataloom", cpus: int | None = None, **extra: str) -> SparkSession:
@@ -38,3 +38,13 @@ def load_tables(spark: SparkSession, sf_dir: str, *names: str):
     """DataFrames of the named parquet tables below ``sf_dir``."""
     frames = [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
     return frames[0] if len(frames) == 1 else frames
+
+
+def spread(df: DataFrame, least_bytes: int = 2 << 20) -> DataFrame:
+    """A small input dealt over all cores: one file of one row group would keep a single task busy.
+
+    Inputs of more than ``least_bytes`` a core stay as they are, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * least_bytes else df
