@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .common import text_slices, vocab_path
 from .vocab import Vocab, byte_chars, load_vocab
 
@@ -232,7 +233,7 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(run, schema)
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,7 +247,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
             ids = [[i for part in encoder.stream(t) for i in part] for texts in text_slices(b.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(run, schema)
 
 
 def bpe_decode(ids: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "text") -> DataFrame:

@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .common import text_slices
 
 
@@ -177,4 +178,4 @@ def license_scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, id_col:
             arrays = [b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))]
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(run, schema)

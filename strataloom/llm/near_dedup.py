@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .common import arrow_rows, blocks, drop_dirs, materialize
 
 #: Values kept of each set, values that make lists, and how many of those a similar pair shares at the least.
@@ -266,7 +267,7 @@ def _join_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
 def _components_of(source: DataFrame, words: int, percent: int, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with their set keys, classes, components of classes), all written to the shared folder."""
     threshold, spark, made = percent / 100, source.sparkSession, []
-    rows = materialize(_sketches(source, words), "sketches")
+    rows = materialize(_sketches(spread(source), words), "sketches")
     able = rows.where("n > 0 AND doc IS NOT NULL")
     classes = materialize(able.groupBy("set_key").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     shape = classes.select("rep", "n", "sketch")

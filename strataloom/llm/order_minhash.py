@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .common import id_bounds
 
 #: A hash of 36 bits and a position of 27 bits share one non-negative long: sorting longs is fast, and ties go by position.
@@ -135,7 +136,7 @@ def order_minhash(docs: DataFrame, k: int = 3, parts: int = 32, keep: int = 2, i
     single row is its own next. An empty table gives no rows; other columns are neither read nor returned.
     """
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col(id_col).alias("doc"), body.alias("body")).withColumn("__tie", F.xxhash64("body"))
+    own = spread(docs.select(F.col(id_col).alias("doc"), body.alias("body"))).withColumn("__tie", F.xxhash64("body"))
     how = {"k": k, "parts": parts, "keep": keep}
     own = with_signature(own, F.col("body"), "sig", **how)
     both = with_next(own, "doc", {"body": "next_body", "sig": "next_sig"})

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .common import text_slices, vocab_path
 from .vocab import library_encoder
 
@@ -169,7 +170,7 @@ def document_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_c
                 names=[id_col, "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(run, schema)
 
 
 def pack_documents(

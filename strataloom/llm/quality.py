@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Bounds of the fitting sample: labelled documents, and lines of each.
 FIT_DOCS, FIT_LINES = 1500, 64
 
@@ -98,7 +100,7 @@ class LineField:
     move: np.ndarray
 
     @classmethod
-    def fit(cls, feats: list[np.ndarray], labels: list[int], steps: int = 200, rate: float = 0.15, ridge: float = 1e-3) -> LineField:
+    def fit(cls, feats: list[np.ndarray], labels: list[int], steps: int = 120, rate: float = 0.2, ridge: float = 1e-3) -> LineField:
         """Maximum conditional likelihood by gradient steps with forward-backward over padded sequences."""
         n, longest = len(feats), max(map(len, feats))
         x = np.zeros((n, longest, N_FEATURES))
@@ -214,7 +216,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_share: float = 0.5, id
             types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=[id_col, *longs, "base_failed", "content_share", "kept"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(run, schema)
 
 
 def quality_filter(docs: DataFrame, field: LineField | None, min_share: float = 0.5, text_col: str = "text") -> DataFrame:

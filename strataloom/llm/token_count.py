@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .common import text_slices, vocab_path
 from .vocab import Vocab, load_vocab
 
@@ -160,4 +161,4 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(run, schema)

@@ -23,6 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .common import id_bounds, materialize, scratch_dir, text_slices, vocab_path
 from .vocab import library_encoder, load_vocab
 
@@ -239,7 +240,7 @@ def write_token_store(
         types = [pa.int32(), pa.string(), *[pa.int64()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["shard", "file", "n_docs", "n_ids", "first_id", "last_id"])
 
-    coded = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(encode, "doc_key long, shard int, ids binary")
+    coded = spread(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(encode, "doc_key long, shard int, ids binary")
     sorted_ = coded.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_key"), F.length("ids"), "ids")
     manifest = sorted_.mapInArrow(write, "shard int, file string, n_docs long, n_ids long, first_id long, last_id long")
     return materialize(manifest, "token-manifest")
