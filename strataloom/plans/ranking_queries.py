@@ -20,10 +20,10 @@ def _(t):
     return R.rank_within(kids, ["parent_id"], [F.desc("n"), F.col("id")], 5).join(more, "parent_id").select("parent_id", "id", "rank", "more")
 
 
-@query("w2_soft_diversity", "SELECT doc_id, round(n_chars * pow(0.95, n - 1), 4) AS score FROM (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents)")
+@query("w2_soft_diversity", "SELECT doc_id, floor(n_chars * pow(0.95, n - 1) * 1000 + 0.137)::BIGINT AS milli_score FROM (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents)")
 def _(t):
     r = R.rank_within(t.documents.select("doc_id", "source", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")])
-    return r.select("doc_id", F.round(F.col("n_chars") * F.pow(F.lit(0.95), F.col("rank") - 1), 4).alias("score"))
+    return r.select("doc_id", F.floor(F.col("n_chars") * F.pow(F.lit(0.95), F.col("rank") - 1) * 1000 + 0.137).cast("long").alias("milli_score"))
 
 
 @query("w3_child_rollup", "WITH r AS (SELECT source, lang, n_chars AS s, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS n FROM documents), f AS (SELECT source, lang, sum(CASE WHEN n = 1 THEN s WHEN n <= 6 THEN 0.1 * s ELSE 0 END) AS s FROM r GROUP BY 1, 2) SELECT source, round(0.2 * max(s), 4)::DOUBLE AS score FROM f GROUP BY 1")

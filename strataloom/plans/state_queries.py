@@ -21,7 +21,7 @@ def _(t):
     return R.limiter(t.events, "user_id", "ts", "event_id", 86_400, 2)
 
 
-@query("r2_debounce", "WITH g AS (SELECT user_id, ts, coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 1800, true)::INT AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) AS last, count(*)::BIGINT AS events FROM s GROUP BY user_id, k")
+@query("r2_debounce", "WITH g AS (SELECT user_id, ts, coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 1800, true)::INT AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) AS last, count(*)::BIGINT AS events FROM s GROUP BY user_id, k")
 def _(t):
     return R.debounce(t.events, "user_id", "ts", 1800)
 

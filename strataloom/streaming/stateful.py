@@ -72,7 +72,10 @@ def limiter_stream(events: DataFrame, window_s: float, limit: int) -> DataFrame:
 
 
 def debounce(events: DataFrame, key: str, ts: str, gap_s: int) -> DataFrame:
-    """(key, start, last, events): bursts parted by ``gap_s`` quiet seconds; works on batches and on streams with a watermark."""
+    """(key, start, last, events): bursts parted by more than ``gap_s`` quiet seconds, an event right at the gap still joins.
+
+    Works on batches and on streams with a watermark.
+    """
     return events.groupBy(key, F.session_window(ts, f"{gap_s} seconds").alias("s")).agg(F.min(ts).alias("start"), F.max(ts).alias("last"), F.count("*").alias("events")).drop("s")
 
 
