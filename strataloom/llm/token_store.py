@@ -86,6 +86,13 @@ def _marks(keys: np.ndarray) -> np.ndarray:
     return (mix(keys, 10_007) >> np.uint64(32)).astype("<u4")
 
 
+def _run_starts(keys: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """True where a key differs from the one before; a null key is none."""
+    out = np.ones(len(keys), bool)
+    out[1:] = (np.diff(keys) != 0) | (null[1:] != null[:-1])
+    return out
+
+
 class ShardWriter:
     """Writes one shard as documents come in ascending order; only keys and lengths are held."""
 
@@ -106,7 +113,7 @@ class ShardWriter:
     def close(self) -> None:
         keys, null = np.array(self.keys, "<i8"), np.array(self.null, np.uint8)
         offsets = np.concatenate([[0], np.cumsum(self.lens)]).astype("<u8")
-        first = np.flatnonzero(np.r_[True, np.diff(keys) != 0][: len(keys)] & (null == 0)) if len(keys) else np.zeros(0, np.int64)
+        first = np.flatnonzero(_run_starts(keys, null) & (null == 0))
         distinct = keys[first].view("<u8")
         table = PerfectHash.build(distinct)
         slots = np.zeros(len(distinct), _SLOT)
@@ -270,7 +277,8 @@ def read_token_store(spark: SparkSession, path: str, manifest: DataFrame, digest
             for name, first in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 shard = ShardReader(files, f"{base}/{name}")
                 found = shard.find(shard.keys)
-                repeat = np.arange(len(shard)) - np.concatenate([[0], np.maximum.accumulate(np.where(np.diff(shard.keys) != 0, np.arange(1, len(shard)), 0))]) if len(shard) else []
+                place = np.arange(len(shard))
+                repeat = place - np.maximum.accumulate(np.where(_run_starts(shard.keys, shard.null), place, 0)) if len(shard) else place
                 for lo in range(0, len(shard), 1024):
                     docs = range(lo, min(len(shard), lo + 1024))
                     cols: list[list] = [[], [], [], []]
