@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import gc
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -85,6 +87,22 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark deletes them once their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def dealing_keys(spark: SparkSession, n: int) -> list[int]:
+    """Integers of which the i-th goes to partition i when ``n`` partitions are dealt by the hash of an int column."""
+    if n <= 1:
+        return [0]
+    tries = spark.range(int(n * (math.log(n) + 12))).select(F.col("id").cast("int").alias("k"))
+    found = tries.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()  # n rows at most
+    at = {r.p: r.k for r in found}
+    return [at.get(i, i) for i in range(n)]
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows for the jobs that run inside: rows that hold whole sets stay few in memory."""

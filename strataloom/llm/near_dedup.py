@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .common import arrow_rows, blocks, drop_dirs, materialize
+from .common import arrow_rows, blocks, drop_dirs, materialize, release
 
 #: Values kept of each set, values that make lists, and how many of those a similar pair shares at the least.
 SKETCH, LISTED, SHARED = 64, 32, 10
@@ -276,6 +276,7 @@ def _components_of(source: DataFrame, words: int, percent: int, rounds: int) ->
     keys = materialize(keys.join(shared_lists, "v"), "list-keys", made)
     full = materialize(_full_sets(source, keys.select("rep").distinct(), words), "full-sets", made)
     parts = spark.createDataFrame([], "rep long, component long")
+    release(spark)
     for turn in range(rounds):
         placed = _place(keys, parts)
         # One order of the classes for all lists: lists of one group choose the same pivots.
@@ -284,9 +285,11 @@ def _components_of(source: DataFrame, words: int, percent: int, rounds: int) ->
         pairs = placed.join(pivot, "v").where("component <> its").select("a", F.col("rep").alias("b")).distinct()
         links = materialize(_verify(_near_enough(pairs, shape, threshold), full, percent), "links", made)
         parts = _join_parts(parts, links)
+        release(spark)
     late = materialize(_between(_place(keys, parts), full, percent), "links-between", made)
     parts = _join_parts(parts, late)
     drop_dirs(spark, made)
+    release(spark)
     return rows, classes, parts
 
 

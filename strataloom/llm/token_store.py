@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .common import id_bounds, materialize, scratch_dir, text_slices, vocab_path
+from .common import dealing_keys, id_bounds, materialize, scratch_dir, text_slices, vocab_path
 from .vocab import library_encoder, load_vocab
 
 _MAGIC = b"STLTOK01"
@@ -210,6 +210,8 @@ def write_token_store(
     wide = load_vocab(vocab).size > 65_536
     cuts = id_bounds(docs, id_col, shard_docs)
     folder = _folder(path)
+    # Each shard has a partition of its own: hashing the shard numbers alone would put several into one task.
+    deal = dealing_keys(docs.sparkSession, len(cuts) + 1)
 
     def encode(batches):
         encoder, edges = library_encoder(vocab), np.array(cuts, np.int64)
@@ -221,7 +223,7 @@ def write_token_store(
             for texts in text_slices(b.column(1)):
                 for t in texts:
                     raw.append(np.append(encoder.encode(t), np.uint32(end_id)).astype("<u4" if wide else "<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(shard), pa.array(raw, pa.binary())], names=["doc_key", "shard", "ids"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(shard), pa.array(np.array(deal, np.int32)[shard]), pa.array(raw, pa.binary())], names=["doc_key", "shard", "deal", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]):
         files, base = _files(folder)
@@ -247,8 +249,8 @@ def write_token_store(
         types = [pa.int32(), pa.string(), *[pa.int64()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["shard", "file", "n_docs", "n_ids", "first_id", "last_id"])
 
-    coded = spread(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(encode, "doc_key long, shard int, ids binary")
-    sorted_ = coded.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_key"), F.length("ids"), "ids")
+    coded = spread(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(encode, "doc_key long, shard int, deal int, ids binary")
+    sorted_ = coded.repartition(len(cuts) + 1, "deal").sortWithinPartitions("shard", F.asc_nulls_first("doc_key"), F.length("ids"), "ids").select("doc_key", "shard", "ids")
     manifest = sorted_.mapInArrow(write, "shard int, file string, n_docs long, n_ids long, first_id long, last_id long")
     return materialize(manifest, "token-manifest")
 
