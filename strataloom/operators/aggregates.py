@@ -35,7 +35,7 @@ def coverage(hits: DataFrame, stored: DataFrame | None = None) -> DataFrame:
 def islands(hits: DataFrame, most: int = 32) -> DataFrame:
     """(path, start, end): runs of consecutive lines without a hit, the first ``most`` of each path.
 
-    As in the reference, the reader stops as the last range opens, so that one's end is its start.
+    Reading stops as the last range opens, so that one's end is its start.
     """
     missed = hits.where("hits = 0")
     w = Window.partitionBy("path").orderBy("line")

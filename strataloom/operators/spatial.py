@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,3 +84,61 @@ def resident(boxes: DataFrame, camera: tuple[float, float, float, float], keep:
 def envelope(boxes: DataFrame) -> DataFrame:
     """(x, y, w, h) around all boxes; nulls without any."""
     return boxes.agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"))
+
+
+def route(start: tuple[int, int], goal: tuple[int, int], walls: set[tuple[int, int]], size: tuple[int, int], bend: float = 3.0) -> tuple[float, list[tuple[int, int]]] | None:
+    """(cost, corner points) of the cheapest path on a grid of ``size`` cells: one a step and ``bend`` a turn.
+
+    Ties go to the path found first in the order right, down, left, up, so a route is the same in every run; None without one.
+    """
+    steps = ((1, 0), (0, 1), (-1, 0), (0, -1))
+    if start in walls or goal in walls:
+        return None
+    queue = [(0.0, 0, start, -1)]
+    best: dict[tuple[tuple[int, int], int], float] = {(start, -1): 0.0}
+    came: dict[tuple[tuple[int, int], int], tuple[tuple[int, int], int]] = {}
+    number = 0
+    while queue:
+        cost, _, at, way = heapq.heappop(queue)
+        if cost > best.get((at, way), cost):
+            continue
+        if at == goal:
+            path, state = [at], (at, way)
+            while state in came:
+                state = came[state]
+                path.append(state[0])
+            path.reverse()
+            bent = lambda a, b, c: (b[0] - a[0], b[1] - a[1]) != (c[0] - b[0], c[1] - b[1])
+            inner = [b for a, b, c in zip(path, path[1:], path[2:]) if bent(a, b, c)]
+            return cost, [path[0], *inner, *([path[-1]] if len(path) > 1 else [])]
+        for turn, (dx, dy) in enumerate(steps):
+            to = (at[0] + dx, at[1] + dy)
+            if to in walls or not (0 <= to[0] < size[0] and 0 <= to[1] < size[1]):
+                continue
+            price = cost + 1 + (bend if way not in (-1, turn) else 0)
+            if price < best.get((to, turn), float("inf")):
+                best[to, turn] = price
+                came[to, turn] = (at, way)
+                number += 1
+                heapq.heappush(queue, (price, number, to, turn))
+    return None
+
+
+def routes(edges: DataFrame, walls: DataFrame, size: tuple[int, int], bend: float = 3.0) -> DataFrame:
+    """(id, cost, path) of each edge (id, scene, x1, y1, x2, y2) among the walls (scene, x, y) of its scene; nulls without a path.
+
+    A search per edge over a scene's grid, whose walls are bounded by its size; scenes are the unit of parallel work.
+    """
+    boxed = walls.groupBy("scene").agg(F.collect_set(F.struct("x", "y")).alias("walls"))
+
+    def search(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                shut = {(w["x"], w["y"]) for w in r.walls} if r.walls is not None else set()
+                got = route((r.x1, r.y1), (r.x2, r.y2), shut, size, bend)
+                out.append((r.id, got[0] if got else None, " ".join(f"{x},{y}" for x, y in got[1]) if got else None))
+            yield pd.DataFrame(out, columns=["id", "cost", "path"])
+
+    kind = dict(edges.dtypes)["id"]
+    return edges.join(boxed, "scene", "left").select("id", "x1", "y1", "x2", "y2", "walls").mapInPandas(search, f"id {kind}, cost double, path string")

@@ -154,6 +154,14 @@ def _(t):
     return r.select("n_nationkey", (F.col("i") % 3).cast("int").alias("col"), F.floor(F.col("i") / 3).cast("int").alias("row"))
 
 
+@query("p9_orthogonal_routes")
+def _(t):
+    k = F.col("n_nationkey")
+    edges = t.nation.select(k.alias("id"), F.col("n_regionkey").alias("scene"), F.lit(0).alias("x1"), (k % 8).alias("y1"), F.lit(9).alias("x2"), ((k * 3) % 8).alias("y2"))
+    walls = t.nation.select(F.col("n_regionkey").alias("scene"), (1 + k % 7).alias("x"), (k % 8).alias("y")).where("x > 0 AND x < 9")
+    return P.routes(edges, walls, (10, 8))
+
+
 @query("p10_scene_objects", f"WITH {A.ENTITIES} SELECT id, parent_id, kind, 12.0::DOUBLE * (4 - rank) AS width FROM entities WHERE rank <= 2")
 def _(t):
     return A.entities(t).where("rank <= 2").select("id", "parent_id", "kind", (F.lit(12.0) * (4 - F.col("rank"))).alias("width"))

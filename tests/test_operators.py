@@ -161,3 +161,35 @@ def test_lod_hysteresis(spark):
     z = [5, 12, 9, 7, 12, 16]
     df = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate(z)], "k string, n int, z double")
     assert [r.level for r in R.lod_levels(df, "k", "n", "z", (10.0,), 2.0).orderBy("n").collect()] == [0, 1, 1, 0, 1, 1]
+
+
+def test_routes_are_cheapest(spark):
+    rnd = random.Random(9)
+    for _ in range(30):
+        walls = {(rnd.randrange(6), rnd.randrange(6)) for _ in range(9)} - {(0, 0), (5, 5)}
+        # Brute force: Bellman-Ford over (cell, direction).
+        steps = ((1, 0), (0, 1), (-1, 0), (0, -1))
+        cost = {((0, 0), -1): 0.0}
+        for _ in range(80):
+            for (at, way), c in list(cost.items()):
+                for turn, (dx, dy) in enumerate(steps):
+                    to = (at[0] + dx, at[1] + dy)
+                    if to not in walls and 0 <= to[0] < 6 and 0 <= to[1] < 6:
+                        price = c + 1 + (3 if way not in (-1, turn) else 0)
+                        cost[to, turn] = min(cost.get((to, turn), 1e9), price)
+        want = min((c for (at, _), c in cost.items() if at == (5, 5)), default=None)
+        got = P.route((0, 0), (5, 5), walls, (6, 6))
+        assert (got[0] if got else None) == want
+
+
+def test_limiter_over_a_stream(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    ev = [("a", at(s), i) for i, s in enumerate([0, 1, 2, 9, 10, 11, 20])] + [("b", at(3), 100)]
+    for k in (0, 1):  # two batches: the window's state lives on
+        spark.createDataFrame(ev[k * 4 : k * 4 + 4], "key string, ts timestamp, id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, ts timestamp, id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = R.limiter_stream(stream, 10, 2).writeStream.format("memory").queryName("admitted").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.id: r.admitted for r in spark.table("admitted").collect()} == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True, 6: True, 100: True}
