@@ -18,11 +18,15 @@ def kind_rank(kind: Column) -> Column:
     return out
 
 
-def _shared(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage of an iterative frontier: checkpoint where a shared folder is set, else cache."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.cache()
+def _shared(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterative frontier: a checkpoint in the shared folder where one is named, else the cache."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            return df.cache()
+        sc.setCheckpointDir(named)
+    return df.checkpoint()
 
 
 def closure(entities: DataFrame, depth: int = 4) -> DataFrame:
@@ -119,12 +123,12 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int = 64) ->
     for hop in range(1, max_hops + 1):
         step = frontier.join(arcs, F.col("node") == F.col("from_id")).select("source", F.col("to_id").alias("node"), F.concat("path", F.array("to_id")).alias("path"))
         step = step.groupBy("source", "node").agg(F.min("path").alias("path"))
-        frontier = _shared(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(hop).alias("hops"), "path"), "frontier")
+        frontier = _shared(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(hop).alias("hops"), "path"))
         if frontier.isEmpty():
             return seen
         seen = seen.unionAll(frontier)
         if hop % 4 == 0:
-            seen = _shared(seen, "reached")
+            seen = _shared(seen)
     return seen
 
 
@@ -202,7 +206,7 @@ def alias_fixpoint(links: DataFrame, rounds: int = 32) -> DataFrame:
     for _ in range(rounds):
         hop = now.select(F.col("name").alias("mid"), F.col("target").alias("far"))
         nxt = now.join(hop, F.col("target") == F.col("mid"), "left").select("name", F.coalesce("far", "target").alias("target")).distinct()
-        nxt = _shared(nxt, "aliases")
+        nxt = _shared(nxt)
         left = nxt.join(ends, F.col("target") == F.col("e"), "left_anti")
         same = nxt.exceptAll(now).isEmpty()
         now = nxt
