@@ -52,12 +52,9 @@ def text_slices(column, max_chars: int = 1 << 21) -> Iterator[list[str]]:
 def scratch_dir(spark: SparkSession, what: str) -> str:
     """A new folder name in the shared folder that spark.checkpoint.dir names.
 
-    Where the setting is missing (tests on one machine), a folder below the warehouse is taken and set.
+    Where the setting is missing (tests on one machine), a folder below the warehouse is taken.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -129,15 +126,12 @@ def id_bounds(df: DataFrame, col: str, rows_per_bucket: int, most: int = 20_000)
     return sorted(set(cuts))
 
 
-def bucket_of(col, cuts: list[int]):
-    """Number of the bucket an id falls in: how many cuts lie below it. Null ids go to bucket 0."""
+def cuts_below(cuts: list[int], col):
+    """How many of the ascending cuts lie below a column: a coarse search, then one within a stretch of the cuts."""
     if not cuts:
         return F.lit(0)
-    # width_bucket over an ascending array is not in Spark SQL; a binary tree of CASE stays in codegen.
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col <= cuts[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return F.when(col.isNull(), F.lit(0)).otherwise(tree(0, len(cuts)))
+    step = max(1, math.isqrt(len(cuts)))
+    lits = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    count = lambda xs: F.size(F.filter(xs, lambda x: x < col))
+    skipped = F.greatest(count(lits(cuts[::step])) - 1, F.lit(0)) * step
+    return skipped + count(F.slice(lits(cuts), skipped + 1, step))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .common import id_bounds
+from .common import cuts_below, id_bounds
 
 #: A hash of 36 bits and a position of 27 bits share one non-negative long: sorting longs is fast, and ties go by position.
 _POS_BITS = 27
@@ -107,10 +107,8 @@ def with_next(df: DataFrame, order: str, cols: dict[str, str], rows_per_bucket:
     """
     cuts = id_bounds(df, order, rows_per_bucket)
     ends = [*cuts, None]
-    # Buckets descend: 0 holds the largest ids, the last bucket the smallest and the nulls. A small sorted array is searched
-    # by counting cuts below the id; buckets are found per row without a join.
-    lits = F.array(*(F.lit(x).cast("long") for x in cuts)) if cuts else F.array().cast("array<long>")
-    below = F.size(F.filter(lits, lambda x: x < F.col(order))) if cuts else F.lit(0)
+    # Buckets descend: 0 holds the largest ids, the last one the smallest and the nulls. No join is needed to find them.
+    below = cuts_below(cuts, F.col(order))
     own = df.withColumn("__bucket", F.when(F.col(order).isNull(), F.lit(len(ends) - 1)).otherwise(F.lit(len(ends) - 1) - below))
     tops = {r["__bucket"]: r.top for r in own.groupBy("__bucket").agg(F.max(order).alias("top")).collect()}  # a row per bucket
     full = sorted(tops)
