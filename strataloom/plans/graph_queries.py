@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..operators import graph as G
-from ..operators import joins as J
 from .registry import Tables, query
 
 _G = A.GRAPH

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..operators import aggregates as S
 from ..operators import validate as V
-from ..sources import atlas, files
+from ..sources import bundles, files
 from .registry import Tables, query
 
 
@@ -51,15 +51,15 @@ def _(t):
 def _(t):
     e = A.entities(t).where("rank <= 2")
     body = F.to_json(F.struct(F.lit("snap").alias("id"), F.collect_list(F.struct("id", "kind", "rank", "parent_id", "name")).alias("entities")))
-    got, _ = atlas.read_portable(e.agg(body.alias("text")).withColumn("path", F.lit("a.json")))
+    got, _ = bundles.read_portable(e.agg(body.alias("text")).withColumn("path", F.lit("a.json")))
     return got.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("s8_bundle_round_trip", f"WITH {A.ENTITIES} SELECT id, kind, parent_id FROM entities")
 def _(t):
     at = scratch(t)
-    atlas.write_bundle(A.entities(t), A.flows(t).withColumns({"id": F.concat("from_id", F.lit(">"), "to_id"), "kind": F.lit("uses")}), "snap", at)
-    return atlas.read_bundle(t.spark, at)[0].select("id", "kind", "parent_id")
+    bundles.write_bundle(A.entities(t), A.flows(t).withColumns({"id": F.concat("from_id", F.lit(">"), "to_id"), "kind": F.lit("uses")}), "snap", at)
+    return bundles.read_bundle(t.spark, at)[0].select("id", "kind", "parent_id")
 
 
 _PKG = "SELECT p_brand, p_name, min(p_size) AS v FROM part WHERE p_partkey <= 400 GROUP BY 1, 2"
@@ -188,7 +188,7 @@ def _(t):
 @query("s25_sequence_export", "SELECT conv_id, 'sequenceDiagram' || chr(10) || string_agg('  ' || role || '->>' || 'bot: ' || 'turn ' || turn, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
 def _(t):
     steps = t.conversations.select("conv_id", "turn", "role", F.lit("bot").alias("to"), A.tag("turn ", "turn").alias("label"))
-    return atlas.sequence_diagram(steps, "conv_id", "turn", "role", "to", "label")
+    return bundles.sequence_diagram(steps, "conv_id", "turn", "role", "to", "label")
 
 
 @query("s26_capped_read", "SELECT doc_id FROM documents WHERE strlen(text) <= 2000")
@@ -206,14 +206,14 @@ def _(t):
 @query("s28_versioned_publish", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0")
 def _(t):
     at = scratch(t)
-    atlas.publish(t.supplier.select("s_suppkey", "s_name"), at, "demo", "v1")
-    atlas.publish(t.supplier.where("s_suppkey % 2 = 0").select("s_suppkey", "s_name"), at, "demo", "v2")
-    return atlas.read_latest(t.spark, at, "demo")
+    bundles.publish(t.supplier.select("s_suppkey", "s_name"), at, "demo", "v1")
+    bundles.publish(t.supplier.where("s_suppkey % 2 = 0").select("s_suppkey", "s_name"), at, "demo", "v2")
+    return bundles.read_latest(t.spark, at, "demo")
 
 
 @query("s29_manifest", "SELECT o_orderpriority AS slug, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS version FROM orders GROUP BY 1")
 def _(t):
-    return atlas.manifest(t.orders.select(F.col("o_orderpriority").alias("slug"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("at"))).select("slug", "version")
+    return bundles.manifest(t.orders.select(F.col("o_orderpriority").alias("slug"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("at"))).select("slug", "version")
 
 
 @query("s30_accounts_export", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -225,7 +225,7 @@ def _(t):
 
 @query("s31_stress_graph", "SELECT 5000::BIGINT AS nodes, 15000::BIGINT AS edges, 0::BIGINT AS dangling")
 def _(t):
-    n, e = atlas.stress_graph(t.spark, 5000, 15_000)
+    n, e = bundles.stress_graph(t.spark, 5000, 15_000)
     lost = V.foreign(e, "edges", "id", "to_id", n, "id").agg(F.count("*").alias("dangling"))
     return n.agg(F.count("*").alias("nodes")).crossJoin(e.agg(F.count("*").alias("edges"))).crossJoin(lost)
 

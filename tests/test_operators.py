@@ -15,7 +15,7 @@ from strataloom.operators import joins as J
 from strataloom.operators import ranking as K
 from strataloom.operators import retrieval as T
 from strataloom.operators import spatial as P
-from strataloom.sources import atlas, files
+from strataloom.sources import bundles, files
 from strataloom.streaming import stateful as R
 
 
@@ -127,10 +127,10 @@ def test_bad_files_give_no_rows(spark):
 
 def test_publish_is_immutable(spark, tmp_path):
     df = spark.range(3)
-    atlas.publish(df, str(tmp_path), "s", "v1")
+    bundles.publish(df, str(tmp_path), "s", "v1")
     with pytest.raises(Exception, match="exists"):
-        atlas.publish(df, str(tmp_path), "s", "v1")
-    assert atlas.read_latest(spark, str(tmp_path), "s").count() == 3
+        bundles.publish(df, str(tmp_path), "s", "v1")
+    assert bundles.read_latest(spark, str(tmp_path), "s").count() == 3
 
 
 def test_limiter_windows_start_at_the_first_event():
