@@ -107,7 +107,7 @@ def _near_enough(pairs: DataFrame, classes: DataFrame, threshold: float) -> Data
 
 
 def _full_sets(docs: DataFrame, wanted_ids: DataFrame, words: int) -> DataFrame:
-    """(rep, full): the shingle sets, as bytes, of the documents with the wanted ids (column rep)."""
+    """(rep, n, sketch, full): size, sketch and set, as bytes, of each text of the documents with the wanted ids (column rep)."""
     # A map of fixed size lets a scan skip most other texts before they are cut; the join is exact.
     cells = [r.c for r in wanted_ids.select(F.pmod(F.xxhash64("rep"), F.lit(CELLS)).alias("c")).distinct().collect()]
     wanted = np.zeros(CELLS, bool)
@@ -118,11 +118,23 @@ def _full_sets(docs: DataFrame, wanted_ids: DataFrame, words: int) -> DataFrame:
             at = np.flatnonzero(wanted[np.asarray(b.column(2))])
             for lo in range(0, len(at), 512):
                 part = at[lo : lo + 512]
-                made = [shingle_set(b.column(1)[int(i)].as_py(), words).tobytes() for i in part]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(part)), pa.array(made, pa.binary())], names=["rep", "full"])
-
-    scanned = docs.where("doc IS NOT NULL").withColumn("cell", F.pmod(F.xxhash64("doc"), F.lit(CELLS))).mapInArrow(sets, "rep long, full binary")
-    return scanned.join(wanted_ids, "rep", "left_semi")
+                made = [shingle_set(b.column(1)[int(i)].as_py(), words) for i in part]
+                raw = [m.tobytes() for m in made]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).take(pa.array(part)),
+                        pa.array([len(m) for m in made], pa.int64()),
+                        pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()),
+                        pa.array([m[:SKETCH] for m in made], pa.list_(pa.int64())),
+                        pa.array(raw, pa.binary()),
+                    ],
+                    names=["rep", "n", "key", "sketch", "full"],
+                )
+
+    scanned = docs.where("doc IS NOT NULL").withColumn("cell", F.pmod(F.xxhash64("doc"), F.lit(CELLS)))
+    scanned = scanned.mapInArrow(sets, "rep long, n long, key binary, sketch array<long>, full binary")
+    # Repeated rows count once, whatever their number; the join's partitions serve for that too.
+    return scanned.join(wanted_ids, "rep", "left_semi").dropDuplicates(["rep", "key"]).drop("key")
 
 
 def _verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -283,10 +295,10 @@ def _components_of(source: DataFrame, words: int, percent: int, rounds: int) ->
         turn_hash = F.xxhash64(F.lit(turn), "rep")
         pivot = placed.groupBy("v").agg(F.min_by(F.struct("rep", "component"), F.struct(turn_hash, "rep")).alias("p")).select("v", F.col("p.rep").alias("a"), F.col("p.component").alias("its"))
         pairs = placed.join(pivot, "v").where("component <> its").select("a", F.col("rep").alias("b")).distinct()
-        links = materialize(_verify(_near_enough(pairs, shape, threshold), full, percent), "links", made)
+        links = materialize(_verify(_near_enough(pairs, full, threshold), full, percent), "links", made)
         parts = _join_parts(parts, links)
         release(spark)
-    late = materialize(_between(_place(keys, parts), full, percent), "links-between", made)
+    late = materialize(_between(_place(keys, parts), full.select("rep", "full"), percent), "links-between", made)
     parts = _join_parts(parts, late)
     drop_dirs(spark, made)
     release(spark)
