@@ -29,20 +29,26 @@ def _shared(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(entities: DataFrame, depth: int = 4) -> DataFrame:
-    """(id, ancestor_id, depth), each entity being its own ancestor at depth 0.
+def chains(entities: DataFrame, depth: int = 4) -> DataFrame:
+    """(id, chain, back): each entity and its ancestors, nearest first; ``back`` is the ancestor that would come twice.
 
     ``depth`` is the height of the containment model, not a cap on rows: bands are four. Each level is one join that adds
-    to the entity's chain, so the plan is as long as the tree is high. A cycle ends where it meets an entity again. Where
-    ids repeat, each row has its own chain.
+    to the entity's chain, so the plan is as long as the tree is high. Where ids repeat, each row has its own chain.
     """
     parents = entities.select(F.col("id").alias("p"), F.col("parent_id").alias("pp"))
-    chain = entities.select("id", F.array("id").alias("chain"), F.col("parent_id").alias("up"))
+    out = entities.select("id", F.array("id").alias("chain"), F.col("parent_id").alias("up"))
     for _ in range(depth):
-        step = chain.join(parents, F.col("up") == F.col("p"), "left")
+        step = out.join(parents, F.col("up") == F.col("p"), "left")
         on = F.col("p").isNotNull() & ~F.array_contains("chain", F.col("p"))
-        chain = step.select("id", F.when(on, F.concat("chain", F.array("p"))).otherwise(F.col("chain")).alias("chain"), F.when(on, F.col("pp")).alias("up"))
-    return chain.select("id", F.posexplode("chain").alias("depth", "ancestor_id")).select("id", "ancestor_id", "depth")
+        # A parent that is in the chain stays in sight, one that is unknown ends it.
+        up = F.when(on, F.col("pp")).when(F.array_contains("chain", F.col("up")), F.col("up"))
+        out = step.select("id", F.when(on, F.concat("chain", F.array("p"))).otherwise(F.col("chain")).alias("chain"), up.alias("up"))
+    return out.select("id", "chain", F.when(F.array_contains("chain", F.col("up")), F.col("up")).alias("back"))
+
+
+def closure(entities: DataFrame, depth: int = 4) -> DataFrame:
+    """(id, ancestor_id, depth), each entity being its own ancestor at depth 0. A cycle ends where it meets an entity again."""
+    return chains(entities, depth).select("id", F.posexplode("chain").alias("depth", "ancestor_id")).select("id", "ancestor_id", "depth")
 
 
 def representatives(entities: DataFrame, rank: int, depth: int = 4) -> DataFrame:
@@ -172,20 +178,16 @@ def degrees(relations: DataFrame) -> DataFrame:
 
 
 def forest(entities: DataFrame, depth: int = 4) -> DataFrame:
-    """(id, root, level, position): preorder of the containment forest, children by id.
+    """(id, root, level, path): the containment forest; ``path`` leads from the root and sorts in preorder, children by id.
 
     An entity without a known parent is a root; so is the least id of each cycle, the rest of which hang below it.
     """
-    known = entities.select(F.col("id").alias("k"))
-    tree = entities.join(known, F.col("parent_id") == F.col("k"), "left").select("id", F.when(F.col("k") != F.col("id"), F.col("k")).alias("parent_id"))
-    up = closure(tree.select("id", "parent_id"), depth)
-    top = up.groupBy("id").agg(F.max_by("ancestor_id", "depth").alias("top"), F.min("ancestor_id").alias("least"))
-    rooted = top.join(tree.where("parent_id IS NULL").select(F.col("id").alias("r")), F.col("top") == F.col("r"), "left")
-    stuck = rooted.where("r IS NULL AND id = least").select(F.col("id").alias("promoted"))
-    tree = tree.join(stuck, F.col("id") == F.col("promoted"), "left").select("id", F.when(F.col("promoted").isNull(), F.col("parent_id")).alias("parent_id"))
-    paths = closure(tree, depth).groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), "ancestor_id"))).alias("s"))
-    paths = paths.select("id", F.transform("s", lambda x: x["ancestor_id"]).alias("path"))
-    return paths.select("id", F.get("path", F.lit(0)).alias("root"), (F.size("path") - 1).alias("level"), "path")
+    c = chains(entities, depth)
+    ring = F.slice("chain", F.array_position("chain", F.col("back")).cast("int"), F.size("chain"))
+    top = F.when(F.col("back").isNotNull(), F.array_min(ring))
+    whole = F.when(F.col("back").isNotNull(), F.slice("chain", F.lit(1), F.array_position("chain", top).cast("int"))).otherwise(F.col("chain"))
+    c = c.select("id", F.reverse(whole).alias("path"))
+    return c.select("id", F.get("path", F.lit(0)).alias("root"), (F.size("path") - 1).alias("level"), "path")
 
 
 def regroup(entities: DataFrame, relations: DataFrame, moves: DataFrame) -> DataFrame:

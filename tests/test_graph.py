@@ -84,9 +84,9 @@ def test_shuffled_input_gives_the_same_edges(spark, rows):
 
 
 def test_forest_promotes_cycles(spark):
-    e = spark.createDataFrame([("a", "code", 3, "b", ""), ("b", "code", 3, "a", ""), ("c", "code", 3, "b", ""), ("d", "code", 3, "gone", "")], E)
+    e = spark.createDataFrame([("a", "code", 3, "b", ""), ("b", "code", 3, "a", ""), ("c", "code", 3, "b", ""), ("d", "code", 3, "gone", ""), ("A", "code", 3, "c", "")], E)
     got = {r.id: (r.root, r.level) for r in G.forest(e, 6).collect()}
-    assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "d": ("d", 0)}
+    assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "d": ("d", 0), "A": ("a", 3)}
 
 
 def test_alias_chains(spark):
