@@ -13,6 +13,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+from math import comb
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,10 +26,10 @@ from pyspark.sql import functions as F
 from ..session import spread
 from .common import arrow_rows, blocks, drop_dirs, materialize, release
 
-#: Values kept of each set, values that make lists, and how many of those a similar pair shares at the least.
-SKETCH, LISTED, SHARED = 64, 32, 10
-#: Union-sketch estimates below this are over five standard deviations under a similarity of 0.75.
-ESTIMATE = 0.46
+#: Values kept of each set, and values that make lists.
+SKETCH, LISTED = 64, 32
+#: Chances that a similar pair shares fewer listed values than asked for, and that its estimate falls short.
+LIST_RISK, ESTIMATE_RISK = 4e-8, 4e-7
 #: Cells of the map of wanted ids that goes to all tasks: a fixed size.
 CELLS = 1 << 20
 
@@ -85,25 +88,57 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, set_key binary, sketch array<long>")
 
 
-def _list_keys(classes: DataFrame, threshold: float) -> DataFrame:
+@cache
+def _sure_hits(draws: int, percent: int, risk: float) -> int:
+    """The most hits that ``draws`` of a share of ``percent`` miss with a chance under ``risk``. Draws without replacement
+    miss them more rarely."""
+    p, low, hits = percent / 100, 0.0, 0
+    while hits < draws and (low := low + comb(draws, hits) * p**hits * (1 - p) ** (draws - hits)) < risk:
+        hits += 1
+    return hits
+
+
+def _least_shared(k: int, percent: int) -> int:
+    """Listed values that a class with ``k`` of them shares with any similar class, at the least.
+
+    Under LISTED the set is listed whole. A similar one that is listed whole too holds ``percent`` of it. One of n values,
+    more than LISTED, lists LISTED of them, among these at worst all n - both that it has alone; where chance promises
+    more than this bound, that is taken.
+    """
+    sure = max(1, _sure_hits(LISTED, percent, LIST_RISK))
+    if k >= LISTED:
+        return sure
+    least = -(-k * percent // 100)
+    for n in range(LISTED + 1, 100 * k // percent + 1):
+        both = -(-percent * (k + n) // (100 + percent))
+        least = min(least, max(LISTED - n + both, sure))
+    return least
+
+
+def _estimate(percent: int) -> float:
+    """Union-sketch estimates below this come of similar pairs with a chance under ESTIMATE_RISK."""
+    return _sure_hits(SKETCH, percent, ESTIMATE_RISK) / SKETCH
+
+
+def _list_keys(classes: DataFrame, percent: int) -> DataFrame:
     """(v, rep, n): the lists that each class enters, and its size."""
     vals = classes.select("rep", "n", F.least("n", F.lit(LISTED)).alias("k"), F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
     often = vals.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     mine = vals.join(often, "v").groupBy("rep", "n", "k").agg(F.collect_list(F.struct("df", "v")).alias("own"))
-    # A set that is listed whole shares threshold * k values at least with any similar one.
-    shared = F.when(F.col("k") < LISTED, F.ceil(F.col("k") * threshold - 1e-9)).otherwise(SHARED)
+    # Both sides of a similar pair ask for no more than it shares, so their rarest values meet.
+    shared = F.element_at(F.array(*(F.lit(_least_shared(k, percent)) for k in range(1, LISTED + 1))), F.col("k").cast("int"))
     take = F.col("k") - shared + 1 - (F.col("k") - F.size("own"))
     return mine.select("rep", "n", F.explode(F.slice(F.array_sort("own"), F.lit(1), F.greatest(take, F.lit(0)).cast("int"))).alias("x")).select("x.v", "rep", "n")
 
 
-def _near_enough(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def _near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and union sketch allow the threshold."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    both = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH)
     shared = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
-    return both.where(shared >= ESTIMATE / 0.75 * threshold * F.size(union)).select("a", "b")
+    return both.where(shared >= _estimate(percent) * F.size(union)).select("a", "b")
 
 
 def _full_sets(docs: DataFrame, wanted_ids: DataFrame, words: int) -> DataFrame:
@@ -196,7 +231,7 @@ def _block_links(rep, comp, outside, sets, percent: int) -> list[tuple[int, int]
     ok = (comp[left][:, None] != comp[right][None, :]) & (100 * lo >= percent * hi)
     short = [s[:SKETCH] for s in sets]
     held = np.minimum(size, SKETCH)
-    ok &= _overlaps([short[i] for i in left], [short[i] for i in right]) >= ESTIMATE / 75 * percent * np.minimum.outer(held[left], held[right]) * 0.9
+    ok &= _overlaps([short[i] for i in left], [short[i] for i in right]) >= _estimate(percent) * np.minimum.outer(held[left], held[right]) * 0.9
     # Pair by pair, or all at once, whichever is cheaper; both are exact.
     i, j = np.nonzero(ok)
     if not len(i):
@@ -266,12 +301,12 @@ def _join_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
 
 def _components_of(source: DataFrame, words: int, percent: int, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with their set keys, classes, components of classes), all written to the shared folder."""
-    threshold, spark, made = percent / 100, source.sparkSession, []
+    spark, made = source.sparkSession, []
     rows = materialize(_sketches(spread(source), words), "sketches")
     able = rows.where("n > 0 AND doc IS NOT NULL")
     classes = materialize(able.groupBy("set_key").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     shape = classes.select("rep", "n", "sketch")
-    keys = _list_keys(shape, threshold)
+    keys = _list_keys(shape, percent)
     shared_lists = keys.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v")
     keys = materialize(keys.join(shared_lists, "v"), "list-keys", made)
     full = materialize(_full_sets(source, keys.select("rep").distinct(), words), "full-sets", made)
@@ -283,7 +318,7 @@ def _components_of(source: DataFrame, words: int, percent: int, rounds: int) ->
         turn_hash = F.xxhash64(F.lit(turn), "rep")
         pivot = placed.groupBy("v").agg(F.min_by(F.struct("rep", "component"), F.struct(turn_hash, "rep")).alias("p")).select("v", F.col("p.rep").alias("a"), F.col("p.component").alias("its"))
         pairs = placed.join(pivot, "v").where("component <> its").select("a", F.col("rep").alias("b")).distinct()
-        links = materialize(_verify(_near_enough(pairs, shape, threshold), full, percent), "links", made)
+        links = materialize(_verify(_near_enough(pairs, shape, percent), full, percent), "links", made)
         parts = _join_parts(parts, links)
         release(spark)
     late = materialize(_between(_place(keys, parts), full, percent), "links-between", made)

@@ -85,6 +85,27 @@ def test_block_search_finds_what_pivots_leave(spark, corpus):
     assert got == {i: c for (i, _), (_, c) in zip(corpus, _components(corpus))}
 
 
+def test_sets_listed_whole_meet_larger_ones(spark):
+    """Isolated pairs: 30 or 31 shingles against 39 to 41, contained in them or, with 31 against 39, all but one."""
+    rnd, texts = random.Random(11), []
+    for k, n, alone in ((30, 39, 0), (30, 40, 0), (31, 39, 0), (31, 40, 0), (31, 41, 0), (31, 39, 1), (30, 41, 0)):
+        for _ in range(40):
+            words = [f"w{rnd.getrandbits(60):x}" for _ in range(n + 4 + alone)]
+            texts += [" ".join(words[: k + 4 - alone] + words[n + 4 :]), " ".join(words[: n + 4])]
+    corpus = list(enumerate(texts))
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {i: c for (i, _), c in zip(corpus, _components(corpus))}
+    assert len({c for _, c in got.values()}) == 7 * 40 + 40  # 30 of 41 is under three quarters
+
+
+def test_least_shared_is_the_worst_case():
+    for k in range(1, near_dedup.LISTED):
+        worst = [i if n <= 32 else 32 - (n - i) for n in range(1, 60) for i in range(min(k, n) + 1) if 100 * i >= 75 * (k + n - i)]
+        assert near_dedup._least_shared(k, 75) == min(worst)
+    assert near_dedup._least_shared(32, 75) == 10 and near_dedup._estimate(75) == 30 / 64
+
+
 def test_block_links_both_ways():
     rnd = np.random.default_rng(3)
     base = np.arange(0, 6000, 3)
