@@ -59,7 +59,7 @@ def _(t):
 def _fields(t: Tables):
     d = t.documents
     one = lambda f, c: d.select(F.col("doc_id").alias("doc"), F.lit(f).alias("field"), c.alias("text"))
-    return one("name", F.concat_ws(" ", "source", "lang")).unionAll(one("excerpt", F.substring("text", 1, 400)))
+    return one("name", F.concat_ws(" ", "source", "lang")).unionAll(one("excerpt", F.col("text")))
 
 
 _FIELDS = "(SELECT doc_id AS doc, 'name' AS field, source || ' ' || lang AS text FROM documents UNION ALL SELECT doc_id, 'excerpt', left(text, 400) FROM documents)"
@@ -78,9 +78,9 @@ def _asked(t: Tables):
 
 
 def _plain(t: Tables):
-    """Fields without camel case, so that index compounds play no part in the comparison."""
+    """Fields without camel case, so that index compounds play no part in the comparison; texts end where the SQL's do."""
     f = _fields(t)
-    return f.withColumn("text", F.lower("text"))
+    return f.withColumn("text", F.lower(F.when(F.col("field") == "excerpt", F.substring("text", 1, 400)).otherwise(F.col("text"))))
 
 
 _INDEX_LOW = _INDEX.replace("left(text, 400)", "lower(left(text, 400))")
