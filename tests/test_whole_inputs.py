@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from strataloom import adapters as A
+from strataloom.plans.registry import Tables
+from strataloom.sources import bundles
 
 
 def test_retrieval_finds_words_late_in_a_text(spark, tmp_path):
@@ -12,3 +17,17 @@ def test_retrieval_finds_words_late_in_a_text(spark, tmp_path):
     spark.createDataFrame([(1, "zyxgraph")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc for r in entry.queries()["t17_retrieval"](spark, str(tmp_path)).collect()}
     assert 0 in got
+
+
+def test_portable_read_reads_all_entities(spark, monkeypatch, rows):
+    read, seen = bundles.read_portable, []
+
+    def spy(files):
+        seen.append((read(files)[0], files.count()))
+        return read(files)
+
+    monkeypatch.setattr(bundles, "read_portable", spy)
+    got = entry.queries()["s7_portable_read"](spark, "/root/testdata/sf0.01")
+    e = A.entities(Tables(spark, "/root/testdata/sf0.01"))
+    assert rows(got) == rows(e.where("rank <= 2").groupBy("kind").agg(F.count("*")))
+    assert rows(seen[0][0].select("id")) == rows(e.select("id")) and seen[0][1] == 1 + e.count() // 2000
