@@ -61,7 +61,7 @@ def _(t):
 @query("s8_bundle_round_trip", f"WITH {A.ENTITIES} SELECT id, kind, parent_id FROM entities")
 def _(t):
     at = scratch(t)
-    bundles.write_bundle(A.entities(t), A.flows(t).withColumns({"id": F.concat("from_id", F.lit(">"), "to_id"), "kind": F.lit("uses")}), "snap", at)
+    bundles.write_bundle(A.entities(t), A.relations(t), "snap", at)
     return bundles.read_bundle(t.spark, at)[0].select("id", "kind", "parent_id")
 
 

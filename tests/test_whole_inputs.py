@@ -9,6 +9,8 @@ from strataloom import adapters as A
 from strataloom.plans.registry import Tables
 from strataloom.sources import bundles
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_retrieval_finds_words_late_in_a_text(spark, tmp_path):
     texts = ["filler words " * 60 + "zyxgraph", *("other plain text " * 40 for _ in range(5))]
@@ -31,3 +33,10 @@ def test_portable_read_reads_all_entities(spark, monkeypatch, rows):
     e = A.entities(Tables(spark, "/root/testdata/sf0.01"))
     assert rows(got) == rows(e.where("rank <= 2").groupBy("kind").agg(F.count("*")))
     assert rows(seen[0][0].select("id")) == rows(e.select("id")) and seen[0][1] == 1 + e.count() // 2000
+
+
+def test_bundle_holds_all_relations(spark, monkeypatch, rows):
+    read, seen = bundles.read_bundle, []
+    monkeypatch.setattr(bundles, "read_bundle", lambda *a: seen.append(read(*a)) or seen[0])
+    entry.queries()["s8_bundle_round_trip"](spark, SF)
+    assert rows(seen[0][1].select("id", "from_id", "to_id", "kind")) == rows(A.relations(Tables(spark, SF)).select("id", "from_id", "to_id", "kind"))
