@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import gc
 import math
 import re
@@ -49,13 +50,34 @@ def text_slices(column, max_chars: int = 1 << 21) -> Iterator[list[str]]:
         yield held
 
 
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Collects the names of all scratch folders that are made inside.
+
+    Operators return rows that are read from such folders when the caller asks for them; once the caller has written the
+    rows, :func:`drop_dirs` on the list clears them away.
+    """
+    made: list[str] = []
+    token = _SCOPE.set(made)
+    try:
+        yield made
+    finally:
+        _SCOPE.reset(token)
+
+
 def scratch_dir(spark: SparkSession, what: str) -> str:
     """A new folder name in the shared folder that spark.checkpoint.dir names.
 
     Where the setting is missing (tests on one machine), a folder below the warehouse is taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if (made := _SCOPE.get()) is not None:
+        made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, what: str, made: list[str] | None = None) -> DataFrame:

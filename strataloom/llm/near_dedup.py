@@ -8,7 +8,11 @@
    its similarity; pairs far below the threshold go, the rest are verified on the full sets, and links join components.
    Lists that overlap choose the same pivots, so a group of thousands of near copies costs a few pairs per member.
 4. In lists that still lie in several components, the members outside the main one are held against all others, in
-   blocks within a task that hands out true links only. So no link between components is lost, and no pairs are listed.
+   blocks within a task: first by their sketches, then those that came near any other by their full sets. A task hands
+   out true links only, so no link between components is lost, and no pairs are listed.
+
+No task grows with a hot key. Lists, pivots and the centres of components that hold many rows are dealt over several
+tasks, in proportion to rows that are counted first.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
@@ -30,8 +34,12 @@ from .common import arrow_rows, blocks, drop_dirs, materialize, release
 SKETCH, LISTED = 64, 32
 #: Chances that a similar pair shares fewer listed values than asked for, and that its estimate falls short.
 LIST_RISK, ESTIMATE_RISK = 4e-8, 4e-7
-#: Cells of the map of wanted ids that goes to all tasks: a fixed size.
-CELLS = 1 << 20
+#: Cells of the map of wanted ids that goes to all tasks, a bit each: a fixed size.
+CELLS = 1 << 24
+#: Rows of one key that one task may meet in a join, and the most keys beyond that for which rows are told apart.
+KEY_ROWS, HOT_KEYS = 128, 2000
+#: Rows of a partition of the block search.
+BLOCK_ROWS = 4096
 
 
 class _WordHash(dict):
@@ -131,26 +139,50 @@ def _list_keys(classes: DataFrame, percent: int) -> DataFrame:
     return mine.select("rep", "n", F.explode(F.slice(F.array_sort("own"), F.lit(1), F.greatest(take, F.lit(0)).cast("int"))).alias("x")).select("x.v", "rep", "n")
 
 
-def _near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and union sketch allow the threshold."""
+def _copies(rows) -> Column:
+    """Over how many tasks the rows of a key go."""
+    return F.ceil(rows / KEY_ROWS).cast("int")
+
+
+def _lot(copies, by: str) -> Column:
+    return F.pmod(F.xxhash64(by), copies).cast("int")
+
+
+def _dealt(copies) -> Column:
+    """One row for each of the tasks that meet a key."""
+    return F.explode(F.sequence(F.lit(0), copies - 1)).alias("lot")
+
+
+def _of_pivots(pairs: DataFrame, heads: DataFrame, table: DataFrame) -> DataFrame:
+    """``pairs`` with the row of ``table`` (column a) for their pivot; a pivot of many pairs meets them in ``copies`` tasks."""
+    own = heads.select("a", _dealt(F.col("copies"))).join(table, "a")
+    return pairs.withColumn("lot", _lot(F.col("copies"), "b")).join(own, ["a", "lot"]).drop("lot")
+
+
+def _near_enough(pairs: DataFrame, heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, copies) whose sizes and union sketch allow the threshold."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = _of_pivots(pairs, heads, side("a")).join(side("b"), "b")
     both = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH)
     shared = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
-    return both.where(shared >= _estimate(percent) * F.size(union)).select("a", "b")
+    return both.where(shared >= _estimate(percent) * F.size(union)).select("a", "b", "copies")
 
 
 def _full_sets(docs: DataFrame, wanted_ids: DataFrame, words: int) -> DataFrame:
     """(rep, full): the shingle sets, as bytes, of the documents with the wanted ids (column rep)."""
     # A map of fixed size lets a scan skip most other texts before they are cut; the join is exact.
-    cells = [r.c for r in wanted_ids.select(F.pmod(F.xxhash64("rep"), F.lit(CELLS)).alias("c")).distinct().collect()]
-    wanted = np.zeros(CELLS, bool)
-    wanted[cells] = True
+    cells = wanted_ids.select((F.pmod(F.xxhash64("rep"), F.lit(CELLS)) + 1).alias("c"))
+    maps = cells.groupBy(F.bitmap_bucket_number("c").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
+    wanted = np.zeros((CELLS // 32768, 4096), np.uint8)
+    for r in maps.collect():  # CELLS / 32768 rows of 4 KB at most
+        wanted[r.k - 1] = np.frombuffer(r.bits, np.uint8)
+    wanted = wanted.ravel()
 
     def sets(batches):
         for b in batches:
-            at = np.flatnonzero(wanted[np.asarray(b.column(2))])
+            cell = np.asarray(b.column(2))
+            at = np.flatnonzero(wanted[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
             for lo in range(0, len(at), 512):
                 part = at[lo : lo + 512]
                 made = [shingle_set(b.column(1)[int(i)].as_py(), words).tobytes() for i in part]
@@ -160,9 +192,10 @@ def _full_sets(docs: DataFrame, wanted_ids: DataFrame, words: int) -> DataFrame:
     return scanned.join(wanted_ids, "rep", "left_semi")
 
 
-def _verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, heads: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Those pairs whose full shingle sets are similar."""
-    both = pairs.join(full.select(F.col("rep").alias("a"), F.col("full").alias("fa")), "a").join(full.select(F.col("rep").alias("b"), F.col("full").alias("fb")), "b")
+    side = lambda x: full.select(F.col("rep").alias(x), F.col("full").alias(f"f{x}"))
+    both = _of_pivots(pairs, heads, side("a")).join(side("b"), "b")
 
     def compare(batches):
         for b in batches:
@@ -184,54 +217,87 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(x) + len(y) - inter) > 0
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _with_least(arcs: DataFrame, low: DataFrame, most: int) -> DataFrame:
+    """``arcs`` (a, b) with ``m``, the value of ``low`` (a, m, d) for their a; ``d`` counts the rows of a.
+
+    The centre of a large star has most of the rows: nodes of more than ``most`` rows are broadcast, and the caller sees
+    to it that they are few; the others meet their rows in a shuffle.
+    """
+    hot = F.broadcast(low.where(F.col("d") > most).select("a", "m"))
+    plain = arcs.join(hot.select("a"), "a", "left_anti").join(low.where(F.col("d") <= most).select("a", "m"), "a")
+    return arcs.join(hot, "a").select("a", "b", "m").unionAll(plain.select("a", "b", "m"))
+
+
+def connected_components(edges: DataFrame, rounds: int = 60, made: list[str] | None = None) -> DataFrame:
     """(node, component): the least node that each node of the edges (a, b) can reach.
 
-    Large-star and small-star steps; every round is written to the shared folder, so no lineage grows.
+    Large-star and small-star steps; every round is written to the shared folder, so no lineage grows. Hot centres, at
+    most twice HOT_KEYS, are broadcast, so no task holds all arcs of one. Null ends, loops and repeated edges say nothing.
     """
-    now, mark, made = edges.select("a", "b").where("a <> b").distinct(), None, []
+    made = []
+    now, mark = materialize(edges.select("a", "b").where("a <> b").distinct(), "components", made), None
+    n = now.count()
     for _ in range(rounds):
+        most = max(KEY_ROWS, n // HOT_KEYS)
         arcs = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = arcs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = arcs.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = arcs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("d"))
+        large = _with_least(arcs.where("b > a"), low, most).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Now b < a in each row.
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d"))
+        pair = lambda x: F.struct(F.col(x).alias("a"), F.col("m").alias("b"))
+        small = _with_least(large, down, most).select(F.explode(F.array(pair("b"), pair("a"))).alias("e"))
         now = materialize(small.select("e.*").where("a <> b").distinct(), "components", made)
         drop_dirs(edges.sparkSession, made, keep=1)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (seen.n, seen.h) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        mark = (seen.n, seen.h)
+        n, mark = seen.n, (seen.n, seen.h)
     raise RuntimeError("components did not settle")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], wide: int = 4096) -> np.ndarray:
     """Sizes of all intersections of two lists of sets, by products of incidence blocks of bounded width."""
-    values, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    who = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
-    order = np.argsort(at, kind="stable")
-    at, who = at[order], who[order]
+    flat = [np.concatenate(side) for side in (left, right)]
+    values = np.intersect1d(*flat)  # what one side alone holds meets nothing
+    sides = []
+    for sets, all_values in zip((left, right), flat):
+        at = np.searchsorted(values, all_values)
+        at[at == len(values)] = 0
+        who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        on = values[at] == all_values if len(values) else np.zeros(len(at), bool)
+        at, who = at[on], who[on]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], who[order], len(sets)))
     out = np.zeros((len(left), len(right)), np.float32)
     for lo in range(0, len(values), wide):
-        i, j = np.searchsorted(at, [lo, lo + wide])
-        held = np.zeros((len(left) + len(right), min(wide, len(values) - lo)), np.float32)
-        held[who[i:j], at[i:j] - lo] = 1
-        out += held[: len(left)] @ held[len(left) :].T
+        held = []
+        for at, who, n in sides:
+            i, j = np.searchsorted(at, [lo, lo + wide])
+            block = np.zeros((n, min(wide, len(values) - lo)), np.float32)
+            block[who[i:j], at[i:j] - lo] = 1
+            held.append(block)
+        out += held[0] @ held[1].T
     return out
 
 
-def _block_links(rep, comp, outside, sets, percent: int) -> list[tuple[int, int]]:
-    """Links between components found in one block, without those that earlier ones make needless."""
+def _may_link(comp, outside, size, short, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, table of pairs): rows of either role, and which pairs their sizes and sketches allow."""
     left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
-    if not len(left) or not len(right):
-        return []
-    size = np.array([len(s) for s in sets])
     lo, hi = np.minimum.outer(size[left], size[right]), np.maximum.outer(size[left], size[right])
     ok = (comp[left][:, None] != comp[right][None, :]) & (100 * lo >= percent * hi)
-    short = [s[:SKETCH] for s in sets]
-    held = np.minimum(size, SKETCH)
-    ok &= _overlaps([short[i] for i in left], [short[i] for i in right]) >= _estimate(percent) * np.minimum.outer(held[left], held[right]) * 0.9
+    rows, cols = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+    if len(rows):
+        part = np.ix_(rows, cols)
+        held = np.minimum(size, SKETCH)
+        least = _estimate(percent) * np.minimum.outer(held[left[rows]], held[right[cols]]) * 0.9
+        ok[part] &= _overlaps([short[i] for i in left[rows]], [short[i] for i in right[cols]]) >= least
+    return left, right, ok
+
+
+def _block_links(rep, comp, outside, sets, percent: int) -> list[tuple[int, int]]:
+    """Links between components found in one block, without those that earlier ones make needless."""
+    size = np.array([len(s) for s in sets], np.int64)
+    left, right, ok = _may_link(comp, outside, size, [s[:SKETCH] for s in sets], percent)
     # Pair by pair, or all at once, whichever is cheaper; both are exact.
     i, j = np.nonzero(ok)
     if not len(i):
@@ -262,52 +328,73 @@ def _block_links(rep, comp, outside, sets, percent: int) -> list[tuple[int, int]
     return out
 
 
-def _between(placed: DataFrame, full: DataFrame, percent: int, block: int = 512, values: int = 1 << 19) -> DataFrame:
+def _between(placed: DataFrame, shape: DataFrame, full: DataFrame, percent: int, made: list[str], block: int = 512, values: int = 1 << 19) -> DataFrame:
     """Links (a, b) between classes that share a list but lie in different components.
 
-    A block holds about ``block`` classes and ``values`` shingles of either side, so long texts make small blocks.
+    A block holds about ``block`` classes and ``values`` shingles of either side, so long texts make small blocks. Blocks
+    are first searched by sketches; only classes that may have a link in a block meet there with their full sets.
     """
     per = placed.groupBy("v", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     # Lists of two were compared in the first round.
     main = F.max_by(F.struct("component", "c", "n"), F.struct("c", "component")).alias("main")
     lists = per.groupBy("v").agg(main, F.sum("c").alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1 AND m > 2")
     count = lambda m, n: F.ceil(F.greatest(m / block, n / values)).cast("int")
-    lists = lists.select("v", F.col("main.component").alias("main"), count(F.col("m"), F.col("n")).alias("nb"), count(F.col("m") - F.col("main.c"), F.col("n") - F.col("main.n")).alias("nc"))
-    rows = placed.join(lists, "v").join(full, "rep")
+    rest = F.col("m") - F.col("main.c")
+    lists = lists.select("v", F.col("main.component").alias("main"), "m", rest.alias("out"), count(F.col("m"), F.col("n")).alias("nb"), count(rest, F.col("n") - F.col("main.n")).alias("nc"))
+    lists = materialize(lists, "open-lists", made)
+    n_rows = lists.agg(F.coalesce(F.sum(F.col("m") * F.col("nc") + F.col("out") * F.col("nb")), F.lit(0)).alias("n")).first().n
+    # As many partitions as the rows call for, so that a task's share stays the same however much there is.
+    tasks = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // BLOCK_ROWS))
+    rows = placed.withColumn("lot", _lot(_copies(F.col("m")), "rep")).drop("m").join(lists.select("*", _dealt(_copies(F.col("m")))), ["v", "lot"])
     outside = F.col("component") != F.col("main")
-    spread = lambda of: F.pmod(F.xxhash64("rep"), of).cast("int")
+    deal = lambda of: F.pmod(F.xxhash64("rep"), of).cast("int")
     place = lambda x, y, role: F.struct(x.alias("x"), y.alias("y"), F.lit(role).alias("role"))
-    inner = F.transform(F.sequence(F.lit(0), F.col("nc") - 1), lambda c: place(spread(F.col("nb")), c, False))
-    outer = F.when(outside, F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: place(b, spread(F.col("nc")), True))).otherwise(F.slice(inner, 1, 0))
-    rows = rows.select("v", "rep", "component", "full", F.explode(F.concat(inner, outer)).alias("p")).select("v", "p.*", "rep", "component", "full")
+    inner = F.transform(F.sequence(F.lit(0), F.col("nc") - 1), lambda c: place(deal(F.col("nb")), c, False))
+    outer = F.when(outside, F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: place(b, deal(F.col("nc")), True))).otherwise(F.slice(inner, 1, 0))
+    rows = rows.join(shape.select("rep", "sketch"), "rep")
+    rows = rows.select("v", "rep", "component", "n", "sketch", F.explode(F.concat(inner, outer)).alias("p")).select("v", "p.*", "rep", "component", "n", "sketch")
+
+    def near(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sketch = table.column("sketch").chunk(0)
+        at, flat = np.asarray(sketch.offsets), np.asarray(sketch.values)
+        short = [flat[i:j] for i, j in zip(at, at[1:])]
+        own = lambda c: table.column(c).to_numpy()
+        left, right, ok = _may_link(own("component"), own("role").astype(bool), own("n"), short, percent)
+        keep = np.concatenate([left[ok.any(1)], right[ok.any(0)]])
+        return table.select(["v", "x", "y", "role", "rep", "component"]).take(pa.array(keep, pa.int64()))
+
+    found = rows.repartition(tasks, "v", "x", "y").groupBy("v", "x", "y").applyInArrow(near, "v long, x int, y int, role boolean, rep long, component long")
+    found = materialize(found, "near-blocks", made)
 
     def search(pdf):
         sets = [np.frombuffer(x, np.int64) for x in pdf["full"]]
         links = _block_links(pdf["rep"].to_numpy(), pdf["component"].to_numpy(), pdf["role"].to_numpy(), sets, percent)
         return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}, dtype="int64")
 
-    return rows.groupBy("v", "x", "y").applyInPandas(search, "a long, b long").distinct()
+    whole = found.join(full, "rep").repartition(tasks, "v", "x", "y")
+    return whole.groupBy("v", "x", "y").applyInPandas(search, "a long, b long").distinct()
 
 
 def _place(keys: DataFrame, parts: DataFrame) -> DataFrame:
-    return keys.join(parts, "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    return keys.join(parts, "rep", "left").select("v", "rep", "n", "m", F.coalesce("component", "rep").alias("component"))
 
 
-def _join_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
+def _join_parts(parts: DataFrame, links: DataFrame, made: list[str]) -> DataFrame:
     """(rep, component) after more links."""
     edges = parts.where("rep <> component").select(F.col("rep").alias("a"), F.col("component").alias("b")).unionAll(links)
-    return connected_components(edges).withColumnRenamed("node", "rep")
+    return connected_components(edges, made=made).withColumnRenamed("node", "rep")
 
 
 def _components_of(source: DataFrame, words: int, percent: int, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with their set keys, classes, components of classes), all written to the shared folder."""
-    spark, made = source.sparkSession, []
+    spark, made, placed_in = source.sparkSession, [], []
     rows = materialize(_sketches(spread(source), words), "sketches")
     able = rows.where("n > 0 AND doc IS NOT NULL")
     classes = materialize(able.groupBy("set_key").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     shape = classes.select("rep", "n", "sketch")
     keys = _list_keys(shape, percent)
-    shared_lists = keys.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v")
+    shared_lists = keys.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v", "m")
     keys = materialize(keys.join(shared_lists, "v"), "list-keys", made)
     full = materialize(_full_sets(source, keys.select("rep").distinct(), words), "full-sets", made)
     parts = spark.createDataFrame([], "rep long, component long")
@@ -316,13 +403,17 @@ def _components_of(source: DataFrame, words: int, percent: int, rounds: int) ->
         placed = _place(keys, parts)
         # One order of the classes for all lists: lists of one group choose the same pivots.
         turn_hash = F.xxhash64(F.lit(turn), "rep")
-        pivot = placed.groupBy("v").agg(F.min_by(F.struct("rep", "component"), F.struct(turn_hash, "rep")).alias("p")).select("v", F.col("p.rep").alias("a"), F.col("p.component").alias("its"))
-        pairs = placed.join(pivot, "v").where("component <> its").select("a", F.col("rep").alias("b")).distinct()
-        links = materialize(_verify(_near_enough(pairs, shape, percent), full, percent), "links", made)
-        parts = _join_parts(parts, links)
+        pivot = placed.groupBy("v").agg(F.min_by(F.struct("rep", "component"), F.struct(turn_hash, "rep")).alias("p"), F.first("m").alias("m"))
+        pivot = pivot.select("v", F.col("p.rep").alias("a"), F.col("p.component").alias("its"), "m")
+        # A class is in few lists, but it may lead some of many members.
+        heads = materialize(pivot.groupBy("a").agg(_copies(F.sum("m")).alias("copies")), "heads", made)
+        leads = pivot.join(heads, "a").select("v", "a", "its", "copies", _dealt(_copies(F.col("m"))))
+        pairs = placed.withColumn("lot", _lot(_copies(F.col("m")), "rep")).join(leads, ["v", "lot"]).where("component <> its").select("a", F.col("rep").alias("b"), "copies").distinct()
+        links = materialize(_verify(_near_enough(pairs, heads, shape, percent), heads, full, percent), "links", made)
+        parts = _join_parts(parts, links, placed_in)
         release(spark)
-    late = materialize(_between(_place(keys, parts), full, percent), "links-between", made)
-    parts = _join_parts(parts, late)
+    late = materialize(_between(_place(keys, parts), shape, full, percent, made), "links-between", made)
+    parts = _join_parts(parts, late, placed_in)
     drop_dirs(spark, made)
     release(spark)
     return rows, classes, parts
@@ -334,9 +425,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, rounds:
     Words are maximal runs without white space (blank, tab, line ends), A-Z in lower case. Two documents are linked if
     the intersection of their shingle sets is at least ``percent`` per cent of the union; ``component_id`` is the least id
     that links reach. Null, empty and wordless texts have an empty set and are linked with nothing. Rows with a null id
-    get a null component and are kept. Rows that repeat an id count as one node of the graph, each with its own text.
-    An empty table gives no rows; other columns are neither read nor returned. Ids must be integers. ``rounds`` of pivots
-    change the cost, not the result.
+    get a null component and are kept. An id names one document: rows that repeat it are one node of the graph, each with
+    the links of its own text, and share its component. A text of any length is one row's work; equal sets, however many,
+    are one class. An empty table gives no rows; other columns are neither read nor returned, whatever their names. Ids
+    must be integers.
+
+    ``rounds`` of pivots change the cost, not the result. Sketches may lose a link: a pair right at the threshold, both
+    sets of more than LISTED shingles, misses the lists with a chance under LIST_RISK and the estimate with one under
+    ESTIMATE_RISK, more similar pairs far more rarely; smaller sets ask for the worst case, and equal sets are joined
+    exactly. Links that are returned are always true, being verified on the full sets.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("body"))
