@@ -235,9 +235,16 @@ def connected_components(edges: DataFrame, rounds: int = 60, made: list[str] | N
     most twice HOT_KEYS, are broadcast, so no task holds all arcs of one. Null ends, loops and repeated edges say nothing.
     """
     made = []
-    now, mark = materialize(edges.select("a", "b").where("a <> b").distinct(), "components", made), None
-    n = now.count()
+    ends = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = materialize(ends.where("a > b").distinct(), "components", made)
     for _ in range(rounds):
+        # Done when each node points at one other, or is pointed at, but not both: a star has its least node as centre.
+        told = now.groupBy("a").agg(F.count("*").alias("up")).unionAll(now.select("b", F.lit(0)).distinct()).groupBy("a")
+        told = told.agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+        state = told.agg(F.coalesce(F.sum("up"), F.lit(0)).alias("n"), F.count_if((F.col("up") > 1) | (F.col("up") > F.col("least"))).alias("open")).first()
+        if not state.open:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        n = state.n
         most = max(KEY_ROWS, n // HOT_KEYS)
         arcs = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = arcs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("d"))
@@ -248,10 +255,6 @@ def connected_components(edges: DataFrame, rounds: int = 60, made: list[str] | N
         small = _with_least(large, down, most).select(F.explode(F.array(pair("b"), pair("a"))).alias("e"))
         now = materialize(small.select("e.*").where("a <> b").distinct(), "components", made)
         drop_dirs(edges.sparkSession, made, keep=1)
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (seen.n, seen.h) == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        n, mark = seen.n, (seen.n, seen.h)
     raise RuntimeError("components did not settle")
 
 
@@ -354,7 +357,7 @@ def _between(placed: DataFrame, shape: DataFrame, full: DataFrame, percent: int,
     rows = rows.join(shape.select("rep", "sketch"), "rep")
     rows = rows.select("v", "rep", "component", "n", "sketch", F.explode(F.concat(inner, outer)).alias("p")).select("v", "p.*", "rep", "component", "n", "sketch")
 
-    def near(table: pa.Table) -> pa.Table:
+    def near(table):
         table = table.combine_chunks()
         sketch = table.column("sketch").chunk(0)
         at, flat = np.asarray(sketch.offsets), np.asarray(sketch.values)

@@ -194,7 +194,7 @@ def pack_level(pieces: DataFrame, groups: int, level: int, capacity: int) -> Dat
     """
     id_col = pieces.columns[0]
 
-    def pack(key, table: pa.Table) -> pa.Table:
+    def pack(key, table):
         table = table.sort_by([("length", "descending"), (id_col, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         sizes = table.column("length").to_pylist()
         seq, offset, fill = (np.zeros(len(sizes), np.int64) for _ in range(3))
