@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from ..session import spread
 from .common import arrow_rows, blocks, drop_dirs, materialize, release
 
-#: Values kept of each set, and values that make lists.
-SKETCH, LISTED = 64, 32
+#: Values kept of each set, and values that may make lists. The more of the sketch a similar pair must share, the fewer
+#: lists of common values a class has to enter, so all of it is listed.
+SKETCH = LISTED = 64
 #: Chances that a similar pair shares fewer listed values than asked for, and that its estimate falls short.
 LIST_RISK, ESTIMATE_RISK = 4e-8, 4e-7
 #: Cells of the map of wanted ids that goes to all tasks, a bit each: a fixed size.
@@ -331,7 +332,7 @@ def _block_links(rep, comp, outside, sets, percent: int) -> list[tuple[int, int]
     return out
 
 
-def _between(placed: DataFrame, shape: DataFrame, full: DataFrame, percent: int, made: list[str], block: int = 512, values: int = 1 << 19) -> DataFrame:
+def _between(placed: DataFrame, shape: DataFrame, full: DataFrame, percent: int, made: list[str], block: int = 1024, values: int = 1 << 19) -> DataFrame:
     """Links (a, b) between classes that share a list but lie in different components.
 
     A block holds about ``block`` classes and ``values`` shingles of either side, so long texts make small blocks. Blocks
@@ -369,13 +370,16 @@ def _between(placed: DataFrame, shape: DataFrame, full: DataFrame, percent: int,
 
     found = rows.repartition(tasks, "v", "x", "y").groupBy("v", "x", "y").applyInArrow(near, "v long, x int, y int, role boolean, rep long, component long")
     found = materialize(found, "near-blocks", made)
+    release(placed.sparkSession)
 
     def search(pdf):
         sets = [np.frombuffer(x, np.int64) for x in pdf["full"]]
         links = _block_links(pdf["rep"].to_numpy(), pdf["component"].to_numpy(), pdf["role"].to_numpy(), sets, percent)
         return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}, dtype="int64")
 
-    whole = found.join(full, "rep").repartition(tasks, "v", "x", "y")
+    # A set is fetched once for all blocks of its list.
+    places = found.groupBy("v", "rep", "component").agg(F.collect_list(F.struct("x", "y", "role")).alias("p"))
+    whole = places.join(full, "rep").select("v", F.explode("p").alias("p"), "rep", "component", "full").select("v", "p.*", "rep", "component", "full").repartition(tasks, "v", "x", "y")
     return whole.groupBy("v", "x", "y").applyInPandas(search, "a long, b long").distinct()
 
 

@@ -86,9 +86,9 @@ def test_block_search_finds_what_pivots_leave(spark, corpus):
 
 
 def test_sets_listed_whole_meet_larger_ones(spark):
-    """Isolated pairs: 30 or 31 shingles against 39 to 41, contained in them or, with 31 against 39, all but one."""
+    """Isolated pairs: sets that are listed whole against larger ones that hold all or all but one of them."""
     rnd, texts = random.Random(11), []
-    for k, n, alone in ((30, 39, 0), (30, 40, 0), (31, 39, 0), (31, 40, 0), (31, 41, 0), (31, 39, 1), (30, 41, 0)):
+    for k, n, alone in ((30, 39, 0), (30, 40, 0), (61, 80, 0), (62, 82, 0), (63, 84, 0), (63, 81, 1), (30, 41, 0)):
         for _ in range(40):
             words = [f"w{rnd.getrandbits(60):x}" for _ in range(n + 4 + alone)]
             texts += [" ".join(words[: k + 4 - alone] + words[n + 4 :]), " ".join(words[: n + 4])]
@@ -100,10 +100,11 @@ def test_sets_listed_whole_meet_larger_ones(spark):
 
 
 def test_least_shared_is_the_worst_case():
-    for k in range(1, near_dedup.LISTED):
-        worst = [i if n <= 32 else 32 - (n - i) for n in range(1, 60) for i in range(min(k, n) + 1) if 100 * i >= 75 * (k + n - i)]
+    most = near_dedup.LISTED
+    for k in range(1, most):
+        worst = [i if n <= most else max(most - (n - i), near_dedup._sure_hits(most, 75, near_dedup.LIST_RISK)) for n in range(1, 2 * most) for i in range(min(k, n) + 1) if 100 * i >= 75 * (k + n - i)]
         assert near_dedup._least_shared(k, 75) == min(worst)
-    assert near_dedup._least_shared(32, 75) == 10 and near_dedup._estimate(75) == 30 / 64
+    assert near_dedup._least_shared(most, 75) == near_dedup._sure_hits(most, 75, near_dedup.LIST_RISK) and near_dedup._estimate(75) == 30 / 64
 
 
 def test_block_links_both_ways():
