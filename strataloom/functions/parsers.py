@@ -1,61 +1,14 @@
-"""Scalar functions that need a parser: Arrow-batched, never row by row over the JVM border."""
+"""Scalar functions that need a library: Arrow-batched, never row by row over the JVM border."""
 
 from __future__ import annotations
 
 import ipaddress
-import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def parse_version(v: str) -> tuple[int, int, int, str] | None:
-    """(major, minor, patch, prerelease) of a full version; None for anything else."""
-    m = re.fullmatch(r"(\d+)\.(\d+)\.(\d+)(?:-([0-9A-Za-z.-]+))?(?:\+.*)?", v.strip())
-    return (int(m[1]), int(m[2]), int(m[3]), m[4] or "") if m else None
-
-
-def requirement_matches(need: str, have: str) -> bool | None:
-    """Whether a version meets a requirement of caret, tilde, wildcard and comparison terms, joined by commas.
-
-    None if either can't be read; a prerelease meets only terms that name one.
-    """
-    v = parse_version(have)
-    if v is None:
-        return None
-    for term in need.split(","):
-        m = re.fullmatch(r"\s*(\^|~|>=|<=|>|<|=)?\s*(\d+|\*)(?:\.(\d+|\*))?(?:\.(\d+|\*))?(?:-([0-9A-Za-z.-]+))?\s*", term)
-        if not m:
-            return None
-        op = m[1] or "^"
-        nums = [None if x in (None, "*") else int(x) for x in m.group(2, 3, 4)]
-        if v[3] and not m[5]:
-            return False
-        known = [x for x in nums if x is not None]
-        at = v[: len(known)]
-        low = tuple(x or 0 for x in nums)
-        if nums[0] is None:
-            continue
-        if "*" in m.group(2, 3, 4) or op == "=":
-            ok = list(at) == known
-        elif op == "~":
-            ok = v[:3] >= low and list(v[: min(2, len(known))]) == known[:2][: min(2, len(known))]
-        elif op == "^":
-            lead = next((i for i, x in enumerate(known) if x), len(known) - 1)
-            ok = v[:3] >= low and list(v[: lead + 1]) == known[: lead + 1]
-        else:
-            ok = {">=": v[:3] >= low, "<=": at <= tuple(known), ">": at > tuple(known), "<": v[:3] < low}[op]
-        if not ok:
-            return False
-    return True
-
-
-@F.pandas_udf(T.BooleanType())
-def cargo_matches(need: pd.Series, have: pd.Series) -> pd.Series:
-    return pd.Series([None if n is None or h is None else requirement_matches(n, h) for n, h in zip(need, have)], dtype="object")
-
-
 def client_key(raw: str) -> str:
     """Limiter key of an address: IPv4 in IPv6 as IPv4, other IPv6 by its /64; what is no address stays."""
     try:

@@ -18,42 +18,54 @@ def kind_rank(kind: Column) -> Column:
     return out
 
 
-def _shared(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative frontier: a checkpoint in the shared folder where one is named, else the cache."""
+def shared(df: DataFrame) -> DataFrame:
+    """Cut the lineage of rows that are read again and again: a checkpoint in the shared folder that ``spark.checkpoint.dir`` names, or
+    below the warehouse, which executors share too, where the setting is missing."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            return df.cache()
-        sc.setCheckpointDir(named)
+        conf = df.sparkSession.conf
+        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint()
 
 
-def chains(entities: DataFrame, depth: int = 4) -> DataFrame:
+def chains(entities: DataFrame) -> DataFrame:
     """(id, chain, back): each entity and its ancestors, nearest first; ``back`` is the ancestor that would come twice.
 
-    ``depth`` is the height of the containment model, not a cap on rows: bands are four. Each level is one join that adds
-    to the entity's chain, so the plan is as long as the tree is high. Where ids repeat, each row has its own chain.
+    Chains are doubled each round by joining each with that of its last ancestor, until none grows any more: a tree of any
+    height takes the logarithm of it in rounds. Where ids repeat, each row has its own chain.
     """
-    parents = entities.select(F.col("id").alias("p"), F.col("parent_id").alias("pp"))
-    out = entities.select("id", F.array("id").alias("chain"), F.col("parent_id").alias("up"))
-    for _ in range(depth):
-        step = out.join(parents, F.col("up") == F.col("p"), "left")
-        on = F.col("p").isNotNull() & ~F.array_contains("chain", F.col("p"))
-        # A parent that is in the chain stays in sight, one that is unknown ends it.
-        up = F.when(on, F.col("pp")).when(F.array_contains("chain", F.col("up")), F.col("up"))
-        out = step.select("id", F.when(on, F.concat("chain", F.array("p"))).otherwise(F.col("chain")).alias("chain"), up.alias("up"))
-    return out.select("id", "chain", F.when(F.array_contains("chain", F.col("up")), F.col("up")).alias("back"))
-
-
-def closure(entities: DataFrame, depth: int = 4) -> DataFrame:
+    now = entities.select("id", F.array("id").alias("chain"), F.col("parent_id").alias("up"), F.lit(None).cast(entities.schema["id"].dataType).alias("back"))
+    turn = 0
+    while True:
+        far = now.select(F.col("id").alias("f_id"), F.col("chain").alias("f_chain"), F.col("up").alias("f_up"), F.col("back").alias("f_back"))
+        step = now.join(far, F.col("up") == F.col("f_id"), "left")
+        # The first ancestor that is in the chain already ends it.
+        step = step.withColumn("again", F.filter("f_chain", lambda x: F.array_contains("chain", x)))
+        twice = F.get("again", F.lit(0))
+        more = F.when(twice.isNull(), F.col("f_chain")).otherwise(F.slice("f_chain", F.lit(1), F.array_position("f_chain", twice).cast("int") - 1))
+        grown = F.col("f_id").isNotNull()
+        now = step.select(
+            "id",
+            F.when(grown, F.concat("chain", more)).otherwise(F.col("chain")).alias("chain"),
+            F.when(grown & twice.isNull(), F.col("f_up")).alias("up"),  # an unknown parent ends the chain
+            F.when(grown, F.coalesce(twice, F.col("f_back"))).otherwise(F.col("back")).alias("back"),
+        )
+        turn += 1
+        if turn < 3:
+            continue  # the usual four levels take two rounds and one that finds the roots
+        now = shared(now)
+        if now.where("up IS NOT NULL").isEmpty():
+            return now.select("id", "chain", "back")
+
+
+def closure(entities: DataFrame) -> DataFrame:
     """(id, ancestor_id, depth), each entity being its own ancestor at depth 0. A cycle ends where it meets an entity again."""
-    return chains(entities, depth).select("id", F.posexplode("chain").alias("depth", "ancestor_id")).select("id", "ancestor_id", "depth")
+    return chains(entities).select("id", F.posexplode("chain").alias("depth", "ancestor_id")).select("id", "ancestor_id", "depth")
 
 
-def representatives(entities: DataFrame, rank: int, depth: int = 4) -> DataFrame:
+def representatives(entities: DataFrame, rank: int) -> DataFrame:
     """(id, rep, rep_rank): the nearest ancestor or self no finer than ``rank`` and no boundary; else the topmost one."""
-    up = closure(entities, depth).join(entities.select(F.col("id").alias("ancestor_id"), F.col("rank").alias("a_rank"), F.col("kind").alias("a_kind")), "ancestor_id")
+    up = closure(entities).join(entities.select(F.col("id").alias("ancestor_id"), F.col("rank").alias("a_rank"), F.col("kind").alias("a_kind")), "ancestor_id")
     fits = (F.col("a_rank") <= rank) & (F.col("a_kind") != "boundary")
     # Fitting ancestors first, nearest of them; without one the farthest.
     order = F.struct(F.when(fits, 0).otherwise(1), F.when(fits, F.col("depth")).otherwise(-F.col("depth")))
@@ -67,9 +79,9 @@ PLURALS = {
 }
 
 
-def lifted(relations: DataFrame, entities: DataFrame, rank: int, depth: int = 4) -> DataFrame:
+def lifted(relations: DataFrame, entities: DataFrame, rank: int) -> DataFrame:
     """Relations with (rep_from, rep_to) at a band: dangling, coarser and self relations gone, clones only on the code band."""
-    rep = representatives(entities, rank, depth)
+    rep = representatives(entities, rank)
     ranks = entities.select("id", "rank")
     side = lambda end: rep.join(ranks, "id").select(F.col("id").alias(f"{end}_id"), F.col("rep").alias(f"rep_{end}"), F.col("rank").alias(f"rank_{end}"))
     both = relations.join(side("from"), "from_id").join(side("to"), "to_id")
@@ -106,9 +118,9 @@ def incident(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.unionAll(back)
 
 
-def neighborhood(entities: DataFrame, relations: DataFrame, focus: str, max_rank: int, depth: int = 4) -> DataFrame:
+def neighborhood(entities: DataFrame, relations: DataFrame, focus: str, max_rank: int) -> DataFrame:
     """(id, role): the focus's ancestors, its subtree down to ``max_rank`` and the roots, as a slice of the tree."""
-    up = closure(entities, depth)
+    up = closure(entities)
     above = up.where((F.col("id") == focus) & (F.col("depth") > 0)).select(F.col("ancestor_id").alias("id"), F.lit("ancestor").alias("role"))
     below = up.where(F.col("ancestor_id") == focus).join(entities.where(F.col("rank") <= max_rank).select("id"), "id").select("id", F.lit("subtree").alias("role"))
     roots = entities.where("parent_id IS NULL").select("id", F.lit("root").alias("role"))
@@ -123,18 +135,18 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int = 64) ->
     paths are merged per node, and nodes that were reached before are dropped. Ends when the frontier is empty; the
     driver sees only counts.
     """
-    arcs = edges.select("from_id", "to_id").distinct()
+    arcs = shared(edges.select("from_id", "to_id").where("from_id <> to_id").distinct())
     seen = sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops"), F.array("source").alias("path")).distinct()
     frontier = seen
     for hop in range(1, max_hops + 1):
         step = frontier.join(arcs, F.col("node") == F.col("from_id")).select("source", F.col("to_id").alias("node"), F.concat("path", F.array("to_id")).alias("path"))
         step = step.groupBy("source", "node").agg(F.min("path").alias("path"))
-        frontier = _shared(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(hop).alias("hops"), "path"))
+        frontier = shared(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(hop).alias("hops"), "path"))
         if frontier.isEmpty():
             return seen
         seen = seen.unionAll(frontier)
         if hop % 4 == 0:
-            seen = _shared(seen)
+            seen = shared(seen)
     return seen
 
 
@@ -164,9 +176,9 @@ def path_status(edges: DataFrame, source: str, target: str, max_hops: int, known
     return found.unionAll(none.join(hit.select("node"), F.lit(True), "left_anti"))
 
 
-def subtree_counts(entities: DataFrame, depth: int = 4) -> DataFrame:
+def subtree_counts(entities: DataFrame) -> DataFrame:
     """(id, children, descendants), zero where there are none."""
-    up = closure(entities, depth).where("depth > 0")
+    up = closure(entities).where("depth > 0")
     counts = up.groupBy(F.col("ancestor_id").alias("id")).agg(F.count_if(F.col("depth") == 1).alias("children"), F.count("*").alias("descendants"))
     return entities.select("id").join(counts, "id", "left").na.fill(0, ["children", "descendants"])
 
@@ -177,12 +189,12 @@ def degrees(relations: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def forest(entities: DataFrame, depth: int = 4) -> DataFrame:
+def forest(entities: DataFrame) -> DataFrame:
     """(id, root, level, path): the containment forest; ``path`` leads from the root and sorts in preorder, children by id.
 
     An entity without a known parent is a root; so is the least id of each cycle, the rest of which hang below it.
     """
-    c = chains(entities, depth)
+    c = chains(entities)
     ring = F.slice("chain", F.array_position("chain", F.col("back")).cast("int"), F.size("chain"))
     top = F.when(F.col("back").isNotNull(), F.array_min(ring))
     whole = F.when(F.col("back").isNotNull(), F.slice("chain", F.lit(1), F.array_position("chain", top).cast("int"))).otherwise(F.col("chain"))
@@ -208,7 +220,7 @@ def alias_fixpoint(links: DataFrame, rounds: int = 32) -> DataFrame:
     for _ in range(rounds):
         hop = now.select(F.col("name").alias("mid"), F.col("target").alias("far"))
         nxt = now.join(hop, F.col("target") == F.col("mid"), "left").select("name", F.coalesce("far", "target").alias("target")).distinct()
-        nxt = _shared(nxt)
+        nxt = shared(nxt)
         left = nxt.join(ends, F.col("target") == F.col("e"), "left_anti")
         same = nxt.exceptAll(now).isEmpty()
         now = nxt

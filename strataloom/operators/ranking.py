@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .folds import sorted_fold
 
 
 def rank_within(df: DataFrame, parts: list[str], order: list, most: int | None = None, name: str = "rank") -> DataFrame:
@@ -59,48 +61,50 @@ def pack_to_budget(rows: DataFrame, key: str, order: str, size: str, ident: str,
     """(key, id, position): sections taken in rank order while they fit.
 
     One that doesn't fit is passed over and smaller ones may still come, until fewer than ``least_left`` bytes are left,
-    ``most`` are taken, or the score falls under ``floor`` of the best. A fold, so it runs per key over its ranked rows.
+    ``most`` are taken, or the score falls under ``floor`` of the best.
     """
-    cols = [key, order, size, ident, *([score] if score else [])]
-    kind = dict(rows.dtypes)
-
-    def fold(pdf):
-        pdf = pdf.sort_values(order)
-        used, out = 0, []
-        top = pdf[score].iloc[0] if score else None
-        for r in pdf.itertuples(index=False):
-            if len(out) >= most or score and (getattr(r, score) <= 0 or getattr(r, score) < top * floor):
-                break
-            n = getattr(r, size)
+
+    def start():
+        used, taken, top, over = 0, 0, None, False
+
+        def fold(n, value=None):
+            nonlocal used, taken, top, over
+            if score and top is None:
+                top = value
+            over = over or taken >= most or bool(score) and (value is None or value <= 0 or value < top * floor)
+            if over:
+                return None
             if used + n > budget:
-                if budget - used < least_left:
-                    break
-                continue
-            used += n
-            out.append((getattr(r, key), getattr(r, ident), len(out) + 1))
-        return pd.DataFrame(out, columns=[key, ident, "position"])
+                over = budget - used < least_left
+                return None
+            used, taken = used + n, taken + 1
+            return taken
+
+        return fold
 
-    return rows.select(*cols).groupBy(key).applyInPandas(fold, f"{key} {kind[key]}, {ident} {kind[ident]}, position int")
+    cols = [key, order, size, ident, *([score] if score else [])]
+    packed = sorted_fold(rows.select(*cols), key, [order], [size, *([score] if score else [])], start, "position", T.IntegerType())
+    return packed.where("position IS NOT NULL").select(key, ident, "position")
 
 
 def batches_by_size(rows: DataFrame, key: str, order: str, size: str, ident: str, most_bytes: int, most_rows: int) -> DataFrame:
     """(key, id, batch): rows in order, a new batch when bytes or rows would overflow; oversize rows get batch -1."""
-    kind = dict(rows.dtypes)
 
-    def fold(pdf):
-        batch, used, count, out = 0, 0, 0, []
-        for r in pdf.sort_values(order).itertuples(index=False):
-            n = getattr(r, size)
+    def start():
+        batch, used, count = 0, 0, 0
+
+        def fold(n):
+            nonlocal batch, used, count
             if n > most_bytes:
-                out.append((getattr(r, key), getattr(r, ident), -1))
-                continue
+                return -1
             if count and (used + n > most_bytes or count >= most_rows):
                 batch, used, count = batch + 1, 0, 0
             used, count = used + n, count + 1
-            out.append((getattr(r, key), getattr(r, ident), batch))
-        return pd.DataFrame(out, columns=[key, ident, "batch"])
+            return batch
+
+        return fold
 
-    return rows.select(key, order, size, ident).groupBy(key).applyInPandas(fold, f"{key} {kind[key]}, {ident} {kind[ident]}, batch int")
+    return sorted_fold(rows.select(key, order, size, ident), key, [order], [size], start, "batch", T.IntegerType()).select(key, ident, "batch")
 
 
 def prefix_within(df: DataFrame, parts: list[str], order: list, size: str, budget: int) -> DataFrame:
@@ -111,35 +115,42 @@ def prefix_within(df: DataFrame, parts: list[str], order: list, size: str, budge
 
 def flows_within_caps(edges: DataFrame, key: str, most_edges: int, most_nodes: int) -> DataFrame:
     """(key, id): edges in id order, each kept while edge and node caps hold; one that breaks a cap is passed over."""
-    kind = dict(edges.dtypes)
 
-    def fold(pdf):
-        nodes, out = set(), []
-        for r in pdf.sort_values("id").itertuples(index=False):
-            more = nodes | {r.from_id, r.to_id}
-            if len(out) < most_edges and len(more) <= most_nodes:
-                nodes = more
-                out.append((getattr(r, key), r.id))
-        return pd.DataFrame(out, columns=[key, "id"])
+    def start():
+        nodes, kept = set(), 0
+
+        def fold(a, b):
+            nonlocal nodes, kept
+            more = nodes | {a, b}
+            if kept >= most_edges or len(more) > most_nodes:
+                return False
+            nodes, kept = more, kept + 1
+            return True
+
+        return fold
 
-    return edges.select(key, "id", "from_id", "to_id").groupBy(key).applyInPandas(fold, f"{key} {kind[key]}, id string")
+    return sorted_fold(edges.select(key, "id", "from_id", "to_id"), key, ["id"], ["from_id", "to_id"], start, "kept", T.BooleanType()).where("kept").select(key, "id")
 
 
-def number_collisions(df: DataFrame, ident: str, order: list, rounds: int = 16) -> DataFrame:
-    """``df`` with ``unique_id``: repeated ids get -2, -3 ...; a suffixed id that is taken already is counted on.
+def number_collisions(df: DataFrame, ident: str, order: list) -> DataFrame:
+    """``df`` with ``unique_id``: repeated ids get -2, -3 ...; a suffixed id that is taken already is passed over.
 
-    Each round numbers the rows of one wanted id; those that meet a given id go on to the next round.
+    The n-th row of an id takes the n-th free suffix. Suffixes that given ids occupy are numbered first, so each row finds
+    its own by counting the occupied ones below it: no rounds.
     """
     w = Window.partitionBy(ident).orderBy(*order)
-    out = df.withColumn("_n", F.row_number().over(w))
-    taken = df.select(F.col(ident).alias("_t")).distinct()
-    out = out.withColumn("_try", F.when(F.col("_n") == 1, F.col(ident)).otherwise(F.concat(ident, F.lit("-"), F.col("_n").cast("string"))))
-    for _ in range(rounds):
-        hit = out.join(taken, (F.col("_try") == F.col("_t")) & (F.col("_n") > 1), "left")
-        if hit.where("_t IS NOT NULL").isEmpty():
-            break
-        # All later numbers of the id move on by the number of taken ones before them.
-        shift = F.sum(F.when(F.col("_t").isNotNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        out = hit.withColumn("_n", F.col("_n") + shift).drop("_t")
-        out = out.withColumn("_try", F.when(F.col("_n") == 1, F.col(ident)).otherwise(F.concat(ident, F.lit("-"), F.col("_n").cast("string"))))
-    return out.withColumnRenamed("_try", "unique_id").drop("_n")
+    numbered = df.withColumn("_n", F.row_number().over(w))
+    # Given ids of the form stem-number occupy that number of their stem.
+    given = df.select(F.col(ident).alias("_given")).distinct()
+    form = r"^(.*)-([1-9][0-9]{0,17})$"
+    held = given.where(F.col("_given").rlike(form)).select(F.regexp_extract("_given", form, 1).alias("_stem"), F.regexp_extract("_given", form, 2).try_cast("long").alias("_at")).where("_at >= 2")
+    held = held.join(given.select(F.col("_given").alias("_stem")), "_stem", "left_semi")
+    # The k-th occupied number moves a row on if its place, counted among free numbers, lies at or beyond it.
+    k = F.row_number().over(Window.partitionBy("_stem").orderBy("_at"))
+    held = held.select("_stem", (F.col("_at") - k + 1).alias("_from"))
+    steps = held.groupBy("_stem").agg(F.sort_array(F.collect_list("_from")).alias("_steps"))
+    out = numbered.join(steps, F.col(ident) == F.col("_stem"), "left")
+    passed = F.coalesce(F.size(F.filter("_steps", lambda x: x <= F.col("_n"))), F.lit(0))
+    number = F.when(F.col("_steps").isNull(), F.col("_n")).otherwise(F.col("_n") + passed)
+    unique = F.when(F.col("_n") == 1, F.col(ident)).otherwise(F.concat(ident, F.lit("-"), number.cast("string")))
+    return out.withColumn("unique_id", unique).drop("_n", "_stem", "_steps")

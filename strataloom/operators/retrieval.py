@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import spread
+from .graph import shared
 
 #: Words that say nothing, weights and length normalisation of the fields, and the constants of the score.
 STOPWORDS = tuple(
@@ -24,9 +24,7 @@ STOPWORDS = tuple(
 FIELD_WEIGHTS = {"name": 3.0, "symbol": 3.0, "path": 2.0, "summary": 1.5, "parents": 0.3, "excerpt": 0.6}
 FIELD_NORM = {"name": 0.3, "symbol": 0.3, "path": 0.3, "summary": 0.6, "parents": 0.2, "excerpt": 0.75}
 K1, FUZZY_WEIGHT, PREFIX_WEIGHT, SYNONYM_WEIGHT = 1.2, 0.6, 0.7, 0.5
-MOST_EXPANSIONS, MOST_TOKENS = 24, 32
-#: Up to so many unknown question tokens are broadcast; beyond, both sides meet over their deletion neighbourhoods.
-BROADCAST_TOKENS = 2000
+MOST_EXPANSIONS, MOST_TOKENS, MIN_RELATIVE_SCORE = 24, 32, 0.06
 #: The software vocabulary bridge.
 SYNONYMS = {
     "sign": ("auth", "oauth", "login", "session"),
@@ -47,24 +45,34 @@ SYNONYMS = {
 }
 
 
+#: The endings that a pass takes off, in three groups of which the first ending that fits is applied:
+#: (ending, least length of the word, what comes instead, endings that forbid it).
+ENDINGS = (
+    (("ies", 5, "y", ()), ("sses", 5, "ss", ()), ("s", 4, "", ("ss", "us", "is"))),
+    (("ing", 6, "", ()), ("ed", 5, "", ()), ("er", 6, "", ())),
+    (("e", 5, "", ()),),
+)
+#: Consonants that are written once where the second group left them double.
+DOUBLED = frozenset("bcdfghjkmnpqrtvwxy")
+
+
+def _cut(word: str, group: tuple) -> str:
+    for ending, least, instead, but in group:
+        if word.endswith(ending) and len(word) >= least and not word.endswith(but or ("\0",)):
+            return word.removesuffix(ending) + instead
+    return word
+
+
 def stem_word(word: str, passes: int = 4) -> str:
-    """A word's stem: plural, -ing, -ed, -er and a final e go, again and again up to ``passes`` times."""
+    """A word's stem: passes over the table of endings until nothing changes, ``passes`` at most."""
     for _ in range(passes):
-        was, n = word, len(word)
-        if n > 4 and word.endswith("ies"):
-            word = word[:-3] + "y"
-        elif (n > 4 and word.endswith("sses")) or (n > 3 and word[-1] == "s" and word[-2:] not in ("ss", "us", "is")):
-            word = word[: -2 if word.endswith("sses") else -1]
-        whole, n = word, len(word)
-        if n > 5 and word.endswith("ing"):
-            word = word[:-3]
-        elif (n > 4 and word.endswith("ed")) or (n > 5 and word.endswith("er")):
-            word = word[:-2]
-        if word != whole and len(word) > 3 and word[-1] == word[-2] and word[-1] in "bcdfghjkmnpqrtvwxy":
-            word = word[:-1]
-        if len(word) > 4 and word[-1] == "e":
-            word = word[:-1]
-        if word == was:
+        before = word
+        for step, group in enumerate(ENDINGS):
+            short = _cut(word, group)
+            if step == 1 and short != word and len(short) > 3 and short[-1] == short[-2] and short[-1] in DOUBLED:
+                short = short[:-1]
+            word = short
+        if word == before:
             break
     return word
 
@@ -83,53 +91,90 @@ def stem(words: pd.Series) -> pd.Series:
     return words.map(_STEMS)
 
 
-def raw_tokens(text: Column, compounds: bool = False) -> Column:
-    """Lower-case parts of identifiers: camel case, acronyms, underscores and paths are split; with ``compounds`` the
-    joined form of a split chunk of at most 16 characters follows."""
-    chunks = F.filter(F.split(text, "[^A-Za-z0-9]+"), lambda c: c != "")
+def _split_words(text: Column) -> Column:
+    """The text with a blank at each change of case that parts a word of an identifier."""
+    s = F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")
+    return F.regexp_replace(s, "([A-Z]+)([A-Z][a-z])", "$1 $2")
+
 
-    def split_chunk(c: Column) -> Column:
-        s = F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2")
-        return F.split(F.lower(F.regexp_replace(s, "([A-Z]+)([A-Z][a-z])", "$1 $2")), " ")
+def raw_tokens(text: Column) -> Column:
+    """Lower-case parts of identifiers: camel case, acronyms, underscores and paths are split."""
+    return F.split(F.lower(_split_words(text)), "[^a-z0-9]+")
 
-    if not compounds:
-        return F.flatten(F.transform(chunks, split_chunk))
-    both = lambda c: F.concat(split_chunk(c), F.when((F.size(split_chunk(c)) > 1) & (F.length(c) <= 16), F.array(F.lower(c))).otherwise(F.array().cast("array<string>")))
-    return F.flatten(F.transform(chunks, both))
+
+def compounds(text: Column) -> Column:
+    """The joined lower-case forms of the identifiers of at most 16 characters that :func:`raw_tokens` splits."""
+    camel = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9]{2,16}(?![A-Za-z0-9]))(?=[A-Za-z0-9]*(?:[a-z0-9][A-Z]|[A-Z][A-Z][a-z]))[A-Za-z0-9]+"
+    return F.transform(F.regexp_extract_all(text, F.lit(camel), F.lit(0)), lambda c: F.lower(c))
 
 
 def _worth(c: Column) -> Column:
     return (F.length(c) >= 2) & ~c.rlike("^[0-9]+$") & ~c.isin(*STOPWORDS)
 
 
-def tokens(df: DataFrame, keys: list[str], text: Column, compounds: bool = False) -> DataFrame:
-    """(keys, position, term): stemmed tokens worth searching.
+def _stemmed(df: DataFrame) -> DataFrame:
+    """Rows of raw words (column term) that are worth searching, as stems."""
+    out = df.where(_worth(F.col("term"))).withColumn("term", stem(F.col("term")))
+    return out.where((F.length("term") >= 2) & ~F.col("term").isin(*STOPWORDS))
 
-    Distinct words of a partition repeat a lot, but stems are plain expressions, so nothing is joined or shuffled.
-    """
-    out = df.select(*keys, F.posexplode(raw_tokens(text, compounds)).alias("position", "term")).where(_worth(F.col("term")))
-    return out.withColumn("term", stem(F.col("term"))).where((F.length("term") >= 2) & ~F.col("term").isin(*STOPWORDS))
+
+def tokens(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """(keys, position, term): stemmed tokens worth searching."""
+    return _stemmed(df.select(*keys, F.posexplode(raw_tokens(text)).alias("position", "term")))
+
+
+def term_counts(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """(keys, term, tf) with compounds: raw words are counted where their text lies, and only distinct ones are stemmed."""
+    raw = df.select(*keys, F.explode(F.concat(raw_tokens(text), compounds(text))).alias("term"))
+    return _stemmed(raw.groupBy(*keys, "term").agg(F.count("*").alias("n"))).groupBy(*keys, "term").agg(F.sum("n").alias("tf"))
 
 
 def build_index(fields: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, vocabulary, size) of fields (doc, field, text).
 
     A term's weight in a document is the sum over fields of weight * tf / (1 - b + b * length / mean length), the mean
-    being at least 1.
+    being at least 1. Texts are shuffled once, by document and field, and counted there; the postings are written to the
+    shared folder, so that many questions read them and nothing stays in memory.
     """
-    toks = tokens(spread(fields), ["doc", "field"], F.col("text"), compounds=True)
-    tf = toks.groupBy("doc", "field", "term").agg(F.count("*").alias("tf"))
-    lengths = tf.groupBy("doc", "field").agg(F.sum("tf").alias("len"))
+    dealt = fields.select("doc", "field", "text").repartition("doc", "field")
+    tf = term_counts(dealt, ["doc", "field"], F.col("text")).withColumn("len", F.sum("tf").over(Window.partitionBy("doc", "field")))
+    tf = tf.persist(StorageLevel.DISK_ONLY)  # read for the mean lengths, then for the postings
     docs = fields.agg(F.count_distinct("doc").alias("n"))
-    mean = lengths.groupBy("field").agg(F.sum("len").alias("s")).crossJoin(docs).select("field", F.greatest(F.col("s") / F.col("n"), F.lit(1.0)).alias("mean"))
-    pick = lambda d: F.element_at(F.create_map(*(F.lit(x) for kv in d.items() for x in kv)), F.col("field"))
     # One row per field, six at most.
-    both = tf.join(lengths, ["doc", "field"]).join(F.broadcast(mean), "field")
+    mean = tf.groupBy("field").agg(F.sum("tf").alias("s")).crossJoin(docs).select("field", F.greatest(F.col("s") / F.col("n"), F.lit(1.0)).alias("mean"))
+    pick = lambda d: F.element_at(F.create_map(*(F.lit(x) for kv in d.items() for x in kv)), F.col("field"))
     part = pick(FIELD_WEIGHTS) * F.col("tf") / (1 - pick(FIELD_NORM) + pick(FIELD_NORM) * F.col("len") / F.col("mean"))
-    # The index is read several times: it is kept on disk where memory ends, and made again where an executor is lost.
-    postings = both.groupBy("term", "doc").agg(F.sum(part).alias("wtf")).persist(StorageLevel.MEMORY_AND_DISK)
-    vocabulary = postings.groupBy("term").agg(F.count("*").alias("df")).persist(StorageLevel.MEMORY_AND_DISK)
-    return postings, vocabulary, docs
+    postings = shared(tf.join(F.broadcast(mean), "field").groupBy("term", "doc").agg(F.sum(part).alias("wtf")))
+    tf.unpersist()
+    return postings, postings.groupBy("term").agg(F.count("*").alias("df")), docs
+
+
+def question_tokens(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(q, position, token) of questions (q, text), one row per distinct token.
+
+    Two adjacent words that the vocabulary knows as one are joined, and their parts follow; a split identifier whose joined
+    form is known is kept whole; all else is split. Words that were joined are not joined again with the next one.
+    """
+    chunks = questions.select("q", F.posexplode(F.filter(F.split("text", "[^A-Za-z0-9]+"), lambda c: c != "")).alias("at", "chunk"))
+    chunks = chunks.withColumn("next", F.lead("chunk").over(Window.partitionBy("q").orderBy("at")))
+    low, ahead = F.lower("chunk"), F.lower("next")
+    pair = F.when(~low.isin(*STOPWORDS) & ~ahead.isin(*STOPWORDS) & (F.length("chunk") + F.length("next") >= 6), F.concat(low, ahead))
+    split = F.size(F.split(_split_words(F.col("chunk")), " ")) > 1
+    tries = chunks.select("q", "at", F.explode(F.array(F.struct(F.lit("pair").alias("kind"), pair.alias("word")), F.struct(F.lit("whole").alias("kind"), F.when(split, low).alias("word")))).alias("t")).select("q", "at", "t.*").where("word IS NOT NULL")
+    known = tries.withColumn("term", stem(F.col("word"))).join(vocabulary.select("term"), "term", "left_semi")
+    flags = known.groupBy("q", "at").agg(F.bool_or(F.col("kind") == "pair").alias("pair"), F.bool_or(F.col("kind") == "whole").alias("whole"))
+    rows = chunks.join(flags, ["q", "at"], "left").select("q", F.struct("at", "chunk", "next", F.coalesce("pair", F.lit(False)).alias("pair"), F.coalesce("whole", F.lit(False)).alias("whole")).alias("c"))
+    each = rows.groupBy("q").agg(F.sort_array(F.collect_list("c")).alias("cs"))
+    parts = lambda c: F.split(F.lower(_split_words(c)), " ")
+
+    def step(state: Column, c: Column) -> Column:
+        joined = F.concat(F.array(F.concat(F.lower(c["chunk"]), F.lower(c["next"]))), parts(c["chunk"]), parts(c["next"]))
+        made = F.when(state["skip"], F.array().cast("array<string>")).when(c["pair"], joined).when(c["whole"], F.array(F.lower(c["chunk"]))).otherwise(parts(c["chunk"]))
+        return F.struct((~state["skip"] & c["pair"]).alias("skip"), F.concat(state["out"], made).alias("out"))
+
+    none = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))
+    words = each.select("q", F.posexplode(F.aggregate("cs", none, step)["out"]).alias("position", "term"))
+    return _stemmed(words).groupBy("q", F.col("term").alias("token")).agg(F.min("position").alias("position"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -151,20 +196,10 @@ def expand(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
     bridge = bridge.join(vocabulary.select("term"), "term", "left_semi").select("token", "term", F.lit(SYNONYM_WEIGHT).alias("weight"))
     loose = q.join(exact, "token", "left_anti").where("length(token) BETWEEN 3 AND 40").withColumn("limit", F.when(F.length("token") >= 7, 2).otherwise(1))
     vocab = vocabulary.select("term").where("length(term) BETWEEN 2 AND 42")
-    asked = loose.count()
-    if asked <= BROADCAST_TOKENS:
-        # The question tokens are few and counted: each term is held against all of them where it lies.
-        far = F.length("term") > F.length("token") + F.col("limit")
-        ahead = far & (F.length("token") >= 4) & F.startswith(F.col("term"), F.col("token"))
-        close = (F.abs(F.length("term") - F.length("token")) <= F.col("limit")) & (F.levenshtein("token", "term") <= F.col("limit"))
-        both = vocab.join(F.broadcast(loose), close | ahead)
-        fuzzy = both.select("token", "term", F.when(far, PREFIX_WEIGHT).otherwise(FUZZY_WEIGHT).alias("weight"))
-        prefix = fuzzy.limit(0)
-    else:
-        near = _deletions(loose, "token", F.col("limit")).join(_deletions(vocab, "term", F.lit(2)), "gone").select("token", "limit", "term").distinct()
-        fuzzy = near.where(F.levenshtein("token", "term") <= F.col("limit")).select("token", "term", F.lit(FUZZY_WEIGHT).alias("weight"))
-        heads = vocab.select("term", F.explode(F.sequence(F.lit(4), F.length("term"))).alias("k")).where("length(term) > 4").select("term", F.substring(F.col("term"), F.lit(1), F.col("k")).alias("head"))
-        prefix = loose.where("length(token) >= 4").join(heads, F.col("token") == F.col("head")).where(F.length("term") > F.length("token") + F.col("limit")).select("token", "term", F.lit(PREFIX_WEIGHT).alias("weight"))
+    near = _deletions(loose, "token", F.col("limit")).join(_deletions(vocab, "term", F.lit(2)), "gone").select("token", "limit", "term").distinct()
+    fuzzy = near.where(F.levenshtein("token", "term") <= F.col("limit")).select("token", "term", F.lit(FUZZY_WEIGHT).alias("weight"))
+    heads = vocab.where("length(term) > 4").select("term", F.explode(F.transform(F.sequence(F.lit(4), F.length("term") - 1), lambda k: F.substring(F.col("term"), F.lit(1), k))).alias("head"))
+    prefix = loose.where("length(token) >= 4").join(heads, F.col("token") == F.col("head")).where(F.length("term") > F.length("token") + F.col("limit")).select("token", "term", F.lit(PREFIX_WEIGHT).alias("weight"))
     rest = fuzzy.unionAll(prefix).unionAll(bridge.join(loose.select("token"), "token", "left_semi")).groupBy("token", "term").agg(F.max("weight").alias("weight"))
     rest = rest.withColumn("n", F.row_number().over(Window.partitionBy("token").orderBy("term"))).where(F.col("n") <= MOST_EXPANSIONS).drop("n")
     hit = exact.select("token", F.col("token").alias("term"), F.lit(1.0).alias("weight")).unionAll(bridge.join(exact, "token", "left_semi"))
@@ -175,11 +210,11 @@ def _deletions(df: DataFrame, col: str, limit: Column) -> DataFrame:
     """``df`` with ``gone``: each string that at most ``limit`` (two at most) deletions make of the word."""
     w = F.col(col)
     drop = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
-    once = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: drop(w, i))
-    first = df.withColumn("_one", F.concat(F.array(w), once)).withColumn("_gone", F.explode("_one"))
-    again = F.when((F.length("_gone") < F.length(w)) & (limit >= 2) & (F.length("_gone") > 0), F.transform(F.sequence(F.lit(1), F.length("_gone")), lambda i: drop(F.col("_gone"), i))).otherwise(F.array().cast("array<string>"))
-    out = first.withColumn("gone", F.explode(F.concat(F.array("_gone"), again)))
-    return out.drop("_one", "_gone").distinct()
+    shorter = lambda s: F.transform(F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s))).otherwise(F.array().cast("array<int>")), lambda i: drop(s, i))
+    once = F.array_distinct(shorter(w))
+    twice = F.when(limit >= 2, F.flatten(F.transform(once, shorter))).otherwise(F.array().cast("array<string>"))
+    # Distinct within the word: no shuffle is needed for it.
+    return df.withColumn("gone", F.explode(F.array_distinct(F.concat(F.array(w), once, twice))))
 
 
 def bm25f(expansions: DataFrame, postings: DataFrame, vocabulary: DataFrame, size: DataFrame) -> DataFrame:
@@ -218,13 +253,17 @@ def retrieve(questions: DataFrame, fields: DataFrame, containers: DataFrame, edg
     from .ranking import pack_to_budget
 
     postings, vocabulary, size = build_index(fields)
-    asked = tokens(questions, ["q"], F.col("text")).groupBy("q", F.col("term").alias("token")).agg(F.min("position").alias("p"))
-    asked = asked.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("p"))).where(F.col("n") <= MOST_TOKENS).select("q", "token")
-    base = bm25f(expand(asked, vocabulary), postings, vocabulary, size).persist(StorageLevel.MEMORY_AND_DISK)
+    vocabulary = shared(vocabulary)
+    asked = question_tokens(questions, vocabulary)
+    asked = asked.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("position"))).where(F.col("n") <= MOST_TOKENS).select("q", "token")
+    base = shared(bm25f(expand(asked, vocabulary), postings, vocabulary, size))
     lift = graph_lift(base, edges)
     both = base.join(lift, ["q", "doc"], "full_outer").select("q", "doc", (F.coalesce("score", F.lit(0.0)) + F.coalesce("lift", F.lit(0.0))).alias("score"))
-    spread = both.join(containers, "doc").withColumn("k", F.row_number().over(Window.partitionBy("q", "container").orderBy(F.desc("score"), "doc")))
-    final = spread.select("q", "doc", F.round(F.col("score") * F.pow(F.lit(0.95), F.col("k") - 1), 6).alias("score"))
+    within = both.join(containers, "doc").withColumn("k", F.row_number().over(Window.partitionBy("q", "container").orderBy(F.desc("score"), "doc")))
+    final = within.select("q", "doc", F.round(F.col("score") * F.pow(F.lit(0.95), F.col("k") - 1), 6).alias("score"))
+    # What scores too little can't be taken; the best score of each question tells, before rows are ranked.
+    top = final.groupBy("q").agg(F.max("score").alias("top"))
+    final = final.join(top, "q").where((F.col("score") > 0) & (F.col("score") >= F.col("top") * MIN_RELATIVE_SCORE)).drop("top")
     ranked = final.join(sizes, "doc").withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc")))
     return pack_to_budget(ranked, "q", "place", "bytes", "doc", budget, score="score")
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import KIND_RANKS, closure
+from .graph import KIND_RANKS, chains
 
 RELATION_KINDS = ("uses", "calls", "reads", "writes", "publishes", "subscribes", "contains", "dependsOn", "returns", "duplicates")
 
@@ -39,13 +39,10 @@ def holds(df: DataFrame, table: str, key: str, rule: Column, message: str) -> Da
     return issue(df.where(~F.coalesce(rule, F.lit(True))), at(table, key), message)
 
 
-def acyclic(entities: DataFrame, depth: int = 8) -> DataFrame:
-    """Entities on or below a containment cycle: none of their ancestors is a root."""
-    roots = entities.where("parent_id IS NULL").select(F.col("id").alias("ancestor_id"))
-    known = entities.select(F.col("id").alias("parent_id"))
-    dangling = entities.where("parent_id IS NOT NULL").join(known, "parent_id", "left_anti").select(F.col("id").alias("ancestor_id"))
-    grounded = closure(entities, depth).join(roots.unionAll(dangling), "ancestor_id", "left_semi").select("id").distinct()
-    return issue(entities.join(grounded, "id", "left_anti"), at("entities", "id"), "containment cycle")
+def acyclic(entities: DataFrame) -> DataFrame:
+    """Entities on or below a containment cycle, of any length: those whose chain of ancestors comes back to one of them."""
+    lost = chains(entities).where("back IS NOT NULL").select("id").distinct()
+    return issue(lost, at("entities", "id"), "containment cycle")
 
 
 def snapshot(entities: DataFrame, relations: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -26,9 +27,9 @@ def _(t):
     return R.debounce(t.events, "user_id", "ts", 1800)
 
 
-@query("r3_delivery_dedupe", "SELECT event_id FROM (SELECT event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events) WHERE gap IS NULL OR gap > 100")
+@query("r3_delivery_dedupe", "WITH e AS (SELECT event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events), m AS (SELECT event_id, user_id, before, (SELECT count(DISTINCT x.user_id) FROM events x WHERE x.event_id > e.before AND x.event_id < e.event_id) AS others FROM e) SELECT event_id FROM m WHERE before IS NULL OR others >= 40")
 def _(t):
-    return R.dedupe_recent(t.events, "user_id", "event_id", 100).select("event_id")
+    return R.dedupe_recent(t.events, "user_id", "event_id", 40, chunk_rows=4000).select("event_id")
 
 
 @query("r4_daily_admission", "SELECT user_id, event_id, n <= 2 AS admitted FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS n FROM events)")
@@ -43,6 +44,18 @@ def _(t):
     return R.apply_patches(base, ops)
 
 
+@query("r5b_patch_status", "WITH p AS (SELECT o_custkey AS scene, o_orderkey AS arrival, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey % 5 = 0 AS late FROM orders), q AS (SELECT *, count(*) FILTER (WHERE NOT late) OVER (PARTITION BY scene ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM p) SELECT arrival, CASE WHEN late AND at % 2 = 0 THEN 'revisionMismatch' WHEN late THEN 'nonIncreasing' ELSE 'applied' END AS status FROM q")
+def _(t):
+    # Each customer's orders are patches in a row; every fifth names a wrong base, or its base as the next revision.
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    late = F.col("o_orderkey") % 5 == 0
+    at = F.coalesce(F.sum(F.when(late, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    p = t.orders.select(F.col("o_custkey").alias("scene"), F.col("o_orderkey").alias("arrival"), late.alias("late"), at.alias("at"))
+    base = F.when(F.col("late") & (F.col("at") % 2 == 0), F.col("at") + 7).otherwise(F.col("at"))
+    p = p.select("scene", "arrival", base.alias("base_revision"), F.when(F.col("late"), base).otherwise(F.col("at") + 1).alias("revision"))
+    return R.patch_status(p).select("arrival", "status")
+
+
 @query(
     "r6_lod_hysteresis",
     """WITH RECURSIVE e AS (SELECT user_id, event_id, value AS z, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), w(user_id, n, event_id, level) AS (SELECT user_id, n, event_id, (z >= 30)::INT + (z >= 90)::INT FROM e WHERE n = 1
@@ -84,8 +97,6 @@ def _(t):
 
 @query("r13_zoom_sessions", "SELECT user_id, count(*) FILTER (WHERE up)::BIGINT AS rises, count(*)::BIGINT AS samples FROM (SELECT user_id, coalesce(value > lag(value) OVER (PARTITION BY user_id ORDER BY event_id), false) AS up FROM events) GROUP BY 1")
 def _(t):
-    from pyspark.sql import Window
-
     up = F.coalesce(F.col("value") > F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id")), F.lit(False))
     return t.events.select("user_id", up.alias("up")).groupBy("user_id").agg(F.count_if("up").alias("rises"), F.count("*").alias("samples"))
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.folds import sorted_fold
+
 
 def admit_fixed(times: list[float], window: float, limit: int, start: float | None = None, used: int = 0) -> tuple[list[bool], float | None, int]:
     """Which events a fixed-window limiter admits; its window starts at the first admitted event, refused ones don't count."""
@@ -23,26 +27,20 @@ def admit_fixed(times: list[float], window: float, limit: int, start: float | No
 
 
 def limiter(events: DataFrame, key: str, ts: str, ident: str, window_s: float, limit: int) -> DataFrame:
-    """(key, id, admitted). A key's events are folded in order; a limiter without its key's order has no meaning.
+    """(key, id, admitted). A key's events are folded in order; a limiter without its key's order has no meaning."""
 
-    A key that holds a large share of all events makes one long task: the fold streams over the sorted rows of a
-    partition and keeps two numbers per key, so memory stays constant.
-    """
-    kind = dict(events.dtypes)
-    rows = events.select(key, ident, F.col(ts).cast("timestamp").cast("double").alias("_t")).repartition(key).sortWithinPartitions(key, "_t", ident)
+    def start():
+        since, used = None, 0
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, start, used = None, None, 0
-        for pdf in batches:
-            out = []
-            for k, t in zip(pdf[key], pdf["_t"]):
-                if k != now:
-                    now, start, used = k, None, 0
-                (ok,), start, used = admit_fixed([t], window_s, limit, start, used)
-                out.append(ok)
-            yield pd.DataFrame({key: pdf[key], ident: pdf[ident], "admitted": out})
+        def fold(t):
+            nonlocal since, used
+            (ok,), since, used = admit_fixed([t], window_s, limit, since, used)
+            return ok
 
-    return rows.mapInPandas(fold, f"{key} {kind[key]}, {ident} {kind[ident]}, admitted boolean")
+        return fold
+
+    rows = events.select(key, ident, F.col(ts).cast("timestamp").cast("double").alias("_t"))
+    return sorted_fold(rows, key, ["_t", ident], ["_t"], start, "admitted", T.BooleanType()).drop("_t")
 
 
 class LimiterProcessor(StatefulProcessor):
@@ -79,13 +77,50 @@ def debounce(events: DataFrame, key: str, ts: str, gap_s: int) -> DataFrame:
     return events.groupBy(key, F.session_window(ts, f"{gap_s} seconds").alias("s")).agg(F.min(ts).alias("start"), F.max(ts).alias("last"), F.count("*").alias("events")).drop("s")
 
 
-def dedupe_recent(events: DataFrame, key: str, order: str, keep: int = 512) -> DataFrame:
-    """Events whose key is not among the last ``keep`` deliveries before them.
+def dedupe_recent(events: DataFrame, key: str, order: str, keep: int = 512, chunk_rows: int = 50_000, most_chunks: int = 2000) -> DataFrame:
+    """Events whose key is not among the ``keep`` keys that came last; a key that comes again counts as new from then on.
 
-    ``gap`` counts the deliveries since the key's last one; a key that returns sooner is dropped.
+    Deliveries have one order over all keys. It is cut into chunks, ``most_chunks`` at most; the keys that a chunk ends
+    with need no more than its last ``keep`` distinct ones, so what each chunk starts from follows from a fold over these
+    few rows, and then all chunks are folded side by side. Rows of equal ``order`` go by key. Null keys are one key; rows
+    with a null ``order`` come first.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    return events.withColumn("_gap", F.col(order) - F.lag(order).over(w)).where(F.col("_gap").isNull() | (F.col("_gap") > keep)).drop("_gap")
+    at = F.col(order).cast("double")
+    n = events.count()
+    parts = min(most_chunks, -(-n // chunk_rows))
+    cuts = sorted(set(events.agg(F.percentile_approx(at, [j / parts for j in range(1, parts)], 10_000).alias("c")).first().c or [])) if parts > 1 else []
+    ends = F.array(*(F.lit(float(c)) for c in cuts)) if cuts else F.array().cast("array<double>")
+    rows = events.withColumns({"_k": F.to_json(F.struct(F.col(key).alias("k"))), "_chunk": F.size(F.filter(ends, lambda c: c < at))})
+    w = Window.partitionBy("_chunk").orderBy(F.desc_nulls_last("_o"), F.desc("_k"))
+    last = rows.groupBy("_chunk", "_k").agg(F.max(order).alias("_o")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).select("_chunk", "_k", "_n")
+
+    def entering(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen: dict[str, None] = {}
+        out = []
+        for chunk in range(len(cuts) + 1):
+            out += [(chunk, k, i) for i, k in enumerate(seen)]
+            for k in pdf[pdf["_chunk"] == chunk].sort_values("_n", ascending=False)["_k"]:
+                seen.pop(k, None)
+                seen[k] = None
+            seen = dict(list(seen.items())[-keep:])
+        return pd.DataFrame(out, columns=["_chunk", "_k", "_n"])
+
+    # most_chunks * keep rows at most.
+    start = last.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(entering, "_chunk int, _k string, _n int")
+
+    def fold(held, new):
+        seen = dict.fromkeys(held.sort_by("_n").column("_k").to_pylist())
+        new = new.sort_by([(order, "ascending"), ("_k", "ascending")]) if new.num_rows else new
+        fresh = []
+        for k in new.column("_k").to_pylist():
+            fresh.append(k not in seen)
+            seen.pop(k, None)
+            seen[k] = None
+            if len(seen) > keep:
+                del seen[next(iter(seen))]
+        return new.filter(pa.array(fresh, pa.bool_())).drop_columns(["_k", "_chunk"])
+
+    return start.groupBy("_chunk").cogroup(rows.groupBy("_chunk")).applyInArrow(fold, events.schema)
 
 
 def dedupe_stream(events: DataFrame, key: str, ts: str, within: str) -> DataFrame:
@@ -109,26 +144,49 @@ def apply_patches(base: DataFrame, patches: DataFrame) -> DataFrame:
     return last.where("op <> 'remove'").drop("op")
 
 
+def patch_status(patches: DataFrame, scene: str = "scene", start: int = 0) -> DataFrame:
+    """``patches`` (scene, base_revision, revision) with ``status``: applied, revisionMismatch or nonIncreasing.
+
+    A scene starts at revision ``start``. Patches come in order of ``arrival``; one applies only to the revision that its
+    scene is at, and must raise it; a refused one changes nothing. The fold needs one number per scene.
+    """
+
+    def begin():
+        at = start
+
+        def fold(base, revision):
+            nonlocal at
+            if base != at:
+                return "revisionMismatch"
+            if revision <= base:
+                return "nonIncreasing"
+            at = revision
+            return "applied"
+
+        return fold
+
+    return sorted_fold(patches, scene, ["arrival"], ["base_revision", "revision"], begin, "status", T.StringType())
+
+
 def lod_levels(samples: DataFrame, key: str, order: str, zoom: str, edges: tuple[float, ...], slack: float) -> DataFrame:
     """(key, order, level): level of detail with hysteresis; it changes only past an edge by ``slack``."""
-    kind = dict(samples.dtypes)
-    rows = samples.select(key, order, zoom).repartition(key).sortWithinPartitions(key, order)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, level = None, 0
-        for pdf in batches:
-            out = []
-            for k, z in zip(pdf[key], pdf[zoom]):
-                if k != now:
-                    now, level = k, sum(z >= e for e in edges)
-                while level < len(edges) and z >= edges[level] + slack:
-                    level += 1
-                while level and z < edges[level - 1] - slack:
-                    level -= 1
-                out.append(level)
-            yield pd.DataFrame({key: pdf[key], order: pdf[order], "level": out})
-
-    return rows.mapInPandas(fold, f"{key} {kind[key]}, {order} {kind[order]}, level int")
+
+    def start():
+        level = None
+
+        def fold(z):
+            nonlocal level
+            if level is None:
+                level = sum(z >= e for e in edges)
+            while level < len(edges) and z >= edges[level] + slack:
+                level += 1
+            while level and z < edges[level - 1] - slack:
+                level -= 1
+            return level
+
+        return fold
+
+    return sorted_fold(samples.select(key, order, zoom), key, [order], [zoom], start, "level", T.IntegerType()).drop(zoom)
 
 
 def backoff_seconds(base: float, attempt: int) -> float:

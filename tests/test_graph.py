@@ -14,7 +14,7 @@ R = "id string, from_id string, to_id string, kind string, label string, technol
 
 def test_closure_ends_on_a_cycle(spark):
     e = spark.createDataFrame([("a", "code", 3, "b", "a"), ("b", "code", 3, "a", "b"), ("c", "code", 3, None, "c"), ("d", "code", 3, "lost", "d")], E)
-    got = {(r.id, r.ancestor_id, r.depth) for r in G.closure(e, 6).collect()}
+    got = {(r.id, r.ancestor_id, r.depth) for r in G.closure(e).collect()}
     assert got == {("a", "a", 0), ("a", "b", 1), ("b", "b", 0), ("b", "a", 1), ("c", "c", 0), ("d", "d", 0)}
 
 
@@ -85,10 +85,26 @@ def test_shuffled_input_gives_the_same_edges(spark, rows):
 
 def test_forest_promotes_cycles(spark):
     e = spark.createDataFrame([("a", "code", 3, "b", ""), ("b", "code", 3, "a", ""), ("c", "code", 3, "b", ""), ("d", "code", 3, "gone", ""), ("A", "code", 3, "c", "")], E)
-    got = {r.id: (r.root, r.level) for r in G.forest(e, 6).collect()}
+    got = {r.id: (r.root, r.level) for r in G.forest(e).collect()}
     assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "d": ("d", 0), "A": ("a", 3)}
 
 
+def test_trees_and_rings_of_any_depth(spark):
+    """A chain of twelve below a root, a ring of nine with a tail, a loop of one, an unknown parent."""
+    rows = [(f"n{i}", "code", 3, f"n{i - 1}" if i else None, "") for i in range(12)] + [(f"r{i}", "code", 3, f"r{(i + 1) % 9}", "") for i in range(9)]
+    rows += [("t", "code", 3, "r4", ""), ("o", "code", 3, "o", ""), ("u", "code", 3, "gone", "")]
+    e = spark.createDataFrame(rows, E).repartition(3)
+    up = {}
+    for r in G.closure(e).collect():
+        up.setdefault(r.id, {})[r.ancestor_id] = r.depth
+    assert up["n11"] == {f"n{11 - d}": d for d in range(12)} and up["u"] == {"u": 0} and up["o"] == {"o": 0}
+    assert up["r2"] == {f"r{(2 + d) % 9}": d for d in range(9)} and up["t"] == {"t": 0} | {f"r{(4 + d) % 9}": d + 1 for d in range(9)}
+    f = {r.id: (r.root, r.level) for r in G.forest(e).collect()}
+    assert f["n11"] == ("n0", 11) and f["t"] == ("r0", 6) and f["r0"] == ("r0", 0) and f["u"] == ("u", 0)
+    assert {(r.id, r.descendants) for r in G.subtree_counts(e).collect()} >= {("n0", 11), ("r4", 9), ("u", 0)}
+    assert {r.path for r in V.acyclic(e).collect()} == {f"entities/r{i}" for i in range(9)} | {"entities/t", "entities/o"}
+
+
 def test_alias_chains(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c"), ("x", "z"), ("p", "q"), ("q", "p")], "name string, target string")
     got = {r.name: (r.target, r.ambiguous) for r in G.alias_fixpoint(links).collect()}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import parsers
 from strataloom.functions import text as X
+from strataloom.functions import versions as N
 from strataloom.operators import aggregates as A
 from strataloom.operators import joins as J
 from strataloom.operators import ranking as K
@@ -62,7 +63,10 @@ def test_cursors():
 def test_collisions_step_over_taken_ids(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a-2"), (4, "a")], "n int, want string")
     got = {r.n: r.unique_id for r in K.number_collisions(df, "want", ["n"]).collect()}
-    assert got[1] == "a" and got[3] == "a-2" and len(set(got.values())) == 4
+    assert got == {1: "a", 2: "a-3", 3: "a-2", 4: "a-4"}
+    many = [(i, "b") for i in range(60)] + [(100 + i, f"b-{i}") for i in range(2, 50, 2)] + [(200, "b-4"), (201, "b-02")]
+    ids = [r.unique_id for r in K.number_collisions(spark.createDataFrame(many, "n int, want string"), "want", ["n"]).collect()]
+    assert len(set(ids)) == len(ids) and {"b", "b-3", "b-4-2", "b-02"} <= set(ids) and "b-84" in ids and "b-85" not in ids
 
 
 def test_natural_order(spark):
@@ -86,27 +90,110 @@ def test_stems_and_tokens(spark):
     assert [r.term for r in T.tokens(df, ["k"], F.col("t")).orderBy("position").collect()] == ["wasm", "bridg", "url", "part"]
 
 
-def test_expansions_agree_on_both_ways(spark, monkeypatch, rows):
-    rnd = random.Random(5)
-    words = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randrange(3, 10))) for _ in range(150)})
-    v = spark.createDataFrame([(w, 1) for w in words], "term string, df long")
-    q = spark.createDataFrame([("q", "".join(rnd.choice("abcd") for _ in range(rnd.randrange(3, 9)))) for _ in range(25)], "q string, token string")
-    first = rows(T.expand(q, v))
-    monkeypatch.setattr(T, "BROADCAST_TOKENS", 0)
-    assert rows(T.expand(q, v)) == first
-
-
 def test_redaction_comes_before_the_cut(spark):
     t = "x" * 10 + " ghp_" + "a" * 30
     got = spark.createDataFrame([(t,)], "t string").select(X.redact(F.col("t"), 20).alias("r")).first().r
     assert "ghp_" not in got and len(got) <= 20
 
 
-def test_versions_and_addresses():
-    ok = parsers.requirement_matches
-    assert ok("^1.2", "1.9.0") and not ok("^1.2", "2.0.0") and not ok("^0.2.3", "0.3.0") and ok("~1.2.3", "1.2.9") and not ok("~1.2.3", "1.3.0")
-    assert ok(">=1.0, <2.0", "1.5.0") and not ok(">=1.0, <2.0", "2.0.0") and ok("1.*", "1.7.3") and ok("*", "9.9.9") and ok("=1.2.3", "1.2.3")
-    assert not ok("^1.2", "1.3.0-rc.1") and ok("x", "1.0.0") is None and ok("1", "bad") is None
+def test_redaction_by_shape_and_by_key(spark):
+    cases = {
+        "github_pat_" + "a1" * 15: "[redacted-token]",
+        "x glpat-" + "b" * 20 + " y": "x [redacted-token] y",
+        "npm_" + "c" * 36: "[redacted-token]",
+        "sk-" + "d" * 20: "[redacted-key]",
+        "Authorization: bearer abcdefgh12": "Authorization: Bearer [redacted]",
+        "mail bob.smith@a.example.org, please": "mail [redacted-email], please",
+        "a@b.c1 stays": "a@b.c1 stays",
+        "user_2fAb3456789012345678": "[redacted-id]",
+        "user_service2": "user_service2",
+        "org-AbCdEfGhIjKl9": "[redacted-id]",
+        '{"user_id": "u-1", "n": 2}': '{"user_id": "[redacted]", "n": 2}',
+        "end_user_id=abc": "end_user_id=[redacted]",
+        "account: prose goes on": "account: prose goes on",
+        "account: bobby.tables": "account: [redacted]",
+        "organization org77x": "organization [redacted]",
+        "see /home/ann/x": "see /home/[user]/x",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", X.redact(F.col("t")).alias("r"))
+    assert {r.t: r.r for r in df.collect()} == cases
+    assert {r.r: r.s for r in df.select("r", X.redact(F.col("r")).alias("s")).collect()} == {v: v for v in cases.values()}
+
+
+def _plain_requirement(need, have):
+    """Term by term over tuples, for versions of three numbers."""
+    v = tuple(map(int, have.split(".")))
+    for term in filter(None, (x.strip() for x in need.split(","))):
+        op = term[: len(term) - len(term.lstrip("^~<>="))]
+        given = [int(x) for x in term.lstrip("^~<>= ").split(".") if x != "*"]
+        low = tuple(given + [0] * (3 - len(given)))
+        if not given:
+            continue
+        if "*" in term or op == "=":
+            fits = list(v[: len(given)]) == given
+        elif op == "~":
+            fits = v >= low and list(v[: min(2, len(given))]) == given[:2]
+        elif op in ("", "^"):
+            fixed = next((i + 1 for i, x in enumerate(given) if x), len(given))
+            fits = v >= low and list(v[:fixed]) == given[:fixed]
+        else:
+            fits = {">": v > low, ">=": v >= low, "<": v < low, "<=": v <= low}[op]
+        if not fits:
+            return False
+    return True
+
+
+def test_requirements_equal_a_plain_reading(spark):
+    rnd = random.Random(7)
+    number = lambda: str(rnd.randrange(3))
+    term = lambda: rnd.choice(["", "^", "~", "=", ">", ">=", "<", "<=", ">= "]) + ".".join(number() for _ in range(rnd.randrange(1, 4)))
+    rows = [(", ".join(term() for _ in range(rnd.randrange(1, 3))), ".".join(number() for _ in range(3))) for _ in range(800)]
+    rows += [(need, have) for need in ("*", "1.*", "1.2.*", ">=1,", ">1", "<=1", "^0", "^0.0") for have in ("0.0.1", "1.0.0", "1.5.0", "1.2.9", "2.0.0")]
+    df = spark.createDataFrame(rows, "need string, have string")
+    for r in df.select("*", N.requirement_matches(F.col("need"), F.col("have")).alias("ok")).collect():
+        assert r.ok == _plain_requirement(r.need, r.have), r
+    odd = spark.createDataFrame([("one", "1.0.0"), ("1", "bad"), ("1", None), (None, "1.0.0"), ("^1.2.0-rc.1", "1.3.0-beta")], "need string, have string")
+    assert [r.ok for r in odd.select(N.requirement_matches(F.col("need"), F.col("have")).alias("ok")).collect()] == [None, None, None, None, True]
+
+
+def test_lock_versions(spark):
+    cases = {"link:../pkg@1.2.3": ("local", None), "file:x": ("local", None), "18.2.0_react@17.0.2": ("version", "18.2.0"), "/a@1.2.3(b@2.0.0)": ("version", "1.2.3"), "'v1.2.3'": ("version", "1.2.3"), "https://h/x.tgz": ("source", None), "npm:x@1.0.0-rc.1": ("version", "1.0.0-rc.1")}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", N.lock_version(F.col("t")).alias("x"))
+    assert {r.t: (r.x.kind, r.x.version) for r in df.collect()} == cases
+
+
+def test_recent_deliveries_equal_an_lru(spark):
+    rnd = random.Random(4)
+    rows = [(i, f"k{int(rnd.paretovariate(0.6)) % 60}" if rnd.random() < 0.98 else None) for i in range(900)]
+    for keep in (1, 5, 20):
+        seen, want = {}, []
+        for i, k in rows:
+            if k not in seen:
+                want.append(i)
+            seen.pop(k, None)
+            seen[k] = None
+            if len(seen) > keep:
+                del seen[next(iter(seen))]
+        df = spark.createDataFrame(rows, "i long, k string").repartition(6)
+        assert sorted(r.i for r in R.dedupe_recent(df, "k", "i", keep, chunk_rows=70).collect()) == want
+    one = spark.createDataFrame([(10, "a"), (1000, "b"), (2000, "a")], "i long, k string")
+    assert sorted(r.i for r in R.dedupe_recent(one, "k", "i").collect()) == [10, 1000]
+
+
+def test_folds_keep_large_ids_and_null_keys(spark):
+    big = 2**60
+    rows = [(big + 1, big + 3, dt.datetime(2024, 1, 1, 0, 0, 1)), (None, big + 5, dt.datetime(2024, 1, 1, 0, 0, 2)), (None, big + 7, dt.datetime(2024, 1, 1, 0, 0, 3)), (big + 1, None, dt.datetime(2024, 1, 1, 0, 0, 4))]
+    got = R.limiter(spark.createDataFrame(rows, "k long, i long, t timestamp"), "k", "t", "i", 60, 1)
+    assert {(r.k, r.i, r.admitted) for r in got.collect()} == {(big + 1, big + 3, True), (big + 1, None, False), (None, big + 5, True), (None, big + 7, False)}
+
+
+def test_patches_need_their_base(spark):
+    rows = [("s", 1, 0, 1), ("s", 2, 0, 2), ("s", 3, 1, 1), ("s", 4, 1, 5), ("s", 5, 5, 6), ("t", 1, 3, 4)]
+    got = R.patch_status(spark.createDataFrame(rows, "scene string, arrival int, base_revision int, revision int"))
+    assert {(r.scene, r.arrival): r.status for r in got.collect()} == {("s", 1): "applied", ("s", 2): "revisionMismatch", ("s", 3): "nonIncreasing", ("s", 4): "applied", ("s", 5): "applied", ("t", 1): "revisionMismatch"}
+
+
+def test_addresses():
     assert parsers.client_key("::ffff:10.0.0.1") == "10.0.0.1" and parsers.client_key("2001:db8::1") == "2001:db8::/64" and parsers.client_key("?") == "?"
 
 
