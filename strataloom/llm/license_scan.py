@@ -23,7 +23,10 @@ from .common import text_slices
 
 @dataclass(frozen=True)
 class Notice:
-    """A phrase of lower-case words that tells of a licence; ``edits``: how many characters may differ."""
+    """A phrase of lower-case words that tells of a licence; ``edits``: how many characters may differ.
+
+    An edit may not touch a word of fewer than SHORT letters: in so few letters it makes another word.
+    """
 
     label: str
     phrase: str
@@ -31,6 +34,8 @@ class Notice:
     base: bool = False
 
 
+SHORT = 5
+
 #: The base phrases, then the notices that the method adds.
 NOTICES = (
     Notice("mit", "mit license", 1, True),
@@ -62,12 +67,13 @@ class NoticeSearch:
     def __init__(self, notices: tuple[Notice, ...] = NOTICES):
         self.notices = notices
         seeds: dict[str, list[tuple[int, int]]] = {}
-        self.patterns = []
+        self.patterns, self.short = [], []
         for k, n in enumerate(notices):
             parts, size = n.edits + 1, len(n.phrase)
             cuts = [size * j // parts for j in range(parts + 1)]
             for a, b in zip(cuts, cuts[1:]):
                 seeds.setdefault(n.phrase[a:b], []).append((k, a))
+            self.short.append([w for w in n.phrase.split() if len(w) < SHORT])
             self.patterns.append(regex.compile(f"(?e)(?<![^ ])(?:{regex.escape(n.phrase, special_only=True)}){{e<={n.edits}}}(?![^ ])"))
         self.machine = ahocorasick.Automaton()
         for s, uses in seeds.items():
@@ -114,8 +120,9 @@ class NoticeSearch:
                 window = flat[a:b]
                 plain = window.isascii()
                 seen = window if plain else window.encode("latin-1").decode("utf-8", "replace")
-                for m in self.patterns[k].finditer(seen):
-                    if not (edits := sum(m.fuzzy_counts)):
+                for m in self.patterns[k].finditer(seen, overlapped=True):
+                    rest = iter(m[0].split())
+                    if not (edits := sum(m.fuzzy_counts)) or not all(w in rest for w in self.short[k]):
                         continue
                     s = a + (m.start() if plain else len(seen[: m.start()].encode("utf-8")))
                     e = s + (m.end() - m.start() if plain else len(m[0].encode("utf-8")))
@@ -146,8 +153,9 @@ def license_scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, id_col:
     """One row per document: counts of words and exact base places, labels, a score and all spans with their edits.
 
     ``score`` is the best 1 - edits / length of a place, 0 without one. A null or empty text has no words, null
-    positions, empty labels, score 0 and no spans. Null ids stay null, repeated rows give repeated results, an empty
-    table gives no rows; other columns are neither read nor returned. No shuffle.
+    positions, empty labels, score 0 and no spans. A text of any length is searched whole. Null ids stay null, repeated rows
+    give repeated results, an empty table gives no rows; other columns are neither read nor returned, whatever their names.
+    No shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = (

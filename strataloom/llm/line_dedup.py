@@ -46,7 +46,8 @@ def line_dedup(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col:
 
     Lines end at line feeds and are compared without blanks at their ends. Texts of fewer than ``size`` lines, null and
     empty ones stay as they are (null becomes the empty text: one line); windows of blank lines alone count for nothing.
-    A row is told by its id and its text: repeated rows are one place and stay alike. Null ids come before all others.
+    A row is told by its id and its text: repeated rows are one place and stay alike. Null ids come before all others. A
+    text of any length is one row's work; its windows are rows of a few numbers.
     Columns of ``docs`` named like the two counts are replaced by them. An empty table gives no rows.
     """
     names = {c: f"__own_{k}" for k, c in enumerate(docs.columns)}

@@ -39,6 +39,8 @@ LIST_RISK, ESTIMATE_RISK = 4e-8, 4e-7
 CELLS = 1 << 24
 #: Rows of one key that one task may meet in a join, and the most keys beyond that for which rows are told apart.
 KEY_ROWS, HOT_KEYS = 128, 2000
+#: Orders of the classes from which lists choose their pivots after the first round.
+ORDERS = 8
 #: Rows of a partition of the block search.
 BLOCK_ROWS = 4096
 
@@ -332,7 +334,7 @@ def _block_links(rep, comp, outside, sets, percent: int) -> list[tuple[int, int]
     return out
 
 
-def _between(placed: DataFrame, shape: DataFrame, full: DataFrame, percent: int, made: list[str], block: int = 1024, values: int = 1 << 19) -> DataFrame:
+def _between(placed: DataFrame, shape: DataFrame, full: DataFrame, percent: int, made: list[str], block: int = 512, values: int = 1 << 19) -> DataFrame:
     """Links (a, b) between classes that share a list but lie in different components.
 
     A block holds about ``block`` classes and ``values`` shingles of either side, so long texts make small blocks. Blocks
@@ -401,15 +403,18 @@ def _components_of(source: DataFrame, words: int, percent: int, rounds: int) ->
     classes = materialize(able.groupBy("set_key").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     shape = classes.select("rep", "n", "sketch")
     keys = _list_keys(shape, percent)
-    shared_lists = keys.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v", "m")
+    # Copies of one text share dozens of values: lists of the same members, told by two hashes, are one list.
+    told = [F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"told_{k}") for k in range(2)]
+    shared_lists = keys.groupBy("v").agg(F.count("*").alias("m"), *told).where("m > 1").groupBy("m", "told_0", "told_1").agg(F.min("v").alias("v")).select("v", "m")
     keys = materialize(keys.join(shared_lists, "v"), "list-keys", made)
     full = materialize(_full_sets(source, keys.select("rep").distinct(), words), "full-sets", made)
     parts = spark.createDataFrame([], "rep long, component long")
     release(spark)
     for turn in range(rounds):
         placed = _place(keys, parts)
-        # One order of the classes for all lists: lists of one group choose the same pivots.
-        turn_hash = F.xxhash64(F.lit(turn), "rep")
+        # First one order of the classes for all lists: lists of one group choose the same pivot. What it leaves apart meets
+        # several, as lists go by different orders.
+        turn_hash = F.xxhash64(F.lit(turn), F.pmod("v", F.lit(ORDERS if turn else 1)), "rep")
         pivot = placed.groupBy("v").agg(F.min_by(F.struct("rep", "component"), F.struct(turn_hash, "rep")).alias("p"), F.first("m").alias("m"))
         pivot = pivot.select("v", F.col("p.rep").alias("a"), F.col("p.component").alias("its"), "m")
         # A class is in few lists, but it may lead some of many members.

@@ -103,26 +103,43 @@ def with_next(df: DataFrame, order: str, cols: dict[str, str], rows_per_bucket:
 
     ``cols``: new name by column. Ranges of ``order`` are dealt into buckets of about ``rows_per_bucket`` rows; the first
     row of each bucket is also sent to the one before, so no window reaches over a whole table. Nulls come last; equal
-    values go by ``__tie``, a column that the caller adds.
+    values go by ``__tie``, a column that the caller adds. Nulls, and values that fill buckets alone, have no order of
+    their own: they are dealt over as many buckets as they need by ``__tie``, and follow it; rows that are equal in both
+    stay together.
     """
+    at = F.col(order)
+    many = df.groupBy(order).agg(F.count("*").alias("n")).where(F.col("n") > 4 * rows_per_bucket)
+    heavy = {r[order]: r.n for r in many.collect()}  # a row for each 4 * rows_per_bucket of the table at most
     cuts = id_bounds(df, order, rows_per_bucket)
-    ends = [*cuts, None]
-    # Buckets descend: 0 holds the largest ids, the last one the smallest and the nulls. No join is needed to find them.
-    below = cuts_below(cuts, F.col(order))
-    own = df.withColumn("__bucket", F.when(F.col(order).isNull(), F.lit(len(ends) - 1)).otherwise(F.lit(len(ends) - 1) - below))
-    tops = {r["__bucket"]: r.top for r in own.groupBy("__bucket").agg(F.max(order).alias("top")).collect()}  # a row per bucket
-    full = sorted(tops)
-    if not full:
+    ends = len(cuts)
+    # Buckets descend: 0 holds the largest ids, the last ones the smallest and then the nulls. No join is needed to find them.
+    own = df.withColumn("__bucket", F.when(at.isNull(), F.lit(ends + 1)).otherwise(F.lit(ends) - cuts_below(cuts, at)))
+    if heavy:
+        parts = -(-max(heavy.values()) // rows_per_bucket)
+        known = F.array(*(F.lit(h).cast("long") for h in sorted(h for h in heavy if h is not None)))
+        alone = F.array_contains(known, at) if len(heavy) > (None in heavy) else F.lit(False)
+        alone = F.coalesce(alone, F.lit(None in heavy))
+        # Above, within and below each value that has buckets of its own, descending like the rest.
+        place = F.lit(parts - 1) - F.floor((F.shiftrightunsigned("__tie", 1) / float(1 << 63)) * parts)
+        larger = F.coalesce(F.size(F.filter(known, lambda x: x > at)), F.lit(0))
+        own = own.withColumn("__part", (larger * (parts + 1) + F.when(alone, place + 1).otherwise(0)).cast("int"))
+        own = own.withColumn("__only", F.when(alone, F.shiftrightunsigned("__tie", 1)))
+        own = own.withColumn("__tie", F.when(alone, F.col("__only")).otherwise(F.col("__tie")))
+    else:
+        own = own.withColumns({"__part": F.lit(0), "__only": F.lit(None).cast("long")})
+    tops = own.groupBy("__bucket", "__part").agg(F.max(order).alias("top"), F.max("__only").alias("only")).orderBy("__bucket", "__part").collect()  # a row per bucket
+    if not tops:
         return df.withColumns({new: F.lit(None).cast(df.schema[c].dataType) for c, new in cols.items()}).drop("__tie")
-    # One row per bucket: id_bounds bounds the broadcast.
-    marks = df.sparkSession.createDataFrame([(tops[b], full[k - 1]) for k, b in enumerate(full)], "__top long, __to int")
-    placed = own.join(F.broadcast(marks), F.col(order).eqNullSafe(F.col("__top")), "left")
-    here = F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("ghost"))
-    there = F.struct(F.col("__to").alias("b"), F.lit(True).alias("ghost"))
-    placed = placed.withColumn("__at", F.explode(F.when(F.col("__to").isNull(), F.array(here)).otherwise(F.array(here, there))))
-    w = Window.partitionBy("__at.b").orderBy(F.col("__at.ghost"), F.col(order).desc_nulls_last(), F.col("__tie").desc())
+    # One row per bucket: id_bounds and rows_per_bucket bound the broadcast.
+    before = [tops[k - 1] for k in range(len(tops))]
+    marks = df.sparkSession.createDataFrame([(t.top, t.only, p["__bucket"], p["__part"]) for t, p in zip(tops, before)], "__top long, __least long, __to_bucket int, __to_part int")
+    placed = own.join(F.broadcast(marks), at.eqNullSafe(F.col("__top")) & F.col("__only").eqNullSafe(F.col("__least")), "left")
+    here = F.struct(F.col("__bucket").alias("b"), F.col("__part").alias("p"), F.lit(False).alias("ghost"))
+    there = F.struct(F.col("__to_bucket").alias("b"), F.col("__to_part").alias("p"), F.lit(True).alias("ghost"))
+    placed = placed.withColumn("__at", F.explode(F.when(F.col("__to_bucket").isNull(), F.array(here)).otherwise(F.array(here, there))))
+    w = Window.partitionBy("__at.b", "__at.p").orderBy(F.col("__at.ghost"), at.desc_nulls_last(), F.col("__tie").desc())
     out = placed.withColumns({new: F.lead(c).over(w) for c, new in cols.items()})
-    return out.where(~F.col("__at.ghost")).drop("__bucket", "__top", "__to", "__at", "__tie")
+    return out.where(~F.col("__at.ghost")).drop("__bucket", "__part", "__only", "__top", "__least", "__to_bucket", "__to_part", "__at", "__tie")
 
 
 def order_minhash(docs: DataFrame, k: int = 3, parts: int = 32, keep: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,8 +147,9 @@ def order_minhash(docs: DataFrame, k: int = 3, parts: int = 32, keep: int = 2, i
 
     Returns (id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). The next document
     has the next lower id; after the last comes the first. Null texts count as empty; empty texts are alike (1.0). Rows
-    with a null id come last; rows of one id go by a hash of their texts, equal rows in any order among themselves. A
-    single row is its own next. An empty table gives no rows; other columns are neither read nor returned.
+    with a null id come last; these, and rows of one id, go by a hash of their texts, equal rows in any order among
+    themselves. A single row is its own next. A text of any length is one row's work, up to 2^27 words. An empty table
+    gives no rows; other columns are neither read nor returned, whatever their names.
     """
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = spread(docs.select(F.col(id_col).alias("doc"), body.alias("body"))).withColumn("__tie", F.xxhash64("body"))

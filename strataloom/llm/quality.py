@@ -173,7 +173,8 @@ class LineField:
 def fit_line_field(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_lines: int = FIT_LINES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineField | None:
     """Fit on at most ``fit_docs`` labelled documents, dealt by a hash of their ids, and ``fit_lines`` lines of each.
 
-    Rows with a null or other label count for nothing. None where not both labels are at hand.
+    Rows with a null or other label count for nothing, nor do documents without a labelled id; of an id with several labels
+    the least counts. Long texts give their first ``fit_lines`` lines with words. None where not both labels are at hand.
     """
     chosen = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc")).agg(F.min(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc"), "doc").limit(fit_docs)
@@ -184,9 +185,11 @@ def fit_line_field(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS,
             made = [line_features(t.as_py() or "")[0][:fit_lines].tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(made, pa.binary())], names=["doc", "label", "f"])
 
-    # The sample has fit_docs rows at most: that bounds the broadcast.
-    rows = source.join(F.broadcast(chosen), "doc").select("doc", "body", "label").mapInArrow(features, "doc long, label int, f binary").collect()
-    rows = sorted((r.doc, r.label, bytes(r.f)) for r in rows if len(r.f))[:fit_docs]
+    # The sample has fit_docs ids at most: that bounds the broadcast. Rows that repeat an id count as one text, that with the
+    # least hash, so no more rows than ids reach the driver.
+    texts = source.join(F.broadcast(chosen), "doc").groupBy("doc").agg(F.min(F.struct(F.xxhash64("body").alias("h"), "body", "label")).alias("x"))
+    rows = texts.select("doc", "x.body", "x.label").mapInArrow(features, "doc long, label int, f binary").limit(fit_docs).collect()
+    rows = sorted((r.doc, r.label, bytes(r.f)) for r in rows if len(r.f))
     if len({r[1] for r in rows}) < 2:
         return None
     return LineField.fit([np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES) for r in rows], [r[1] for r in rows])
@@ -196,9 +199,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_share: float = 0.5, id
     """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept) per row.
 
     ``kept`` needs the base rules passed and a content share of ``min_share``. Null and empty texts have zero counts and
-    fail. Without labels of both kinds there is no field, and the base rules decide alone (content_share is null). Null
-    ids stay null, repeated rows give repeated results, an empty table gives no rows; other columns are neither read nor
-    returned. No shuffle of texts.
+    fail. A text of any length is counted whole. Without labels of both kinds there is no field, and the base rules decide
+    alone (content_share is null). Null ids stay null, repeated rows give repeated results, an empty table gives no rows;
+    other columns are neither read nor returned, whatever their names. No shuffle of texts.
     """
     field = fit_line_field(docs, labels, id_col=id_col, text_col=text_col)
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -6,10 +6,14 @@ import gzip
 import hashlib
 import io
 import random
+import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -193,6 +197,38 @@ def test_base_counts():
     assert quality.base_counts(clean)[5] is False and quality.base_counts("a b c " * 40)[5] is True
 
 
+def _plain_counts(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines, dup = [], 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in lines
+            lines.append(line)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    cover = {i + j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(cover), len(words) < 50 or 100 * len(cover) > 50 * len(words)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab #|<>\n\t\r\x0b\x0c\x1c\x85\u2028\xa0é\U0001f600*"), max_size=120))
+def test_base_counts_equal_slow_expressions(t):
+    assert quality.base_counts(t) == _plain_counts(t)
+    long = t + " x" * 60
+    assert quality.base_counts(long) == _plain_counts(long)
+
+
+def test_field_fits_one_text_for_each_id(spark):
+    """Thousands of rows of one labelled id are one text; the sample never holds more rows than it is bound to."""
+    good, bad = "A sentence of words that ends well.\n" * 20, "### $$$ buy now !!! ###\n" * 20
+    rows = [(1, good)] * 3000 + [(1, bad)] * 3 + [(i, good if i % 2 else bad) for i in range(2, 60)] + [(None, good), (61, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(1, 0), (None, 1), (61, 1)], "doc_id long, quality int")
+    field = quality.fit_line_field(docs, labels, fit_docs=40)
+    assert field.content_share(good) > 0.9 and field.content_share(bad) < 0.1
+    mixed = (good + bad) * 2
+    assert 0.2 < field.content_share(mixed) < 0.9
+
+
 def test_viterbi_is_the_best_path():
     rnd = np.random.default_rng(2)
     field = quality.LineField(rnd.normal(size=(quality.N_FEATURES, 2)), rnd.normal(size=(2, 2)))
@@ -241,3 +277,73 @@ def test_pipeline_stages(spark):
 
 def test_scratch_needs_the_shared_folder(spark):
     assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+@pytest.fixture(scope="module")
+def odd_documents(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, columns named like results."""
+    rnd = random.Random(21)
+    text = lambda n: "\n".join(" ".join(rnd.choice(WORDS) for _ in range(12)) + "." for _ in range(n))
+    same, long = text(9), text(9000)
+    rows = [(1, same), (1, same), (2, same), (3, None), (4, ""), (5, long), (6, long + " end"), (None, same), (None, text(8)), (None, None), (7, text(7)), (7, text(7)), (2**60 + 1, text(9))]
+    made = [(i, t, None if k % 3 else "en", "s", None if k % 2 else 5, "l", 1, "c", "q", 2.5, "x") for k, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(made, SCHEMA + ", n_lines string, component_id int, kept string, piece string, offset double, body string").repartition(3)
+
+
+def test_pipeline_stages_take_odd_tables(spark, odd_documents):
+    key = lambda df: Counter((r.doc_id, r.text, r.n_lines, r.component_id, r.body) for r in df.collect())
+    names = odd_documents.columns
+    rows = key(odd_documents)
+    docs = corpus_pipeline.quality_stage(spark, odd_documents, SF)
+    assert docs.columns == names and key(docs) <= rows and not any(t in (None, "") for _, t, *_ in key(docs))
+    lines = corpus_pipeline.line_stage(spark, odd_documents, SF)
+    assert lines.columns == names and lines.schema["n_chars"].dataType == odd_documents.schema["n_chars"].dataType
+    clean = key(lines)
+    assert sum(clean.values()) == sum(rows.values()) and {k[2:] for k in clean} == {("l", 1, "x")}
+    long = {i: t for i, t, *_ in clean if i in (5, 6)}
+    assert long[5].count("\n") == 8999 and long[6].count("\n") <= 3
+    near = key(corpus_pipeline.near_duplicate_stage(spark, odd_documents, SF))
+    assert near == Counter({k: n for k, n in rows.items() if k[0] not in (2, 6)})
+    packed = corpus_pipeline.packing_stage(spark, odd_documents, SF).collect()
+    assert {r.doc_id for r in packed} == {k[0] for k in rows} and sum(r.piece == 0 for r in packed) == sum(rows.values())
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd_documents.limit(0), SF).count() == 0
+
+
+def test_long_texts(spark):
+    rnd = random.Random(2)
+    long = " ".join(rnd.choice(WORDS) for _ in range(400_000))
+    df = spark.createDataFrame([(1, long), (2, long + " tail"), (3, "short text of a few words only")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()} == {1: (len(near_dedup.shingle_set(long)), 1), 2: (len(near_dedup.shingle_set(long + " tail")), 1), 3: (3, 3)}
+    counts = {r.doc_id: r.n_words for r in quality.quality_rules(df, spark.createDataFrame([], "doc_id long, quality int")).collect()}
+    assert counts == {1: 400_000, 2: 400_001, 3: 7}
+    pages = df.selectExpr("doc_id AS page_id", "'http://h/' AS url", "text AS html")
+    assert {r.page_id: r.payload_bytes for r in warc.warc_round_trip(pages).collect()} == {1: len(long), 2: len(long) + 5, 3: 30}
+    assert {r.doc_id: len(r.text) for r in line_dedup.line_dedup(df).collect()}[1] == len(long)
+
+
+def test_hot_centres_and_pivots(spark):
+    """One star of thousands, chains into it, and a crowd of near copies: hot keys are split, results stay the same."""
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 5000) for i in range(1, 3000, 7)] + [(9000, 9001)]
+    random.Random(1).shuffle(edges)
+    got = {r.node: r.component for r in near_dedup.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {n: 9000 if n >= 9000 else 0 for e in edges for n in e}
+    rnd = random.Random(5)
+    base = _doc(rnd, 90)
+    texts = []
+    for _ in range(700):
+        t = list(base)
+        for _ in range(rnd.randrange(0, 6)):
+            t[rnd.randrange(90)] = rnd.choice(WORDS)
+        texts.append(" ".join(t))
+    corpus = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(corpus, "doc_id long, text string")).collect()}
+    assert got == {i: c for (i, _), (_, c) in zip(corpus, _components(corpus))}
+
+
+def test_pipeline_clears_its_folders(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir()) if shared.exists() else set()
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    left = {p.name.rpartition("-")[0] for p in set(shared.iterdir()) - before}
+    assert left <= {"MinHash-near-dedup", "packed"}
