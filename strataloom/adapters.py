@@ -94,15 +94,13 @@ GRAPH = f"WITH {ENTITIES}, {RELATIONS}, {CLOSURE} "
 
 
 def flows(t: Tables) -> DataFrame:
-    """(from_id, to_id): a small directed graph of nations, an arc where much was sold from one to another."""
-    lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity")
-    orders = t.orders.select("o_orderkey", "o_custkey")
-    sold = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    per = sold.groupBy("s_nationkey", "c_nationkey").agg(F.count("*").alias("n"))
-    return per.where("(s_nationkey * 7 + c_nationkey * 3) % 11 < 2 AND s_nationkey <> c_nationkey AND n > 0").select(tag("n", "s_nationkey").alias("from_id"), tag("n", "c_nationkey").alias("to_id"))
-
-
-FLOWS = """flows AS (
- SELECT DISTINCT 'n' || s_nationkey AS from_id, 'n' || c_nationkey AS to_id
- FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey
- WHERE (s_nationkey * 7 + c_nationkey * 3) % 11 < 2 AND s_nationkey <> c_nationkey)"""
+    """(from_id, to_id): a directed graph that grows with the tables: nation to customer to supplier to part."""
+    lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_partkey").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    arc = lambda a, b: F.struct(a.alias("from_id"), b.alias("to_id"))
+    c, s = tag("c", "o_custkey"), tag("s", "l_suppkey")
+    traded = lines.select(F.explode(F.array(arc(c, s), arc(s, tag("p", "l_partkey")))).alias("a")).select("a.*").distinct()
+    return traded.unionAll(t.customer.select(tag("n", "c_nationkey").alias("from_id"), tag("c", "c_custkey").alias("to_id")))
+
+
+FLOWS = """lines AS (SELECT 'c' || o_custkey AS c, 's' || l_suppkey AS s, 'p' || l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ flows AS (SELECT c AS from_id, s AS to_id FROM lines UNION SELECT s, p FROM lines UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer)"""

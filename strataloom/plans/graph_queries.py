@@ -104,19 +104,18 @@ def _(t):
     return A.entities(t).agg(((F.count_if(F.col("kind") == "container") <= 12) & (F.count_if(F.col("kind") == "component") <= 2000)).alias("small"))
 
 
-_BFS = f"""WITH RECURSIVE {A.FLOWS}, walk(source, node, hops, path) AS (SELECT DISTINCT from_id, from_id, 0, [from_id] FROM flows WHERE from_id IN ('n1', 'n2', 'n10', 'n17')
- UNION ALL SELECT source, to_id, hops + 1, list_append(path, to_id) FROM walk JOIN flows ON node = from_id WHERE hops < 6 AND NOT list_contains(path, to_id)),
- best AS (SELECT source, node, min(hops) AS hops FROM walk GROUP BY ALL)
- SELECT b.source, b.node, b.hops::INTEGER AS hops, array_to_string(min(w.path), '>') AS path FROM best b JOIN walk w ON w.source = b.source AND w.node = b.node AND w.hops = b.hops GROUP BY ALL"""
-
-
-def _starts(t: Tables):
-    return A.flows(t).where(F.col("from_id").isin("n1", "n2", "n10", "n17")).select(F.col("from_id").alias("source")).distinct()
+#: Parts have no arcs, so three hops reach all; the least path to a node goes on from the least one to the node before.
+_BFS = f"""WITH {A.FLOWS}, w0 AS (SELECT DISTINCT from_id AS source, from_id AS node, [from_id] AS path FROM flows WHERE from_id LIKE 'n%'),
+ w1 AS (SELECT source, to_id AS node, min(list_append(path, to_id)) AS path FROM w0 JOIN flows ON node = from_id GROUP BY 1, 2),
+ w2 AS (SELECT source, to_id AS node, min(list_append(path, to_id)) AS path FROM w1 JOIN flows ON node = from_id GROUP BY 1, 2),
+ w3 AS (SELECT source, to_id AS node, min(list_append(path, to_id)) AS path FROM w2 JOIN flows ON node = from_id GROUP BY 1, 2)
+ SELECT source, node, (len(path) - 1)::INTEGER AS hops, array_to_string(path, '>') AS path FROM (SELECT * FROM w0 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3)"""
 
 
 @query("g10_canonical_paths", _BFS)
 def _(t):
-    return G.shortest_paths(A.flows(t), _starts(t)).withColumn("path", F.array_join("path", ">"))
+    starts = t.customer.select(A.tag("n", "c_nationkey").alias("source")).distinct()
+    return G.shortest_paths(A.flows(t), starts).withColumn("path", F.array_join("path", ">"))
 
 
 @query("g11_hop_evidence", f"WITH {A.ENTITIES}, {A.RELATIONS} SELECT from_id, to_id, min(id) AS relation_id, sum(evidence)::BIGINT AS evidence, count(*)::BIGINT AS parallel FROM relations GROUP BY 1, 2")

@@ -192,11 +192,11 @@ def _(t):
     return R.prefix_within(d, ["source"], ["tier", "doc_id"], "n_chars", 20_000).select("source", "doc_id")
 
 
-@query("k12_suggestions", "WITH s AS (SELECT 0 AS p, c_name AS label FROM customer WHERE c_custkey IN (7, 3) UNION ALL SELECT 1, s_name FROM supplier WHERE s_suppkey < 3 UNION ALL SELECT 2, c_name FROM customer WHERE c_custkey < 5), d AS (SELECT label, min(p) AS p FROM s GROUP BY 1) SELECT label, p::INTEGER AS priority FROM d ORDER BY p, label LIMIT 7")
+@query("k12_suggestions", "WITH s AS (SELECT 0 AS p, c_name AS label FROM customer WHERE c_acctbal < -995 UNION ALL SELECT 1, s_name FROM supplier WHERE s_acctbal < -900 UNION ALL SELECT 2, c_name FROM customer), d AS (SELECT label, min(p) AS p FROM s GROUP BY 1) SELECT label, p::INTEGER AS priority FROM d ORDER BY p, label LIMIT 7")
 def _(t):
-    a = t.customer.where(F.col("c_custkey").isin(7, 3)).select(F.lit(0).alias("p"), F.col("c_name").alias("label"))
-    b = t.supplier.where("s_suppkey < 3").select(F.lit(1), "s_name")
-    c = t.customer.where("c_custkey < 5").select(F.lit(2), "c_name")
+    a = t.customer.where("c_acctbal < -995").select(F.lit(0).alias("p"), F.col("c_name").alias("label"))
+    b = t.supplier.where("s_acctbal < -900").select(F.lit(1), "s_name")
+    c = t.customer.select(F.lit(2), "c_name")
     return a.unionAll(b).unionAll(c).groupBy("label").agg(F.min("p").alias("priority")).orderBy("priority", "label").limit(7)
 
 
@@ -219,12 +219,12 @@ def _(t):
     return order.join(fits, "n").select("id")
 
 
-@query("g29_flow_selection", """WITH RECURSIVE o AS (SELECT o_orderpriority AS grp, o_orderkey::VARCHAR AS id, 'c' || (o_custkey % 9) AS a, 'c' || (o_custkey % 14) AS b, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey::VARCHAR) AS n FROM orders WHERE o_orderkey < 200),
+@query("g29_flow_selection", """WITH RECURSIVE o AS (SELECT o_orderpriority AS grp, o_orderkey::VARCHAR AS id, 'c' || (o_custkey % 9) AS a, 'c' || (o_custkey % 14) AS b, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey::VARCHAR) AS n FROM orders),
  w(grp, n, nodes, k, id, got) AS (SELECT grp, 0::BIGINT, []::VARCHAR[], 0, '', false FROM o WHERE n = 1 UNION ALL SELECT o.grp, o.n, CASE WHEN w.k < 8 AND len(list_distinct(list_concat(w.nodes, [o.a, o.b]))) <= 7 THEN list_distinct(list_concat(w.nodes, [o.a, o.b])) ELSE w.nodes END,
   CASE WHEN w.k < 8 AND len(list_distinct(list_concat(w.nodes, [o.a, o.b]))) <= 7 THEN w.k + 1 ELSE w.k END, o.id, w.k < 8 AND len(list_distinct(list_concat(w.nodes, [o.a, o.b]))) <= 7 FROM w JOIN o ON o.grp = w.grp AND o.n = w.n + 1)
  SELECT grp, id FROM w WHERE got""")
 def _(t):
-    o = t.orders.where("o_orderkey < 200").select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("c"), (F.col("o_custkey") % 9).cast("string")).alias("from_id"), F.concat(F.lit("c"), (F.col("o_custkey") % 14).cast("string")).alias("to_id"))
+    o = t.orders.select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("c"), (F.col("o_custkey") % 9).cast("string")).alias("from_id"), F.concat(F.lit("c"), (F.col("o_custkey") % 14).cast("string")).alias("to_id"))
     return R.flows_within_caps(o, "grp", 8, 7)
 
 

@@ -65,15 +65,17 @@ def _(t):
     return bundles.read_bundle(t.spark, at)[0].select("id", "kind", "parent_id")
 
 
-_PKG = "SELECT p_brand, p_name, min(p_size) AS v FROM part WHERE p_partkey <= 400 GROUP BY 1, 2"
+#: Files of one brand hold the parts of a range of keys each, so their number grows with the table and their size doesn't.
+_PKG = "SELECT p.p_brand || '-' || (min(p_partkey) // 10000) AS p_brand, p_name, min(p_size) AS v FROM part p GROUP BY p.p_brand, p_name"
 
 
 def _packages(t: Tables):
-    return t.part.where("p_partkey <= 400").groupBy("p_brand", "p_name").agg(F.min("p_size").alias("v"))
+    per = t.part.groupBy("p_brand", "p_name").agg(F.min("p_size").alias("v"), F.floor(F.min("p_partkey") / 10_000).alias("k"))
+    return per.select(F.concat("p_brand", F.lit("-"), F.col("k").cast("string")).alias("p_brand"), "p_name", "v")
 
 
 def _brand_files(t: Tables, body):
-    """(path, text): one file per brand, its lines or entries in name order."""
+    """(path, text): files by brand and range, their lines or entries in name order."""
     rows = _packages(t).groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_name", "v"))).alias("p"))
     return rows.select(F.col("p_brand").alias("path"), body(F.col("p")).alias("text"))
 
@@ -137,16 +139,16 @@ def _(t):
     return files.owner_rules(t.spark.createDataFrame(rows, "path string, text string")).withColumn("owners", F.array_join("owners", " "))
 
 
-_COV = "SELECT l_orderkey, l_linenumber AS line, count(*) FILTER (WHERE l_discount > 0.03) AS hits FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1, 2"
+_COV = "SELECT l_orderkey, l_linenumber AS line, count(*) FILTER (WHERE l_discount > 0.03) AS hits FROM lineitem GROUP BY 1, 2"
 
 
 @query("s17_coverage_file", f"SELECT 'src/' || l_orderkey || '.ts' AS path, greatest(count(*), 3)::BIGINT AS found, count(*) FILTER (WHERE hits > 0)::BIGINT AS hit FROM ({_COV}) GROUP BY l_orderkey")
 def _(t):
-    lines = t.lineitem.where("l_orderkey < 2000").groupBy("l_orderkey", "l_linenumber").agg(F.count_if(F.col("l_discount") > 0.03).alias("hits"))
+    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count_if(F.col("l_discount") > 0.03).alias("hits"))
     row = F.concat(F.lit("DA:"), F.col("l_linenumber").cast("string"), F.lit(","), F.col("hits").cast("string"))
     per = lines.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(row)), "\n").alias("b"))
     text = F.concat(F.lit("TN:\nSF:src/"), F.col("l_orderkey").cast("string"), F.lit(".ts\n"), "b", F.lit("\nLF:3\nLH:0\nend_of_record\n"))
-    made = per.groupBy((F.col("l_orderkey") % 5).cast("string").alias("path")).agg(F.array_join(F.sort_array(F.collect_list(text)), "").alias("text"))
+    made = per.groupBy(F.floor(F.col("l_orderkey") / 2000).cast("string").alias("path")).agg(F.array_join(F.sort_array(F.collect_list(text)), "").alias("text"))
     hits, stored = files.coverage_records(made)
     return S.coverage(S.line_hits(hits), stored).drop("rate")
 
@@ -239,9 +241,9 @@ def _(t):
     return V.foreign(e, "entities", "id", "parent_id", e.where("id <> 'r2'"), "id")
 
 
-@query("v7_authoring_rules", "SELECT 'authored/' || k AS path, 'duplicate id' AS message FROM (SELECT s_suppkey // 2 AS k FROM supplier WHERE s_suppkey < 40) GROUP BY k HAVING count(*) > 1")
+@query("v7_authoring_rules", "SELECT 'authored/' || k AS path, 'duplicate id' AS message FROM (SELECT s_suppkey // 2 AS k FROM supplier) GROUP BY k HAVING count(*) > 1")
 def _(t):
-    return V.unique(t.supplier.where("s_suppkey < 40").select(F.floor(F.col("s_suppkey") / 2).alias("k")), "authored", "k")
+    return V.unique(t.supplier.select(F.floor(F.col("s_suppkey") / 2).alias("k")), "authored", "k")
 
 
 @query("v12_explanation_rules", "SELECT 'documents/' || doc_id AS path, 'holds markup' AS message FROM documents WHERE regexp_matches(text, '<[a-zA-Z/][^>]*>')")
