@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import json
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -23,3 +24,28 @@ def client_key(raw: str) -> str:
 @F.pandas_udf(T.StringType())
 def rate_key(ip: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else client_key(x) for x in ip], dtype="object")
+
+
+def string_leaves(text: str) -> list[str]:
+    """All strings in a JSON value, in the order of the text, whatever they are nested in."""
+    out, todo = [], [json.loads(text)]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, str):
+            out.append(v)
+        elif isinstance(v, (list, dict)):
+            todo.extend(reversed(v if isinstance(v, list) else list(v.values())))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_strings(texts: pd.Series) -> pd.Series:
+    """The strings of each JSON text; null where it is not JSON."""
+
+    def one(t):
+        try:
+            return None if t is None else string_leaves(t)
+        except ValueError:
+            return None
+
+    return texts.map(one)

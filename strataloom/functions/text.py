@@ -177,3 +177,124 @@ def mermaid_id(text: Column) -> Column:
     """An identifier of letters, digits and underscores."""
     s = F.regexp_replace(text, r"[^A-Za-z0-9_]", "_")
     return F.when(s.rlike("^[0-9]"), F.concat(F.lit("n"), s)).otherwise(s)
+
+
+#: A string literal, and a comment, of the languages that are read here.
+_STRING = r"\"[^\"\\\n]*(?:\\.[^\"\\\n]*)*\"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'|`[^`\\]*(?:\\.[^`\\]*)*`"
+_COMMENT = r"//[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
+
+
+def without_comments(code: Column, rust: bool = False) -> Column:
+    """Source code without its comments; what looks like one inside a string stays. In Rust only double quotes hold strings."""
+    return F.regexp_replace(code, f"({_STRING.split('|')[0] if rust else _STRING})|{_COMMENT}", "$1")
+
+
+def code_only(code: Column) -> Column:
+    """Source code with comments gone and string literals emptied."""
+    return F.regexp_replace(F.regexp_replace(code, f"({_STRING})|{_COMMENT}", "$1"), _STRING, '""')
+
+
+def branch_count(code: Column) -> Column:
+    """1 and the branches of a piece of code: keywords and short-circuit operators outside comments and strings."""
+    plain = code_only(code)
+    return 1 + F.regexp_count(plain, F.lit(r"\b(if|for|while|case|catch)\b")) + F.regexp_count(plain, F.lit(r"&&|\|\||\?\?"))
+
+
+def types_target(name: Column) -> Column:
+    """The package that a ``@types/`` package describes, scopes included; null for others."""
+    inner = F.regexp_extract(name, "^@types/(.+)$", 1)
+    scoped = F.concat(F.lit("@"), F.regexp_extract(inner, "^([^_]+)__(.+)$", 1), F.lit("/"), F.regexp_extract(inner, "^([^_]+)__(.+)$", 2))
+    return F.when(inner != "", F.when(inner.rlike("^[^_]+__.+$"), scoped).otherwise(inner))
+
+
+def name_matches(name: Column, wanted: Column, ecosystem: Column) -> Column:
+    """True for the wanted package itself, the one whose types it holds, and for crates that differ by hyphens only."""
+    ident = lambda c: F.translate(c, "-", "_")
+    return (name == wanted) | F.coalesce(name == types_target(wanted), F.lit(False)) | ((ecosystem == "cargo") & (ident(name) == ident(wanted)))
+
+
+def test_data_path(path: Column) -> Column:
+    """True below a directory that holds test data by convention."""
+    return path.rlike(r"(^|/)testdata/")
+
+
+def service_boundary(package: Column, library_scopes: list[str], libraries: list[str], service_scopes: list[str], services: list[str]) -> Column:
+    """True for a package that stands for another system: listed services, and SDKs and API clients by their names.
+
+    Libraries are named first and win; ``react-`` and ``lodash.`` packages are libraries.
+    """
+    scope, bare = F.regexp_extract(package, "^(@[^/]+)", 1), F.regexp_replace(package, "^@[^/]*/", "")
+    library = scope.isin(*library_scopes) | package.isin(*libraries) | bare.isin(*libraries) | bare.rlike(r"^(react-|lodash\.)")
+    service = scope.isin(*service_scopes) | package.isin(*services) | bare.isin(*services)
+    named = package.rlike("(?i)(?:^|/|-)sdk$") | bare.rlike("(?i)(?:^|/)sdk(?:-|$)") | bare.rlike("-api-client$")
+    return ~library & (service | named)
+
+
+#: Endings of test files, in the order in which they are looked for.
+TEST_ENDINGS = (
+    ".test.ts", ".test.tsx", ".spec.ts", ".spec.tsx", ".test.mts", ".spec.mts", ".test.cts", ".spec.cts",
+    ".test.mjs", ".spec.mjs", ".test.cjs", ".spec.cjs", ".test.js", ".spec.js", ".test.jsx", ".spec.jsx",
+)
+
+
+def test_paths(path: Column) -> Column:
+    """Where tests of a source file may lie: beside it, then in ``__tests__``; null if it is no script."""
+    folder = F.regexp_extract(path, "^(.*/)?[^/]*$", 1)
+    stem = F.regexp_extract(path, r"^(?:.*/)?([^/]+)\.[cm]?[jt]sx?$", 1)
+    made = F.array(*(F.concat(folder, F.lit(between), stem, F.lit(end)) for between in ("", "__tests__/") for end in TEST_ENDINGS))
+    return F.when(stem != "", made)
+
+
+#: Advances in thousandths of an em of the characters from blank to tilde and of the ellipsis, sans regular.
+SANS_ADVANCES = (
+    236, 284, 419, 713, 598, 927, 694, 242, 335, 335, 450, 600, 272, 399, 272, 383,
+    600, 600, 600, 600, 600, 600, 600, 600, 600, 600, 292, 292, 600, 600, 600, 477,
+    891, 641, 653, 621, 671, 583, 559, 695, 707, 400, 510, 634, 501, 812, 707, 708,
+    606, 708, 640, 581, 572, 678, 609, 891, 613, 593, 580, 317, 383, 317, 600, 565,
+    600, 534, 580, 503, 580, 549, 324, 528, 568, 250, 250, 527, 272, 873, 568, 560,
+    580, 580, 367, 487, 351, 568, 492, 768, 507, 499, 464, 343, 314, 343, 600, 803,
+)
+
+
+def text_width(text: Column, advances: tuple[int, ...] = SANS_ADVANCES) -> Column:
+    """Width in thousandths of the font size; characters that the table lacks are as wide as a question mark."""
+    table = F.array(*map(F.lit, advances))
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    slot = lambda c: F.when(c == "…", len(advances)).when(F.ascii(c).between(32, 126), F.ascii(c) - 31).otherwise(ord("?") - 31)
+    return F.aggregate(chars, F.lit(0).cast("long"), lambda a, c: a + F.element_at(table, slot(c).cast("int")))
+
+
+#: Bounds of a captured excerpt.
+EXCERPT_LINES, EXCERPT_LINE_CHARS, EXCERPT_CHARS = 48, 512, 4096
+
+
+def clamp_excerpt(text: Column, start: Column, end: Column, focus: Column | None = None) -> Column:
+    """(start_line, lines) of the part of ``start`` to ``end`` (from 1) that an excerpt may hold; null where that is nothing.
+
+    It begins eight lines before ``focus`` at the most. Overlong lines at its beginning are passed over, a later one ends
+    it, and so do the bounds of lines and characters. Lines are never cut.
+    """
+    lines = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n", -1)
+    last = F.least(F.size(lines), end)
+    first = start if focus is None else F.greatest(start, focus - 8)
+    asked = (start >= 1) & (start <= F.size(lines)) & (end >= start)
+    if focus is not None:
+        asked = asked & (focus.isNull() | focus.between(start, last))
+    window = F.slice(lines, first, F.greatest(last - first + 1, F.lit(0)))
+    none = F.struct(F.lit(0).alias("skipped"), F.lit(0).alias("taken"), F.lit(0).alias("chars"), F.lit(False).alias("over"))
+
+    def step(s: Column, line: Column) -> Column:
+        n = F.char_length(line)
+        long, begun = n > EXCERPT_LINE_CHARS, s["taken"] > 0
+        grown = s["chars"] + n + F.when(begun, 1).otherwise(0)
+        over = s["over"] | (long & begun) | (~long & (grown > EXCERPT_CHARS)) | (s["taken"] >= EXCERPT_LINES)
+        return F.struct(
+            F.when(~over & long, s["skipped"] + 1).otherwise(s["skipped"]).alias("skipped"),
+            F.when(~over & ~long, s["taken"] + 1).otherwise(s["taken"]).alias("taken"),
+            F.when(~over & ~long, grown).otherwise(s["chars"]).alias("chars"),
+            over.alias("over"),
+        )
+
+    got = F.aggregate(window, none, step)
+    made = F.struct((first + got["skipped"]).alias("start_line"), F.slice(window, got["skipped"] + 1, got["taken"]).alias("lines"))
+    return F.when(asked & (got["taken"] > 0), made)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -126,3 +126,13 @@ def resolve_imports(imports: DataFrame, files: DataFrame, endings: tuple[str, ..
     """(specifier, path): the first of specifier + ending that is a file, in the order of the endings."""
     tries = imports.select("specifier", F.posexplode(F.array(*(F.concat("specifier", F.lit(e)) for e in endings))).alias("_n", "path"))
     return tries.join(files.select("path"), "path").groupBy("specifier").agg(F.min_by("path", "_n").alias("path"))
+
+
+def nearby_tests(sources: DataFrame, files: DataFrame, key: str, most: int = 3) -> DataFrame:
+    """(key, path) of the first ``most`` test files (path) beside each source (key, path), in the order of their endings."""
+    from ..functions.text import test_paths
+
+    tries = sources.select(key, F.posexplode(test_paths(F.col("path"))).alias("_k", "path"))
+    hit = tries.join(files.select("path").distinct(), "path")
+    w = Window.partitionBy(key).orderBy("_k")
+    return hit.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select(key, "path")

@@ -142,3 +142,38 @@ def routes(edges: DataFrame, walls: DataFrame, size: tuple[int, int], bend: floa
 
     kind = dict(edges.dtypes)["id"]
     return edges.join(boxed, "scene", "left").select("id", "x1", "y1", "x2", "y2", "walls").mapInPandas(search, f"id {kind}, cost double, path string")
+
+
+def rect(x, y, w, h) -> Column:
+    """A rectangle as a struct of doubles."""
+    return F.struct(*(c.cast("double").alias(n) for n, c in (("x", x), ("y", y), ("w", w), ("h", h))))
+
+
+def rect_union(a: Column, b: Column) -> Column:
+    x, y = F.least(a["x"], b["x"]), F.least(a["y"], b["y"])
+    return rect(x, y, F.greatest(a["x"] + a["w"], b["x"] + b["w"]) - x, F.greatest(a["y"] + a["h"], b["y"] + b["h"]) - y)
+
+
+def rect_meets(a: Column, b: Column) -> Column:
+    """True where two rectangles share a point; edges count."""
+    return (a["x"] <= b["x"] + b["w"]) & (a["x"] + a["w"] >= b["x"]) & (a["y"] <= b["y"] + b["h"]) & (a["y"] + a["h"] >= b["y"])
+
+
+def rect_expand(a: Column, by: float) -> Column:
+    return rect(a["x"] - by, a["y"] - by, a["w"] + 2 * by, a["h"] + 2 * by)
+
+
+def rect_distance2(a: Column, x, y) -> Column:
+    """Square of the distance of a point from a rectangle; 0 inside."""
+    away = lambda at, lo, hi: F.greatest(lo - at, at - hi, F.lit(0.0))
+    dx, dy = away(x, a["x"], a["x"] + a["w"]), away(y, a["y"], a["y"] + a["h"])
+    return dx * dx + dy * dy
+
+
+def hit_test(objects: DataFrame, x: float, y: float, slack: float) -> DataFrame:
+    """The topmost object (id, x, y, w, h, z) within ``slack`` of a point: candidates by box, then by distance, then the
+    greatest z, the nearest, and the greatest id."""
+    own = rect(*(F.col(c) for c in ("x", "y", "w", "h")))
+    d = rect_distance2(own, F.lit(x), F.lit(y))
+    near = objects.where((F.col("x") <= x + slack) & (F.col("x") + F.col("w") >= x - slack) & (F.col("y") <= y + slack) & (F.col("y") + F.col("h") >= y - slack))
+    return near.withColumn("distance2", d).where(F.col("distance2") <= slack * slack).orderBy(F.desc("z"), "distance2", F.desc("id")).limit(1)

@@ -74,3 +74,125 @@ def increasing(df: DataFrame, table: str, parts: list[str], order: str, key: str
 def accepted(docs: DataFrame, violations: DataFrame, key: str) -> DataFrame:
     """Documents without a violation (column ``key``): all of a document is taken or none."""
     return docs.join(violations.select(key).distinct(), key, "left_anti")
+
+
+#: Bounds of an extraction, the parents that each kind may have, and the first part of its ids.
+LIMITS = {"id": 192, "name": 160, "responsibility": 2000, "label": 240, "technology": 120}
+PARENT_KINDS = {"container": ("softwareSystem",), "dataStore": ("softwareSystem",), "queue": ("softwareSystem",), "component": ("container", "dataStore", "queue"), "code": ("component",)}
+ID_PREFIXES = {"person": ("person", "actor"), "softwareSystem": ("system",), "container": ("container",), "component": ("component",), "code": ("code",), "externalSystem": ("external",), "dataStore": ("data", "data-store"), "queue": ("queue",)}
+STABLE_ID = r"^[a-z][a-z0-9]*(:[a-z0-9]+(-[a-z0-9]+)*)+$"
+
+
+def _text(df: DataFrame, table: str, column: str, most: int, required: bool = False) -> DataFrame:
+    rule = F.length(column) <= most
+    if required:
+        rule = F.coalesce(rule & (F.trim(column) != ""), F.lit(False))
+    return holds(df, table, "id", rule, f"{column} is missing or too long" if required else f"{column} is too long")
+
+
+def extraction(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """The gate of an extraction: entities (id, kind, parent_id, name, responsibility), relations (id, from_id, to_id, kind,
+    label, technology, evidence).
+
+    Ids, kinds and lengths; the hierarchy of kinds, its cycles; ends of relations, self relations other than calls, evidence,
+    and containment that the hierarchy tells already.
+    """
+    kind = F.col("kind")
+    prefix = F.split_part("id", F.lit(":"), F.lit(1))
+    fits = F.lit(False)
+    for k, prefixes in ID_PREFIXES.items():
+        fits = fits | ((kind == k) & prefix.isin(*prefixes))
+    parents = entities.select(F.col("id").alias("p"), F.col("kind").alias("p_kind"), F.col("parent_id").alias("pp")).dropDuplicates(["p"])
+    under = entities.join(parents, F.col("parent_id") == F.col("p"), "left")
+    nested, allowed = kind.isin(*PARENT_KINDS), F.lit(False)
+    for k, kinds in PARENT_KINDS.items():
+        allowed = allowed | ((kind == k) & F.col("p_kind").isin(*kinds))
+    both = relations.join(parents.select(F.col("p").alias("from_id"), F.col("pp").alias("from_parent")), "from_id", "left").join(parents.select(F.col("p").alias("to_id"), F.col("pp").alias("to_parent")), "to_id", "left")
+    told = F.coalesce((kind == "contains") & ((F.col("to_parent") == F.col("from_id")) | (F.col("from_parent") == F.col("to_id"))), F.lit(False))
+    return all_of(
+        unique(entities, "entities", "id"),
+        unique(relations, "relations", "id"),
+        holds(entities, "entities", "id", F.coalesce(kind.isin(*ID_PREFIXES), F.lit(False)), "unknown kind"),
+        holds(entities.where(kind.isin(*ID_PREFIXES)), "entities", "id", F.col("id").rlike(STABLE_ID) & fits & (F.length("id") <= LIMITS["id"]), "malformed id"),
+        _text(entities, "entities", "name", LIMITS["name"], required=True),
+        _text(entities, "entities", "responsibility", LIMITS["responsibility"]),
+        holds(under, "entities", "id", ~nested | F.col("parent_id").isNotNull(), "needs a parent"),
+        foreign(entities, "entities", "id", "parent_id", entities, "id"),
+        holds(under.where(nested & F.col("p").isNotNull()), "entities", "id", allowed, "wrong kind of parent"),
+        holds(entities, "entities", "id", nested | F.col("parent_id").isNull(), "must be at the top"),
+        acyclic(entities),
+        foreign(relations, "relations", "id", "from_id", entities, "id"),
+        foreign(relations, "relations", "id", "to_id", entities, "id"),
+        holds(relations, "relations", "id", F.coalesce(kind.isin(*RELATION_KINDS), F.lit(False)), "unknown kind"),
+        _text(relations, "relations", "label", LIMITS["label"]),
+        _text(relations, "relations", "technology", LIMITS["technology"]),
+        holds(relations, "relations", "id", (F.col("from_id") != F.col("to_id")) | (kind == "calls"), "joins an entity with itself"),
+        holds(relations, "relations", "id", F.coalesce(F.col("evidence") >= 1, F.lit(False)), "has no evidence"),
+        holds(relations, "relations", "id", F.col("evidence") <= 64, "has too much evidence"),
+        holds(both, "relations", "id", ~told, "repeats the hierarchy"),
+    )
+
+
+def view(entities: DataFrame, relations: DataFrame, shown: DataFrame, edges: DataFrame, nodes: DataFrame, routes: DataFrame, root: str) -> DataFrame:
+    """Rules of a view on a snapshot: ``shown`` (id), ``edges`` (id), ``nodes`` (id, x, y, width, height), ``routes`` (id, points).
+
+    The root and all that is shown are known and shown once, have a place of positive size, edges join shown entities, and
+    nothing has a place or route that is not shown.
+    """
+    lone = entities.sparkSession.createDataFrame([(root,)], "id string")
+    ends = edges.select("id").join(relations.select("id", "from_id", "to_id"), "id")
+    seen = shown.select(F.col("id").alias("s")).distinct()
+    apart = ends.join(seen, F.col("from_id") == F.col("s"), "left_anti").select("id").unionAll(ends.join(seen, F.col("to_id") == F.col("s"), "left_anti").select("id")).distinct()
+    lost = lambda df, table, message, known: issue(df.join(known.select(F.col("id").alias("k")).distinct(), F.col("id") == F.col("k"), "left_anti"), at(table, "id"), message)
+    return all_of(
+        lost(lone, "root", "is not in the snapshot", entities),
+        lost(lone, "root", "is not shown", shown),
+        unique(shown, "shown", "id"),
+        lost(shown, "shown", "unknown entity", entities),
+        lost(shown, "nodes", "has no place", nodes),
+        lost(nodes, "nodes", "is not shown", shown),
+        holds(nodes, "nodes", "id", F.coalesce((F.col("width") > 0) & (F.col("height") > 0) & ~F.isnan(F.col("x") + F.col("y")), F.lit(False)), "bad rectangle"),
+        lost(edges, "edges", "unknown relation", relations),
+        issue(apart, at("edges", "id"), "ends are not shown"),
+        lost(routes, "routes", "is not shown", edges),
+        holds(routes, "routes", "id", F.col("points") >= 2, "needs two points"),
+    )
+
+
+#: What dependency facts may say.
+ECOSYSTEMS = ("npm", "cargo")
+
+
+def dependency_facts(packages: DataFrame, declarations: DataFrame, imports: DataFrame) -> DataFrame:
+    """Rules of packages (id, ecosystem, name, manifest), declarations (id, ecosystem, dependency, declared_in, line) and
+    imports (id, ecosystem, dependency, path, imported_by, start_line, end_line)."""
+    from ..functions.text import safe_path
+
+    named = lambda df, table, c: holds(df, table, "id", F.coalesce(F.trim(c) != "", F.lit(False)) & ~F.col(c).rlike(r"[\x00-\x1F\x7F]"), f"{c} is missing")
+    known = lambda df, table: holds(df, table, "id", F.coalesce(F.col("ecosystem").isin(*ECOSYSTEMS), F.lit(False)), "unknown ecosystem")
+    return all_of(
+        known(packages, "packages"),
+        known(declarations, "declarations"),
+        known(imports, "imports"),
+        named(packages, "packages", "name"),
+        named(declarations, "declarations", "dependency"),
+        named(imports, "imports", "dependency"),
+        holds(packages, "packages", "id", F.coalesce(safe_path(F.col("manifest")), F.lit(False)), "unsafe path"),
+        holds(imports, "imports", "id", F.coalesce(safe_path(F.col("path")), F.lit(False)), "unsafe path"),
+        foreign(declarations, "declarations", "id", "declared_in", packages, "manifest"),
+        foreign(imports, "imports", "id", "imported_by", packages, "manifest"),
+        holds(declarations, "declarations", "id", F.col("line") >= 1, "line must be positive"),
+        holds(imports, "imports", "id", (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")), "bad lines"),
+    )
+
+
+def excerpt_matches(excerpt: Column, ref: Column) -> Column:
+    """Whether an excerpt (path, revision, symbol, start, end, source_start, source_end) is that of a source reference (path,
+    revision, symbol, start, end): a cut one keeps the whole range that it was cut from."""
+    e, r = (lambda f: excerpt[f]), (lambda f: ref[f])
+    same = (e("path") == r("path")) & (e("revision") == r("revision")) & (F.coalesce(e("symbol"), F.lit("")) == F.coalesce(r("symbol"), F.lit("")))
+    whole = (r("start") == e("start")) & (r("end") == e("end"))
+    cut = e("source_start").isNotNull() & e("source_end").isNotNull() & (e("source_start") >= 1) & (e("source_start") <= e("start")) & (e("source_end") >= e("end"))
+    cut = cut & (r("start") == e("source_start")) & (r("end") == e("source_end"))
+    plain = e("source_start").isNull() & e("source_end").isNull()
+    return F.coalesce(same & F.when(plain, whole).otherwise(cut), F.lit(False))

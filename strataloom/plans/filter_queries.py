@@ -49,9 +49,12 @@ def _(t):
     return t.lineitem.groupBy(F.col("l_suppkey").alias("package")).agg(F.count_if(~only).alias("kept"), F.count_if(only).alias("excluded"))
 
 
-@query("f6_name_match", "SELECT p_partkey, p_name FROM part WHERE p_name = 'part-' || p_partkey OR replace(p_brand, '#', '_') = 'Brand_12'")
+@query("f6_name_match", "SELECT p_partkey, n = 'brand-12' OR replace(n, '-', '_') = 'brand_12' AND p_size % 2 = 0 OR n = '@types/x__y' AND false AS same, n = '@brand/12' AS typed FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN replace(lower(p_brand), '#', '-') WHEN 1 THEN replace(lower(p_brand), '#', '_') ELSE '@' || replace(lower(p_brand), '#', '/') END AS n FROM part)")
 def _(t):
-    return t.part.where((F.col("p_name") == A.tag("part-", "p_partkey")) | (F.translate("p_brand", "#", "_") == "Brand_12")).select("p_partkey", "p_name")
+    m, b = F.col("p_partkey") % 3, F.lower("p_brand")
+    name = F.when(m == 0, F.translate(b, "#", "-")).when(m == 1, F.translate(b, "#", "_")).otherwise(F.concat(F.lit("@"), F.translate(b, "#", "/")))
+    system = F.when(F.col("p_size") % 2 == 0, "cargo").otherwise("npm")
+    return t.part.select("p_partkey", X.name_matches(name, F.lit("brand-12"), system).alias("same"), X.name_matches(name, F.lit("@types/brand__12"), F.lit("npm")).alias("typed"))
 
 
 @query("f7_all_words", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'and') AND contains(lower(text), 'ing')")
@@ -95,22 +98,21 @@ def _(t):
     return t.pages.select("page_id", X.safe_path(p).alias("safe"))
 
 
-@query("f14_excluded_path", "SELECT page_id, regexp_matches(url, '(^|/)(test|tests|fixtures|node_modules|dist|p1)(/|$|[0-9])') AS excluded FROM pages")
+@query("f14_excluded_path", "SELECT page_id, page_id % 3 = 0 AS excluded FROM pages")
 def _(t):
-    return t.pages.select("page_id", F.col("url").rlike(r"(^|/)(test|tests|fixtures|node_modules|dist|p1)(/|$|[0-9])").alias("excluded"))
+    m = F.col("page_id") % 6
+    path = F.when(m == 0, "testdata/a.go").when(m == 3, "src/testdata/b/c.go").when(m == 1, "src/mytestdata/d.go").when(m == 2, "src/testdata.go").otherwise(F.regexp_replace("url", "testdata/", ""))
+    return t.pages.select("page_id", X.test_data_path(path).alias("excluded"))
 
 
 @query(
     "f15_service_boundary",
-    "SELECT p_partkey, CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN false WHEN p_type IN ('ECONOMY', 'PROMO') THEN true ELSE regexp_matches(p_name, '(sdk|client|[05])$') END AS service FROM part",
+    "SELECT p_partkey, ['@lib/sdk', 'react-sdk', 'lodash.get', '@cloud/anything', 'payments', 'foo-sdk', '@org/sdk-node', 'x-api-client', 'sdkish', '@org/plain', '@cloud/fonts'][p_partkey % 11 + 1] AS package, p_partkey % 11 IN (3, 4, 5, 6, 7) AS service FROM part",
 )
 def _(t):
-    spark = t.spark
-    deny = spark.createDataFrame([("Brand#11",), ("Brand#12",)], "p_brand string").withColumn("denied", F.lit(True))
-    allow = spark.createDataFrame([("ECONOMY",), ("PROMO",)], "p_type string").withColumn("allowed", F.lit(True))
-    # Two fixed lists of two names each.
-    both = t.part.join(F.broadcast(deny), "p_brand", "left").join(F.broadcast(allow), "p_type", "left")
-    return both.select("p_partkey", F.when(F.col("denied"), False).when(F.col("allowed"), True).otherwise(F.col("p_name").rlike("(sdk|client|[05])$")).alias("service"))
+    names = ("@lib/sdk", "react-sdk", "lodash.get", "@cloud/anything", "payments", "foo-sdk", "@org/sdk-node", "x-api-client", "sdkish", "@org/plain", "@cloud/fonts")
+    package = F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % 11 + 1).cast("int"))
+    return t.part.select("p_partkey", package.alias("package"), X.service_boundary(package, ["@lib"], ["fonts"], ["@cloud"], ["payments"]).alias("service"))
 
 
 @query("f16_complexity_flag", "SELECT o_orderkey, n > 6 AS flagged FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1)")

@@ -153,7 +153,7 @@ def _(t):
     return S.coverage(S.line_hits(hits), stored).drop("rate")
 
 
-_TS = "import a from './a'\nexport { b } from \"b/sub\"\nimport 'side'\nconst x = require('cjs')\nexport function go() {}\nclass Box {}\nexport const N = 1\n"
+_TS = "import a from './a'\nexport { b } from \"b/sub\"\nimport 'side'\nconst x = require('cjs')\nexport function go() {}\nclass Box {}\nexport const N = 1\n// import z from 'no'\n/* import y from 'none'\nclass Not {} */\nlet s = `\nclass Fake {} // no`\n"
 
 
 def _source(t: Tables, text: str):
@@ -165,12 +165,12 @@ def _(t):
     return files.imports(_source(t, _TS))
 
 
-@query("s19_declarations", "SELECT r_name || '.ts' AS path, k AS kind, n AS name FROM region, (VALUES ('const', 'x'), ('function', 'go'), ('class', 'Box'), ('const', 'N')) v(k, n)")
+@query("s19_declarations", "SELECT r_name || '.ts' AS path, k AS kind, n AS name FROM region, (VALUES ('const', 'x'), ('function', 'go'), ('class', 'Box'), ('const', 'N'), ('let', 's')) v(k, n)")
 def _(t):
     return files.declarations(_source(t, _TS))
 
 
-_RS = "use std::fmt;\nuse serde::Serialize;\npub use tokio::sync;\nextern crate rand;\nuse crate::x;\npub fn run() {}\nstruct Point;\nimpl Point {}\n"
+_RS = "use std::fmt;\nuse serde::Serialize;\npub use tokio::sync;\nextern crate rand;\nuse crate::x;\npub fn run() {}\nstruct Point;\nimpl Point {}\n// use no::way;\n/* use none::at;\nstruct Not; */\n"
 
 
 @query("s20_rust_outline", "SELECT r_name || '.ts' AS path, k AS kind, n AS name FROM region, (VALUES ('fn', 'run'), ('struct', 'Point'), ('impl', 'Point')) v(k, n)")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import adapters as A
+from ..operators import layout as L
 from ..operators import spatial as P
 from ..operators import validate as V
 from ..streaming import stateful as R
@@ -44,7 +45,7 @@ def _(t):
     return R.apply_patches(base, ops)
 
 
-@query("r5b_patch_status", "WITH p AS (SELECT o_custkey AS scene, o_orderkey AS arrival, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey % 5 = 0 AS late FROM orders), q AS (SELECT *, count(*) FILTER (WHERE NOT late) OVER (PARTITION BY scene ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM p) SELECT arrival, CASE WHEN late AND at % 2 = 0 THEN 'revisionMismatch' WHEN late THEN 'nonIncreasing' ELSE 'applied' END AS status FROM q")
+@query("r5b_patch_status", "WITH p AS (SELECT o_custkey AS scene, o_orderkey AS arrival, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey % 5 = 0 AS late FROM orders), q AS (SELECT *, count(*) FILTER (WHERE NOT late) OVER (PARTITION BY scene ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS made FROM p) SELECT arrival, CASE WHEN late AND made % 2 = 0 THEN 'revisionMismatch' WHEN late THEN 'nonIncreasing' ELSE 'applied' END AS status FROM q")
 def _(t):
     # Each customer's orders are patches in a row; every fifth names a wrong base, or its base as the next revision.
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
@@ -127,10 +128,9 @@ def _(t):
     return cells.join(keys, ["cx", "cy"], "left_semi").where(P.rect_overlaps(box, view)).select("id").distinct()
 
 
-@query("p4_hit_test", f"WITH {_BOX} SELECT id FROM b WHERE x <= 12005 AND x + w >= 9000 AND y <= 805 AND y + h >= 0 ORDER BY id DESC LIMIT 1")
+@query("p4_hit_test", f"WITH {_BOX} SELECT id, z FROM (SELECT id, id % 5 AS z, pow(greatest(x - 11000, 11000 - (x + w), 0), 2) + pow(greatest(y - 440, 440 - (y + h), 0), 2) AS d FROM b) WHERE d <= 90000 ORDER BY z DESC, d, id DESC LIMIT 1")
 def _(t):
-    b = _boxes(t)
-    return b.where("x <= 12005 AND x + w >= 9000 AND y <= 805 AND y + h >= 0").orderBy(F.desc("id")).limit(1).select("id")
+    return P.hit_test(_boxes(t).withColumn("z", F.col("id") % 5), 11_000.0, 440.0, 300.0).select("id", "z")
 
 
 @query("p5_resident_set", f"WITH {_BOX} SELECT id FROM b WHERE id % 700 = 3 UNION ALL (SELECT id FROM b WHERE id % 700 <> 3 AND x < 12000 AND x + w > 10000 AND y < 900 AND y + h > 200 ORDER BY (x + w / 2 - 11000) * (x + w / 2 - 11000) + (y + h / 2 - 550) * (y + h / 2 - 550), id LIMIT 40 - (SELECT count(*) FROM b WHERE id % 700 = 3))")
@@ -149,20 +149,32 @@ def _(t):
     return both.groupBy(kind.alias("finding")).agg(F.count("*").alias("n"))
 
 
-@query("p7_containment_sizes", f"WITH {A.ENTITIES}, s3 AS (SELECT parent_id AS id, count(*) AS n FROM entities WHERE rank = 3 GROUP BY 1), s2 AS (SELECT e.parent_id AS id, sum(coalesce(n, 1) * 10 + 4) AS w FROM entities e LEFT JOIN s3 USING (id) WHERE rank = 2 GROUP BY 1) SELECT id, (w + 8)::BIGINT AS width FROM s2")
-def _(t):
-    e = A.entities(t)
-    leaves = e.where("rank = 3").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("n"))
-    inner = e.where("rank = 2").select("id", "parent_id").join(leaves, "id", "left")
-    return inner.groupBy(F.col("parent_id").alias("id")).agg((F.sum(F.coalesce("n", F.lit(1)) * 10 + 4) + 8).alias("width"))
+def _levels_sql(leaf: tuple[int, int], pad: int, gap: int) -> str:
+    """CTEs of the sizes of each level of the tree, s3 up to s0."""
+    out = [f"s3 AS (SELECT id, parent_id, {leaf[0]} AS w, {leaf[1]} AS h FROM entities WHERE rank = 3)"]
+    for k in (2, 1, 0):
+        c = k + 1
+        out.append(f"i{c} AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY id) - 1 AS i, least(3, ceil(sqrt(count(*) OVER (PARTITION BY parent_id))))::INT AS c FROM s{c})")
+        side = lambda cell, size: f"(SELECT parent_id AS p, sum(m) + {gap} * (count(*) - 1) + 2 * {pad} AS m FROM (SELECT parent_id, {cell} AS g, max({size}) AS m FROM i{c} GROUP BY 1, 2) GROUP BY 1)"  # noqa: B023, E731
+        out.append(f"s{k} AS (SELECT e.id, e.parent_id, coalesce(x.m, {leaf[0]}) AS w, coalesce(y.m, {leaf[1]}) AS h FROM entities e LEFT JOIN {side('i % c', 'w')} x ON x.p = e.id LEFT JOIN {side('i // c', 'h')} y ON y.p = e.id WHERE rank = {k})")
+    return ", ".join(out)
 
 
-@query("p8_grid_packing", "SELECT n_nationkey, ((row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) % 3)::INTEGER AS col, ((row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) // 3)::INTEGER AS row FROM nation")
+@query("p7_containment_sizes", f"WITH {A.ENTITIES}, {_levels_sql((30, 20), 8, 4)} SELECT id, w::DOUBLE AS width, h::DOUBLE AS height FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)")
 def _(t):
-    from ..operators.ranking import rank_within
+    return L.containment_layout(A.entities(t), (30, 20), 8, 4).select("id", "width", "height")
 
-    r = rank_within(t.nation, ["n_regionkey"], ["n_nationkey"]).withColumn("i", F.col("rank") - 1)
-    return r.select("n_nationkey", (F.col("i") % 3).cast("int").alias("col"), F.floor(F.col("i") / 3).cast("int").alias("row"))
+
+@query(
+    "p8_grid_packing",
+    "WITH i AS (SELECT n_regionkey AS p, n_name AS id, 10.0::DOUBLE + n_nationkey % 4 AS w, 5.0::DOUBLE + n_nationkey % 3 AS h, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS k, least(3, ceil(sqrt(count(*) OVER (PARTITION BY n_regionkey))))::INT AS c FROM nation), g AS (SELECT *, k % c AS col, k // c AS row FROM i),"
+    " cw AS (SELECT p, col, max(w) AS m FROM g GROUP BY 1, 2), rh AS (SELECT p, row, max(h) AS m FROM g GROUP BY 1, 2), cx AS (SELECT *, coalesce(sum(m + 2) OVER (PARTITION BY p ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM cw), ry AS (SELECT *, coalesce(sum(m + 2) OVER (PARTITION BY p ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM rh)"
+    " SELECT g.id, g.col::INTEGER AS col, g.row::INTEGER AS row, cx.b + (cx.m - w) / 2 AS at_x, ry.b + (ry.m - h) / 2 AS at_y FROM g JOIN cx ON cx.p = g.p AND cx.col = g.col JOIN ry ON ry.p = g.p AND ry.row = g.row",
+)
+def _(t):
+    n = t.nation
+    items = n.select(F.col("n_regionkey").alias("owner"), F.col("n_name").alias("id"), (F.lit(10.0) + F.col("n_nationkey") % 4).alias("width"), (F.lit(5.0) + F.col("n_nationkey") % 3).alias("height"))
+    return L.grid(items, "owner", 2.0).select("id", F.col("col").cast("int").alias("col"), "row", "at_x", "at_y")
 
 
 @query("p9_orthogonal_routes")
@@ -204,20 +216,61 @@ def _(t):
     return V.snapshot(*_broken(t))
 
 
-@query("v2_view_rules", f"WITH {A.ENTITIES} SELECT 'view/' || ('n' || (n_nationkey + 5)) AS path, 'unknown id' AS message FROM nation WHERE 'n' || (n_nationkey + 5) NOT IN (SELECT id FROM entities)")
+@query(
+    "v2_view_rules",
+    f"WITH {A.ENTITIES}, {A.RELATIONS}, shown AS (SELECT 'n' || (n_nationkey + 5) AS id FROM nation UNION ALL SELECT 'n7' UNION ALL SELECT 's' || s_suppkey FROM supplier), nodes AS (SELECT 'n' || n_nationkey AS id, n_nationkey % 4 AS w FROM nation UNION ALL SELECT 's' || s_suppkey, 5 FROM supplier), edges AS (SELECT id FROM relations WHERE to_id = 's1' UNION ALL SELECT 'lost')"
+    " SELECT 'root/sys' AS path, 'is not shown' AS message UNION ALL SELECT 'shown/' || id, 'duplicate id' FROM shown GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'shown/' || id, 'unknown entity' FROM shown WHERE id NOT IN (SELECT id FROM entities) UNION ALL SELECT 'nodes/' || id, 'has no place' FROM shown WHERE id NOT IN (SELECT id FROM nodes)"
+    " UNION ALL SELECT 'nodes/' || id, 'is not shown' FROM nodes WHERE id NOT IN (SELECT id FROM shown) UNION ALL SELECT 'nodes/' || id, 'bad rectangle' FROM nodes WHERE w <= 0 UNION ALL SELECT 'edges/lost', 'unknown relation' UNION ALL SELECT 'edges/' || id, 'ends are not shown' FROM relations WHERE to_id = 's1'"
+    " UNION ALL SELECT 'routes/other', 'is not shown' UNION ALL SELECT 'routes/other', 'needs two points'",
+)
 def _(t):
-    view = t.nation.select(F.concat(F.lit("n"), (F.col("n_nationkey") + 5).cast("string")).alias("id"))
-    return V.foreign(view, "view", "id", "id", A.entities(t).select("id"), "id")
+    r = A.relations(t)
+    number = lambda *ids: t.spark.createDataFrame([(i,) for i in ids], "id string")
+    suppliers = t.supplier.select(A.tag("s", "s_suppkey").alias("id"))
+    shown = t.nation.select(F.concat(F.lit("n"), (F.col("n_nationkey") + 5).cast("string")).alias("id")).unionAll(number("n7")).unionAll(suppliers)
+    nodes = t.nation.select(A.tag("n", "n_nationkey").alias("id"), (F.col("n_nationkey") % 4).alias("width")).unionAll(suppliers.withColumn("width", F.lit(5)))
+    nodes = nodes.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), "width", F.lit(1).alias("height"))
+    edges = r.where("to_id = 's1'").select("id").unionAll(number("lost"))
+    return V.view(A.entities(t), r, shown, edges, nodes, number("other").withColumn("points", F.lit(1)), "sys")
+
 
+_GATE = """e AS (SELECT 'component:p-' || p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN 'gadget' ELSE 'component' END AS kind, CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN 'component:p-1' WHEN p_partkey % 19 = 0 THEN 'nowhere' ELSE 'container:c' END AS parent_id,
+ CASE WHEN p_partkey % 7 = 0 THEN '  ' ELSE repeat('n', 100 + p_size * 2) END AS name FROM part UNION ALL SELECT 'container:c', 'container', 'system:s', 'c' UNION ALL SELECT 'system:s', 'softwareSystem', NULL, 's' UNION ALL SELECT 'Bad', 'person', 'system:s', 'b'),
+ r AS (SELECT 'relation:r-' || s_suppkey AS id, 'component:p-1' AS from_id, CASE WHEN s_suppkey % 3 = 0 THEN 'component:p-1' WHEN s_suppkey % 5 = 0 THEN 'gone' ELSE 'container:c' END AS to_id, CASE WHEN s_suppkey % 2 = 0 THEN 'calls' ELSE 'contains' END AS kind, (s_suppkey % 70)::BIGINT AS evidence FROM supplier)"""
 
-@query("v3_extraction_gate", "SELECT 'part/' || p_partkey AS path, CASE WHEN k = 1 THEN 'name too long' ELSE 'bad type' END AS message FROM part, range(1, 3) r(k) WHERE (k = 1 AND length(p_name) > 8) OR (k = 2 AND NOT regexp_matches(p_type, '^[A-Z]+$'))")
+
+@query(
+    "v3_extraction_gate",
+    f"WITH {_GATE} SELECT 'entities/' || id AS path, 'unknown kind' AS message FROM e WHERE kind = 'gadget' UNION ALL SELECT 'entities/Bad', 'malformed id' UNION ALL SELECT 'entities/Bad', 'must be at the top' UNION ALL SELECT 'entities/' || id, 'name is missing or too long' FROM e WHERE trim(name) = '' OR length(name) > 160"
+    " UNION ALL SELECT 'entities/' || id, 'needs a parent' FROM e WHERE kind = 'component' AND parent_id IS NULL UNION ALL SELECT 'entities/' || id, 'unknown parent_id' FROM e WHERE parent_id = 'nowhere' UNION ALL SELECT 'entities/' || id, 'wrong kind of parent' FROM e WHERE kind = 'component' AND parent_id = 'component:p-1'"
+    " UNION ALL SELECT 'entities/' || id, 'must be at the top' FROM e WHERE kind = 'gadget' AND parent_id IS NOT NULL UNION ALL SELECT 'relations/' || id, 'unknown to_id' FROM r WHERE to_id = 'gone' UNION ALL SELECT 'relations/' || id, 'joins an entity with itself' FROM r WHERE from_id = to_id AND kind <> 'calls'"
+    " UNION ALL SELECT 'relations/' || id, 'has no evidence' FROM r WHERE evidence = 0 UNION ALL SELECT 'relations/' || id, 'has too much evidence' FROM r WHERE evidence > 64 UNION ALL SELECT 'relations/' || id, 'repeats the hierarchy' FROM r WHERE kind = 'contains' AND to_id = 'container:c'",
+)
 def _(t):
-    return V.all_of(V.holds(t.part, "part", "p_partkey", F.length("p_name") <= 8, "name too long"), V.holds(t.part, "part", "p_partkey", F.col("p_type").rlike("^[A-Z]+$"), "bad type"))
+    k = F.col("p_partkey")
+    parent = F.when(k % 13 == 0, None).when(k % 17 == 0, "component:p-1").when(k % 19 == 0, "nowhere").otherwise("container:c")
+    e = t.part.select(A.tag("component:p-", "p_partkey").alias("id"), F.when(k % 11 == 0, "gadget").otherwise("component").alias("kind"), parent.alias("parent_id"), F.when(k % 7 == 0, "  ").otherwise(F.repeat(F.lit("n"), 100 + F.col("p_size") * 2)).alias("name"))
+    top = [("container:c", "container", "system:s", "c"), ("system:s", "softwareSystem", None, "s"), ("Bad", "person", "system:s", "b")]
+    e = e.unionAll(t.spark.createDataFrame(top, "id string, kind string, parent_id string, name string")).withColumn("responsibility", F.lit(None).cast("string"))
+    s = F.col("s_suppkey")
+    to = F.when(s % 3 == 0, "component:p-1").when(s % 5 == 0, "gone").otherwise("container:c")
+    r = t.supplier.select(A.tag("relation:r-", "s_suppkey").alias("id"), F.lit("component:p-1").alias("from_id"), to.alias("to_id"), F.when(s % 2 == 0, "calls").otherwise("contains").alias("kind"), F.lit("l").alias("label"), F.lit("t").alias("technology"), (s % 70).alias("evidence"))
+    return V.extraction(e, r)
 
 
-@query("v4_dependency_facts", "SELECT 'orders/' || o_orderkey AS path, 'unknown o_custkey' AS message FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 100 <> 0)")
+@query(
+    "v4_dependency_facts",
+    "WITH m AS (SELECT 'pkg/' || s_suppkey || CASE WHEN s_suppkey % 20 = 0 THEN '/../x' ELSE '' END AS manifest, s_suppkey AS id FROM supplier) SELECT 'packages/' || id AS path, 'unsafe path' AS message FROM m WHERE id % 20 = 0 UNION ALL SELECT 'packages/' || id, 'unknown ecosystem' FROM m WHERE id % 7 = 0"
+    " UNION ALL SELECT 'declarations/' || p_partkey, 'unknown declared_in' FROM part WHERE 'pkg/' || p_partkey % 150 NOT IN (SELECT manifest FROM m) UNION ALL SELECT 'declarations/' || p_partkey, 'dependency is missing' FROM part WHERE p_partkey % 9 = 0 UNION ALL SELECT 'declarations/' || p_partkey, 'line must be positive' FROM part WHERE p_size < 3"
+    " UNION ALL SELECT 'imports/' || o_orderkey, 'unknown imported_by' FROM orders WHERE 'pkg/' || o_custkey % 150 NOT IN (SELECT manifest FROM m) UNION ALL SELECT 'imports/' || o_orderkey, 'bad lines' FROM orders WHERE o_orderkey % 6 = 0",
+)
 def _(t):
-    return V.foreign(t.orders, "orders", "o_orderkey", "o_custkey", t.customer.where("c_custkey % 100 <> 0"), "c_custkey")
+    s, p, o = F.col("s_suppkey"), F.col("p_partkey"), F.col("o_orderkey")
+    packages = t.supplier.select(s.alias("id"), F.when(s % 7 == 0, "pip").otherwise("npm").alias("ecosystem"), F.col("s_name").alias("name"), F.concat(F.lit("pkg/"), s.cast("string"), F.when(s % 20 == 0, "/../x").otherwise("")).alias("manifest"))
+    at = lambda c: F.concat(F.lit("pkg/"), (F.col(c) % 150).cast("string"))
+    declarations = t.part.select(p.alias("id"), F.lit("npm").alias("ecosystem"), F.when(p % 9 == 0, " ").otherwise(F.col("p_name")).alias("dependency"), at("p_partkey").alias("declared_in"), (F.col("p_size") - 2).alias("line"))
+    imports = t.orders.select(o.alias("id"), F.lit("cargo").alias("ecosystem"), F.col("o_orderpriority").alias("dependency"), F.lit("src/a.rs").alias("path"), at("o_custkey").alias("imported_by"), F.lit(5).alias("start_line"), F.when(o % 6 == 0, 4).otherwise(5).alias("end_line"))
+    return V.dependency_facts(packages, declarations, imports)
 
 
 @query("v6_notation_completeness", "SELECT 'supplier/' || s_suppkey AS path, 'no balance' AS message FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT 'supplier/' || s_suppkey, 'name is blank' FROM supplier WHERE trim(s_name) = ''")
@@ -244,10 +297,14 @@ def _(t):
     return t.documents.select("doc_id", F.when(kept.isNull(), "missing").when(kept != now, "changed").otherwise("valid").alias("state"))
 
 
-@query("v11_excerpt_integrity", "SELECT 'documents/' || doc_id AS path, 'text differs from its lines' AS message FROM documents WHERE contains(text, '!!')")
+@query("v11_excerpt_integrity", "SELECT l_orderkey, l_linenumber, count(*)::BIGINT AS n, bool_and(CASE l_partkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false ELSE false END) AS matches FROM lineitem GROUP BY 1, 2")
 def _(t):
-    joined = F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.replace(x, F.lit("!!"), F.lit("!"))), "\n")
-    return V.holds(t.documents, "documents", "doc_id", joined == F.col("text"), "text differs from its lines")
+    m, n = F.col("l_partkey") % 5, F.col("l_linenumber")
+    # 0: whole; 1: another revision; 2: cut from a longer range; 3: cut, but the reference tells the cut; 4: half a range.
+    excerpt = F.struct(F.lit("a").alias("path"), F.when(m == 1, "old").otherwise("new").alias("revision"), F.lit("s").alias("symbol"), n.alias("start"), (n + 4).alias("end"), F.when(m >= 2, F.greatest(n - 1, F.lit(1))).alias("source_start"), F.when(m.isin(2, 3), n + 9).alias("source_end"))
+    ref = F.struct(F.lit("a").alias("path"), F.lit("new").alias("revision"), F.lit("s").alias("symbol"), F.when(m == 2, F.greatest(n - 1, F.lit(1))).otherwise(n).alias("start"), F.when(m == 2, n + 9).otherwise(n + 4).alias("end"))
+    ok = t.lineitem.select("l_orderkey", "l_linenumber", V.excerpt_matches(excerpt, ref).alias("ok"))
+    return ok.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.bool_and("ok").alias("matches"))
 
 
 @query("v14_block_omissions", "SELECT o_orderkey, CASE WHEN o_totalprice IS NULL THEN 'empty' WHEN o_totalprice < 1000 THEN 'thin' WHEN o_orderpriority = '5-LOW' THEN 'unranked' END AS reason FROM orders WHERE o_totalprice < 1000 OR o_orderpriority = '5-LOW'")

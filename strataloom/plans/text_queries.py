@@ -53,7 +53,16 @@ def _(t):
     return words.withColumn("term", R.stem(F.col("word")))
 
 
-@query("t3_question_tokens", f"WITH {_tokens_sql('benchmark', 'item_id', 'text')} SELECT DISTINCT item_id, term FROM st")
+#: Plain tokens, and pairs of words that some token is the joined form of, taken from left to right without overlaps.
+_ASKED = f"""WITH RECURSIVE z0 AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda x: x <> '') AS cs FROM benchmark), z AS (SELECT item_id, unnest(range(1, len(cs) + 1)) AS pos, unnest(cs) AS chunk FROM z0),
+ n AS (SELECT *, lower(chunk) AS low, lead(lower(chunk)) OVER (PARTITION BY item_id ORDER BY pos) AS ahead FROM z), raw AS (SELECT item_id, 0 AS kind, 0 AS pos, unnest(string_split(lower({_CUT.format('chunk')}), ' ')) AS term FROM z),
+ w AS (SELECT * FROM raw WHERE length(term) >= 2 AND NOT regexp_matches(term, '^[0-9]+$') AND term NOT IN ({_STOP}) UNION ALL SELECT item_id, 1, pos, low || ahead FROM n WHERE length(low || ahead) >= 6 AND low NOT IN ({_STOP}) AND ahead NOT IN ({_STOP})), {_stem_sql('w', 'item_id, kind, pos')},
+ known AS (SELECT item_id, pos, term FROM st WHERE kind = 1 AND term IN (SELECT term FROM st WHERE kind = 0)), k AS (SELECT n.item_id, n.pos, known.term FROM n LEFT JOIN known USING (item_id, pos)),
+ r(item_id, pos, term) AS (SELECT item_id, pos, term FROM k WHERE pos = 1 UNION ALL SELECT k.item_id, k.pos, CASE WHEN r.term IS NULL THEN k.term END FROM r JOIN k ON k.item_id = r.item_id AND k.pos = r.pos + 1)
+ SELECT DISTINCT item_id, term FROM st WHERE kind = 0 UNION SELECT item_id, term FROM r WHERE term IS NOT NULL"""
+
+
+@query("t3_question_tokens", _ASKED)
 def _(t):
     asked = t.benchmark.select(F.col("item_id").alias("q"), "text")
     known = R.tokens(asked, ["q"], F.col("text")).select("term").distinct()
@@ -214,17 +223,22 @@ def _(t):
     return R.did_you_mean(names, "natoin_1")
 
 
-@query("t20_clone_fingerprints", "SELECT fp, count(*)::BIGINT AS n FROM (SELECT sha256(regexp_replace(regexp_replace(lower(text), '[0-9]+', '0', 'g'), '[^a-z0]+', ' ', 'g')) AS fp, text FROM documents) WHERE length(text) - length(replace(text, ' ', '')) >= 20 GROUP BY 1 HAVING count(*) > 1")
+#: The patterns of strings and comments, as a literal of SQL.
+_STR, _COM = (p.replace("'", "''") for p in (X._STRING, X._COMMENT))
+_CODE = f"regexp_replace(regexp_replace({{0}}, '({_STR})|{_COM}', '\\1', 'g'), '{_STR}', '\"\"', 'g')"
+
+
+@query("t20_clone_fingerprints", f"SELECT fp, count(*)::BIGINT AS n FROM (SELECT sha256(regexp_replace(regexp_replace(lower(code), '[0-9]+', '0', 'g'), '[^a-z0]+', ' ', 'g')) AS fp, code FROM (SELECT {_CODE.format('text')} AS code FROM documents)) WHERE length(code) - length(replace(code, ' ', '')) >= 20 GROUP BY 1 HAVING count(*) > 1")
 def _(t):
-    norm = F.regexp_replace(F.regexp_replace(F.lower("text"), "[0-9]+", "0"), "[^a-z0]+", " ")
-    long = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) >= 20
-    return t.documents.where(long).groupBy(F.sha2(norm, 256).alias("fp")).agg(F.count("*").alias("n")).where("n > 1")
+    code = t.documents.select(X.code_only(F.col("text")).alias("code"))
+    norm = F.regexp_replace(F.regexp_replace(F.lower("code"), "[0-9]+", "0"), "[^a-z0]+", " ")
+    long = F.length("code") - F.length(F.replace("code", F.lit(" "), F.lit(""))) >= 20
+    return code.where(long).groupBy(F.sha2(norm, 256).alias("fp")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("t21_keyword_complexity", "SELECT doc_id, (1 + len(regexp_extract_all(text, '\\b(if|for|while|case|catch)\\b')) + len(regexp_extract_all(text, '&&|\\|\\|')))::INTEGER AS complexity FROM documents")
+@query("t21_keyword_complexity", f"SELECT doc_id, (1 + len(regexp_extract_all(code, '\\b(if|for|while|case|catch)\\b')) + len(regexp_extract_all(code, '&&|\\|\\||\\?\\?')))::INTEGER AS complexity FROM (SELECT doc_id, {_CODE.format('text')} AS code FROM documents)")
 def _(t):
-    count = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0)))
-    return t.documents.select("doc_id", (1 + count(r"\b(if|for|while|case|catch)\b") + count(r"&&|\|\|")).alias("complexity"))
+    return t.documents.select("doc_id", X.branch_count(F.col("text")).alias("complexity"))
 
 
 @query("t22_signature_change", "SELECT doc_id, sha256(split_part(text, chr(10), 1)) AS surface, sha256(text) AS whole FROM documents")
@@ -332,21 +346,16 @@ def _(t):
     return t.documents.select("doc_id", X.shorten(s, 40).alias("label"))
 
 
-#: Widths of some letters in tenths of an em; all others take six.
-_WIDTHS = {"i": 3, "l": 3, "m": 9, "w": 8, " ": 3}
-
-
-@query("x13_text_width", "SELECT doc_id, list_sum(list_transform(string_split(text, ''), lambda c: CASE c WHEN 'i' THEN 3 WHEN 'l' THEN 3 WHEN 'm' THEN 9 WHEN 'w' THEN 8 WHEN ' ' THEN 3 ELSE 6 END))::INTEGER AS width FROM documents")
+@query("x13_text_width", f"SELECT doc_id, list_sum(list_transform(string_split(text, ''), lambda c: {list(X.SANS_ADVANCES)}[CASE WHEN c = '…' THEN 96 WHEN unicode(c) BETWEEN 32 AND 126 THEN unicode(c) - 31 ELSE 32 END]))::BIGINT AS width FROM documents")
 def _(t):
-    table = F.create_map(*(F.lit(x) for kv in _WIDTHS.items() for x in kv))
-    chars = F.split("text", "")
-    return t.documents.select("doc_id", F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0), lambda a, c: a + F.coalesce(F.try_element_at(table, c), F.lit(6))).alias("width"))
+    return t.documents.select("doc_id", X.text_width(F.col("text")).alias("width"))
 
 
-@query("x14_excerpt_clamp", "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10))[1:5], lambda l: left(l, 50)), chr(10)) AS excerpt FROM documents")
+@query("x14_excerpt_clamp")
 def _(t):
-    lines = F.slice(F.split("text", "\n", -1), 1, 5)
-    return t.documents.select("doc_id", F.array_join(F.transform(lines, lambda x: F.substring(x, 1, 50)), "\n").alias("excerpt"))
+    start = (F.col("doc_id") % 5 + 1).cast("int")
+    got = X.clamp_excerpt(F.col("text"), start, start + 60, start + (F.col("doc_id") % 9).cast("int"))
+    return t.documents.select("doc_id", got.alias("x")).select("doc_id", "x.start_line", F.array_join("x.lines", "\n").alias("excerpt"))
 
 
 @query("x15_content_hash", "SELECT n_nationkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}') AS hash FROM nation")
@@ -371,10 +380,13 @@ def _(t):
     return m.select(F.explode(F.map_entries("m")).alias("e")).select(F.col("e.key").alias("name"), F.col("e.value").alias("value"))
 
 
-@query("x19_json_leaves", "SELECT event_id, json_extract_string(props, '$.k') AS leaf FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+@query("x19_json_leaves", "SELECT event_id, unnest([json_extract_string(props, '$.k') || '', event_type, 'x']) AS leaf FROM events")
 def _(t):
-    leaves = F.from_json("props", "map<string,string>")
-    return t.events.select("event_id", F.explode(F.map_values(leaves)).alias("leaf"))
+    from ..functions.parsers import json_strings
+
+    k = F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))
+    nested = F.to_json(F.struct(F.array(F.struct(k.alias("k")), F.struct(F.col("event_type").alias("k"))).alias("a"), F.lit(7).alias("n"), F.struct(F.lit("x").alias("y")).alias("b")))
+    return t.events.select("event_id", F.explode(json_strings(nested)).alias("leaf"))
 
 
 @query("x20_dates", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts::DATE - INTERVAL 14 DAY, '%Y-%m-%d') AS kept_from FROM events")
@@ -387,9 +399,18 @@ def _(t):
     return t.events.select("event_id", X.round4(X.clamp(F.col("value"), 10.0, 90.0)).alias("v"))
 
 
-@query("x22_rects", "SELECT p_brand, min(p_retailprice) AS x, max(p_retailprice + p_size) - min(p_retailprice) AS w FROM part GROUP BY 1")
+@query(
+    "x22_rects",
+    "SELECT id, x0 AS ux, y0 AS uy, x1 - x0 AS uw, y1 - y0 AS uh, x <= 1240 AND x + w >= 1000 AND y <= 400 AND y + h >= 100 AS meets, x + w / 2 AS cx, y - 4 AS ey, w + 8 AS ew, pow(greatest(x - 1100, 1100 - (x + w), 0), 2) + pow(greatest(y - 200, 200 - (y + h), 0), 2) AS d2"
+    " FROM (SELECT *, least(x, 1000) AS x0, least(y, 100) AS y0, greatest(x + w, 1240) AS x1, greatest(y + h, 400) AS y1 FROM (SELECT p_partkey AS id, p_retailprice AS x, p_size * 10.0::DOUBLE AS y, 30.0::DOUBLE AS w, 20.0::DOUBLE AS h FROM part))",
+)
 def _(t):
-    return t.part.groupBy("p_brand").agg(F.min("p_retailprice").alias("x"), (F.max(F.col("p_retailprice") + F.col("p_size")) - F.min("p_retailprice")).alias("w"))
+    from ..operators import spatial as P
+
+    one = P.rect(F.col("p_retailprice"), F.col("p_size") * 10, F.lit(30), F.lit(20))
+    view = P.rect(F.lit(1000), F.lit(100), F.lit(240), F.lit(300))
+    both = t.part.select(F.col("p_partkey").alias("id"), one.alias("r"), P.rect_union(one, view).alias("u"), P.rect_meets(one, view).alias("meets"), P.rect_expand(one, 4.0).alias("e"), P.rect_distance2(one, F.lit(1100.0), F.lit(200.0)).alias("d2"))
+    return both.select("id", F.col("u.x").alias("ux"), F.col("u.y").alias("uy"), F.col("u.w").alias("uw"), F.col("u.h").alias("uh"), "meets", (F.col("r.x") + F.col("r.w") / 2).alias("cx"), F.col("e.y").alias("ey"), F.col("e.w").alias("ew"), "d2")
 
 
 @query("x23_rate_key", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '10.0.0.' || c_custkey % 200 WHEN 1 THEN '2001:db8:0:' || c_custkey % 9 || '::/64' ELSE '203.0.113.7' END AS key FROM customer")
@@ -401,11 +422,19 @@ def _(t):
     return t.customer.select("c_custkey", rate_key(ip).alias("key"))
 
 
-@query("x24_nearby_tests", "SELECT p.p_partkey, c.path FROM part p, (VALUES ('.test.ts'), ('.spec.ts')) e(x), (SELECT DISTINCT p_name || '.test.ts' AS path FROM part WHERE p_partkey % 3 = 0) c WHERE c.path = p.p_name || e.x")
+@query(
+    "x24_nearby_tests",
+    f"WITH e AS (SELECT unnest({list(X.TEST_ENDINGS)}) AS ending, unnest(range({len(X.TEST_ENDINGS)})) AS k), f AS (SELECT DISTINCT 'src/' || CASE WHEN p_partkey % 2 = 0 THEN '__tests__/' ELSE '' END || p_name || e.ending AS path FROM part JOIN e ON p_partkey % 3 = 0 AND (k = p_partkey % 16 OR k = p_partkey % 5 OR k = 15 OR k = 2)),"
+    f" c AS (SELECT p_partkey, 'src/' || d || p_name || ending AS path, k + {len(X.TEST_ENDINGS)} * (d <> '')::INT AS k FROM part, e, (VALUES (''), ('__tests__/')) v(d)), r AS (SELECT p_partkey, path, row_number() OVER (PARTITION BY p_partkey ORDER BY k) AS n FROM c JOIN f USING (path)) SELECT p_partkey, path FROM r WHERE n <= 3",
+)
 def _(t):
-    tries = t.part.select("p_partkey", F.explode(F.array(*(F.concat("p_name", F.lit(e)) for e in (".test.ts", ".spec.ts")))).alias("path"))
-    files = t.part.where("p_partkey % 3 = 0").select(F.concat("p_name", F.lit(".test.ts")).alias("path"))
-    return tries.join(files, "path", "left_semi").select("p_partkey", "path")
+    from ..operators.joins import nearby_tests
+
+    ending = F.explode(F.array(*(F.struct(F.lit(e).alias("e"), F.lit(k).alias("k")) for k, e in enumerate(X.TEST_ENDINGS))))
+    made = t.part.where("p_partkey % 3 = 0").select("p_partkey", "p_name", ending.alias("x")).where("x.k = p_partkey % 16 OR x.k = p_partkey % 5 OR x.k = 15 OR x.k = 2")
+    files = made.select(F.concat(F.lit("src/"), F.when(F.col("p_partkey") % 2 == 0, "__tests__/").otherwise(""), "p_name", "x.e").alias("path"))
+    sources = t.part.select("p_partkey", F.concat(F.lit("src/"), "p_name", F.lit(".ts")).alias("path"))
+    return nearby_tests(sources, files, "p_partkey")
 
 
 @query("x25_file_tree", "WITH p AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages), d AS (SELECT path, array_to_string(string_split(path, '/')[1:k], '/') AS dir FROM p, range(1, 9) r(k) WHERE k < len(string_split(path, '/'))) SELECT dir, count(*)::BIGINT AS files FROM d GROUP BY 1")

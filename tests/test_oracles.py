@@ -48,7 +48,10 @@ def test_same_rows_as_duckdb(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ORACLES and not n.startswith("op") and n != "pipeline"))
 def test_runs_without_sql(spark, name):
-    assert QUERIES[name](spark, SF).limit(5).collect() is not None
+    """Rows, each column with a value in some of them; what the values are is held against plain code in other modules."""
+    df = QUERIES[name](spark, SF)
+    rows = df.collect()
+    assert rows and all(any(r[c] is not None for r in rows) for c in df.columns)
 
 
 def test_entry(spark):
