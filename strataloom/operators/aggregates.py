@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,12 +55,49 @@ def recall(hit: Column, expected: Column) -> Column:
     return F.when(expected == 0, F.lit(1.0)).otherwise(hit / expected)
 
 
+def agreement(a: list, b: list) -> float | None:
+    """Mean over all pairs of the product of the signs of both differences, in n log n steps: no pair is listed."""
+    n = len(a)
+    if n < 2:
+        return None
+    rank = {v: i + 1 for i, v in enumerate(sorted(set(b)))}
+    tree, total, seen = [0] * (len(rank) + 1), 0, 0
+
+    def up_to(i: int) -> int:
+        k = 0
+        while i:
+            k, i = k + tree[i], i & (i - 1)
+        return k
+
+    rows = sorted(zip(a, (rank[v] for v in b)))
+    at = 0
+    while at < n:
+        end = at
+        while end < n and rows[end][0] == rows[at][0]:
+            end += 1
+        for _, r in rows[at:end]:  # against rows of smaller a
+            total += up_to(r - 1) - (seen - up_to(r))
+        for _, r in rows[at:end]:
+            while r < len(tree):
+                tree[r] += 1
+                r += r & -r
+        seen, at = end, end
+    return total / (n * (n - 1) / 2)
+
+
 def kendall_tau(ranked: DataFrame, group: str, item: str, a: str, b: str) -> DataFrame:
-    """(group, tau) of two rankings of one item set: the mean agreement of all pairs. For lists of tens of items."""
-    left = ranked.select(group, F.col(item).alias("i"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    right = ranked.select(group, F.col(item).alias("j"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    pairs = left.join(right, group).where("i < j")
-    return pairs.groupBy(group).agg(F.avg(F.signum(F.col("a1") - F.col("a2")) * F.signum(F.col("b1") - F.col("b2"))).alias("tau"))
+    """(group, tau) of two rankings of each group's item set: the mean agreement of all pairs; groups of one are left out.
+
+    A group's two rank columns go to one task, as rankings of one list do.
+    """
+    name = ranked.schema[group]
+
+    def tau(table):
+        value = agreement(table.column("a").to_pylist(), table.column("b").to_pylist())
+        rows = [] if value is None else [value]
+        return pa.table({group: table.column(group).slice(0, len(rows)), "tau": pa.array(rows, pa.float64())})
+
+    return ranked.select(group, F.col(a).alias("a"), F.col(b).alias("b")).groupBy(group).applyInArrow(tau, f"{group} {name.dataType.simpleString()}, tau double")
 
 
 def nearest_rank(value: str, p: float) -> Column:

@@ -8,37 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: What the parts of an ownership glob stand for; other text stands for itself.
+_GLOB = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+
+
 def glob_regex(pattern: str) -> str:
     """Regular expression of an ownership glob: ``*`` within a segment, ``**`` over segments, a final slash for folders."""
-    anchored = pattern.startswith("/") or "/" in pattern.rstrip("/")
     body = pattern.strip("/")
-    if body in ("", "*", "**"):
+    if not body.strip("*"):
         return "^.*$"
-    out, k = "", 0
-    while k < len(body):
-        if body.startswith("**/", k):
-            out, k = out + "(?:.*/)?", k + 3
-        elif body.startswith("**", k):
-            out, k = out + ".*", k + 2
-        elif body[k] == "*":
-            out, k = out + "[^/]*", k + 1
-        elif body[k] == "?":
-            out, k = out + "[^/]", k + 1
-        else:
-            out, k = out + re.escape(body[k]), k + 1
-    end = "/.*$" if pattern.endswith("/") else "(?:/.*)?$"
-    return ("^" if anchored else "^(?:.*/)?") + out + end
-
-
-def last_match(paths: DataFrame, rules: DataFrame, path_col: str = "path") -> DataFrame:
+    inner = "".join(_GLOB.get(part) or re.escape(part) for part in re.findall(r"\*\*/|\*\*|[*?]|[^*?]+", body))
+    start = "^" if "/" in pattern.rstrip("/") else "^(?:.*/)?"
+    return start + inner + ("/.*$" if pattern.endswith("/") else "(?:/.*)?$")
+
+
+def last_match(paths: DataFrame, rules: DataFrame, path_col: str = "path", most_rules: int = 2000) -> DataFrame:
     """(path, rule_no, owners): the last rule (rule_no, pattern_regex, owners) that matches; one without owners clears.
 
-    Rules are lines of one file, some hundreds at most, so they are collected and become one CASE per path: no row is
-    multiplied and nothing is shuffled.
+    Rules are the lines of one file. They become one CASE per path, so no row is multiplied and nothing is shuffled; a file
+    of more than ``most_rules`` is refused before its rules are collected.
     """
-    ordered = sorted(rules.select("rule_no", "pattern_regex", "owners").collect(), key=lambda r: -r.rule_no)
+    if (n := rules.limit(most_rules + 1).count()) > most_rules:
+        raise ValueError(f"more than {most_rules} rules ({n})")
+    ordered = sorted(rules.select("rule_no", "pattern_regex", "owners").collect(), key=lambda r: r.rule_no)
     number, owners = F.lit(None).cast("int"), F.lit(None).cast("array<string>")
-    for r in reversed(ordered):
+    for r in ordered:
         hit = F.col(path_col).rlike(r.pattern_regex)
         number = F.when(hit, r.rule_no).otherwise(number)
         owners = F.when(hit, F.array(*map(F.lit, r.owners)) if r.owners else F.lit(None)).otherwise(owners)
@@ -109,13 +103,6 @@ def merge_deltas(base: DataFrame, upserts: DataFrame, deletes: DataFrame, key: s
     return out.join(deletes.select(key), key, "left_anti")
 
 
-def bucket_pairs(items: DataFrame, bucket: str, key: str) -> DataFrame:
-    """(a, b), a < b, of items that share a bucket. For buckets that are small by definition: see :func:`bucket_stars`."""
-    a = items.select(bucket, F.col(key).alias("a"))
-    b = items.select(bucket, F.col(key).alias("b"))
-    return a.join(b, bucket).where("a < b").select("a", "b")
-
-
 def bucket_stars(items: DataFrame, bucket: str, key: str) -> DataFrame:
     """(first, member, size): each member of a bucket of two or more beside its least member; linear in the items."""
     head = items.groupBy(bucket).agg(F.min(key).alias("first"), F.count("*").alias("size")).where("size > 1")

@@ -28,8 +28,16 @@ def read_tree(spark, path: str, glob: str = "*", most_bytes: int | None = None)
     return df.select("path", F.col("length").alias("size"), F.col("content").cast("string").alias("text"))
 
 
+def _attempt(parse: Callable[[str], list[tuple]], text: str | None) -> tuple[list[tuple], str | None]:
+    try:
+        return parse(text or ""), None
+    except (ValueError, KeyError, TypeError, AttributeError) as e:
+        return [], f"{type(e).__name__}: {e}"
+
+
 def parse_files(files: DataFrame, parse: Callable[[str], list[tuple]], fields: list[tuple[str, T.DataType]]) -> DataFrame:
-    """(path, fields) for each tuple that ``parse`` makes of a file's text; a file that it can't read gives no rows."""
+    """(path, fields) for each tuple that ``parse`` makes of a file's text; a file that it can't read gives no rows here and
+    one row of :func:`unreadable`."""
     schema = T.StructType([T.StructField("path", T.StringType()), *(T.StructField(n, k) for n, k in fields)])
     kinds = {T.StringType(): pa.string(), T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.BooleanType(): pa.bool_()}
 
@@ -37,10 +45,7 @@ def parse_files(files: DataFrame, parse: Callable[[str], list[tuple]], fields: l
         for b in batches:
             paths, rows = [], []
             for p, t in zip(*(c.to_pylist() for c in b.columns)):
-                try:
-                    got = parse(t or "")
-                except (ValueError, KeyError, TypeError, AttributeError):
-                    continue
+                got, _ = _attempt(parse, t)
                 rows += got
                 paths += [p] * len(got)
             cols = list(zip(*rows)) if rows else [[]] * len(fields)
@@ -49,6 +54,18 @@ def parse_files(files: DataFrame, parse: Callable[[str], list[tuple]], fields: l
     return files.select("path", "text").mapInArrow(run, schema)
 
 
+def unreadable(files: DataFrame, kind: str) -> DataFrame:
+    """(path, error) of the files that the reader of a kind can't read, so that a lost one is seen."""
+    parse = PARSERS[kind][0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            errors = [(p, e) for p, t in zip(*(c.to_pylist() for c in b.columns)) if (e := _attempt(parse, t)[1])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in errors], pa.string()) for i in range(2)], names=["path", "error"])
+
+    return files.select("path", "text").mapInArrow(run, "path string, error string")
+
+
 def package_json(files: DataFrame) -> DataFrame:
     """(path, section, name, spec) of all dependency sections."""
     kind = "struct<" + ",".join(f"{s}:map<string,string>" for s in SECTIONS) + ">"
@@ -158,12 +175,18 @@ OWNER_FILES = (".github/CODEOWNERS", "CODEOWNERS", "docs/CODEOWNERS")
 
 
 def owner_rules(files: DataFrame) -> DataFrame:
-    """(rule_no, pattern, owners) of the first owners file that exists."""
+    """(rule_no, pattern, owners) of the first owners file that exists.
+
+    Comments, a byte order mark and negated lines (``!``) say nothing; blanks after a backslash belong to the pattern.
+    Owners come once each and sorted; a rule without any clears what earlier ones gave.
+    """
     rank = F.array_position(F.array(*map(F.lit, OWNER_FILES)), F.col("path"))
     first = files.where(rank > 0).select("path", "text", rank.alias("r")).orderBy("r").limit(1)
-    rows = lines_of(first).withColumn("body", F.trim(F.regexp_replace("body", r"(^|\s)#.*$", ""))).where("body <> ''")
-    parts = F.split("body", r"\s+")
-    return rows.select(F.col("line").alias("rule_no"), F.get(parts, F.lit(0)).alias("pattern"), F.slice(parts, 2, 1000).alias("owners"))
+    body = F.trim(F.regexp_replace(F.regexp_replace("body", "^\ufeff|\r$", ""), r"(^|\s)#.*$", ""))
+    rows = lines_of(first).withColumn("body", body).where((F.col("body") != "") & ~F.startswith("body", F.lit("!")))
+    parts = F.split("body", r"(?<!\\)\s+")
+    owners = F.sort_array(F.array_distinct(F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda o: o != "")))
+    return rows.select(F.col("line").alias("rule_no"), F.replace(F.get(parts, F.lit(0)), F.lit("\\ "), F.lit(" ")).alias("pattern"), owners.alias("owners"))
 
 
 def coverage_records(files: DataFrame) -> tuple[DataFrame, DataFrame]:

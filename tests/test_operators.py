@@ -212,6 +212,25 @@ def test_bad_files_give_no_rows(spark):
     assert [(r.path, r.name) for r in files.parsed(df, "cargo_lock").collect()] == [("z", "a")]
 
 
+    assert [(r.path, r.error.split(":")[0]) for r in files.unreadable(df, "cargo_lock").collect()] == [("x", "TOMLDecodeError")]
+
+
+def test_owner_lines(spark):
+    text = "\ufeff* @core @core\r\n!no @x\ndocs/my\\ file @b @a me@x.org word # note\n# none\nempty/\n"
+    got = files.owner_rules(spark.createDataFrame([("CODEOWNERS", text)], "path string, text string")).orderBy("rule_no").collect()
+    assert [(r.pattern, r.owners) for r in got] == [("*", ["@core"]), ("docs/my file", ["@a", "@b", "me@x.org", "word"]), ("empty/", [])]
+    rules = spark.range(5).selectExpr("int(id) AS rule_no", "'^a' AS pattern_regex", "array('o') AS owners")
+    with pytest.raises(ValueError, match="rules"):
+        J.last_match(spark.createDataFrame([("a",)], "path string"), rules, most_rules=4)
+
+
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), min_size=2, max_size=25))
+def test_agreement_equals_all_pairs(rows):
+    sign = lambda x: (x > 0) - (x < 0)
+    pairs = [sign(p[0] - q[0]) * sign(p[1] - q[1]) for i, p in enumerate(rows) for q in rows[:i]]
+    assert abs(A.agreement([a for a, _ in rows], [b for _, b in rows]) - sum(pairs) / len(pairs)) < 1e-12
+
+
 def test_publish_is_immutable(spark, tmp_path):
     df = spark.range(3)
     bundles.publish(df, str(tmp_path), "s", "v1")
