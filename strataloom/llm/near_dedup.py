@@ -7,9 +7,9 @@
 3. In a few rounds each list pairs one pivot with its members of other components. The union sketch of a pair estimates
    its similarity; pairs far below the threshold go, the rest are verified on the full sets, and links join components.
    Lists that overlap choose the same pivots, so a group of thousands of near copies costs a few pairs per member.
-4. In lists that still lie in several components, the members outside the main one are held against all others, in
-   blocks within a task: first by their sketches, then those that came near any other by their full sets. A task hands
-   out true links only, so no link between components is lost, and no pairs are listed.
+4. Lists that still lie in several components are joined into groups by the class that leads them. The members outside
+   a group's main component are held against all others, in blocks within a task: first by sketches, then by full sets.
+   A task hands out true links only, so no link between components is lost, and no pairs are listed.
 
 No task grows with a hot key. Lists, pivots and the centres of components that hold many rows are dealt over several
 tasks, in proportion to rows that are counted first.
@@ -220,15 +220,15 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(x) + len(y) - inter) > 0
 
 
-def _with_least(arcs: DataFrame, low: DataFrame, most: int) -> DataFrame:
-    """``arcs`` (a, b) with ``m``, the value of ``low`` (a, m, d) for their a; ``d`` counts the rows of a.
+def _beside(rows: DataFrame, table: DataFrame, key: str, count: str, most: int) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each ``key`` and tells its number of rows in ``count``.
 
-    The centre of a large star has most of the rows: nodes of more than ``most`` rows are broadcast, and the caller sees
-    to it that they are few; the others meet their rows in a shuffle.
+    Keys of more than ``most`` rows are broadcast, and the caller sees to it that they are few; the others meet their rows
+    in a shuffle. So no task holds all rows of a hot key.
     """
-    hot = F.broadcast(low.where(F.col("d") > most).select("a", "m"))
-    plain = arcs.join(hot.select("a"), "a", "left_anti").join(low.where(F.col("d") <= most).select("a", "m"), "a")
-    return arcs.join(hot, "a").select("a", "b", "m").unionAll(plain.select("a", "b", "m"))
+    hot = F.broadcast(table.where(F.col(count) > most))
+    plain = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(count) <= most), key)
+    return rows.join(hot, key).unionByName(plain)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60, made: list[str] | None = None) -> DataFrame:
@@ -251,11 +251,11 @@ def connected_components(edges: DataFrame, rounds: int = 60, made: list[str] | N
         most = max(KEY_ROWS, n // HOT_KEYS)
         arcs = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = arcs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("d"))
-        large = _with_least(arcs.where("b > a"), low, most).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _beside(arcs.where("b > a"), low, "a", "d", most).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Now b < a in each row.
         down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d"))
         pair = lambda x: F.struct(F.col(x).alias("a"), F.col("m").alias("b"))
-        small = _with_least(large, down, most).select(F.explode(F.array(pair("b"), pair("a"))).alias("e"))
+        small = _beside(large, down, "a", "d", most).select(F.explode(F.array(pair("b"), pair("a"))).alias("e"))
         now = materialize(small.select("e.*").where("a <> b").distinct(), "components", made)
         drop_dirs(edges.sparkSession, made, keep=1)
     raise RuntimeError("components did not settle")
@@ -334,55 +334,43 @@ def _block_links(rep, comp, outside, sets, percent: int) -> list[tuple[int, int]
     return out
 
 
-def _between(placed: DataFrame, shape: DataFrame, full: DataFrame, percent: int, made: list[str], block: int = 512, values: int = 1 << 19) -> DataFrame:
+def _between(placed: DataFrame, full: DataFrame, percent: int, made: list[str], block: int = 512, values: int = 1 << 19) -> DataFrame:
     """Links (a, b) between classes that share a list but lie in different components.
 
-    A block holds about ``block`` classes and ``values`` shingles of either side, so long texts make small blocks. Blocks
-    are first searched by sketches; only classes that may have a link in a block meet there with their full sets.
+    Lists that one class leads are searched as one group: copies of a text share dozens of lists, and its least copy leads
+    most of them, so they meet once. A block holds about ``block`` classes and ``values`` shingles of either side of a
+    group, so long texts make small blocks; a task hands out true links only.
     """
-    per = placed.groupBy("v", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-    # Lists of two were compared in the first round.
+    order = F.struct(F.xxhash64(F.lit(-1), "rep"), "rep")
+    open_lists = placed.groupBy("v").agg(F.min_by("rep", order).alias("lead"), F.first("m").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    leads = open_lists.select("v", "lead", _dealt(_copies(F.col("m"))))
+    groups = placed.withColumn("lot", _lot(_copies(F.col("m")), "rep")).join(leads, ["v", "lot"]).select("lead", "rep", "n", "component").distinct()
+    groups = materialize(groups, "groups", made)
+    per = groups.groupBy("lead", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    # Groups of two were compared in the first round.
     main = F.max_by(F.struct("component", "c", "n"), F.struct("c", "component")).alias("main")
-    lists = per.groupBy("v").agg(main, F.sum("c").alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1 AND m > 2")
+    sizes = per.groupBy("lead").agg(main, F.sum("c").alias("m"), F.sum("n").alias("n")).where("m > 2")
     count = lambda m, n: F.ceil(F.greatest(m / block, n / values)).cast("int")
     rest = F.col("m") - F.col("main.c")
-    lists = lists.select("v", F.col("main.component").alias("main"), "m", rest.alias("out"), count(F.col("m"), F.col("n")).alias("nb"), count(rest, F.col("n") - F.col("main.n")).alias("nc"))
-    lists = materialize(lists, "open-lists", made)
-    n_rows = lists.agg(F.coalesce(F.sum(F.col("m") * F.col("nc") + F.col("out") * F.col("nb")), F.lit(0)).alias("n")).first().n
+    sizes = sizes.select("lead", F.col("main.component").alias("main"), "m", rest.alias("out"), count(F.col("m"), F.col("n")).alias("nb"), count(rest, F.col("n") - F.col("main.n")).alias("nc"))
+    sizes = materialize(sizes, "group-sizes", made)
+    told = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum(F.col("m") * F.col("nc") + F.col("out") * F.col("nb")), F.lit(0)).alias("n")).first()
     # As many partitions as the rows call for, so that a task's share stays the same however much there is.
-    tasks = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // BLOCK_ROWS))
-    rows = placed.withColumn("lot", _lot(_copies(F.col("m")), "rep")).drop("m").join(lists.select("*", _dealt(_copies(F.col("m")))), ["v", "lot"])
+    tasks = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-told.n // BLOCK_ROWS))
+    rows = _beside(groups, sizes, "lead", "m", max(KEY_ROWS, told.m // HOT_KEYS)).join(full, "rep")
     outside = F.col("component") != F.col("main")
     deal = lambda of: F.pmod(F.xxhash64("rep"), of).cast("int")
     place = lambda x, y, role: F.struct(x.alias("x"), y.alias("y"), F.lit(role).alias("role"))
     inner = F.transform(F.sequence(F.lit(0), F.col("nc") - 1), lambda c: place(deal(F.col("nb")), c, False))
     outer = F.when(outside, F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: place(b, deal(F.col("nc")), True))).otherwise(F.slice(inner, 1, 0))
-    rows = rows.join(shape.select("rep", "sketch"), "rep")
-    rows = rows.select("v", "rep", "component", "n", "sketch", F.explode(F.concat(inner, outer)).alias("p")).select("v", "p.*", "rep", "component", "n", "sketch")
-
-    def near(table):
-        table = table.combine_chunks()
-        sketch = table.column("sketch").chunk(0)
-        at, flat = np.asarray(sketch.offsets), np.asarray(sketch.values)
-        short = [flat[i:j] for i, j in zip(at, at[1:])]
-        own = lambda c: table.column(c).to_numpy()
-        left, right, ok = _may_link(own("component"), own("role").astype(bool), own("n"), short, percent)
-        keep = np.concatenate([left[ok.any(1)], right[ok.any(0)]])
-        return table.select(["v", "x", "y", "role", "rep", "component"]).take(pa.array(keep, pa.int64()))
-
-    found = rows.repartition(tasks, "v", "x", "y").groupBy("v", "x", "y").applyInArrow(near, "v long, x int, y int, role boolean, rep long, component long")
-    found = materialize(found, "near-blocks", made)
-    release(placed.sparkSession)
+    rows = rows.select("lead", "rep", "component", "full", F.explode(F.concat(inner, outer)).alias("p")).select("lead", "p.*", "rep", "component", "full")
 
     def search(pdf):
         sets = [np.frombuffer(x, np.int64) for x in pdf["full"]]
         links = _block_links(pdf["rep"].to_numpy(), pdf["component"].to_numpy(), pdf["role"].to_numpy(), sets, percent)
         return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}, dtype="int64")
 
-    # A set is fetched once for all blocks of its list.
-    places = found.groupBy("v", "rep", "component").agg(F.collect_list(F.struct("x", "y", "role")).alias("p"))
-    whole = places.join(full, "rep").select("v", F.explode("p").alias("p"), "rep", "component", "full").select("v", "p.*", "rep", "component", "full").repartition(tasks, "v", "x", "y")
-    return whole.groupBy("v", "x", "y").applyInPandas(search, "a long, b long").distinct()
+    return rows.repartition(tasks, "lead", "x", "y").groupBy("lead", "x", "y").applyInPandas(search, "a long, b long").distinct()
 
 
 def _place(keys: DataFrame, parts: DataFrame) -> DataFrame:
@@ -424,7 +412,7 @@ def _components_of(source: DataFrame, words: int, percent: int, rounds: int) ->
         links = materialize(_verify(_near_enough(pairs, heads, shape, percent), heads, full, percent), "links", made)
         parts = _join_parts(parts, links, placed_in)
         release(spark)
-    late = materialize(_between(_place(keys, parts), shape, full, percent, made), "links-between", made)
+    late = materialize(_between(_place(keys, parts), full, percent, made), "links-between", made)
     parts = _join_parts(parts, late, placed_in)
     drop_dirs(spark, made)
     release(spark)
