@@ -25,7 +25,8 @@ from .common import text_slices
 class Notice:
     """A phrase of lower-case words that tells of a licence; ``edits``: how many characters may differ.
 
-    An edit may not touch a word of fewer than SHORT letters: in so few letters it makes another word.
+    In a phrase of fewer than BRIEF letters, the words of fewer than SHORT letters must stand unchanged: an edit there makes
+    another phrase ("edit license", "exit license"). Elsewhere edits may fall on any character.
     """
 
     label: str
@@ -33,8 +34,13 @@ class Notice:
     edits: int
     base: bool = False
 
+    @property
+    def fixed_words(self) -> list[str]:
+        words = self.phrase.split()
+        return [w for w in words if len(w) < SHORT] if sum(map(len, words)) < BRIEF else []
 
-SHORT = 5
+
+BRIEF, SHORT = 20, 5
 
 #: The base phrases, then the notices that the method adds.
 NOTICES = (
@@ -67,13 +73,13 @@ class NoticeSearch:
     def __init__(self, notices: tuple[Notice, ...] = NOTICES):
         self.notices = notices
         seeds: dict[str, list[tuple[int, int]]] = {}
-        self.patterns, self.short = [], []
+        self.patterns, self.fixed = [], []
         for k, n in enumerate(notices):
             parts, size = n.edits + 1, len(n.phrase)
             cuts = [size * j // parts for j in range(parts + 1)]
             for a, b in zip(cuts, cuts[1:]):
                 seeds.setdefault(n.phrase[a:b], []).append((k, a))
-            self.short.append([w for w in n.phrase.split() if len(w) < SHORT])
+            self.fixed.append(n.fixed_words)
             self.patterns.append(regex.compile(f"(?e)(?<![^ ])(?:{regex.escape(n.phrase, special_only=True)}){{e<={n.edits}}}(?![^ ])"))
         self.machine = ahocorasick.Automaton()
         for s, uses in seeds.items():
@@ -83,7 +89,8 @@ class NoticeSearch:
     def search(self, text: str) -> tuple[int, list[tuple[int, int, int, str, int]]]:
         """(number of words, places as (notice number, first word, words, text of the span, edits)).
 
-        Places of one notice do not overlap; those without edits are complete.
+        Places of one notice do not overlap; those without edits are complete. Of a notice off by at most its number of edits a
+        place is found that it overlaps, whatever characters differ, but for the fixed words of brief notices (see Notice).
         """
         words = text.encode("utf-8", "replace").translate(_WORDS).split()
         flat = b" ".join(words).decode("latin-1")  # one character per byte
@@ -122,7 +129,7 @@ class NoticeSearch:
                 seen = window if plain else window.encode("latin-1").decode("utf-8", "replace")
                 for m in self.patterns[k].finditer(seen, overlapped=True):
                     rest = iter(m[0].split())
-                    if not (edits := sum(m.fuzzy_counts)) or not all(w in rest for w in self.short[k]):
+                    if not (edits := sum(m.fuzzy_counts)) or not all(w in rest for w in self.fixed[k]):
                         continue
                     s = a + (m.start() if plain else len(seen[: m.start()].encode("utf-8")))
                     e = s + (m.end() - m.start() if plain else len(m[0].encode("utf-8")))
