@@ -94,6 +94,14 @@ IDENTIFIERS = (
 )
 
 
+def mask_tokens(text: Column) -> Column:
+    """Access tokens of code hosts masked; all else stays."""
+    for pattern, by in SECRETS:
+        if pattern.startswith(("gh[", "github_")):
+            text = F.regexp_replace(text, pattern, by)
+    return text
+
+
 def redact(text: Column, most: int | None = None) -> Column:
     """Account ids after their keys, credentials, addresses and home folders masked, then cut to ``most`` characters.
 

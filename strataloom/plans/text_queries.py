@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..functions import text as X
 from ..functions import versions as N
+from ..operators import answers as Q
 from ..operators import retrieval as R
 from ..operators import sections as S
 from .registry import Tables, query
@@ -203,12 +204,30 @@ def _(t):
 
 @query("t17_retrieval")
 def _(t):
-    d = t.documents
+    documents, relations = _library(t)
     questions = t.benchmark.select(F.col("item_id").cast("string").alias("q"), "text")
-    containers = d.select(F.col("doc_id").alias("doc"), F.col("source").alias("container"))
-    edges = d.select(F.col("doc_id").alias("doc"), (F.col("doc_id") + 1).alias("other"))
-    sizes = d.select(F.col("doc_id").alias("doc"), F.least(F.col("n_chars"), F.lit(3000)).alias("bytes"))
-    return R.retrieve(questions, _fields(t), containers, edges, sizes)
+    selected = questions.select("q", F.concat(F.lit("d"), "q").alias("doc"))
+    return Q.answer(questions, documents, relations, selected, names=["atla"])
+
+
+def _library(t: Tables):
+    """Documents as declarations of files (140 ids of a source), sources as containers; each document uses the next one."""
+    d = t.documents.select("doc_id", "text", "lang", "source", F.concat("source", F.lit("/f"), (F.floor(F.col("doc_id") / 140)).cast("string")).alias("file"))
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def entity(df, ident, name, kind, parent, path=none("string"), summary=none("string"), lines=none("array<string>"), symbols=F.array().cast("array<string>")):
+        ends = F.when(lines.isNotNull(), F.lit(1)), F.size(lines)
+        return df.select(
+            ident.alias("id"), name.alias("name"), F.lit(kind).alias("kind"), parent.alias("parent_id"), path.alias("path"), ends[0].alias("start_line"), F.when(lines.isNotNull(), ends[1]).alias("end_line"),
+            symbols.alias("symbols"), summary.alias("summary"), none("array<string>").alias("key_points"), ends[0].alias("excerpt_start"), lines.alias("lines"),
+        )
+
+    system = entity(t.spark.range(1), F.lit("atlas"), F.lit("Atlas"), "softwareSystem", none("string"))
+    boxes = entity(d.select("source").distinct(), F.col("source"), F.col("source"), "container", F.lit("atlas"))
+    files = entity(d.select("source", "file").distinct(), F.col("file"), F.col("file"), "component", F.col("source"), F.concat("file", F.lit(".txt")))
+    texts = entity(d, A.tag("d", "doc_id"), A.tag("text_", "doc_id"), "code", F.col("file"), F.concat("file", F.lit(".txt")), F.col("lang"), F.split("text", "\n", -1))
+    relations = d.select(A.tag("d", "doc_id").alias("from_id"), F.concat(F.lit("d"), (F.col("doc_id") + 1).cast("string")).alias("to_id"), F.lit("calls").alias("kind"))
+    return system.unionAll(boxes).unionAll(files).unionAll(texts), relations
 
 
 @query("t18_agent_search", "SELECT p_partkey AS id, (CASE WHEN lower(p_name) = 'part 7' THEN 100 ELSE 0 END + 10 * contains(lower(p_name), 'part')::INT + 5 * contains(lower(p_brand), 'part')::INT + 10 * contains(lower(p_name), '7')::INT + 5 * contains(lower(p_brand), '7')::INT)::INTEGER AS score FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'part') AND contains(lower(concat_ws(' ', p_name, p_brand, p_type)), '7')")
