@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..operators import aggregates as S
+from ..operators import code_facts as C
 from ..operators import validate as V
 from ..sources import bundles, files
+from ..sources.code_tokens import code_tokens
 from .registry import Tables, query
 
 
@@ -153,34 +155,34 @@ def _(t):
     return S.coverage(S.line_hits(hits), stored).drop("rate")
 
 
-_TS = "import a from './a'\nexport { b } from \"b/sub\"\nimport 'side'\nconst x = require('cjs')\nexport function go() {}\nclass Box {}\nexport const N = 1\n// import z from 'no'\n/* import y from 'none'\nclass Not {} */\nlet s = `\nclass Fake {} // no`\n"
+_PART = "'parts/' || p_partkey || '.ts' AS path"
 
 
-def _source(t: Tables, text: str):
-    return t.region.select(F.concat("r_name", F.lit(".ts")).alias("path"), F.lit(text).alias("text"))
-
-
-@query("s18_imports", "SELECT r_name || '.ts' AS path, s AS specifier FROM region, (VALUES ('./a'), ('b/sub'), ('side'), ('cjs')) v(s)")
+@query("s18_imports", f"SELECT {_PART}, v.s AS specifier, v.dynamic FROM part, LATERAL (VALUES ('./brand/' || p_brand, FALSE), (lower(p_type), FALSE), ('./lazy/' || p_brand, TRUE)) v(s, dynamic)")
 def _(t):
-    return files.imports(_source(t, _TS))
+    return C.imports(code_tokens(A.script_files(t))).select("path", "specifier", "dynamic")
 
 
-@query("s19_declarations", "SELECT r_name || '.ts' AS path, k AS kind, n AS name FROM region, (VALUES ('const', 'x'), ('function', 'go'), ('class', 'Box'), ('const', 'N'), ('let', 's')) v(k, n)")
+@query(
+    "s19_declarations",
+    f"SELECT {_PART}, v.name || p_partkey AS name, v.kind, v.line + CASE WHEN v.line > 4 THEN p_size % 5 ELSE 0 END AS line, v.exported FROM part,"
+    " (VALUES ('part_', 'function', 4, TRUE), ('price_', 'const', 9, FALSE), ('over_', 'const', 10, FALSE), ('Box_', 'class', 11, FALSE)) v(name, kind, line, exported)",
+)
 def _(t):
-    return files.declarations(_source(t, _TS))
-
-
-_RS = "use std::fmt;\nuse serde::Serialize;\npub use tokio::sync;\nextern crate rand;\nuse crate::x;\npub fn run() {}\nstruct Point;\nimpl Point {}\n// use no::way;\n/* use none::at;\nstruct Not; */\n"
+    return C.declarations(code_tokens(A.script_files(t))).select("path", "name", "kind", "line", "exported")
 
 
-@query("s20_rust_outline", "SELECT r_name || '.ts' AS path, k AS kind, n AS name FROM region, (VALUES ('fn', 'run'), ('struct', 'Point'), ('impl', 'Point')) v(k, n)")
+@query(
+    "s20_rust_outline",
+    "SELECT 'suppliers/' || s_suppkey || '.rs' AS path, v.name, v.line, v.exported FROM supplier, LATERAL (VALUES ('Supplier' || s_suppkey, 4, TRUE), ('Supplier' || s_suppkey || '::fmt', 6, FALSE), ('balance_' || s_suppkey, 8, FALSE)) v(name, line, exported)",
+)
 def _(t):
-    return files.declarations(_source(t, _RS), rust=True)
+    return C.rust_outline(code_tokens(A.rust_files(t), rust=True)).select("path", "name", "line", "exported")
 
 
-@query("s21_rust_roots", "SELECT r_name || '.ts' AS path, s AS root FROM region, (VALUES ('serde'), ('tokio'), ('rand')) v(s)")
+@query("s21_rust_roots", "SELECT 'suppliers/' || s_suppkey || '.rs' AS path, v.root FROM supplier, LATERAL (VALUES ('std'), ('crate_' || s_nationkey)) v(root)")
 def _(t):
-    return files.rust_roots(_source(t, _RS))
+    return C.rust_roots(code_tokens(A.rust_files(t), rust=True)).select("path", "root")
 
 
 @query("s24_mermaid_import", "SELECT 'n' || a.n_regionkey AS from_id, 'k' || a.n_nationkey AS to_id, a.n_name AS label FROM nation a")

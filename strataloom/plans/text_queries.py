@@ -6,11 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import adapters as A
+from ..functions import secrets as Z
 from ..functions import text as X
 from ..functions import versions as N
 from ..operators import answers as Q
+from ..operators import code_facts as C
 from ..operators import retrieval as R
 from ..operators import sections as S
+from ..sources.code_tokens import code_tokens
 from .registry import Tables, query
 
 _STOP = ", ".join(f"'{w}'" for w in R.STOPWORDS)
@@ -242,27 +245,38 @@ def _(t):
     return R.did_you_mean(names, "natoin_1")
 
 
-#: The patterns of strings and comments, as a literal of SQL.
-_STR, _COM = (p.replace("'", "''") for p in (X._STRING, X._COMMENT))
-_CODE = f"regexp_replace(regexp_replace({{0}}, '({_STR})|{_COM}', '\\1', 'g'), '{_STR}', '\"\"', 'g')"
+#: Tokens of the function of a part without loops, and of a loop.
+_PART_TOKENS, _LOOP_TOKENS = 69, 15
 
 
-@query("t20_clone_fingerprints", f"SELECT fp, count(*)::BIGINT AS n FROM (SELECT sha256(regexp_replace(regexp_replace(lower(code), '[0-9]+', '0', 'g'), '[^a-z0]+', ' ', 'g')) AS fp, code FROM (SELECT {_CODE.format('text')} AS code FROM documents)) WHERE length(code) - length(replace(code, ' ', '')) >= 20 GROUP BY 1 HAVING count(*) > 1")
+@query(
+    "t20_clone_fingerprints",
+    f"SELECT tokens::BIGINT AS tokens, count(*)::BIGINT AS n FROM (SELECT unnest([{_PART_TOKENS} + {_LOOP_TOKENS} * (p_size % 5), 20]) AS tokens FROM part) GROUP BY 1 HAVING count(*) > 1",
+)
 def _(t):
-    code = t.documents.select(X.code_only(F.col("text")).alias("code"))
-    norm = F.regexp_replace(F.regexp_replace(F.lower("code"), "[0-9]+", "0"), "[^a-z0]+", " ")
-    long = F.length("code") - F.length(F.replace("code", F.lit(" "), F.lit(""))) >= 20
-    return code.where(long).groupBy(F.sha2(norm, 256).alias("fp")).agg(F.count("*").alias("n")).where("n > 1")
+    tokens = code_tokens(A.script_files(t))
+    copies = C.copy_fingerprints(tokens, C.declarations(tokens))
+    return copies.groupBy("fingerprint").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")).where("n > 1").drop("fingerprint")
 
 
-@query("t21_keyword_complexity", f"SELECT doc_id, (1 + len(regexp_extract_all(code, '\\b(if|for|while|case|catch)\\b')) + len(regexp_extract_all(code, '&&|\\|\\||\\?\\?')))::INTEGER AS complexity FROM (SELECT doc_id, {_CODE.format('text')} AS code FROM documents)")
+@query("t21_keyword_complexity", "SELECT v.name || p_partkey AS name, v.c + CASE WHEN v.name = 'part_' THEN p_size % 5 ELSE 0 END AS complexity, v.c + CASE WHEN v.name = 'part_' THEN p_size % 5 ELSE 0 END > 6 AS flagged FROM part, (VALUES ('part_', 4), ('over_', 2)) v(name, c)")
 def _(t):
-    return t.documents.select("doc_id", X.branch_count(F.col("text")).alias("complexity"))
+    tokens = code_tokens(A.script_files(t))
+    return C.complexity(tokens, C.declarations(tokens)).select("name", "complexity", "flagged")
 
 
-@query("t22_signature_change", "SELECT doc_id, sha256(split_part(text, chr(10), 1)) AS surface, sha256(text) AS whole FROM documents")
+@query("t22_signature_change", "SELECT c_custkey::VARCHAR AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 'surface' WHEN 'MACHINERY' THEN 'same' WHEN 'AUTOMOBILE' THEN 'surface' ELSE 'internal' END AS change FROM customer")
 def _(t):
-    return t.documents.select("doc_id", F.sha2(F.split_part("text", F.lit("\n"), F.lit(1)), 256).alias("surface"), F.sha2("text", 256).alias("whole"))
+    is_ = lambda s: F.col("c_mktsegment") == s
+
+    def version(second: bool):
+        kind = F.when(is_("BUILDING") & F.lit(second), "string").otherwise("number")
+        rest = F.when(is_("AUTOMOBILE") & F.lit(second), " | { more: boolean }").otherwise("")
+        body = F.when(~is_("MACHINERY") & F.lit(second), "2").otherwise("1")
+        text = F.concat(F.lit("/** Of "), "c_name", F.lit(". */\nexport async function of<T extends { k: "), kind, F.lit(" }>(\n  a: T,\n  b = { c: '{' },\n): Promise<{ ok: boolean }"), rest, F.lit("> {\n  return { ok: a.k > "), body, F.lit(" }\n}\n"))
+        return t.customer.select(F.col("c_custkey").alias("id"), F.lit("src/of.ts").alias("path"), text.alias("text"))
+
+    return C.signature_changes(version(False), version(True))
 
 
 @query("t23_citations", "SELECT conv_id, count(*) FILTER (WHERE regexp_matches(text, '\\[[0-9]+\\]'))::BIGINT AS cited, count(*) FILTER (WHERE contains(lower(text), 'not'))::BIGINT AS denied FROM conversations GROUP BY 1")
@@ -289,17 +303,43 @@ def _(t):
     return t.part.select("p_partkey", X.bound_id(F.concat(F.lit("part:"), "p_name", F.lit(":"), "p_type"), 24).alias("id"))
 
 
-@query("x3_redact", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}', '[redacted-email]', 'g'), '(?i)\\b(token|secret|password)(\\s*[=:]\\s*)[\\x22\\x27]?[A-Za-z0-9_\\-./+]{8,}[\\x22\\x27]?', '\\1\\2[redacted]', 'g'), '(/Users|/home)/[A-Za-z0-9._-]+', '\\1/[user]', 'g') AS text FROM documents WHERE NOT regexp_matches(text, '(?i)PRIVATE KEY|gh[pousr]_|github_pat|glpat|npm_|AKIA|bearer|sk-|user|acc|org|proj|mail[^0-9]|api')")
+@query("x3_redact")
 def _(t):
-    # Shapes that need a look around, which the SQL has not, are left to the unit tests.
-    plain = ~F.col("text").rlike("(?i)PRIVATE KEY|gh[pousr]_|github_pat|glpat|npm_|AKIA|bearer|sk-|user|acc|org|proj|mail[^0-9]|api")
-    return t.documents.where(plain).select("doc_id", X.redact(F.col("text")).alias("text"))
+    return t.documents.select("doc_id", Z.redact(F.col("text")).alias("text"))
 
 
-@query("x4_redact_spec", "SELECT page_id, regexp_replace(regexp_replace('git+' || replace(url, '://', '://u:p@') || '?x=1#f', '(://)[^/@\\s]+@', '\\1[redacted]@'), '[?#].*$', '') AS spec FROM pages")
+@query("x3_redact_events", """SELECT event_id, '{"user_id": "[redacted]", "kind": "' || event_type || '", "account": ' || CASE WHEN event_type = 'click' THEN '"[redacted]"' ELSE '"plain"' END || ', "nested": "{\\"email\\": \\"[redacted]\\"}", "value": 1} org_id=[redacted] user talks' AS text FROM events""")
+def _(t):
+    # Each shape of a value: a list of objects, a string with quotes and brackets in it, an escaped string, plain words.
+    ident, key = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    value = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('[{"a": "}]"}, {"b": ['), ident, F.lit("]}]"))).otherwise(F.concat(F.lit('"a \\"quoted\\" '), ident, F.lit('"')))
+    account = F.when(F.col("event_type") == "click", F.concat(F.lit('{"id": '), ident, F.lit("}"))).otherwise(F.lit('"plain"'))
+    text = F.concat(F.lit('{"user_id": '), value, F.lit(', "kind": "'), "event_type", F.lit('", "account": '), account, F.lit(', "nested": "{\\"email\\": \\"a\\\\\\"b'), key, F.lit('\\"}", "value": 1} org_id='), ident, F.lit(" user talks"))
+    return t.events.select("event_id", Z.redact(text).alias("text"))
+
+
+@query(
+    "x4_redact_spec",
+    "SELECT page_id, v.kind, v.spec FROM (SELECT page_id, url AS raw, regexp_replace(url, '[?#].*$', '') AS url FROM pages), LATERAL (VALUES ('raw', regexp_replace(raw, '\\?[^#]*', '?[redacted]')), ('query', 'git+' || replace(url, '://', '://[redacted]@') || '?[redacted]#f'), ('slash', replace(url, '://', '://[redacted]@')), ('git', replace(url, '://', '://git@') || '#v' || page_id),"
+    " ('semver', url || '#semver:^1.' || page_id), ('fragment', url || '#[redacted]'), ('path', 'file:<absolute path>'), ('home', '<absolute path>'), ('token', 'npm:[redacted-token]'), ('plain', '^1.' || page_id)) v(kind, spec)",
+)
 def _(t):
-    spec = F.concat(F.lit("git+"), F.replace("url", F.lit("://"), F.lit("://u:p@")), F.lit("?x=1#f"))
-    return t.pages.select("page_id", X.redact_spec(spec).alias("spec"))
+    url, key = F.regexp_replace("url", "[?#].*$", ""), F.col("page_id").cast("string")
+    user = lambda who: F.replace(url, F.lit("://"), F.concat(F.lit("://"), who, F.lit("@")))
+    specs = {
+        "raw": F.col("url"),
+        "query": F.concat(F.lit("git+"), user(F.concat(F.lit("u:p"), key)), F.lit("?x=1#f")),
+        "slash": user(F.concat(F.lit("user:se/cr@et/"), key)),
+        "git": F.concat(user(F.lit("git")), F.lit("#v"), key),
+        "semver": F.concat(url, F.lit("#semver:^1."), key),
+        "fragment": F.concat(url, F.lit("#access_TOKEN-"), key),
+        "path": F.concat(F.lit("file:/home/me/"), key),
+        "home": F.concat(F.lit("~/src/"), key),
+        "token": F.concat(F.lit("npm:ghp_"), F.lpad(key, 24, "a0")),
+        "plain": F.concat(F.lit("^1."), key),
+    }
+    rows = t.pages.select("page_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("spec")) for k, c in specs.items()))).alias("v"))
+    return rows.select("page_id", "v.kind", Z.redact_spec(F.col("v.spec")).alias("spec"))
 
 
 @query("x5_controls", "SELECT doc_id, length(regexp_replace(text, '[\\x00-\\x1F\\x7F]', '', 'g'))::INTEGER AS n FROM documents")

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import code_only, without_comments
 
 SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
 
@@ -201,35 +200,6 @@ def coverage_records(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return hits.where("line IS NOT NULL AND hits IS NOT NULL"), stored
 
 
-_IMPORT = r"""(?:^|\n)\s*(?:import|export)\b(?:[^'"\n;]*?\bfrom)?\s*['"]([^'"\n]+)['"]|\brequire\(\s*['"]([^'"\n]+)['"]\s*\)"""
-
-
-def imports(files: DataFrame) -> DataFrame:
-    """(path, specifier): import, export-from and require specifiers outside comments, by pattern: an approximation."""
-    code = without_comments(F.col("text"))
-    every = F.concat(F.regexp_extract_all(code, F.lit(_IMPORT), F.lit(1)), F.regexp_extract_all(code, F.lit(_IMPORT), F.lit(2)))
-    return files.select("path", F.explode(F.array_distinct(F.filter(every, lambda s: s != ""))).alias("specifier"))
-
-
-_DECL = r"(?:^|\n)(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(function|class|interface|type|enum|const|let)\s+([A-Za-z_$][\w$]*)"
-_RUST = r"(?:^|\n)(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(fn|struct|enum|trait|mod|impl|type)\s+([A-Za-z_]\w*)"
-
-
-def declarations(files: DataFrame, rust: bool = False) -> DataFrame:
-    """(path, kind, name) of top-level declarations outside comments and strings, by pattern: an approximation."""
-    p = F.lit(_RUST if rust else _DECL)
-    code = without_comments(F.col("text"), True) if rust else code_only(F.col("text"))
-    pairs = F.arrays_zip(F.regexp_extract_all(code, p, F.lit(1)).alias("kind"), F.regexp_extract_all(code, p, F.lit(2)).alias("name"))
-    return files.select("path", F.explode(pairs).alias("d")).select("path", "d.kind", "d.name")
-
-
-def rust_roots(files: DataFrame) -> DataFrame:
-    """(path, root): crates named by use and extern crate, those of the language and own paths left out."""
-    p = F.lit(r"(?:^|\n)\s*(?:pub\s+)?(?:use|extern\s+crate)\s+(?:::)?([A-Za-z_]\w*)")
-    roots = F.array_distinct(F.regexp_extract_all(without_comments(F.col("text"), True), p, F.lit(1)))
-    return files.select("path", F.explode(roots).alias("root")).where(~F.col("root").isin("std", "core", "alloc", "crate", "self", "super"))
-
-
 _EDGE = re.compile(r"^\s*([\w-]+)(?:\s*[\[({]+\"?([^\])}\"]*)\"?[\])}]+)?\s*(-->|---|-\.->|==>)\s*(?:\|([^|]*)\|)?\s*([\w-]+)(?:\s*[\[({]+\"?([^\])}\"]*)\"?[\])}]+)?\s*;?\s*$")
 _NODE = re.compile(r"^\s*([\w-]+)\s*[\[({]+\"?([^\])}\"]*)\"?[\])}]+\s*;?\s*$")
 

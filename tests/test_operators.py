@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strataloom.functions import parsers
+from strataloom.functions import secrets as Z
 from strataloom.functions import text as X
 from strataloom.functions import versions as N
 from strataloom.operators import aggregates as A
@@ -92,10 +94,64 @@ def test_stems_and_tokens(spark):
 
 def test_redaction_comes_before_the_cut(spark):
     t = "x" * 10 + " ghp_" + "a" * 30
-    got = spark.createDataFrame([(t,)], "t string").select(X.redact(F.col("t"), 20).alias("r")).first().r
+    got = spark.createDataFrame([(t,)], "t string").select(Z.redact(F.col("t"), 20).alias("r")).first().r
     assert "ghp_" not in got and len(got) <= 20
 
 
+def test_values_are_masked_whole():
+    cases = {
+        '{"user_id": {"a": [1, "}"], "b": "x\\"}"}, "n": 2}': '{"user_id": "[redacted]", "n": 2}',
+        '{"org_id": ["a]", {"b": 1}], "n": 2}': '{"org_id": "[redacted]", "n": 2}',
+        '{"account_id": "a \\"b\\" c", "n": 2}': '{"account_id": "[redacted]", "n": 2}',
+        r'{"m": "{\"api_key\": \"a\\\"b\", \"n\": 1}"}': r'{"m": "{\"api_key\": \"[redacted]\", \"n\": 1}"}',
+        r'"{\"user_id\": {\"x\": \"}\"}, 1}"': r'"{\"user_id\": \"[redacted]\", 1}"',
+        r'"{\\\"email\\\": \\\"a\\\\\\\"z\\\"}"': r'"{\\\"email\\\": \\\"[redacted]\\\"}"',
+        "user_id: {not closed, n": "user_id: \"[redacted]\", n",
+        "organisation_id='a b\nc'": "organisation_id='[redacted]'",
+        "e-mail: must be given": "e-mail: must be given",
+        "email=must": "email=[redacted]",
+        "x_user_id=[redacted]": "x_user_id=[redacted]",
+        "superuser_id": "superuser_id",
+        "the user spoke, user abc_12 too": "the user spoke, user [redacted] too",
+    }
+    assert {k: Z.mask_values(k) for k in cases} == cases
+    assert all(Z.mask_values(v) == v for v in cases.values() if "not closed" not in v)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.recursive(st.text(st.sampled_from("ab\"\\}]{[ "), max_size=6) | st.integers(), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(st.sampled_from("ab"), max_size=2), x, max_size=3), max_leaves=8), st.integers(0, 2))
+def test_any_value_goes_whole_at_any_escape_depth(value, depth):
+    value = value if isinstance(value, (dict, list)) else f"v{value}"
+    made, want = ({"a": 1, "user_id": v, "z": "end"} for v in (value, "[redacted]"))
+    text, goal = json.dumps(made), json.dumps(want)
+    for _ in range(depth):
+        text, goal = json.dumps(text), json.dumps(goal)
+    assert Z.mask_values(text) == goal
+
+
+def test_specs(spark):
+    cases = {
+        "git+https://user:se/cret@host/r": "git+https://[redacted]@host/r",
+        "https://u:p@h/r?x=1#main": "https://[redacted]@h/r?[redacted]#main",
+        "ssh://git@github.com/a/b.git#v1": "ssh://git@github.com/a/b.git#v1",
+        "https://h/r#semver:^1.2": "https://h/r#semver:^1.2",
+        "https://h/r#auth_x": "https://h/r#[redacted]",
+        "https://h:8080/r@2": "https://h:8080/r@2",
+        "https://h:/r@2": "https://[redacted]@2",
+        "file:/home/me/x": "file:<absolute path>",
+        "~/x": "<absolute path>",
+        "C:\\x": "<absolute path>",
+        "/x\ny": "<absolute path>",
+        "file:../x": "file:../x",
+        "ghp_" + "a" * 30: "[redacted-token]",
+        "npm:a@^1": "npm:a@^1",
+        "^1.2\tx": "^1.2 x",
+        "": "",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", Z.redact_spec(F.col("t")).alias("r"))
+    assert {r.t: r.r for r in df.collect()} == cases
+
+
 def test_redaction_by_shape_and_by_key(spark):
     cases = {
         "github_pat_" + "a1" * 15: "[redacted-token]",
@@ -115,9 +171,9 @@ def test_redaction_by_shape_and_by_key(spark):
         "organization org77x": "organization [redacted]",
         "see /home/ann/x": "see /home/[user]/x",
     }
-    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", X.redact(F.col("t")).alias("r"))
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", Z.redact(F.col("t")).alias("r"))
     assert {r.t: r.r for r in df.collect()} == cases
-    assert {r.r: r.s for r in df.select("r", X.redact(F.col("r")).alias("s")).collect()} == {v: v for v in cases.values()}
+    assert {r.r: r.s for r in df.select("r", Z.redact(F.col("r")).alias("s")).collect()} == {v: v for v in cases.values()}
 
 
 def _plain_requirement(need, have):
