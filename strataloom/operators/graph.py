@@ -128,17 +128,19 @@ def neighborhood(entities: DataFrame, relations: DataFrame, focus: str, max_rank
     return below.unionAll(above).unionAll(roots).groupBy("id").agg(F.min_by("role", order).alias("role"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(source, node, hops, path): for each source (column source) the canonical shortest path to each node it reaches.
 
     Fewest hops, then the least sequence of ids. One round per hop: the frontier joins the edges, partial minima of the
-    paths are merged per node, and nodes that were reached before are dropped. Ends when the frontier is empty; the
-    driver sees only counts.
+    paths are merged per node, and nodes that were reached before are dropped. Ends when the frontier is empty, or after
+    ``max_hops`` where that is given; the driver sees only counts.
     """
     arcs = shared(edges.select("from_id", "to_id").where("from_id <> to_id").distinct())
     seen = sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops"), F.array("source").alias("path")).distinct()
     frontier = seen
-    for hop in range(1, max_hops + 1):
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         step = frontier.join(arcs, F.col("node") == F.col("from_id")).select("source", F.col("to_id").alias("node"), F.concat("path", F.array("to_id")).alias("path"))
         step = step.groupBy("source", "node").agg(F.min("path").alias("path"))
         frontier = shared(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(hop).alias("hops"), "path"))
@@ -169,7 +171,7 @@ def path_status(edges: DataFrame, source: str, target: str, max_hops: int, known
     if edges.isEmpty():
         return row("unavailable", "noEligibleRelations", None)
     start = spark.createDataFrame([(source,)], "source string")
-    hit = shortest_paths(edges, start, 1 << 16).where(F.col("node") == target)
+    hit = shortest_paths(edges, start).where(F.col("node") == target)
     none = row("unavailable", "partialGraph", None) if partial else row("unreachable", None, None)
     long = F.col("hops") > max_hops
     found = hit.select(F.when(long, "unavailable").otherwise("found").alias("status"), F.when(long, "hopLimit").alias("reason"), F.when(~long, F.col("path")).alias("path"))

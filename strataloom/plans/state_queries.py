@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import adapters as A
+from ..operators import geometry
 from ..operators import layout as L
 from ..operators import spatial as P
 from ..operators import validate as V
@@ -139,14 +140,36 @@ def _(t):
     return P.resident(b, (10_000.0, 200.0, 2_000.0, 700.0), b.where("id % 700 = 3").select("id"), 40).select("id")
 
 
-@query("p6_geometry_findings", f"WITH {_BOX} SELECT CASE WHEN a.x = c.x AND a.y = c.y THEN 'same' WHEN a.y = c.y THEN 'rowOverlap' ELSE 'touch' END AS finding, count(*)::BIGINT AS n FROM b a JOIN b c ON a.id < c.id AND a.x <= c.x + c.w AND c.x <= a.x + a.w AND a.y <= c.y + c.h AND c.y <= a.y + a.h GROUP BY 1")
-def _(t):
-    b = _boxes(t)
-    pairs = P.touching_pairs(b.select("id", "x", "y", "w", "h"), 64.0)
-    side = lambda s: b.select(F.col("id").alias(s), F.col("x").alias(f"x_{s}"), F.col("y").alias(f"y_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    kind = F.when((F.col("x_a") == F.col("x_b")) & (F.col("y_a") == F.col("y_b")), "same").when(F.col("y_a") == F.col("y_b"), "rowOverlap").otherwise("touch")
-    return both.groupBy(kind.alias("finding")).agg(F.count("*").alias("n"))
+_DRAWING = """k AS (SELECT p_partkey AS k, p_partkey // 40 AS scene, p_size AS z FROM part),
+ e AS (SELECT scene, 'e' || k AS id, k % 2 = 0 AS flat, CASE WHEN k % 2 = 0 THEN 5 * (k % 11) ELSE 10 * (z % 13) + k % 3 END AS x, CASE WHEN k % 2 = 0 THEN 10 * (z % 13) ELSE 5 * (k % 7) END AS y, 4 + 6 * (z % 20) AS len FROM k),
+ r AS (SELECT *, x + CASE WHEN flat THEN len ELSE 0 END AS x1, y + CASE WHEN flat THEN 0 ELSE len END AS y1 FROM e),
+ n AS (SELECT scene, 'n' || k AS id, 10 * (z % 9) AS x, 10 * (k % 9) AS y, 50 + z AS w, 30 + k % 40 AS h FROM k),
+ l AS (SELECT scene, 'l' || k AS id, 'e' || k AS own, 7 * (z % 15) AS x, 7 * (k % 15) AS y, 12 AS w, 6 AS h FROM k),
+ b AS (SELECT scene, id, TRUE AS flat, unnest([y, y + h]) AS at, x AS lo, x + w AS hi FROM n UNION ALL SELECT scene, id, FALSE, unnest([x, x + w]), y, y + h FROM n),
+ f AS (SELECT a.scene, 'edge-crossing' AS kind, least(a.len, c.len)::DOUBLE AS length, NULL::DOUBLE AS distance FROM r a JOIN r c ON a.scene = c.scene AND a.flat AND NOT c.flat AND a.x < c.x AND c.x < a.x1 AND c.y < a.y AND a.y < c.y1
+  UNION ALL SELECT a.scene, 'shared-corridor', least(CASE WHEN a.flat THEN a.x1 ELSE a.y1 END, CASE WHEN a.flat THEN c.x1 ELSE c.y1 END) - greatest(CASE WHEN a.flat THEN a.x ELSE a.y END, CASE WHEN a.flat THEN c.x ELSE c.y END) AS o, CASE WHEN a.flat THEN abs(a.y - c.y) ELSE abs(a.x - c.x) END AS d
+   FROM r a JOIN r c ON a.scene = c.scene AND a.flat = c.flat AND a.id < c.id WHERE d <= 2 AND o > 0
+  UNION ALL SELECT a.scene, 'container-border-run', least(b.hi, CASE WHEN a.flat THEN a.x1 ELSE a.y1 END) - greatest(b.lo, CASE WHEN a.flat THEN a.x ELSE a.y END) AS o, abs(b.at - CASE WHEN a.flat THEN a.y ELSE a.x END) AS d
+   FROM r a JOIN b ON a.scene = b.scene AND a.flat = b.flat WHERE d <= 3 AND o >= 48
+  UNION ALL SELECT l.scene, 'label-clearance', NULL, sqrt(pow(greatest(c.x - l.x - l.w, 0, l.x - c.x1), 2) + pow(greatest(c.y - l.y - l.h, 0, l.y - c.y1), 2)) AS d FROM l JOIN r c ON l.scene = c.scene AND l.own <> c.id WHERE d <= 4
+  UNION ALL SELECT l.scene, 'label-clearance', NULL, sqrt(pow(greatest(n.x - l.x - l.w, 0, l.x - n.x - n.w), 2) + pow(greatest(n.y - l.y - l.h, 0, l.y - n.y - n.h), 2)) AS d FROM l JOIN n ON l.scene = n.scene WHERE d <= 4
+  UNION ALL SELECT scene, 'short-route', len, NULL FROM r WHERE len < 16)"""
+
+
+@query("p6_geometry_findings", f"WITH {_DRAWING} SELECT scene, kind, count(*)::BIGINT AS n, round(sum(length), 2) AS length, round(sum(round(distance, 3)), 2) AS distance FROM f GROUP BY 1, 2")
+def _(t):
+    # Drawings of forty parts each: straight routes, cards and labels; bends, ports and exemptions are left to the tests.
+    d = t.part.select(F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 40).alias("scene"), F.col("p_size").alias("z"))
+    flat, far = F.col("k") % 2 == 0, 4 + 6 * (F.col("z") % 20)
+    x, y = F.when(flat, 5 * (F.col("k") % 11)).otherwise(10 * (F.col("z") % 13) + F.col("k") % 3), F.when(flat, 10 * (F.col("z") % 13)).otherwise(5 * (F.col("k") % 7))
+    at = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    none = F.lit(None).cast("string")
+    box = lambda *xs: [c.cast("double").alias(n) for c, n in zip(xs, ("x", "y", "width", "height"))]
+    edges = d.select("scene", A.tag("e", "k").alias("id"), none.alias("from_id"), none.alias("to_id"), none.alias("bundle"), F.array(at(x, y), at(x + F.when(flat, far).otherwise(0), y + F.when(flat, 0).otherwise(far))).alias("points"))
+    nodes = d.select("scene", A.tag("n", "k").alias("id"), none.alias("parent_id"), *box(10 * (F.col("z") % 9), 10 * (F.col("k") % 9), 50 + F.col("z"), 30 + F.col("k") % 40))
+    labels = d.select("scene", A.tag("l", "k").alias("id"), A.tag("e", "k").alias("edge_id"), *box(7 * (F.col("z") % 15), 7 * (F.col("k") % 15), F.lit(12), F.lit(6)))
+    found = geometry.geometry_findings(nodes, edges, labels)
+    return found.groupBy("scene", "kind").agg(F.count("*").alias("n"), F.round(F.sum("length"), 2).alias("length"), F.round(F.sum("distance"), 2).alias("distance"))
 
 
 def _levels_sql(leaf: tuple[int, int], pad: int, gap: int) -> str:
