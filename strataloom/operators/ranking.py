@@ -107,6 +107,24 @@ def batches_by_size(rows: DataFrame, key: str, order: str, size: str, ident: str
     return sorted_fold(rows.select(key, order, size, ident), key, [order], [size], start, "batch", T.IntegerType()).select(key, ident, "batch")
 
 
+def blob_chunks(rows: DataFrame, key: str, order: str, size: str, ident: str, most_bytes: int) -> DataFrame:
+    """(key, id, chunk): rows in order, a new chunk where the next size does not fit; a larger one is a chunk of its own."""
+
+    def start():
+        chunk, used = -1, None
+
+        def fold(n):
+            nonlocal chunk, used
+            if used is None or used + n > most_bytes:
+                chunk, used = chunk + 1, 0
+            used += n
+            return chunk
+
+        return fold
+
+    return sorted_fold(rows.select(key, order, size, ident), key, [order], [size], start, "chunk", T.IntegerType()).select(key, ident, "chunk")
+
+
 def prefix_within(df: DataFrame, parts: list[str], order: list, size: str, budget: int) -> DataFrame:
     """The longest prefix of each part whose sizes sum to the budget at most."""
     w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

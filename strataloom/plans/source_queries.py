@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..operators import aggregates as S
 from ..operators import code_facts as C
+from ..operators import ranking as K
 from ..operators import validate as V
+from ..operators.discovery import discover
 from ..sources import bundles, files
 from ..sources.code_tokens import code_tokens
 from .registry import Tables, query
@@ -30,12 +32,15 @@ def _(t):
     return tree.select(F.trim(F.replace("text", F.lit("\n"), F.lit(""))).alias("name")).withColumn("size", F.length("name").cast("long"))
 
 
-@query("s3_chunk_plan", "SELECT (s // 50000)::BIGINT AS chunk, count(*)::BIGINT AS files FROM (SELECT sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS s FROM documents) GROUP BY 1")
+@query(
+    "s3_chunk_plan",
+    "WITH RECURSIVE d AS (SELECT source, n_chars AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),"
+    " c(source, i, chunk, used) AS (SELECT source, i, 0, n FROM d WHERE i = 1 UNION ALL SELECT d.source, d.i, CASE WHEN c.used + d.n > 50000 THEN c.chunk + 1 ELSE c.chunk END, CASE WHEN c.used + d.n > 50000 THEN d.n ELSE c.used + d.n END FROM c JOIN d ON d.source = c.source AND d.i = c.i + 1)"
+    " SELECT source, chunk::INTEGER AS chunk, count(*)::BIGINT AS files FROM c GROUP BY 1, 2",
+)
 def _(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return t.documents.select(F.floor(F.sum("n_chars").over(w) / 50_000).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("files"))
+    d = t.documents.select("source", "doc_id", "n_chars").withColumn("order", F.col("doc_id"))
+    return K.blob_chunks(d, "source", "order", "n_chars", "doc_id", 50_000).groupBy("source", "chunk").agg(F.count("*").alias("files"))
 
 
 @query("s4_source_parse", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)/', 1) AS owner, regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]+)', 1) AS repo FROM pages")
@@ -43,10 +48,26 @@ def _(t):
     return t.pages.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)/", 1).alias("owner"), F.regexp_extract("url", "^[a-z]+://[^/]+/([^/?#]+)", 1).alias("repo"))
 
 
-@query("s6_discovery", "SELECT split_part(path, '/', 1) AS unit, count(*)::BIGINT AS files FROM (SELECT DISTINCT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages) WHERE NOT regexp_matches(path, '(^|/)(node_modules|dist|p1)(/|$|[0-9])') GROUP BY 1")
+@query(
+    "s6_discovery",
+    "SELECT 'repo' || (p_partkey // 40) AS repo, v.path, v.unit, v.kind, v.reason FROM part, LATERAL (VALUES ('packages/p' || p_partkey || '/src/a.ts', 'packages/p' || p_partkey, 'member', NULL), ('packages/p' || p_partkey || '/in/package.json', NULL, NULL, 'ending'),"
+    " ('packages/p' || p_partkey || '/in/b.tsx', 'packages/p' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '/in' ELSE '' END, 'member', NULL), ('packages/p' || p_partkey || '/package.json', NULL, NULL, 'ending'), ('crates/c' || p_partkey || '/Cargo.toml', NULL, NULL, 'ending'),"
+    " ('crates/c' || p_partkey || '/src/lib.rs', 'crates/c' || p_partkey, 'rust', NULL), ('examples/e' || p_partkey || '/package.json', NULL, NULL, 'ending'), ('examples/e' || p_partkey || '/x.ts', NULL, NULL, 'scaffolding'), ('scripts/' || lower(p_brand) || p_partkey || '.mjs', 'tooling', 'tooling', NULL),"
+    " ('packages/p' || p_partkey || '/testdata/z.ts', NULL, NULL, 'testdata'), ('packages/p' || p_partkey || '/a.test.ts', NULL, NULL, 'excluded'), ('packages/p' || p_partkey || '/plain.js', NULL, NULL, 'ending')) v(path, unit, kind, reason)"
+    " UNION ALL SELECT DISTINCT 'repo' || (p_partkey // 40), 'pnpm-workspace.yaml', NULL, NULL, 'ending' FROM part",
+)
 def _(t):
-    p = t.pages.select(F.regexp_replace("url", "^[a-z]+://", "").alias("path")).distinct()
-    return p.where(~F.col("path").rlike(r"(^|/)(node_modules|dist|p1)(/|$|[0-9])")).groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("unit")).agg(F.count("*").alias("files"))
+    key, odd = F.col("p_partkey").cast("string"), F.col("p_partkey") % 2
+    at = lambda *parts: F.struct(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("path"), F.lit(None).cast("string").alias("text"))
+    made = ["/src/a.ts", "/in/b.tsx", "/package.json", "/testdata/z.ts", "/a.test.ts", "/plain.js", "/in/package.json"]
+    files = [at("packages/p", key, x) for x in made] + [at("crates/c", key, "/Cargo.toml"), at("crates/c", key, "/src/lib.rs"), at("examples/e", key, "/package.json"), at("examples/e", key, "/x.ts"), at("scripts/", F.lower("p_brand"), key, ".mjs")]
+    repo = F.concat(F.lit("repo"), F.floor(F.col("p_partkey") / 40).cast("string")).alias("repo")
+    rows = t.part.select(repo, F.explode(F.array(*files)).alias("f")).select("repo", "f.*")
+    # Each repository's workspace file lists the inner packages of even parts by name.
+    inner = F.concat(F.lit("  - packages/p"), key, F.lit("/in\n"))
+    listed = t.part.groupBy(repo).agg(F.array_join(F.sort_array(F.collect_list(F.when(odd == 0, inner))), "").alias("l"))
+    spaces = listed.select("repo", F.lit("pnpm-workspace.yaml").alias("path"), F.concat(F.lit("packages:\n  - 'packages/*'\n  - \"examples/*\" # all\n"), "l", F.lit("catalog:\n  x: 1\n")).alias("text"))
+    return discover(rows.unionByName(spaces))
 
 
 @query("s7_portable_read", f"WITH {A.ENTITIES} SELECT kind, count(*)::BIGINT AS n FROM entities WHERE rank <= 2 GROUP BY 1")

@@ -10,6 +10,7 @@ from ..operators import geometry
 from ..operators import layout as L
 from ..operators import spatial as P
 from ..operators import validate as V
+from ..operators.playback import sample_timelines
 from ..streaming import stateful as R
 from .registry import Tables, query
 
@@ -68,10 +69,29 @@ def _(t):
     return R.lod_levels(t.events, "user_id", "event_id", "value", (30.0, 90.0), 5.0)
 
 
-@query("r7_playback", "SELECT user_id, round(avg(value), 6) AS level FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00') WHERE n = 1 GROUP BY 1")
+_EASED = "CASE WHEN e = 'easeInOut' THEN CASE WHEN f < 0.5 THEN 4 * pow(f, 3) ELSE 1 - pow(2 - 2 * f, 3) / 2 END WHEN e = 'easeOut' THEN 1 - pow(1 - f, 4) ELSE f END"
+
+
+@query(
+    "r7_playback",
+    f"""WITH r AS (SELECT user_id, event_id, event_type = 'purchase' AS k, epoch_us(ts) // 1000 - epoch_ms(TIMESTAMP '2024-01-01') AS o, value, event_id % 3 AS m FROM events),
+ w AS (SELECT *, last_value(CASE WHEN k THEN struct_pack(o := o, v := value, i := event_id, m := m) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY o, k, lpad(event_id::VARCHAR, 12, '0') ROWS UNBOUNDED PRECEDING) AS p,
+  last_value(CASE WHEN k THEN struct_pack(o := o, v := value, i := event_id, m := m) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY o DESC, k DESC, lpad(event_id::VARCHAR, 12, '0') DESC ROWS UNBOUNDED PRECEDING) AS n FROM r),
+ s AS (SELECT user_id AS scene, event_id AS sample, o, p, n, coalesce(n, p) AS t FROM w WHERE NOT k),
+ f AS (SELECT *, CASE t.m WHEN 0 THEN 'linear' WHEN 1 THEN 'easeInOut' ELSE 'easeOut' END AS e, CASE WHEN n IS NULL OR t.o <= coalesce(p.o, 0) THEN 1 ELSE greatest(0, least(1, (o - coalesce(p.o, 0)) / (t.o - coalesce(p.o, 0)))) END AS f FROM s),
+ a AS (SELECT *, {_EASED} AS a FROM f)
+SELECT scene, sample, lpad(t.i::VARCHAR, 12, '0') AS keyframe, t IS NOT NULL AND t.m <> 2 AS camera_active, round(CASE WHEN t.m <> 2 THEN coalesce(CASE WHEN p.m <> 2 THEN p.v END, 0) + (t.v - coalesce(CASE WHEN p.m <> 2 THEN p.v END, 0)) * a ELSE 0 END, 4) AS x,
+ round(CASE WHEN t.m <> 2 THEN exp(ln(coalesce(CASE WHEN p.m <> 2 THEN 1 + p.v END, 1)) + (ln(1 + t.v) - ln(coalesce(CASE WHEN p.m <> 2 THEN 1 + p.v END, 1))) * a) ELSE 1 END, 4) AS zoom,
+ round(coalesce(p.v, t.v) + (t.v - coalesce(p.v, t.v)) * a, 4) AS level FROM a""",
+)
 def _(t):
-    before = t.events.where(F.col("ts") <= F.lit("2024-01-15 00:00:00").cast("timestamp"))
-    return before.groupBy("user_id").agg(F.round(F.max_by("value", F.struct("ts", "event_id")), 6).alias("level"))
+    e = t.events.withColumn("at_ms", F.unix_millis(F.col("ts").cast("timestamp")) - F.unix_millis(F.lit("2024-01-01").cast("timestamp"))).withColumnRenamed("user_id", "scene")
+    mode = F.col("event_id") % 3
+    camera = F.when(mode != 2, F.struct(F.col("value").alias("x"), F.lit(0.0).alias("y"), (1 + F.col("value")).alias("zoom")))
+    easing = F.when(mode == 0, "linear").when(mode == 1, "easeInOut").otherwise("easeOut")
+    key = e.where("event_type = 'purchase'").select("scene", F.lpad(F.col("event_id").cast("string"), 12, "0").alias("keyframe"), "at_ms", easing.alias("easing"), camera.alias("camera"), F.array("value").alias("level"))
+    got = sample_timelines(key, e.where("event_type <> 'purchase'").select("scene", F.col("event_id").alias("sample"), "at_ms"))
+    return got.select("scene", "sample", "keyframe", "camera_active", F.round("x", 4).alias("x"), F.round("zoom", 4).alias("zoom"), F.round(F.get("values", F.lit(0)), 4).alias("level"))
 
 
 @query("r8_backoff", "SELECT o_orderkey, 0.5 * pow(2, o_orderkey % 6) AS pause FROM orders")
