@@ -6,12 +6,25 @@ requirement if all intervals hold it. Versions are structs of three numbers, whi
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The published grammar of a term, and of a full version.
-TERM = r"^(\^|~|>=|<=|=|>|<)?\s*(\d+|\*)(?:\.(\d+|\*))?(?:\.(\d+|\*))?(?:[-+][0-9A-Za-z.-]+)?$"
-FULL = r"^v?\d+\.\d+\.\d+(?:-[0-9A-Za-z.-]+)?(?:\+[0-9A-Za-z.-]+)?$"
+#: The signs of a term, and which end of a version's own interval they take as (low, high): its start, its end, or no bound.
+#: Caret, tilde, equals and no sign take an interval that depends on the numbers given.
+SIGNS: dict[str, tuple[str | None, str | None] | None] = {
+    "^": None, "~": None, "=": None, ">=": ("start", None), ">": ("end", None), "<": (None, "start"), "<=": (None, "end"),
+}
+
+_NUMBER, _TAGS = r"(\d+|\*)", "[0-9A-Za-z.-]+"
+#: A term: a sign, one to three numbers or stars, and tags.
+TERM = rf"^({'|'.join(map(re.escape, sorted(SIGNS, key=len, reverse=True)))})?\s*{_NUMBER}(?:\.{_NUMBER})?(?:\.{_NUMBER})?(?:[-+]{_TAGS})?$"
+_VERSION = rf"\d+\.\d+\.\d+(?:-{_TAGS})?(?:\+{_TAGS})?"
+#: An entry of a lock file: quotes and a slash around either a version with its peers after an underscore, or a version after the
+#: name it stands for; peers in brackets may follow.
+_ENTRY = rf"(?s)^['\"]?/?(?:({_VERSION})_[^(]*|(?:[^(]+@)?v?({_VERSION}))(?:\(.*)?['\"]?$"
+_LINK = "^['\"]?(link|file|workspace|portal):"
 
 
 def triple(a: Column, b: Column, c: Column) -> Column:
@@ -38,8 +51,16 @@ def _interval(term: Column) -> Column:
     lead = F.when((known >= 1) & (a > 0), 1).when((known >= 2) & (b > 0), 2).when((known >= 3) & (c > 0), 3).otherwise(known)
     star = (said[1] == "*") | (said[2] == "*")
     fixed = F.when(star | (op == "="), known).when(op == "~", F.least(known, F.lit(2))).when(op.isin("", "^"), lead)
-    high = F.when(fixed == 1, after[1]).when(fixed == 2, after[2]).when(fixed == 3, after[3]).when(op == "<", low).when(op == "<=", after[3])
-    least = F.when(fixed.isNotNull() | (op == ">="), low).when(op == ">", after[3]).otherwise(triple(zero, zero, zero))
+    high = F.when(fixed == 1, after[1]).when(fixed == 2, after[2]).when(fixed == 3, after[3])
+    least = F.when(fixed.isNotNull(), low)
+    bound = {"start": low, "end": after[3]}
+    for sign, sides in SIGNS.items():
+        for side in sides or ():
+            if side and side == sides[0]:
+                least = least.when(op == sign, bound[side])
+            elif side:
+                high = high.when(op == sign, bound[side])
+    least = least.otherwise(triple(zero, zero, zero))
     none = known == 0
     return F.struct(F.when(none, triple(zero, zero, zero)).otherwise(least).alias("low"), F.when(~none, high).alias("high"))
 
@@ -64,14 +85,10 @@ def requirement_matches(need: Column, have: Column) -> Column:
 def lock_version(raw: Column) -> Column:
     """(kind, version) of a lock entry: a version, a local link, or another source.
 
-    Quotes, a leading slash, peer suffixes and an alias before the version are cut off.
+    One pattern tells the parts of an entry: quotes, a slash, the name before an at sign, the version, and its peers.
     """
-    s = F.regexp_replace(F.trim(raw), "^['\"]|['\"]$", "")
-    local = s.rlike("^(link|file|workspace|portal):")
-    s = F.regexp_replace(F.regexp_replace(s, "^/", ""), r"(?s)\(.*$", "")
-    s = F.regexp_replace(s, r"^(\d+\.\d+\.\d+[^_]*)_.*$", "$1")
-    tail = F.regexp_extract(s, "^.+@([^@]*)$", 1)
-    s = F.when(tail.rlike(FULL), tail).otherwise(s)
-    version = F.when(~local & s.rlike(FULL), F.regexp_replace(s, "^v", ""))
-    kind = F.when(local, "local").when(version.isNotNull(), "version").when(raw.isNotNull(), "source")
-    return F.struct(kind.alias("kind"), version.alias("version"))
+    entry = F.trim(raw)
+    found = F.nullif(F.concat(F.regexp_extract(entry, _ENTRY, 1), F.regexp_extract(entry, _ENTRY, 2)), F.lit(""))
+    local = entry.rlike(_LINK)
+    kind = F.when(local, "local").when(found.isNotNull(), "version").when(raw.isNotNull(), "source")
+    return F.struct(kind.alias("kind"), F.when(~local, found).alias("version"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import adapters as A
+from ..operators import claims as C
 from ..operators import geometry
 from ..operators import layout as L
 from ..operators import spatial as P
@@ -332,12 +333,30 @@ def _(t):
     return V.accepted(t.documents, bad, "source").groupBy("source").agg(F.count("*").alias("accepted"))
 
 
-@query("v10_claim_revalidation", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'missing' WHEN doc_id % 6 = 1 THEN 'changed' ELSE 'valid' END AS state FROM documents")
+_SENTENCE = "contains(summary, '. ' || first || ' ') OR contains(summary, '! ' || first || ' ') OR contains(summary, '? ' || first || ' ')"
+
+
+@query(
+    "v10_claim_revalidation",
+    f"""WITH d AS (SELECT doc_id, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS summary FROM documents),
+ f AS (SELECT *, coalesce(nullif(regexp_extract(summary, '^[^.!?]*[.!?]', 0), ''), summary) AS first FROM d),
+ s AS (SELECT *, length(first) >= 12 AND (first = summary OR substr(summary, length(first) + 1, 1) = ' ' OR {_SENTENCE} OR ends_with(summary, '. ' || first) OR ends_with(summary, '! ' || first) OR ends_with(summary, '? ' || first)) AS whole FROM f)
+SELECT doc_id, v.position, CASE WHEN v.state = 'sentence?' THEN CASE WHEN whole THEN 'valid' ELSE 'sentence' END ELSE v.state END AS state
+ FROM s, (VALUES (0, 'sentence?'), (1, 'valid'), (2, 'key point'), (3, 'id'), (4, 'evidence'), (5, 'malformed')) v(position, state)""",
+)
 def _(t):
-    i = F.col("doc_id")
-    now = F.sha2("text", 256)
-    kept = F.when(i % 4 == 0, None).when(i % 6 == 1, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(now)
-    return t.documents.select("doc_id", F.when(kept.isNull(), "missing").when(kept != now, "changed").otherwise("valid").alias("state"))
+    d = t.documents.select("doc_id", "lang", C.collapsed(F.col("text")).alias("summary"))
+    first = F.coalesce(F.nullif(F.regexp_extract("summary", r"^[^.!?]*[.!?]", 0), F.lit("")), F.col("summary"))
+    ref = F.struct(A.tag("d", "doc_id").alias("entity_id"), F.concat(F.lit("texts/"), F.col("doc_id").cast("string")).alias("path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))
+
+    def claim(text, origin: str, index: int, evidence=F.array(ref), named=None):
+        ident = C.claim_id(F.lit(named or origin), text, evidence)
+        return F.struct(ident.alias("id"), text.alias("text"), F.lit(origin).alias("origin"), F.lit(index).alias("index"), evidence.alias("evidence"))
+
+    lang = F.col("lang")
+    claims = F.array(claim(first, "summary", 0), claim(lang, "keyPoint", 0), claim(lang, "keyPoint", 1), claim(lang, "keyPoint", 0, named="summary"), claim(lang, "keyPoint", 0, F.array_repeat(ref, 4)), claim(lang, "hearsay", 0))
+    rows = d.select(F.col("doc_id").alias("id"), "summary", F.array(lang, F.concat(lang, F.lit("!"))).alias("key_points"), claims.alias("claims"))
+    return C.revalidate(rows).select(F.col("id").alias("doc_id"), "position", "state")
 
 
 @query("v11_excerpt_integrity", "SELECT l_orderkey, l_linenumber, count(*)::BIGINT AS n, bool_and(CASE l_partkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false ELSE false END) AS matches FROM lineitem GROUP BY 1, 2")
