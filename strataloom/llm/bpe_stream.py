@@ -219,7 +219,8 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     """(id_col, n_tokens, ids_sha256, decoded_sha256) per row; no shuffle.
 
     Null and empty texts have no tokens and the hashes of the empty string. Null ids stay null, repeated rows give
-    repeated results, an empty table gives no rows; other columns are neither read nor returned.
+    repeated results, an empty table gives no rows; other columns are neither read nor returned, whatever their names. A text
+    of any length streams through in constant memory beside the text itself.
     """
     path = path or vocab_path("word_bpe_49k.json")
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -11,8 +11,8 @@
    a group's main component are held against all others, in blocks within a task: first by sketches, then by full sets.
    A task hands out true links only, so no link between components is lost, and no pairs are listed.
 
-No task grows with a hot key. Lists, pivots and the centres of components that hold many rows are dealt over several
-tasks, in proportion to rows that are counted first.
+Lists, pivots and the centres of components that hold many rows are dealt over several tasks, in proportion to rows that
+are counted first; the joins of list values and of set keys leave hot keys to the engine's skew join.
 """
 
 from __future__ import annotations

@@ -143,7 +143,8 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
 
     ``path``: a tokenizers .json file (merged here) or a sentencepiece .model file. A null text counts as the empty text
     (0 bytes, 0 tokens), a null id stays null, repeated rows give repeated results, an empty table gives no rows, and
-    other columns of ``docs`` are neither read nor returned.
+    other columns of ``docs`` are neither read nor returned, whatever their names. A text of any length is counted whole,
+    in blocks that end between words.
     """
     path = path or vocab_path("word_bpe_49k.json")
     kind = docs.schema[id_col].dataType

@@ -204,7 +204,9 @@ def write_token_store(
 
     Every text gets ``end_id`` at its end; null and empty texts have it alone. Ids must be integers; rows of one id lie
     side by side, in order of their length and ids; rows with a null id come first and have no key. A task that is run
-    again writes other file names, and only files in the manifest count. An empty table has an empty manifest.
+    again writes other file names, and only files in the manifest count. An empty table has an empty manifest. A text of any
+    length is encoded whole; other columns are not read, whatever their names. All rows of one id, and all without an id,
+    lie in one shard and pass through one task.
     """
     vocab = vocab or vocab_path("word_bpe_49k.json")
     wide = load_vocab(vocab).size > 65_536
@@ -338,7 +340,10 @@ def lookup_tokens(spark: SparkSession, path: str, manifest: DataFrame, keys: Dat
 
 
 def token_store_digest(docs: DataFrame, vocab: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write a store in the shared folder and return (doc_id, start, n_tokens, ids_crc32) as read back from its files."""
+    """Write a store in the shared folder and return (doc_id, start, n_tokens, ids_crc32) as read back from its files.
+
+    Odd rows as in :func:`write_token_store`: each row gives one, an empty table none.
+    """
     spark = docs.sparkSession
     path = scratch_dir(spark, "token-store")
     manifest = write_token_store(docs, path, vocab, end_id, id_col=id_col, text_col=text_col)

@@ -59,7 +59,8 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 1000, date: str = "
 
     The payload is the page in UTF-8, empty for null. Of payloads of ``min_bytes`` or more that are equal, the one with the
     largest page id is a response and the others revisit it; rows that repeat that id stay responses, and so do rows with
-    a null id. A null url becomes about:blank, control characters and blanks in it are escaped. Other columns are not read.
+    a null id. A null url becomes about:blank, control characters and blanks in it are escaped. Other columns are not read,
+    whatever their names. A page of any length is one record; an empty table has an empty manifest.
     A task that runs again writes other file names, and only files in the manifest count.
     """
     folder = _folder(path)
@@ -224,7 +225,10 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = 1000) -> DataFrame:
 
 
 def warc_round_trip(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """Write the pages as archives in the shared folder, read them back and resolve their revisits."""
+    """Write the pages as archives in the shared folder, read them back and resolve their revisits.
+
+    Odd rows as in :func:`write_warc`; each row of the pages gives one row, an empty table none.
+    """
     spark = pages.sparkSession
     path = scratch_dir(spark, "warc")
     manifest = write_warc(pages, path, min_bytes)
