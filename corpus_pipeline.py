@@ -52,7 +52,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in the training sequences; all rows are packed, those without an id or text too."""
+    """Where each piece of each document goes in the training sequences; all rows are packed, those without an id or text too.
+
+    Repeated rows are packed as often as they come; long texts are cut into pieces. Other columns are not read, whatever their
+    names; an empty table gives no pieces.
+    """
     return pack_documents(docs, vocab_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
