@@ -196,3 +196,94 @@ def excerpt_matches(excerpt: Column, ref: Column) -> Column:
     cut = cut & (r("start") == e("source_start")) & (r("end") == e("source_end"))
     plain = e("source_start").isNull() & e("source_end").isNull()
     return F.coalesce(same & F.when(plain, whole).otherwise(cut), F.lit(False))
+
+
+#: Bounds of an explanation's prose, diagram and table.
+SUMMARY_CHARS, SUMMARY_BULLETS, KEY_POINTS, KEY_POINT_CHARS = 600, 6, (2, 5), 220
+DIAGRAM_NODES, DIAGRAM_LINES, DIAGRAM_CHARS = 12, 40, 2000
+CAPTION_CHARS, TABLE_COLUMNS, HEADING_CHARS, TABLE_ROWS, CELL_CHARS = 120, (2, 4), 40, (1, 8), 160
+#: Elements that act without attributes, and other known ones.
+ACTIVE = "script style iframe frame frameset object embed applet svg math noscript marquee template base meta portal xmp plaintext"
+KNOWN = (
+    "a abbr address area article aside audio b bdi bdo blockquote body br button canvas caption cite code col colgroup data datalist dd del details dfn dialog div dl dt em fieldset figcaption figure font"
+    " footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html i img input ins kbd label legend li link main map mark menu meter nav ol optgroup option output p param picture pre progress q rp rt ruby s samp"
+    " search section select slot small source span strong sub summary sup table tbody td textarea tfoot th thead time title tr track u ul var video wbr"
+)
+_ELEMENT = lambda names: "(?:" + "|".join(names.split()) + ")"
+
+
+def active_markup(text: Column) -> Column:
+    """Whether a text, code spans aside, holds markup that acts: comments, acting elements, or tags with attributes.
+
+    A bare mention of another element is a word.
+    """
+    bare = F.regexp_replace(text, r"`[^`\n]*`", " ")
+    acting = rf"</?{_ELEMENT(ACTIVE)}(?:[\s/][^<>]*)?>"
+    valued = r"</?[a-z][a-z0-9-]*(?:[\s/][^<>]*)?[\s/][a-z_:][-\w:.]*\s*=[^<>]*>"
+    filled = rf"</?{_ELEMENT(KNOWN + ' ' + ACTIVE)}[\s/][\s/]*[^\s/<>][^<>]*>"
+    return bare.rlike(f"(?i)<!--|{acting}|{valued}|{filled}")
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
+def first_fault(*rules: tuple[Column, str]) -> Column:
+    """The name of the first rule that is broken; null where none is."""
+    out = F.when(F.lit(False), "")
+    for broken, name in rules:
+        out = out.when(F.coalesce(broken, F.lit(False)), name)
+    return out
+
+
+def explanations(df: DataFrame) -> DataFrame:
+    """(id, fault) of explanations (id, summary, key_points): missing or too long prose, too many bullets, markup, key points."""
+    plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    points = F.filter(F.transform("key_points", lambda p: F.regexp_replace(plain(p), r"^(?:[-*•]|\d+[.)])\s+", "")), lambda p: p != "")
+    text = _trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace("summary", "\r\n?", "\n"), r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n"))
+    bullets = F.size(F.regexp_extract_all(text, F.lit(r"(?m)^\s*[-*]\s+"), F.lit(0)))
+    d = df.withColumns({"_text": text, "_points": points, "_bullets": bullets})
+    fault = first_fault(
+        (F.col("_text").isNull() | (F.col("_text") == ""), "no summary"), (active_markup(F.col("_text")), "markup"), (F.length("_text") > SUMMARY_CHARS, "long summary"), (F.col("_bullets") > SUMMARY_BULLETS, "bullets"),
+        (F.col("key_points").isNull(), "no key points"), (F.exists("_points", active_markup), "markup"), (F.exists("_points", lambda p: F.length(p) > KEY_POINT_CHARS), "long key point"), (~F.size("_points").between(*KEY_POINTS), "key points"),
+    )
+    return d.select("id", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def tables(df: DataFrame) -> DataFrame:
+    """(id, fault) of tables (id, caption, columns, rows): bounds of caption, headings, rows and cells, equal widths, no markup."""
+    plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    d = df.withColumns({"_head": F.transform("columns", plain), "_rows": F.transform("rows", lambda r: F.transform(r, plain)), "_caption": plain(F.coalesce("caption", F.lit("")))})
+    texts = F.concat(F.array("_caption"), F.col("_head"), F.flatten("_rows"))
+    fault = first_fault(
+        (F.col("columns").isNull() | F.col("rows").isNull(), "parts"), (F.length("_caption") > CAPTION_CHARS, "caption"), (~F.size("_head").between(*TABLE_COLUMNS), "columns"),
+        (F.exists("_head", lambda h: h.isNull() | (h == "") | (F.length(h) > HEADING_CHARS)), "headings"), (~F.size("_rows").between(*TABLE_ROWS), "rows"),
+        (F.exists("_rows", lambda r: r.isNull() | (F.size(r) != F.size("_head"))), "widths"), (F.exists("_rows", lambda r: F.exists(r, lambda c: c.isNull() | (F.length(c) > CELL_CHARS))), "cells"), (F.exists(texts, active_markup), "markup"),
+    )
+    return d.select("id", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+#: What a flow chart may not hold, by name.
+_FORBIDDEN = {
+    "directive": "%%", "shape data": r"@\{", "shorthand": ":::", "address": r"(?i)\b(https?|ftp|file|data|javascript)\s*:|//",
+    "styling": r"(?im)(^|;)\s*(click|style|class|classDef|linkStyle)\b",
+}
+
+
+def flowcharts(df: DataFrame) -> DataFrame:
+    """(id, fault) of diagrams (id, source): one flow chart, left to right or top down, plain, labelled for readers, and small."""
+    clean = _trimmed(F.regexp_replace("source", "\r\n?", "\n"))
+    inner = F.regexp_extract(clean, r"(?s)\A```(?:mermaid)?[ \t]*\n(.*?)\n```\z", 1)
+    lines = F.filter(F.transform(F.split(F.when(inner != "", _trimmed(inner)).otherwise(clean), "\n"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: F.trim(x) != "")
+    d = df.withColumn("_lines", lines).withColumn("_rest", F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0)))).withColumn("_all", F.array_join("_lines", "\n"))
+    # Names of nodes are what is left of a statement without labels, texts and arrows.
+    said = F.filter(F.transform("_rest", lambda x: F.trim(x)), lambda x: ~x.rlike(r"^(subgraph|end|direction)\b"))
+    bare = F.transform(said, lambda x: F.regexp_replace(x, r'"[^"]*"|\|[^|]*\||\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|--[^->]*?-->|<?[-=.]{2,}>?|[&;]', " "))
+    nodes = F.array_distinct(F.flatten(F.transform(bare, lambda x: F.regexp_extract_all(x, F.lit(r"[A-Za-z_][\w-]*"), F.lit(0)))))
+    any_tag = rf"(?i)<!--|</?{_ELEMENT(KNOWN + ' ' + ACTIVE)}(?:[\s/][^<>]*)?>"
+    fault = first_fault(
+        (F.col("source").isNull(), "no source"), (~F.coalesce(F.trim(F.get("_lines", F.lit(0))).rlike(r"^flowchart\s+(LR|TB|TD)\s*;?$"), F.lit(False)), "header"), (F.length("_all") > DIAGRAM_CHARS, "characters"), (F.size("_lines") > DIAGRAM_LINES, "lines"),
+        *((F.col("_all").rlike(p), name) for name, p in _FORBIDDEN.items()), (F.exists("_rest", lambda x: x.rlike(r"(?i)(^|;)\s*(flowchart|graph)\b")), "second header"),
+        (F.col("_all").rlike(any_tag) | active_markup(F.col("_all")), "markup"), (F.col("_all").rlike(r"\b(system|container|component|code|external|softwareSystem|externalSystem|relation):[\w./-]+"), "ids"), (F.size(nodes) > DIAGRAM_NODES, "nodes"),
+    )
+    return d.select("id", fault.alias("fault")).where("fault IS NOT NULL")

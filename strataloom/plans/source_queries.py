@@ -269,12 +269,33 @@ def _(t):
     return V.unique(t.supplier.select(F.floor(F.col("s_suppkey") / 2).alias("k")), "authored", "k")
 
 
-@query("v12_explanation_rules", "SELECT 'documents/' || doc_id AS path, 'holds markup' AS message FROM documents WHERE regexp_matches(text, '<[a-zA-Z/][^>]*>')")
+_TURNS = "t AS (SELECT conv_id, turn, role, regexp_replace(trim(text), '\\s+', ' ', 'g') AS text, text AS raw FROM conversations), f AS (SELECT conv_id, min(turn) AS first FROM t GROUP BY 1)"
+
+
+@query(
+    "v12_explanation_rules",
+    f"""WITH {_TURNS}, s AS (SELECT conv_id, min(raw) FILTER (WHERE turn = first) AS summary, count(*) FILTER (WHERE turn > first AND text <> '') AS points, coalesce(max(length(text)) FILTER (WHERE turn > first), 0) AS longest FROM t JOIN f USING (conv_id) GROUP BY 1)
+SELECT conv_id AS id, CASE WHEN length(trim(summary)) > 600 THEN 'long summary' WHEN longest > 220 THEN 'long key point' ELSE 'key points' END AS fault FROM s WHERE length(trim(summary)) > 600 OR longest > 220 OR points NOT BETWEEN 2 AND 5""",
+)
 def _(t):
-    return V.holds(t.documents, "documents", "doc_id", ~F.col("text").rlike("<[a-zA-Z/][^>]*>"), "holds markup")
+    turns = t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("s"))
+    first = F.get("s", F.lit(0))["turn"]
+    said = lambda keep: F.transform(F.filter("s", keep), lambda x: x["text"])
+    return V.explanations(turns.select(F.col("conv_id").alias("id"), F.array_min(said(lambda x: x["turn"] == first)).alias("summary"), said(lambda x: x["turn"] > first).alias("key_points")))
 
 
-@query("v13_table_shape", "SELECT 'pages/' || page_id AS path, 'ragged table' AS message FROM pages WHERE (length(html) - length(replace(html, '<tr', ''))) // 3 <> (length(html) - length(replace(html, '</tr', ''))) // 4")
+@query("v13_table_shape", f"WITH {_TURNS}, s AS (SELECT conv_id, count(*) AS n, max(length(text)) AS longest FROM t GROUP BY 1) SELECT conv_id AS id, CASE WHEN n > 8 THEN 'rows' ELSE 'cells' END AS fault FROM s WHERE n > 8 OR longest > 160")
+def _(t):
+    rows = t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("s"))
+    return V.tables(rows.select(F.col("conv_id").alias("id"), F.lit("Turns").alias("caption"), F.array(F.lit("role"), F.lit("text")).alias("columns"), F.transform("s", lambda x: F.array(x["role"], x["text"])).alias("rows")))
+
+
+@query(
+    "v13_flowchart_rules",
+    "WITH c AS (SELECT o_custkey AS id, count(*) AS n, 12 + sum(1 + 7 + length(o_custkey::VARCHAR) + length(o_orderkey::VARCHAR)) AS chars FROM orders GROUP BY 1)"
+    " SELECT id, CASE WHEN chars > 2000 THEN 'characters' WHEN n + 1 > 40 THEN 'lines' ELSE 'nodes' END AS fault FROM c WHERE chars > 2000 OR n + 1 > 40 OR n + 1 > 12",
+)
 def _(t):
-    count = lambda s: F.floor((F.length("html") - F.length(F.replace("html", F.lit(s), F.lit("")))) / len(s))
-    return V.holds(t.pages, "pages", "page_id", count("<tr") == count("</tr"), "ragged table")
+    arrow = F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(" --> o"), F.col("o_orderkey").cast("string"))
+    made = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.concat(F.lit("flowchart LR\n"), F.array_join(F.sort_array(F.collect_list(arrow)), "\n")).alias("source"))
+    return V.flowcharts(made)

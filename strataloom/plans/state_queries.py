@@ -338,7 +338,7 @@ _SENTENCE = "contains(summary, '. ' || first || ' ') OR contains(summary, '! ' |
 
 @query(
     "v10_claim_revalidation",
-    f"""WITH d AS (SELECT doc_id, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS summary FROM documents),
+    f"""WITH d AS (SELECT doc_id, lang, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS summary FROM documents),
  f AS (SELECT *, coalesce(nullif(regexp_extract(summary, '^[^.!?]*[.!?]', 0), ''), summary) AS first FROM d),
  s AS (SELECT *, length(first) >= 12 AND (first = summary OR substr(summary, length(first) + 1, 1) = ' ' OR {_SENTENCE} OR ends_with(summary, '. ' || first) OR ends_with(summary, '! ' || first) OR ends_with(summary, '? ' || first)) AS whole FROM f)
 SELECT doc_id, v.position, CASE WHEN v.state = 'sentence?' THEN CASE WHEN whole THEN 'valid' ELSE 'sentence' END ELSE v.state END AS state
