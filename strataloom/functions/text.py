@@ -82,11 +82,18 @@ SECRETS = (
     (r"(/Users|/home)/[A-Za-z0-9._-]+", "$1/[user]"),
 )
 
+_HOST_TOKENS = tuple(s for s in SECRETS if s[0].startswith(("gh[", "github_")))
+
+
+def holds_token(text: Column) -> Column:
+    """Whether a text holds an access token of a code host."""
+    return text.rlike("|".join(pattern for pattern, _ in _HOST_TOKENS))
+
+
 def mask_tokens(text: Column) -> Column:
     """Access tokens of code hosts masked; all else stays."""
-    for pattern, by in SECRETS:
-        if pattern.startswith(("gh[", "github_")):
-            text = F.regexp_replace(text, pattern, by)
+    for pattern, by in _HOST_TOKENS:
+        text = F.regexp_replace(text, pattern, by)
     return text
 
 

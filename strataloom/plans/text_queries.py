@@ -218,17 +218,17 @@ def _library(t: Tables):
     d = t.documents.select("doc_id", "text", "lang", "source", F.concat("source", F.lit("/f"), (F.floor(F.col("doc_id") / 140)).cast("string")).alias("file"))
     none = lambda kind: F.lit(None).cast(kind)
 
-    def entity(df, ident, name, kind, parent, path=none("string"), summary=none("string"), lines=none("array<string>"), symbols=F.array().cast("array<string>")):
-        ends = F.when(lines.isNotNull(), F.lit(1)), F.size(lines)
+    def entity(df, ident, name, kind, parent, path=none("string"), summary=none("string"), lines=none("array<string>"), last=none("int"), symbols=F.array().cast("array<string>")):
+        first = F.when(last.isNotNull(), F.lit(1))
         return df.select(
-            ident.alias("id"), name.alias("name"), F.lit(kind).alias("kind"), parent.alias("parent_id"), path.alias("path"), ends[0].alias("start_line"), F.when(lines.isNotNull(), ends[1]).alias("end_line"),
-            symbols.alias("symbols"), summary.alias("summary"), none("array<string>").alias("key_points"), ends[0].alias("excerpt_start"), lines.alias("lines"),
+            ident.alias("id"), name.alias("name"), F.lit(kind).alias("kind"), parent.alias("parent_id"), path.alias("path"), first.alias("start_line"), last.alias("end_line"),
+            symbols.alias("symbols"), summary.alias("summary"), none("array<string>").alias("key_points"), first.alias("excerpt_start"), lines.alias("lines"),
         )
 
     system = entity(t.spark.range(1), F.lit("atlas"), F.lit("Atlas"), "softwareSystem", none("string"))
     boxes = entity(d.select("source").distinct(), F.col("source"), F.col("source"), "container", F.lit("atlas"))
-    files = entity(d.select("source", "file").distinct(), F.col("file"), F.col("file"), "component", F.col("source"), F.concat("file", F.lit(".txt")))
-    texts = entity(d, A.tag("d", "doc_id"), A.tag("text_", "doc_id"), "code", F.col("file"), F.concat("file", F.lit(".txt")), F.col("lang"), F.split("text", "\n", -1))
+    files = entity(d.select("source", "file").distinct(), F.col("file"), F.col("file"), "component", F.col("source"), F.concat("file", F.lit(".txt")), F.concat(F.lit("Texts of "), "source"), last=F.lit(140))
+    texts = entity(d, A.tag("d", "doc_id"), A.tag("text_", "doc_id"), "code", F.col("file"), F.concat("file", F.lit(".txt")), F.col("lang"), F.split("text", "\n", -1), F.size(F.split("text", "\n", -1)))
     relations = d.select(A.tag("d", "doc_id").alias("from_id"), F.concat(F.lit("d"), (F.col("doc_id") + 1).cast("string")).alias("to_id"), F.lit("calls").alias("kind"))
     return system.unionAll(boxes).unionAll(files).unionAll(texts), relations
 
