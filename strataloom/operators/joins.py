@@ -67,15 +67,15 @@ def longest_suffix(paths: DataFrame, known: DataFrame, path_col: str = "path", k
     return hit.groupBy(path_col).agg(F.max_by("_at", F.length("_at")).alias(known_col))
 
 
-def innermost(spans: DataFrame, points: DataFrame, keys: list[str], bucket: int = 64) -> DataFrame:
-    """(point_id, span_id): the narrowest span (start, end) around each point (at), ties by id.
+def innermost(spans: DataFrame, points: DataFrame, keys: list[str], bucket: int = 64, order: Column | None = None) -> DataFrame:
+    """(point_id, span_id): the narrowest span (start, end) around each point (at), ties by id; or the least by ``order``.
 
     Spans are dealt over buckets of ``bucket`` lines, so the join is on equality; the range is checked after it.
     """
     s = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
     p = points.withColumn("_b", F.floor(F.col("at") / bucket))
     hit = p.join(s, [*keys, "_b"]).where((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end")))
-    return hit.groupBy("point_id").agg(F.min_by("span_id", F.struct(F.col("end") - F.col("start"), "span_id")).alias("span_id"))
+    return hit.groupBy("point_id").agg(F.min_by("span_id", F.struct(F.col("end") - F.col("start"), "span_id") if order is None else F.struct(order, "span_id")).alias("span_id"))
 
 
 def keyed_diff(before: DataFrame, after: DataFrame, key: str, compare: list[str], place: str | None = None) -> DataFrame:
