@@ -106,6 +106,11 @@ FLOWS = """lines AS (SELECT 'c' || o_custkey AS c, 's' || l_suppkey AS s, 'p' ||
  flows AS (SELECT c AS from_id, s AS to_id FROM lines UNION SELECT s, p FROM lines UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer)"""
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table whose rows are few bytes and make much work each, dealt over all tasks: its file alone would be read by one or two."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def script_files(t: Tables) -> DataFrame:
     """(path, text): a script for each part, with what misleads patterns: nested templates, regular expressions, comments, generics."""
     loops = F.repeat(F.lit("  for (const x of item.list) { use(x) }\n"), F.col("p_size") % 5)
@@ -115,7 +120,7 @@ def script_files(t: Tables) -> DataFrame:
         F.lit("<T extends { size: number }>(item: T, q?: number): Promise<{ ok: boolean }> {\n  const label = `size ${ q ? `in ${q}` : \""), F.col("p_name"), F.lit("\" } if (x) {`;\n  if (/[{`\"]if/.test(label) && q) { return load() }\n"),
         loops, F.lit("  return import('./lazy/"), F.col("p_brand"), F.lit("');\n}\nconst price_"), key, F.lit(" = 1.5,\n  over_"), key, F.lit(" = (a: Map<string, number>) => a.size > "), size, F.lit(" ? 1 : 2;\nclass Box_"), key, F.lit(" { get v() { return 1 } }\n"),
     )
-    return t.part.select(F.concat(F.lit("parts/"), key, F.lit(".ts")).alias("path"), text.alias("text"))
+    return dealt(t.part).select(F.concat(F.lit("parts/"), key, F.lit(".ts")).alias("path"), text.alias("text"))
 
 
 def rust_files(t: Tables) -> DataFrame:
@@ -126,4 +131,4 @@ def rust_files(t: Tables) -> DataFrame:
         F.lit("<'a> { name: &'a str }\nimpl<'a> fmt::Display for Supplier"), key, F.lit("<'a> {\n  fn fmt(&self) -> bool { self.c == '\\'' }\n}\npub(crate) fn balance_"), key,
         F.lit("() -> i64 { let r = r#\"fn raw() { \"quoted\" }\"#; 1 }\n#[cfg(test)]\nmod tests { fn t() {} }\n"),
     )
-    return t.supplier.select(F.concat(F.lit("suppliers/"), key, F.lit(".rs")).alias("path"), text.alias("text"))
+    return dealt(t.supplier).select(F.concat(F.lit("suppliers/"), key, F.lit(".rs")).alias("path"), text.alias("text"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..sources.code_tokens import STARTERS, code_tokens
+from .graph import shared
 
 #: Least tokens of a body that can be a copy, and the complexity that is too much beyond it.
 LEAST_COPY_TOKENS, MOST_COMPLEXITY = 20, 6
@@ -32,23 +33,16 @@ def statements(tokens: DataFrame) -> DataFrame:
 
     A statement ends at a semicolon, after the brace of a declaration or block, or before a line that a statement's word begins.
     """
-    top = tokens.where("depth = 0")
-    before = lambda c: F.lag(c).over(_file())
+    level = Window.partitionBy("path", "top").orderBy("at")  # lies within the files that the rows are dealt by
+    top = tokens.repartition("path").withColumn("top", F.col("depth") == 0)
+    before = lambda c: F.lag(c).over(level)
     new_line = F.col("line") > before("end_line")
-    after = F.lead("text").over(_file())
-    word = (F.col("kind") == "name") & (F.col("text").isin(*STARTERS) | (F.col("text") == "async") & (after == "function") | (F.col("text") == "type") & (F.lead("kind").over(_file()) == "name"))
+    after = F.lead("text").over(level)
+    word = (F.col("kind") == "name") & (F.col("text").isin(*STARTERS) | (F.col("text") == "async") & (after == "function") | (F.col("text") == "type") & (F.lead("kind").over(level) == "name"))
     ended = (before("text") == "}") & ~F.col("text").isin(*_GO_ON) & (new_line | word)
     begins = before("text").isNull() | (before("text") == ";") | ended | (new_line & word & ~before("text").isin(*_OPEN_END))
-    starts = top.select("path", "at", F.when(begins, F.col("at")).alias("begin")).where("begin IS NOT NULL").select("path", "at", "begin")
-    both = tokens.join(starts, ["path", "at"], "left")
-    return both.withColumn("statement", F.last("begin", True).over(_file())).drop("begin")
-
-
-def _heads(marked: DataFrame, most: int = 10) -> DataFrame:
-    """(path, statement, t, line, end_line, last): the first top-level tokens of each statement as an array, and its extent."""
-    top = marked.where("depth = 0").withColumn("n", F.row_number().over(Window.partitionBy("path", "statement").orderBy("at")))
-    t = F.sort_array(F.collect_list(F.when(F.col("n") <= most, F.struct("at", "kind", "text", "line"))))
-    return top.groupBy("path", "statement").agg(t.alias("t"), F.min("line").alias("line"), F.max("end_line").alias("end_line"), F.max("at").alias("last"), F.max_by("text", "at").alias("ends_with"))
+    both = top.withColumn("begin", F.when(F.col("top") & begins, F.col("at")))
+    return both.withColumn("statement", F.last("begin", True).over(_file())).drop("begin", "top")
 
 
 def declarations(tokens: DataFrame) -> DataFrame:
@@ -57,34 +51,47 @@ def declarations(tokens: DataFrame) -> DataFrame:
     Each declarator of a variable statement is one, destructured ones aside; ``first`` and ``last`` are its tokens. Names in
     ``export {...}`` without a source, and in ``export default name``, are exported as well.
     """
-    marked = statements(tokens)
-    heads = _heads(marked)
+    # One row for each statement, with its tokens of the top level and the names of an export list: the rows of a file stay
+    # where they are, and the tokens are read once.
+    own = Window.partitionBy("path", "statement").orderBy("at")
+    marked = statements(tokens).withColumn("opens", F.first("text").over(own)).withColumn("second", F.nth_value("text", 2).over(own))
+    top = F.sort_array(F.collect_list(F.when(F.col("depth") == 0, F.struct("at", "kind", "text", "line", "end_line"))))
+    one = F.sort_array(F.collect_list(F.when((F.col("depth") == 1) & (F.col("opens") == "export") & (F.col("second") == "{"), F.struct("at", "kind", "text"))))
+    each = marked.where("depth <= 1").groupBy("path", "statement").agg(top.alias("top"), one.alias("one")).withColumn("t", F.slice("top", 1, 10))
     words = F.transform("t", lambda x: x["text"])
     skip = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.forall(F.slice(words, F.lit(1), i), lambda w: w.isin(*_BEFORE_KIND))), lambda ok: ok))
-    h = heads.withColumn("skip", skip).withColumn("kw", F.get(words, F.col("skip"))).where(F.col("kw").isin(*_KINDS))
-    h = h.withColumn("kw2", F.get(words, F.col("skip") + 1))
+    h = each.withColumn("skip", skip).withColumn("kw", F.get(words, F.col("skip"))).withColumn("kw2", F.get(words, F.col("skip") + 1))
     const_enum = (F.col("kw") == "const") & (F.col("kw2") == "enum")
-    kind = F.when(const_enum, "enum").otherwise(F.col("kw"))
+    kind = F.when(F.col("kw").isin(*_KINDS), F.when(const_enum, "enum").otherwise(F.col("kw")))
     at_name = F.col("skip") + 1 + F.when(const_enum | (F.col("kw") == "function") & (F.col("kw2") == "*"), 1).otherwise(0)
     h = h.withColumn("name", F.get("t", at_name)).withColumn("kind", kind).withColumn("direct", F.array_contains(F.slice(words, F.lit(1), F.col("skip")), "export"))
-    single = h.where(~F.col("kind").isin("const", "let", "var") & (F.col("name.kind") == "name"))
-    single = single.select("path", F.col("name.text").alias("name"), "kind", "line", "end_line", "direct", F.col("statement").alias("first"), "last")
+    least = lambda ts, c: F.array_min(F.transform(ts, lambda x: x[c]))
+    most = lambda ts, c: F.array_max(F.transform(ts, lambda x: x[c]))
+
+    def row(name, kind, ts, direct, listed):
+        found = {"name": name, "kind": kind, "line": least(ts, "line"), "end_line": most(ts, "end_line"), "direct": direct, "first": least(ts, "at"), "last": most(ts, "at"), "listed": F.lit(listed)}
+        return F.struct(*(c.alias(n) for n, c in found.items()))
+
+    empty = F.array().cast("array<struct<name: string, kind: string, line: int, end_line: int, direct: boolean, first: int, last: int, listed: boolean>>")
+    variable = F.col("kind").isin("const", "let", "var")
+    single = F.when(~variable & (F.col("name.kind") == "name"), F.array(row(F.col("name.text"), F.col("kind"), F.col("top"), F.col("direct"), False))).otherwise(empty)
     # Declarators: names at the top level after the keyword or a comma, where a type or a value, or the end, comes next.
-    variable = h.where(F.col("kind").isin("const", "let", "var")).select("path", "statement", "kind", "direct", F.get("t", F.col("skip"))["at"].alias("kw_at"))
-    own = Window.partitionBy("path", "statement").orderBy("at")
-    before, after = F.lag("text").over(own), F.lead("text").over(own)
-    begins = (F.col("kind_") == "name") & (F.lag("at").over(own) == F.col("kw_at")) | (F.col("kind_") == "name") & (before == ",") & (after.isNull() | after.isin("=", ":", ",", ";"))
-    top = marked.where("depth = 0").withColumnRenamed("kind", "kind_").join(variable, ["path", "statement"]).where("at >= kw_at")
-    top = top.withColumn("decl", F.last(F.when(begins, F.col("at")), True).over(own)).where("decl IS NOT NULL")
-    rest = Window.partitionBy("path", "statement", "decl")
-    top = top.withColumn("is_last", F.col("at") == F.max("at").over(rest)).where(~(F.col("is_last") & F.col("text").isin(",", ";")))
-    several = top.groupBy("path", "statement", "decl", "kind", "direct").agg(F.min_by("text", "at").alias("name"), F.min("line").alias("line"), F.max("end_line").alias("end_line"), F.max("at").alias("last"))
-    several = several.select("path", "name", "kind", "line", "end_line", "direct", F.col("decl").alias("first"), "last")
-    inside = marked.join(heads.where((F.get(words, F.lit(0)) == "export") & (F.get(words, F.lit(1)) == "{") & ~F.array_contains(words, "from")).select("path", "statement"), ["path", "statement"]).where("depth = 1")
-    inside = inside.withColumn("b", F.lag("text").over(own)).withColumn("b2", F.lag("text", 2).over(own)).where("kind = 'name' AND ((b IS NULL OR b = ',') AND text <> 'type' OR b = 'type' AND (b2 IS NULL OR b2 = ','))")
-    alone = heads.where((F.get(words, F.lit(0)) == "export") & F.get(words, F.lit(1)).isin("default", "=") & (F.get("t", F.lit(2))["kind"] == "name") & (F.get(words, F.lit(3)).isNull() | (F.get(words, F.lit(3)) == ";")))
-    listed = inside.select("path", F.col("text").alias("name")).unionAll(alone.select("path", F.get(words, F.lit(2)).alias("name"))).distinct().withColumn("listed", F.lit(True))
-    return single.unionAll(several).join(listed, ["path", "name"], "left").select("path", "name", "kind", "line", "end_line", (F.col("direct") | F.coalesce("listed", F.lit(False))).alias("exported"), "first", "last")
+    h = h.withColumn("own", F.when(variable, F.slice("top", F.col("skip") + 1, F.size("top"))))
+    text = lambda i: F.get("own", i)["text"]
+    begins = lambda x, i: (x["kind"] == "name") & ((i == 1) | (text(i - 1) == ",") & (text(i + 1).isNull() | text(i + 1).isin("=", ":", ",", ";")))
+    h = h.withColumn("places", F.filter(F.transform("own", lambda x, i: F.when(begins(x, i), i)), lambda i: i.isNotNull()))
+    cut = lambda i, n: F.slice("own", i + 1, F.coalesce(F.get("places", n + 1), F.size("own")) - i)
+    ended = lambda ts: F.when(F.element_at(ts, -1)["text"].isin(",", ";"), F.slice(ts, F.lit(1), F.size(ts) - 1)).otherwise(ts)
+    several = F.when(variable, F.transform(F.transform("places", lambda i, n: ended(cut(i, n))), lambda ts: row(F.get(ts, F.lit(0))["text"], F.col("kind"), ts, F.col("direct"), False))).otherwise(empty)
+    near = F.transform("one", lambda x, i: F.struct(x["text"].alias("text"), x["kind"].alias("kind"), F.get("one", i - 1)["text"].alias("b"), F.get("one", i - 2)["text"].alias("b2")))
+    names = F.filter(near, lambda x: (x["kind"] == "name") & ((x["b"].isNull() | (x["b"] == ",")) & (x["text"] != "type") | (x["b"] == "type") & (x["b2"].isNull() | (x["b2"] == ","))))
+    out = F.get(words, F.lit(0)) == "export"
+    inside = F.when(out & (F.get(words, F.lit(1)) == "{") & ~F.array_contains(words, "from"), F.transform(names, lambda x: x["text"]))
+    alone = F.when(out & F.get(words, F.lit(1)).isin("default", "=") & (F.get("t", F.lit(2))["kind"] == "name") & (F.get(words, F.lit(3)).isNull() | (F.get(words, F.lit(3)) == ";")), F.array(F.get(words, F.lit(2))))
+    listed = F.coalesce(F.transform(F.coalesce(inside, alone), lambda name: row(name, F.lit(None).cast("string"), F.col("t"), F.lit(False), True)), empty)
+    found = h.select("path", F.explode(F.concat(single, several, listed)).alias("d")).select("path", "d.*")
+    found = found.withColumn("exported", F.col("direct") | F.bool_or("listed").over(Window.partitionBy("path", "name"))).where("NOT listed")
+    return found.select("path", "name", "kind", "line", "end_line", "exported", "first", "last")
 
 
 def _string_value(text: Column) -> Column:
@@ -96,20 +103,22 @@ def imports(tokens: DataFrame) -> DataFrame:
 
     Type positions (``typeof import("x")``, types and interfaces) are no calls.
     """
-    marked = statements(tokens)
-    top = marked.where("depth = 0").groupBy("path", "statement").agg(
-        F.min_by("text", "at").alias("first"), F.bool_or(F.expr("text = 'from' AND kind = 'name'")).alias("from"), F.max_by(F.struct("kind", "text"), F.when(F.col("kind") == "string", F.col("at"))).alias("s"),
-        F.min("line").alias("line"), F.max("end_line").alias("end_line"), F.count_if(F.col("text") == "(").alias("calls"), F.count_if(F.col("text").isin("=", "function", "class")).alias("others"),
-    )
-    plain = top.where("s IS NOT NULL AND (first = 'import' AND calls = 0 AND others = 0 OR first = 'export' AND from AND others = 0)")
-    plain = plain.select("path", _string_value(F.col("s.text")).alias("specifier"), "line", "end_line", F.lit(False).alias("dynamic"))
-    kinds = _heads(marked, 4).select("path", "statement", F.exists("t", lambda x: x["text"].isin("type", "interface")).alias("typed"))
     at = lambda c, k: F.lead(c, k).over(_file())
-    near = marked.select("path", "statement", "text", "kind", "line", F.lag("text").over(_file()).alias("before"), at("text", 1).alias("paren"), at("kind", 2).alias("k"), at("text", 2).alias("s"), at("text", 3).alias("end"), at("text", 4).alias("dot"), at("text", 5).alias("member"), at("end_line", 3).alias("end_line"))
-    calls = near.where("text = 'import' AND kind = 'name' AND paren = '(' AND k = 'string' AND end IN (')', ',') AND coalesce(before, '') NOT IN ('.', 'typeof', '<', '|', '&', 'extends', 'keyof')")
-    calls = calls.where(~((F.col("before") == ":") & (F.coalesce("dot", F.lit("")) == ".") & F.coalesce("member", F.lit("")).rlike("^[A-Z]")))
-    calls = calls.join(kinds, ["path", "statement"]).where("NOT typed").select("path", _string_value(F.col("s")).alias("specifier"), "line", "end_line", F.lit(True).alias("dynamic"))
-    return plain.unionAll(calls)
+    near = statements(tokens).withColumns({"before": F.lag("text").over(_file()), "paren": at("text", 1), "k": at("kind", 2), "str": at("text", 2), "end": at("text", 3), "dot": at("text", 4), "member": at("text", 5), "call_end": at("end_line", 3)})
+    called = F.expr("text = 'import' AND kind = 'name' AND paren = '(' AND k = 'string' AND end IN (')', ',') AND coalesce(before, '') NOT IN ('.', 'typeof', '<', '|', '&', 'extends', 'keyof')")
+    called = called & ~((F.col("before") == ":") & (F.coalesce("dot", F.lit("")) == ".") & F.coalesce("member", F.lit("")).rlike("^[A-Z]"))
+    found = lambda s, line, end_line, dynamic: F.struct(_string_value(s).alias("specifier"), line.alias("line"), end_line.alias("end_line"), F.lit(dynamic).alias("dynamic"))
+    own = F.col("depth") == 0
+    top = near.groupBy("path", "statement").agg(
+        F.min_by("text", F.when(own, F.col("at"))).alias("first"), F.bool_or(own & F.expr("text = 'from' AND kind = 'name'")).alias("from"), F.max_by("text", F.when(own & (F.col("kind") == "string"), F.col("at"))).alias("s"),
+        F.min(F.when(own, F.col("line"))).alias("line"), F.max(F.when(own, F.col("end_line"))).alias("end_line"), F.count_if(own & (F.col("text") == "(")).alias("calls"), F.count_if(own & F.col("text").isin("=", "function", "class")).alias("others"),
+        F.collect_list(F.when(called, found(F.col("str"), F.col("line"), F.col("call_end"), True))).alias("called"), F.sort_array(F.collect_list(F.when(own, F.struct("at", "text")))).alias("t"),
+    )
+    plain = F.expr("s IS NOT NULL AND (first = 'import' AND calls = 0 AND others = 0 OR first = 'export' AND from AND others = 0)")
+    typed = F.exists(F.slice("t", 1, 4), lambda x: x["text"].isin("type", "interface"))
+    none = F.slice("called", 1, 0)
+    every = F.concat(F.when(plain, F.array(found(F.col("s"), F.col("line"), F.col("end_line"), False))).otherwise(none), F.when(typed, none).otherwise(F.col("called")))
+    return top.select("path", F.explode(every).alias("i")).select("path", "i.*")
 
 
 def import_bindings(tokens: DataFrame) -> DataFrame:
@@ -132,19 +141,18 @@ def function_bodies(tokens: DataFrame, declared: DataFrame) -> DataFrame:
     """(path, name, line, first, last, own): declarations that are functions, with the scope that their body is; of a variable,
     from its value on."""
     ranges = declared.where("kind IN ('function', 'const', 'let', 'var')").select("path", "name", "line", "kind", "first", "last")
-    t = tokens.select(F.col("path").alias("t_path"), "at", "text", F.col("kind").alias("t_kind"), "depth", "scope", "partner", F.lead("text").over(_file()).alias("next"), F.lead("text", 2).over(_file()).alias("next2"))
+    t = tokens.select(F.col("path").alias("t_path"), "at", "text", F.col("kind").alias("t_kind"), "depth", F.lead("text").over(_file()).alias("next"), F.lead("text", 2).over(_file()).alias("next2"))
     inner = ranges.join(t, (F.col("path") == F.col("t_path")) & (F.col("at") >= F.col("first")) & (F.col("at") <= F.col("last")))
     # A file's tokens are few, and its declarations disjoint: the range condition only parts the rows of equal paths.
-    equals = F.min(F.when((F.col("text") == "=") & (F.col("depth") == 0), F.col("at")))
+    equals = F.min(F.when((F.col("text") == "=") & (F.col("depth") == 0), F.struct("at", "next", "next2")))
     body = F.max(F.when((F.col("text") == "{") & (F.col("depth") == 0), F.col("at")))
     arrows = F.sort_array(F.collect_list(F.when((F.col("depth") == 0) & (F.col("text") == "=>"), F.struct("at", "next"))))
-    facts = inner.groupBy("path", "name", "line", "kind", "first", "last").agg(equals.alias("eq"), body.alias("body"), arrows.alias("arrows"))
-    value = F.col("eq") + 1
-    a = F.get(F.filter("arrows", lambda x: x["at"] > F.col("eq")), F.lit(0))
+    both = inner.groupBy("path", "name", "line", "kind", "first", "last").agg(equals.alias("eq"), body.alias("body"), arrows.alias("arrows"))
+    value = F.col("eq.at") + 1
+    a = F.get(F.filter("arrows", lambda x: x["at"] > F.col("eq.at")), F.lit(0))
     arrow = a["at"]
-    begins = t.select(F.col("t_path").alias("b_path"), F.col("at").alias("b_at"), F.col("text").alias("b_text"), F.col("partner").alias("b_partner"), F.col("next").alias("b_next"), F.col("next2").alias("b_next2"))
-    both = facts.join(begins, (F.col("path") == F.col("b_path")) & (F.col("b_at") == F.when(F.col("kind") == "function", F.col("first")).otherwise(value)))
-    has_value = (F.col("b_text") == "function") | (F.col("b_text") == "async") & (F.col("b_next") == "function") | arrow.isNotNull() & ((F.col("b_text") == "(") | (F.col("b_text") == "<") | (F.col("b_text") == "async") | (F.col("b_next") == "=>"))
+    v_text, v_next = F.col("eq.next"), F.col("eq.next2")
+    has_value = (v_text == "function") | (v_text == "async") & (v_next == "function") | arrow.isNotNull() & ((v_text == "(") | (v_text == "<") | (v_text == "async") | (v_next == "=>"))
     kept = both.where(F.when(F.col("kind") == "function", F.col("body").isNotNull()).otherwise(F.coalesce(has_value, F.lit(False))))
     own = F.when((F.col("kind") != "function") & arrow.isNotNull(), F.when(a["next"] == "{", arrow + 1).otherwise(arrow)).otherwise(F.col("body"))
     return kept.select("path", "name", "line", F.when(F.col("kind") == "function", F.col("first")).otherwise(value).alias("first"), "last", own.alias("own"))
@@ -227,6 +235,7 @@ def rust_outline(tokens: DataFrame) -> DataFrame:
     items = items.join(tests, ["path", "inside", "item"], "left").where("test IS NULL")
     kw_line = tokens.select(F.col("path").alias("l_path"), F.col("at").alias("l_at"), F.col("line").alias("kw_line"))
     items = items.join(kw_line, (F.col("path") == F.col("l_path")) & (F.col("kw_at") == F.col("l_at")))
+    items = shared(items.drop("level", "attrs"))  # a few short rows for each file, read for three kinds of items
     row = lambda df, name: df.select("path", name.alias("name"), F.coalesce("item_line", "kw_line").alias("line"), "end_line", (F.col("pub_at").isNotNull() & F.col("p_at").isNull()).alias("exported"))
     macro = items.where("word = 'macro_rules' AND depth = 0").join(tokens.select(F.col("path").alias("m_path"), F.col("at").alias("m_at"), F.col("text").alias("m_name")), (F.col("path") == F.col("m_path")) & (F.col("m_at") == F.col("kw_at") + 2))
     top = items.where((F.col("depth") == 0) & ~F.col("word").isin("impl", "macro_rules") & (F.col("next_kind") == "name"))
@@ -284,7 +293,8 @@ def signatures(excerpts: DataFrame) -> DataFrame:
     lines = F.split("text", "\n", -1)
     skipped = F.array_position(F.transform(lines, lambda x: x.rlike(_PREAMBLE)), False)
     first = F.when(skipped == 0, F.size(lines) - 1).otherwise(skipped - 1).cast("int")
-    own = excerpts.select(F.col("id").cast("string").alias("id"), "path", lines.alias("lines"), first.alias("first"))
+    # Made texts can be far larger than the planner takes them for: they are merged, never broadcast.
+    own = excerpts.select(F.col("id").cast("string").alias("id"), "path", lines.alias("lines"), first.alias("first")).hint("merge")
     join = lambda a, n: F.array_join(F.slice("lines", a, n), "\n")
     own = own.select("id", "path", join(F.lit(1), F.col("first")).alias("preamble"), join(F.col("first") + 1, F.size("lines")).alias("text"))
     rust = F.coalesce(F.endswith("path", F.lit(".rs")), F.lit(False)) | F.coalesce(F.col("text").rlike(r"^\s*(pub(\s*\([^)]*\))?\s+)?((const|async|unsafe|default|extern(\s+\"[^\"]*\")?)\s+)*fn\s"), F.lit(False))
@@ -292,7 +302,7 @@ def signatures(excerpts: DataFrame) -> DataFrame:
     t = code_tokens(files(~rust)).unionAll(code_tokens(files(rust), rust=True))
     turn = F.when((F.col("depth") == 0) & (F.col("text") == "<"), 1).when((F.col("depth") == 0) & (F.col("text") == ">"), -1).otherwise(0)
     t = t.withColumn("angle", F.sum(turn).over(_file())).withColumn("level", (F.col("depth") == 0) & (F.col("angle") <= 0))
-    t = t.withColumn("before", F.lag("text").over(_file())).withColumn("gap_from", F.coalesce(F.lag("stop").over(_file()), F.lit(0)))
+    t = t.withColumn("before", F.lag("text").over(_file())).withColumn("next", F.lead("text").over(_file())).withColumn("gap_from", F.coalesce(F.lag("stop").over(_file()), F.lit(0)))
     ends = F.when(F.col("level") & (F.col("text") == ";"), 1).otherwise(0)
     t = t.withColumn("seg", F.sum(ends).over(_file()) - ends)
     t = t.withColumn("n", F.row_number().over(Window.partitionBy("path", "seg").orderBy("at")))
@@ -302,14 +312,12 @@ def signatures(excerpts: DataFrame) -> DataFrame:
         F.transform(F.sort_array(F.collect_list(F.when(F.col("n") <= 24, F.struct("at", "text", "kind", "depth")))), lambda x: F.struct(x["text"], x["kind"], x["depth"])).alias("head"),
         at(F.col("level") & (text == "("), "partner").alias("closed"),
         F.min(F.when((F.col("depth") == 0) & (text == "where"), F.col("at"))).alias("where_at"),
-        F.min(F.when((F.col("depth") == 0) & (text == "="), F.col("at"))).alias("value_at"),
+        at((F.col("depth") == 0) & (text == "="), "next").alias("v_text"),
         F.sort_array(F.collect_list(F.when(F.col("level") & (text == "{"), F.struct("at", "stop", "before")))).alias("braces"),
         F.max(F.when(F.col("level") & (text == ";"), F.col("stop"))).alias("semi"),
         F.min("start").alias("start"),
         F.min_by("gap_from", "at").alias("gap_from"),
     )
-    values = t.select(F.col("path").alias("v_path"), F.col("at").alias("v_at"), text.alias("v_text"))
-    parts = parts.join(values, (F.col("path") == F.col("v_path")) & (F.col("v_at") == F.col("value_at") + 1), "left")
     words = F.transform(F.filter("head", lambda x: x["depth"] == 0), lambda x: x["text"])
     script = F.slice(words, _leading(words, _FUNCTION_WORDS) + 1, F.size(words))
     method = F.slice(words, _leading(words, _METHOD_WORDS) + 1, F.size(words))
@@ -339,7 +347,7 @@ def signatures(excerpts: DataFrame) -> DataFrame:
 
 def signature_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(id, change) of excerpts (id, path, text) of two versions: added, removed, same, internal, or surface where the signature changed."""
-    side = lambda df, n: df.select(F.col("id").cast("string").alias("id"), F.col("text").alias(f"text{n}")).join(signatures(df).withColumnRenamed("signature", f"s{n}"), "id").withColumn(f"in{n}", F.lit(True))
+    side = lambda df, n: df.select(F.col("id").cast("string").alias("id"), F.col("text").alias(f"text{n}")).hint("merge").join(signatures(df).withColumnRenamed("signature", f"s{n}"), "id").withColumn(f"in{n}", F.lit(True))
     both = side(before, 1).join(side(after, 2), "id", "full_outer")
     change = F.when(F.col("in1").isNull(), "added").when(F.col("in2").isNull(), "removed").when(F.col("text1").eqNullSafe(F.col("text2")), "same").when(F.col("s1").eqNullSafe(F.col("s2")), "internal").otherwise("surface")
     return both.select("id", change.alias("change"))

@@ -274,7 +274,7 @@ def _(t):
         rest = F.when(is_("AUTOMOBILE") & F.lit(second), " | { more: boolean }").otherwise("")
         body = F.when(~is_("MACHINERY") & F.lit(second), "2").otherwise("1")
         text = F.concat(F.lit("/** Of "), "c_name", F.lit(". */\nexport async function of<T extends { k: "), kind, F.lit(" }>(\n  a: T,\n  b = { c: '{' },\n): Promise<{ ok: boolean }"), rest, F.lit("> {\n  return { ok: a.k > "), body, F.lit(" }\n}\n"))
-        return t.customer.select(F.col("c_custkey").alias("id"), F.lit("src/of.ts").alias("path"), text.alias("text"))
+        return A.dealt(t.customer).select(F.col("c_custkey").alias("id"), F.lit("src/of.ts").alias("path"), text.alias("text"))
 
     return C.signature_changes(version(False), version(True))
 
