@@ -48,7 +48,7 @@ def discover(files: DataFrame, all_members: bool = False) -> DataFrame:
     ending = F.lower(p) == "x"
     for e in SOURCES:
         ending = ending | F.endswith(p, F.lit(e))
-    own = files.select("repo", "path", "text").withColumns({"plain": ending, "script": F.endswith(p, F.lit(".js")), "test": X.test_data_path(p), "out": p.rlike(LEFT_OUT)})
+    own = files.select("repo", "path", "text").withColumns({"plain": ending, "script": F.endswith(p, F.lit(".js")), "test": X.test_data_path(p), "out": p.rlike(LEFT_OUT)}).hint("merge")  # a table of files can be larger than the planner takes it for: no broadcast
     repos = own.groupBy("repo").agg(
         (~F.bool_or(p.isin("tsconfig.json", "tsconfig.base.json")) & ~F.bool_or(p.rlike(TYPED) & ~F.col("test") & ~F.col("out"))).alias("scripts"),
         F.max(F.when(p == "pnpm-workspace.yaml", F.col("text"))).alias("workspace"),
@@ -63,7 +63,7 @@ def discover(files: DataFrame, all_members: bool = False) -> DataFrame:
     roots = members.withColumn("root", F.lit("member")).unionByName(crates.withColumn("root", F.lit("rust")))
     has_members = members.select("repo").distinct().withColumn("workspace_of", F.lit(True))
     sources = own.join(repos.select("repo", "scripts", F.when(name != "", name).otherwise(F.col("repo")).alias("name")), "repo").withColumn("counts", F.col("plain") | F.col("script") & F.col("scripts"))
-    above = sources.where("counts AND NOT test AND NOT out").select("repo", "path", F.explode(_folders(p)).alias("folder")).join(roots, ["repo", "folder"])
+    above = sources.where("counts AND NOT test AND NOT out").select("repo", "path", F.explode(_folders(p)).alias("folder")).hint("merge").join(roots, ["repo", "folder"])
     deepest = lambda kind: F.max_by("folder", F.when(F.col("root") == kind, F.length("folder")))
     found = above.groupBy("repo", "path").agg(deepest("member").alias("member"), deepest("rust").alias("crate"))
     both = sources.drop("text").join(found, ["repo", "path"], "left").join(has_members, "repo", "left")

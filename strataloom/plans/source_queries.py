@@ -62,7 +62,7 @@ def _(t):
     made = ["/src/a.ts", "/in/b.tsx", "/package.json", "/testdata/z.ts", "/a.test.ts", "/plain.js", "/in/package.json"]
     files = [at("packages/p", key, x) for x in made] + [at("crates/c", key, "/Cargo.toml"), at("crates/c", key, "/src/lib.rs"), at("examples/e", key, "/package.json"), at("examples/e", key, "/x.ts"), at("scripts/", F.lower("p_brand"), key, ".mjs")]
     repo = F.concat(F.lit("repo"), F.floor(F.col("p_partkey") / 40).cast("string")).alias("repo")
-    rows = t.part.select(repo, F.explode(F.array(*files)).alias("f")).select("repo", "f.*")
+    rows = A.dealt(t.part).select(repo, F.explode(F.array(*files)).alias("f")).select("repo", "f.*")
     # Each repository's workspace file lists the inner packages of even parts by name.
     inner = F.concat(F.lit("  - packages/p"), key, F.lit("/in\n"))
     listed = t.part.groupBy(repo).agg(F.array_join(F.sort_array(F.collect_list(F.when(odd == 0, inner))), "").alias("l"))

@@ -27,3 +27,13 @@ def test_innermost_span_follows_the_sql_for_ids_of_a_million_and_more(spark, tmp
     duckdb.sql(f"CREATE OR REPLACE TEMP VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     want = dict(duckdb.sql(plans.ORACLES["j9_innermost_span"]).fetchall())
     assert got == want and got
+
+
+@pytest.mark.parametrize("name", ["s6_discovery", "p6_geometry_findings"])
+def test_files_and_drawings_are_not_broadcast(spark, name):
+    assert "BroadcastExchange" not in _plan(plans.QUERIES[name](spark, SF))
+
+
+def test_key_difference_groups_once(spark):
+    plan = _plan(plans.QUERIES["u2_key_difference"](spark, SF))
+    assert plan.count("Exchange") == 1 and plan.count("HashAggregate") == 2
