@@ -21,6 +21,11 @@ HIDDEN, COLLINEAR, LABEL_GAP, BORDER_GAP, BORDER_RUN, PORT_GAP, PORT_RADIUS, ROU
 EPS = 1e-6
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """Shared rows that grow with the drawings: the planner takes them for small, so they ask to be merged, never broadcast."""
+    return shared(df).hint("merge")
+
+
 def _point(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
@@ -80,7 +85,7 @@ def touching(left: DataFrame, right: DataFrame) -> DataFrame:
     those of the other on the level of the larger one; a pair comes from the cell that holds the lower corner of what they share.
     """
     level = F.ceil(F.log2(F.greatest(F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0"), F.lit(1e-3)))).cast("int")
-    a, b = (shared(df.select("scene", F.struct(*[c for c in df.columns if c not in ("scene", "box")]).alias("row"), "box", level.alias("level"))) for df in (left, right))
+    a, b = (_merged(df.select("scene", F.struct(*[c for c in df.columns if c not in ("scene", "box")]).alias("row"), "box", level.alias("level"))) for df in (left, right))
     used = sorted(r.level for r in a.select("level").union(b.select("level")).distinct().collect())  # powers of two between the sizes: a few dozen
     if not used:
         return a.select("scene", F.col("row").alias("l")).join(b.select("scene", F.col("row").alias("r")), "scene")
@@ -184,14 +189,15 @@ def geometry_findings(nodes: DataFrame, edges: DataFrame, labels: DataFrame, zoo
     px = lambda c: F.round(c * zoom, 3)
     pad = world(max(COLLINEAR, LABEL_GAP, BORDER_GAP)) / 2 + EPS
     no = F.array().cast("array<string>")
-    routes = shared(_routes(nodes, edges))
-    legs = shared(_segments(routes))
+    nodes, edges, labels = (df.hint("merge") for df in (nodes, edges, labels))
+    routes = _merged(_routes(nodes, edges))
+    legs = _merged(_segments(routes))
     boxes = _segment_boxes(legs.where(F.col("len") > EPS), pad)
     pairs = touching(boxes, boxes).where("l.edge < r.edge")
     out = [_pair_findings(shared(pairs), px, world(PORT_RADIUS), world(COLLINEAR))]
     tree = nodes.select(F.to_json(F.struct("scene", "id")).alias("id"), F.when(F.col("parent_id").isNotNull(), F.to_json(F.struct("scene", F.col("parent_id").alias("id")))).alias("parent_id"))
     up = closure(tree).where("depth > 0").select(F.from_json("id", "scene string, id string").alias("x"), F.from_json("ancestor_id", "scene string, id string").alias("y"))
-    above = shared(up.select(F.col("x.scene").alias("u_scene"), F.col("x.id").alias("inner"), F.col("y.id").alias("outer")).distinct())
+    above = _merged(up.select(F.col("x.scene").alias("u_scene"), F.col("x.id").alias("inner"), F.col("y.id").alias("outer")).distinct())
 
     # Runs along the borders of nodes.
     x0, y0, x1, y1 = F.col("x"), F.col("y"), F.col("x") + F.col("width"), F.col("y") + F.col("height")

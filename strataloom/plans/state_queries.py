@@ -180,7 +180,7 @@ _DRAWING = """k AS (SELECT p_partkey AS k, p_partkey // 40 AS scene, p_size AS z
 @query("p6_geometry_findings", f"WITH {_DRAWING} SELECT scene, kind, count(*)::BIGINT AS n, round(sum(length), 2) AS length, round(sum(round(distance, 3)), 2) AS distance FROM f GROUP BY 1, 2")
 def _(t):
     # Drawings of forty parts each: straight routes, cards and labels; bends, ports and exemptions are left to the tests.
-    d = t.part.select(F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 40).alias("scene"), F.col("p_size").alias("z"))
+    d = A.dealt(t.part).select(F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 40).alias("scene"), F.col("p_size").alias("z"))
     flat, far = F.col("k") % 2 == 0, 4 + 6 * (F.col("z") % 20)
     x, y = F.when(flat, 5 * (F.col("k") % 11)).otherwise(10 * (F.col("z") % 13) + F.col("k") % 3), F.when(flat, 10 * (F.col("z") % 13)).otherwise(5 * (F.col("k") % 7))
     at = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
