@@ -235,8 +235,9 @@ def _(t):
 
 @query("u2_key_difference", "SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'")
 def _(t):
-    keys = lambda f: t.lineitem.where(F.col("l_returnflag") == f).select("l_suppkey", "l_partkey").distinct()
-    return keys("R").exceptAll(keys("A"))
+    # One group for each key tells the sides that it is on: one shuffle, and each task holds one table of keys.
+    sides = t.lineitem.where("l_returnflag IN ('R', 'A')").groupBy("l_suppkey", "l_partkey").agg(F.bool_or(F.col("l_returnflag") == "A").alias("gone"))
+    return sides.where("NOT gone").drop("gone")
 
 
 @query("u3_intersection", "SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_discount > 0.09")
