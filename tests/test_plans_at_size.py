@@ -37,3 +37,36 @@ def test_files_and_drawings_are_not_broadcast(spark, name):
 def test_key_difference_groups_once(spark):
     plan = _plan(plans.QUERIES["u2_key_difference"](spark, SF))
     assert plan.count("Exchange") == 1 and plan.count("HashAggregate") == 2
+
+
+def test_words_are_counted_where_their_text_lies(spark):
+    from pyspark.sql import functions as F
+
+    from strataloom.operators import retrieval as R
+    from strataloom.operators import sections as S
+
+    texts = spark.createDataFrame([(1, "f", "text")], "doc int, field string, text string")
+    plan = _plan(R.term_counts(texts, ["doc"], F.col("text")))
+    assert (plan.count("Exchange"), plan.count("ArrowEvalPython"), plan.count("MapInArrow")) == (1, 0, 1)
+    symbols = spark.createDataFrame([("q", "f", 1, "p", "n", "b", 1.0)], "q string, file string, doc int, path string, name string, body string, score double")
+    assert "ArrowEvalPython" not in _plan(S.symbol_order(symbols, spark.createDataFrame([("q", "b")], "q string, term string")))
+
+
+def test_counts_in_place_are_those_of_the_columns(spark):
+    from pyspark.sql import functions as F
+
+    from strataloom.operators import retrieval as R
+
+    odd = ["getURLParts_HTMLParser x1Y2 aBcD", "İstanbul 5K Kelvin Étatés ΣΣa", "", None, "uses using DOES 12 12a a", "A" * 400 + "bC", "WASMBridgeİzAbC fooBAR"]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc int, text string")
+    plain = R._stemmed(df.select("doc", F.explode(F.concat(R.raw_tokens(F.col("text")), R.compounds(F.col("text")))).alias("term"))).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    assert sorted(map(tuple, R.term_counts(df, ["doc"], F.col("text")).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_fields_of_a_document_may_come_in_parts(spark):
+    from strataloom.operators import retrieval as R
+
+    parts = spark.createDataFrame([(1, "name", "alpha beta"), (1, "name", "alpha"), (2, "excerpt", None), (1, "excerpt", "beta")], "doc int, field string, text string")
+    whole = spark.createDataFrame([(1, "name", "alpha beta alpha"), (2, "excerpt", ""), (1, "excerpt", "beta")], "doc int, field string, text string")
+    got = [[sorted(map(tuple, df.collect())) for df in R.build_index(x)] for x in (parts, whole)]
+    assert got[0] == got[1] and got[0][2] == [(2,)] and got[0][1] == [("alpha", 1), ("beta", 1)]
