@@ -145,24 +145,28 @@ def neighborhood(entities: DataFrame, relations: DataFrame, focus: str, max_rank
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(source, node, hops, path): for each source (column source) the canonical shortest path to each node it reaches.
 
-    Fewest hops, then the least sequence of ids. One round per hop: the frontier joins the edges, partial minima of the
-    paths are merged per node, and nodes that were reached before are dropped. Ends when the frontier is empty, or after
+    Fewest hops, then the least sequence of ids. One round per hop: the paths of the frontier are numbered in their order,
+    so the least path to a node is the least number among those that lead to it, and paths themselves are neither compared
+    nor carried along the edges; nodes that were reached before are dropped. Ends when the frontier is empty, or after
     ``max_hops`` where that is given; the driver sees only counts.
     """
-    arcs = shared(edges.select("from_id", "to_id").where("from_id <> to_id").distinct())
-    seen = sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops"), F.array("source").alias("path")).distinct()
-    frontier = seen
+    arcs = written(edges.select("from_id", "to_id").where("from_id <> to_id").distinct())
+    frontier = sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops"), F.array("source").alias("path")).distinct()
+    seen = frontier
     hop = 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        step = frontier.join(arcs, F.col("node") == F.col("from_id")).select("source", F.col("to_id").alias("node"), F.concat("path", F.array("to_id")).alias("path"))
-        step = step.groupBy("source", "node").agg(F.min("path").alias("path"))
-        frontier = shared(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(hop).alias("hops"), "path"))
+        # Numbers ascend over sorted partitions; they are written down, as another run might cut the partitions elsewhere.
+        at = written(frontier.orderBy("path").select("source", "node", "path", F.monotonically_increasing_id().alias("number")))
+        step = at.select("source", "node", "number").join(arcs, F.col("node") == F.col("from_id")).groupBy("source", F.col("to_id").alias("next")).agg(F.min("number").alias("number"))
+        step = step.join(seen.select("source", F.col("node").alias("next")), ["source", "next"], "left_anti")
+        grown = step.select("next", "number").join(at.select("source", "path", "number"), "number")
+        frontier = written(grown.select("source", F.col("next").alias("node"), F.lit(hop).alias("hops"), F.concat("path", F.array("next")).alias("path")))
         if frontier.isEmpty():
             return seen
         seen = seen.unionAll(frontier)
         if hop % 4 == 0:
-            seen = shared(seen)
+            seen = written(seen)
     return seen
 
 

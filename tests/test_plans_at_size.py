@@ -70,3 +70,14 @@ def test_fields_of_a_document_may_come_in_parts(spark):
     whole = spark.createDataFrame([(1, "name", "alpha beta alpha"), (2, "excerpt", ""), (1, "excerpt", "beta")], "doc int, field string, text string")
     got = [[sorted(map(tuple, df.collect())) for df in R.build_index(x)] for x in (parts, whole)]
     assert got[0] == got[1] and got[0][2] == [(2,)] and got[0][1] == [("alpha", 1), ("beta", 1)]
+
+
+def test_paths_are_not_aggregated(spark, monkeypatch):
+    from strataloom.operators import graph as G
+
+    made, keep = [], G.written
+    monkeypatch.setattr(G, "written", lambda df: made.append(_plan(df)) or keep(df))
+    arcs = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a"), ("d", "d")], "from_id string, to_id string")
+    got = {(r.source, r.node): r.path for r in G.shortest_paths(arcs, spark.createDataFrame([("a",), ("c",)], "source string")).collect()}
+    assert got["a", "d"] == ["a", "b", "d"] and got["c", "b"] == ["c", "d", "a", "b"] and len(got) == 8
+    assert made and not any("min(path" in p for p in made)
