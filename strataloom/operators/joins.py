@@ -116,10 +116,14 @@ def resolve_imports(imports: DataFrame, files: DataFrame, endings: tuple[str, ..
 
 
 def nearby_tests(sources: DataFrame, files: DataFrame, key: str, most: int = 3) -> DataFrame:
-    """(key, path) of the first ``most`` test files (path) beside each source (key, path), in the order of their endings."""
+    """(key, path) of the first ``most`` test files (path) beside each source (key, path), in the order of their endings.
+
+    Paths are alike and compress well, so tasks are given as a number: sized by compressed bytes they would hold too many.
+    """
     from ..functions.text import test_paths
 
-    tries = sources.select(key, F.posexplode(test_paths(F.col("path"))).alias("_k", "path"))
-    hit = tries.join(files.select("path").distinct(), "path")
+    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tries = sources.select(key, F.posexplode(test_paths(F.col("path"))).alias("_k", "path")).repartition(n, "path")
+    hit = tries.join(files.select("path").repartition(n, "path").distinct().hint("merge"), "path")
     w = Window.partitionBy(key).orderBy("_k")
     return hit.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select(key, "path")

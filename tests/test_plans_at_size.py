@@ -99,3 +99,8 @@ def test_paths_are_not_aggregated(spark, monkeypatch):
     got = {(r.source, r.node): r.path for r in G.shortest_paths(arcs, spark.createDataFrame([("a",), ("c",)], "source string")).collect()}
     assert got["a", "d"] == ["a", "b", "d"] and got["c", "b"] == ["c", "d", "a", "b"] and len(got) == 8
     assert made and not any("min(path" in p for p in made)
+
+
+def test_paths_of_tests_are_dealt_by_number_and_not_broadcast(spark):
+    plan = _plan(plans.QUERIES["x24_nearby_tests"](spark, SF))
+    assert "BroadcastExchange" not in plan and plan.count("REPARTITION_BY_NUM") == 2
