@@ -108,3 +108,24 @@ def test_paths_of_tests_are_dealt_by_number_and_not_broadcast(spark):
 
 def test_flows_are_made_once(spark):
     assert "lineitem.parquet" not in _plan(plans.QUERIES["j4_incident"](spark, SF))
+
+
+def test_texts_do_not_travel_with_the_questions_that_match_them(spark, monkeypatch):
+    from strataloom.operators import answers as Q
+    from strataloom.operators import sections as S
+
+    seen, keep = [], S.symbol_order
+    monkeypatch.setattr(S, "symbol_order", lambda *a: seen.append(a) or keep(*a))
+    entity = "id string, name string, kind string, parent_id string, path string, start_line int, end_line int, symbols array<string>, summary string, key_points array<string>, excerpt_start int, lines array<string>"
+    row = lambda i, kind, up, lines: (i, i, kind, up, "a.ts", 1, 9, [], None, None, 1, lines)
+    documents = spark.createDataFrame([row("box", "container", None, None), row("f", "component", "box", None), row("x", "code", "f", ["alpha beta"]), row("y", "code", "f", None), row("z", "code", "f", ["beta alpha alpha"])], entity)
+    ranked = spark.createDataFrame([(q, "f", "component", 1.0, 1) for q in "ab"], "q string, doc string, kind string, score double, place int")
+    inside = spark.createDataFrame([(q, "f", d, 1.0) for q in "ab" for d in "xyz"], "q string, file string, doc string, score double")
+    terms = spark.createDataFrame([("a", "alpha"), ("b", "beta")], "q string, term string")
+    got = {r.q: r for r in Q.pack_sections(ranked, inside, documents, terms).collect()}
+    assert [s.id for s in got["a"].symbols] == ["z", "x", "y"] and [s.id for s in got["b"].symbols] == ["x", "z", "y"]
+    assert "beta alpha alpha" in got["a"].excerpt
+    symbols, _, bodies = seen[0]
+    assert "body" not in symbols.columns and bodies.groupBy("doc").count().where("count > 1").isEmpty()
+    with_body = symbols.join(bodies.select("doc", "body"), "doc")
+    assert sorted(map(tuple, keep(symbols, terms, bodies).collect())) == sorted(map(tuple, keep(with_body, terms).collect()))
