@@ -8,6 +8,7 @@ from .. import adapters as A
 from ..operators import aggregates as S
 from ..operators import graph as G
 from ..operators import joins as J
+from ..session import tasks_for
 from .join_queries import _PATHS, _RULE_SQL, _paths, _rules
 from .registry import Tables, query
 
@@ -34,9 +35,13 @@ _IMPORTS = "imports AS (SELECT l_suppkey AS dep, o_custkey AS package, l_orderke
     " count(*) FILTER (WHERE type_only)::BIGINT AS type_only_consumers, count(*) FILTER (WHERE d.dep IS NULL)::BIGINT AS undeclared FROM p LEFT JOIN d ON d.dep = p.dep AND d.package = p.package GROUP BY 1",
 )
 def _(t):
-    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("dep"), F.col("o_custkey").alias("package"), F.col("l_orderkey").alias("path"), (F.col("l_returnflag") == "N").alias("type_only"))
-    files = rows.groupBy("dep", "package", "path").agg(F.bool_and("type_only").alias("only"), F.count("*").alias("n"), F.count_if("type_only").alias("tn"))
-    packages = files.groupBy("dep", "package").agg(F.bool_and("only").alias("only"), F.count("*").alias("files"), F.sum("n").alias("n"), F.sum("tn").alias("tn"))
+    # Lines and orders meet by order, where the lines of a file are already together: one row a file goes on.
+    lines, orders = t.lineitem.select("l_orderkey", "l_suppkey", (F.col("l_returnflag") == "N").alias("only")), t.orders.select("o_orderkey", "o_custkey")
+    n = tasks_for(lines)
+    files = lines.repartition(n, "l_orderkey").groupBy("l_orderkey", "l_suppkey").agg(F.bool_and("only").alias("only"), F.count("*").alias("n"), F.count_if("only").alias("tn"))
+    owners = orders.repartition(n, "o_orderkey").groupBy("o_orderkey", "o_custkey").agg(F.count("*").alias("times"))
+    rows = files.join(owners.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("dep"), F.col("o_custkey").alias("package"), "only", (F.col("n") * F.col("times")).alias("n"), (F.col("tn") * F.col("times")).alias("tn"))
+    packages = rows.repartition(n, "dep", "package").groupBy("dep", "package").agg(F.bool_and("only").alias("only"), F.count("*").alias("files"), F.sum("n").alias("n"), F.sum("tn").alias("tn"))
     declared = t.supplier.select(F.col("s_suppkey").alias("dep"), (F.col("s_suppkey") * 3).alias("package"), F.lit(True).alias("declared"))
     both = packages.join(declared, ["dep", "package"], "left")
     return both.groupBy("dep").agg(

@@ -40,6 +40,13 @@ def load_tables(spark: SparkSession, sf_dir: str, *names: str):
     return frames[0] if len(frames) == 1 else frames
 
 
+def tasks_for(df: DataFrame, bytes_each: int = 2 << 20) -> int:
+    """Tasks for work on all rows of an input, given as a number where rows weigh many times their compressed bytes: as many as
+    the session has shuffle partitions, and more where an input of ``bytes_each`` a task asks for them."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))
+
+
 def spread(df: DataFrame, least_bytes: int = 2 << 20) -> DataFrame:
     """A small input dealt over all cores: one file of one row group would keep a single task busy.
 

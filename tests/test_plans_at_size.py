@@ -129,3 +129,19 @@ def test_texts_do_not_travel_with_the_questions_that_match_them(spark, monkeypat
     assert "body" not in symbols.columns and bodies.groupBy("doc").count().where("count > 1").isEmpty()
     with_body = symbols.join(bodies.select("doc", "body"), "doc")
     assert sorted(map(tuple, keep(symbols, terms, bodies).collect())) == sorted(map(tuple, keep(with_body, terms).collect()))
+
+
+def test_files_of_a_consumer_meet_by_order(spark, tmp_path):
+    import duckdb
+
+    plan = _plan(plans.QUERIES["a3_consumer_report"](spark, SF))
+    assert plan.count("REPARTITION_BY_NUM") == 3 and "SortMergeJoin [l_orderkey" in plan
+    # Repeated orders and lines count as often as they come, their files once.
+    duckdb.sql(f"COPY (SELECT range % 7 AS l_orderkey, range % 3 AS l_suppkey, CASE WHEN range % 5 = 0 THEN NULL WHEN range % 2 = 0 THEN 'N' ELSE 'R' END AS l_returnflag FROM range(60)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    duckdb.sql(f"COPY (SELECT range % 7 AS o_orderkey, range % 4 % 3 AS o_custkey FROM range(20)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    duckdb.sql(f"COPY (SELECT range AS s_suppkey FROM range(2)) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    got = plans.QUERIES["a3_consumer_report"](spark, str(tmp_path))
+    for name in ("lineitem", "orders", "supplier"):
+        duckdb.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = sorted(duckdb.sql(plans.ORACLES["a3_consumer_report"]).fetchall())
+    assert sorted(map(tuple, got.collect())) == want and want
