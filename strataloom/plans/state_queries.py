@@ -33,7 +33,7 @@ def _(t):
 
 @query("r3_delivery_dedupe", "WITH e AS (SELECT event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events), m AS (SELECT event_id, user_id, before, (SELECT count(DISTINCT x.user_id) FROM events x WHERE x.event_id > e.before AND x.event_id < e.event_id) AS others FROM e) SELECT event_id FROM m WHERE before IS NULL OR others >= 40")
 def _(t):
-    return R.dedupe_recent(t.events, "user_id", "event_id", 40, chunk_rows=4000).select("event_id")
+    return R.dedupe_recent(t.events.select("event_id", "user_id"), "user_id", "event_id", 40, chunk_rows=4000).select("event_id")
 
 
 @query("r4_daily_admission", "SELECT user_id, event_id, n <= 2 AS admitted FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS n FROM events)")

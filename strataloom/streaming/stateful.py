@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -77,6 +77,14 @@ def debounce(events: DataFrame, key: str, ts: str, gap_s: int) -> DataFrame:
     return events.groupBy(key, F.session_window(ts, f"{gap_s} seconds").alias("s")).agg(F.min(ts).alias("start"), F.max(ts).alias("last"), F.count("*").alias("events")).drop("s")
 
 
+def _cuts_below(ends: Column, n: int, at: Column) -> Column:
+    """How many of ``n`` ascending cuts lie below a value, bisected; none for null."""
+    steps = [1 << i for i in reversed(range(n.bit_length()))]
+    if not steps:
+        return F.lit(0)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda k, step: F.when(F.get(ends, k + step - 1) < at, k + step).otherwise(k))
+
+
 def dedupe_recent(events: DataFrame, key: str, order: str, keep: int = 512, chunk_rows: int = 50_000, most_chunks: int = 2000) -> DataFrame:
     """Events whose key is not among the ``keep`` keys that came last; a key that comes again counts as new from then on.
 
@@ -90,16 +98,17 @@ def dedupe_recent(events: DataFrame, key: str, order: str, keep: int = 512, chun
     parts = min(most_chunks, -(-n // chunk_rows))
     cuts = sorted(set(events.agg(F.percentile_approx(at, [j / parts for j in range(1, parts)], 10_000).alias("c")).first().c or [])) if parts > 1 else []
     ends = F.array(*(F.lit(float(c)) for c in cuts)) if cuts else F.array().cast("array<double>")
-    rows = events.withColumns({"_k": F.to_json(F.struct(F.col(key).alias("k"))), "_chunk": F.size(F.filter(ends, lambda c: c < at))})
+    rows = events.withColumns({"_k": F.to_json(F.struct(F.col(key).alias("k"))), "_chunk": _cuts_below(ends, len(cuts), at)})
     w = Window.partitionBy("_chunk").orderBy(F.desc_nulls_last("_o"), F.desc("_k"))
     last = rows.groupBy("_chunk", "_k").agg(F.max(order).alias("_o")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).select("_chunk", "_k", "_n")
 
     def entering(pdf: pd.DataFrame) -> pd.DataFrame:
         seen: dict[str, None] = {}
         out = []
+        keys = {c: list(k) for c, k in pdf.sort_values("_n", ascending=False).groupby("_chunk")["_k"]}
         for chunk in range(len(cuts) + 1):
             out += [(chunk, k, i) for i, k in enumerate(seen)]
-            for k in pdf[pdf["_chunk"] == chunk].sort_values("_n", ascending=False)["_k"]:
+            for k in keys.get(chunk, ()):
                 seen.pop(k, None)
                 seen[k] = None
             seen = dict(list(seen.items())[-keep:])

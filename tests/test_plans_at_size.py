@@ -131,6 +131,19 @@ def test_texts_do_not_travel_with_the_questions_that_match_them(spark, monkeypat
     assert sorted(map(tuple, keep(symbols, terms, bodies).collect())) == sorted(map(tuple, keep(with_body, terms).collect()))
 
 
+def test_chunks_are_bisected_and_only_needed_columns_are_folded(spark):
+    from pyspark.sql import functions as F
+
+    from strataloom.streaming import stateful as R
+
+    cuts = [float(3 * i) for i in range(37)]
+    ends = F.array(*map(F.lit, cuts))
+    at = spark.createDataFrame([(x,) for x in [None, -1.0, 0.0, 0.5, *(float(i) for i in range(1, 120)), float("nan")]], "at double")
+    assert at.where(~R._cuts_below(ends, len(cuts), F.col("at")).eqNullSafe(F.size(F.filter(ends, lambda c: c < F.col("at"))))).isEmpty()
+    plan = _plan(plans.QUERIES["r3_delivery_dedupe"](spark, SF))
+    assert "props" not in plan and "filter(" not in plan
+
+
 def test_files_of_a_consumer_meet_by_order(spark, tmp_path):
     import duckdb
 
