@@ -158,3 +158,18 @@ def test_files_of_a_consumer_meet_by_order(spark, tmp_path):
         duckdb.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
     want = sorted(duckdb.sql(plans.ORACLES["a3_consumer_report"]).fetchall())
     assert sorted(map(tuple, got.collect())) == want and want
+
+
+def test_bundle_files_are_compressed_and_in_order(spark, tmp_path):
+    import gzip
+    import json
+
+    from strataloom.sources import bundles
+
+    entities = spark.createDataFrame([("b", "k", 1, None, None), ("a", "k", 0, "b", "n")], bundles.ENTITY.removeprefix("struct<").removesuffix(">"))
+    relations = spark.createDataFrame([("y", "a", "b", "uses"), ("x", "b", "a", "calls")], bundles.RELATION.removeprefix("struct<").removesuffix(">"))
+    bundles.write_bundle(entities, relations, "s", str(tmp_path / "out"))
+    rows = [json.loads(line) for f in sorted((tmp_path / "out").glob("part-*.json.gz")) for line in gzip.open(f, "rt")]
+    assert [(r["fact"], r["id"]) for r in rows] == [("entity", "a"), ("entity", "b"), ("relation", "x"), ("relation", "y")]
+    assert json.loads(rows[1]["body"]) == {"id": "b", "kind": "k", "rank": 1} and json.loads(rows[2]["body"]) == {"id": "x", "from_id": "b", "to_id": "a", "kind": "calls"}
+    assert [sorted(map(tuple, df.drop("snapshot").collect())) for df in bundles.read_bundle(spark, str(tmp_path / "out"))] == [sorted(map(tuple, entities.collect())), sorted(map(tuple, relations.collect()))]
