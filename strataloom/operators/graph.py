@@ -48,6 +48,17 @@ def chains(entities: DataFrame) -> DataFrame:
     Chains are doubled each round by joining each with that of its last ancestor, until none grows any more: a tree of any
     height takes the logarithm of it in rounds. Where ids repeat, each row has its own chain.
     """
+    parents = entities.select(F.col("parent_id").alias("id")).distinct()
+    # Only what has children is climbed; leaves, most of a tree, are hung below it once.
+    top = _climbed(entities.join(parents, "id", "left_semi"))
+    far = top.select(F.col("id").alias("f_id"), F.col("chain").alias("f_chain"), "back")
+    leaves = entities.join(parents, "id", "left_anti").select("id", "parent_id").join(far, F.col("parent_id") == F.col("f_id"), "left")
+    own = F.array("id")
+    return shared(top.unionByName(leaves.select("id", F.when(F.col("f_id").isNotNull(), F.concat(own, "f_chain")).otherwise(own).alias("chain"), "back")))
+
+
+def _climbed(entities: DataFrame) -> DataFrame:
+    """:func:`chains` by doubling."""
     now = entities.select("id", F.array("id").alias("chain"), F.col("parent_id").alias("up"), F.lit(None).cast(entities.schema["id"].dataType).alias("back"))
     turn = 0
     while True:
@@ -77,13 +88,28 @@ def closure(entities: DataFrame) -> DataFrame:
     return chains(entities).select("id", F.posexplode("chain").alias("depth", "ancestor_id")).select("id", "ancestor_id", "depth")
 
 
+def band_representatives(entities: DataFrame, ranks: list[int]) -> DataFrame:
+    """(id, reps): for each of ``ranks`` the struct (i, r) of the nearest ancestor or self no finer than it and no boundary and of its
+    rank; else of the topmost one."""
+    up = closure(entities)
+    own = entities.select(F.col("id").alias("ancestor_id"), F.col("rank").alias("a_rank"), F.col("kind").alias("a_kind"))
+    # Others are looked up among what has children; all entities meet only themselves, merged by id.
+    inner = own.join(entities.select(F.col("parent_id").alias("ancestor_id")).distinct(), "ancestor_id", "left_semi")
+    up = up.where("depth = 0").join(own.hint("merge"), "ancestor_id").unionByName(up.where("depth > 0").join(inner, "ancestor_id"))
+
+    def nearest(rank: int) -> Column:
+        fits = (F.col("a_rank") <= rank) & (F.col("a_kind") != "boundary")
+        # Fitting ancestors first, nearest of them; without one the farthest.
+        order = F.struct(F.when(fits, 0).otherwise(1), F.when(fits, F.col("depth")).otherwise(-F.col("depth")))
+        return F.min_by(F.struct(F.col("ancestor_id").alias("i"), F.col("a_rank").alias("r")), order).alias(f"x{rank}")
+
+    return up.groupBy("id").agg(*map(nearest, ranks)).select("id", F.array(*(f"x{r}" for r in ranks)).alias("reps"))
+
+
 def representatives(entities: DataFrame, rank: int) -> DataFrame:
     """(id, rep, rep_rank): the nearest ancestor or self no finer than ``rank`` and no boundary; else the topmost one."""
-    up = closure(entities).join(entities.select(F.col("id").alias("ancestor_id"), F.col("rank").alias("a_rank"), F.col("kind").alias("a_kind")), "ancestor_id")
-    fits = (F.col("a_rank") <= rank) & (F.col("a_kind") != "boundary")
-    # Fitting ancestors first, nearest of them; without one the farthest.
-    order = F.struct(F.when(fits, 0).otherwise(1), F.when(fits, F.col("depth")).otherwise(-F.col("depth")))
-    return up.groupBy("id").agg(F.min_by(F.struct(F.col("ancestor_id").alias("i"), F.col("a_rank").alias("r")), order).alias("x")).select("id", F.col("x.i").alias("rep"), F.col("x.r").alias("rep_rank"))
+    x = F.get("reps", F.lit(0))
+    return band_representatives(entities, [rank]).select("id", x["i"].alias("rep"), x["r"].alias("rep_rank"))
 
 
 #: What several relations of a kind are called.
@@ -93,14 +119,23 @@ PLURALS = {
 }
 
 
+def lifted_bands(relations: DataFrame, entities: DataFrame, ranks: list[int]) -> DataFrame:
+    """Relations at each band (band) of ``ranks`` with (rep_from, rep_to): dangling, coarser and self relations gone, clones only on
+    the code band. The tree is climbed once and both ends are merged by id, once for all bands and never broadcast."""
+    ends = band_representatives(entities, ranks).join(entities.select("id", "rank").hint("merge"), "id")
+    side = lambda end: ends.select(F.col("id").alias(f"{end}_id"), F.col("reps").alias(f"reps_{end}"), F.col("rank").alias(f"rank_{end}")).hint("merge")
+    # Tasks are given as a number: rows weigh many times their compressed bytes.
+    n = int(relations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = relations.repartition(n, "from_id").join(side("from"), "from_id").repartition(n, "to_id").join(side("to"), "to_id")
+    bands = [F.struct(F.lit(r).alias("band"), F.get("reps_from", F.lit(k))["i"].alias("rep_from"), F.get("reps_to", F.lit(k))["i"].alias("rep_to")) for k, r in enumerate(ranks)]
+    each = both.withColumn("b", F.explode(F.array(*bands))).select(*relations.columns, "rank_from", "rank_to", "b.*")
+    each = each.where((F.greatest("rank_from", "rank_to") >= F.col("band")) & (F.col("rep_from") != F.col("rep_to")))
+    return each.where((F.col("band") == KIND_RANKS["code"]) | (F.col("kind") != "duplicates"))
+
+
 def lifted(relations: DataFrame, entities: DataFrame, rank: int) -> DataFrame:
-    """Relations with (rep_from, rep_to) at a band: dangling, coarser and self relations gone, clones only on the code band."""
-    rep = representatives(entities, rank)
-    ranks = entities.select("id", "rank")
-    side = lambda end: rep.join(ranks, "id").select(F.col("id").alias(f"{end}_id"), F.col("rep").alias(f"rep_{end}"), F.col("rank").alias(f"rank_{end}"))
-    both = relations.join(side("from"), "from_id").join(side("to"), "to_id")
-    both = both.where((F.greatest("rank_from", "rank_to") >= rank) & (F.col("rep_from") != F.col("rep_to")))
-    return both if rank == KIND_RANKS["code"] else both.where("kind <> 'duplicates'")
+    """Relations with (rep_from, rep_to) at a band; see :func:`lifted_bands`."""
+    return lifted_bands(relations, entities, [rank]).drop("band")
 
 
 def visual_edges(relations: DataFrame, entities: DataFrame, rank: int) -> DataFrame:

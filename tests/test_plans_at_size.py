@@ -160,6 +160,17 @@ def test_files_of_a_consumer_meet_by_order(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want and want
 
 
+def test_chains_of_leaves_hang_below_inner_nodes(spark):
+    from strataloom.operators import graph as G
+
+    tree = [("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("x", "y"), ("y", "x"), ("z", "y"), ("lost", "gone")]
+    got = {r.id: (r.chain, r.back) for r in G.chains(spark.createDataFrame(tree, "id string, parent_id string")).collect()}
+    assert got == {
+        "a": (["a"], None), "b": (["b", "a"], None), "c": (["c", "b", "a"], None), "d": (["d", "c", "b", "a"], None),
+        "x": (["x", "y"], "x"), "y": (["y", "x"], "y"), "z": (["z", "y", "x"], "y"), "lost": (["lost"], None),
+    }
+
+
 def test_bundle_files_are_compressed_and_in_order(spark, tmp_path):
     import gzip
     import json
