@@ -74,14 +74,12 @@ def _(t):
 )
 def _(t):
     e, r = A.entities(t), A.relations(t)
-    out = None
-    for rank in range(4):
-        nodes = e.where(F.col("rank") <= rank).agg(F.count("*").alias("nodes"))
-        edges = G.lifted(r, e, rank).select("rep_from", "rep_to", "kind").distinct().agg(F.count("*").alias("edges"))
-        # One row each.
-        row = nodes.crossJoin(edges).select(F.lit(rank).alias("band"), "nodes", "edges")
-        out = row if out is None else out.unionAll(row)
-    return out
+    nodes = e.agg(*(F.count_if(F.col("rank") <= k).alias(f"n{k}") for k in range(4)))
+    pairs = G.lifted_bands(r, e, list(range(4))).select("band", "rep_from", "rep_to", "kind").distinct()
+    edges = pairs.agg(*(F.count_if(F.col("band") == k).alias(f"e{k}") for k in range(4)))
+    # One row each.
+    rows = F.array(*(F.struct(F.lit(k).alias("band"), F.col(f"n{k}").alias("nodes"), F.col(f"e{k}").alias("edges")) for k in range(4)))
+    return nodes.crossJoin(edges).select(F.explode(rows).alias("x")).select("x.*")
 
 
 _SLICE = f"SELECT id, CASE min(o) WHEN 0 THEN 'subtree' WHEN 1 THEN 'ancestor' ELSE 'root' END AS role FROM (SELECT c.id, 0 AS o FROM closure c JOIN entities e ON e.id = c.id WHERE c.ancestor_id = '{_FOCUS}' AND e.rank <= 2 UNION ALL SELECT ancestor_id, 1 FROM closure WHERE id = '{_FOCUS}' AND depth > 0 UNION ALL SELECT id, 2 FROM entities WHERE parent_id IS NULL) GROUP BY id"

@@ -160,6 +160,17 @@ def test_files_of_a_consumer_meet_by_order(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want and want
 
 
+def test_relations_are_made_once_and_merged_with_the_tree(spark):
+    from strataloom import adapters as A
+    from strataloom.operators import graph as G
+    from strataloom.plans.registry import Tables
+
+    t = Tables(spark, SF)
+    plan = _plan(G.lifted(A.relations(t), A.entities(t), 2))
+    assert "SortMergeJoin [from_id" in plan and "SortMergeJoin [to_id" in plan
+    assert _plan(plans.QUERIES["g6_band_projection"](spark, SF)).count("lineitem.parquet") == 1
+
+
 def test_chains_of_leaves_hang_below_inner_nodes(spark):
     from strataloom.operators import graph as G
 
