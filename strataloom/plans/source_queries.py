@@ -13,6 +13,7 @@ from ..operators import code_facts as C
 from ..operators import ranking as K
 from ..operators import validate as V
 from ..operators.discovery import discover
+from ..session import tasks_for
 from ..sources import bundles, files
 from ..sources.code_tokens import code_tokens
 from .registry import Tables, query
@@ -171,7 +172,10 @@ def _(t):
     row = F.concat(F.lit("DA:"), F.col("l_linenumber").cast("string"), F.lit(","), F.col("hits").cast("string"))
     per = lines.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(row)), "\n").alias("b"))
     text = F.concat(F.lit("TN:\nSF:src/"), F.col("l_orderkey").cast("string"), F.lit(".ts\n"), "b", F.lit("\nLF:3\nLH:0\nend_of_record\n"))
-    made = per.groupBy(F.floor(F.col("l_orderkey") / 2000).cast("string").alias("path")).agg(F.array_join(F.sort_array(F.collect_list(text)), "").alias("text"))
+    # Tasks are given as a number: lines of a file weigh many times its compressed bytes.
+    n = tasks_for(t.lineitem.select("l_orderkey", "l_linenumber", "l_discount"))
+    each = per.select(F.floor(F.col("l_orderkey") / 2000).cast("string").alias("path"), text.alias("text")).repartition(n, "path")
+    made = each.groupBy("path").agg(F.array_join(F.sort_array(F.collect_list("text")), "").alias("text"))
     hits, stored = files.coverage_records(made)
     return S.coverage(S.line_hits(hits), stored).drop("rate")
 

@@ -11,7 +11,7 @@ import tomllib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,9 +190,11 @@ def owner_rules(files: DataFrame) -> DataFrame:
 
 def coverage_records(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits (path, line, hits), stored (path, stored_found, stored_hit)) of coverage files; SF opens a record."""
-    rows = lines_of(files).withColumnRenamed("path", "file")
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("path", F.last(F.when(F.startswith("body", F.lit("SF:")), F.substring(F.col("body"), F.lit(4), F.length("body"))), ignorenulls=True).over(w))
+    # A file is cut into its records where it lies, so no line is sorted to find the record that it belongs to.
+    records = files.select(F.posexplode(F.split("text", r"(?<![^\n])SF:", -1)).alias("n", "record"))
+    lines = F.split("record", "\r?\n", -1)
+    opened = F.concat(F.array(F.lit("SF:")), F.slice(lines, F.lit(2), F.size(lines)))
+    rows = records.select(F.when(F.col("n") > 0, F.get(lines, F.lit(0))).alias("path"), F.explode(F.when(F.col("n") > 0, opened).otherwise(lines)).alias("body"))
     number = lambda tag, part=0: F.get(F.split(F.regexp_replace("body", f"^{tag}:", ""), ","), F.lit(part)).cast("long")
     hits = rows.where(F.startswith("body", F.lit("DA:"))).select("path", number("DA").cast("int").alias("line"), number("DA", 1).alias("hits"))
     pick = lambda tag: F.max(F.when(F.startswith("body", F.lit(f"{tag}:")), number(tag)))

@@ -182,6 +182,16 @@ def test_chains_of_leaves_hang_below_inner_nodes(spark):
     }
 
 
+def test_records_of_a_coverage_file_need_no_window(spark):
+    from strataloom.sources import files
+
+    text = "DA:9,9\nTN:\nSF:a.ts\r\nDA:1,2\r\nLF:3\nLH:1\nend_of_record\nxSF:no\nSF:DA:1,7\nDA:2,0\nSF:\nSF:last"
+    hits, stored = files.coverage_records(spark.createDataFrame([("f", text), ("g", None)], "path string, text string"))
+    assert sorted(map(tuple, hits.collect()), key=repr) == [("DA:1,7", 2, 0), ("a.ts", 1, 2), (None, 9, 9)]
+    assert sorted(map(tuple, stored.collect())) == [("", None, None), ("DA:1,7", None, None), ("a.ts", 3, 1), ("last", None, None)]
+    assert "Window" not in _plan(hits) + _plan(stored)
+
+
 def test_bundle_files_are_compressed_and_in_order(spark, tmp_path):
     import gzip
     import json
