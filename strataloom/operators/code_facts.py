@@ -1,6 +1,7 @@
 """Facts of code from its token table: statements, declarations, imports, branches, copies and declaration heads.
 
-All of it is windows and groups by file over the rows of ``sources.code_tokens``.
+Scripts are read in the rows of their files, as ``sources.code_tokens`` makes them: tokens are filtered and cut where they lie and never
+shuffled. Rust and declaration heads are windows and groups over token rows.
 """
 
 from __future__ import annotations
@@ -28,36 +29,45 @@ _GO_ON = (".", ",", ")", ";", "=", "(", "[", "{", "?", ":", "|", "&", ">", "<",
 _OPEN_END = ("=", ",", "=>", "(", "[", "{", "+", "-", "*", "/", "&&", "||", "??", "?", ":", "|", "&", "<", ".", "?.", "extends", "implements", "export", "default", "declare", "abstract", "async")
 
 
-def statements(tokens: DataFrame) -> DataFrame:
-    """``tokens`` of scripts with ``statement``: the position of the first token of the top-level statement it belongs to.
+def _rows(tokens: DataFrame) -> DataFrame:
+    """A row for each token of files (path, tokens). A file makes hundreds of rows, which the planner's sizes don't show, so they ask to be
+    merged and never broadcast."""
+    return tokens.select("path", F.inline("tokens")).hint("merge")
 
-    A statement ends at a semicolon, after the brace of a declaration or block, or before a line that a statement's word begins.
+
+def statements(files: DataFrame) -> DataFrame:
+    """A row for each top-level statement of scripts (path, tokens), with the other columns of its file: ``statement``, the position of its
+    first token, its ``tokens``, and ``after``, the token that follows them.
+
+    A statement ends at a semicolon, after the brace of a declaration or block, or before a line that a statement's word begins. A file's
+    tokens stay in its row: nothing is shuffled.
     """
-    level = Window.partitionBy("path", "top").orderBy("at")  # lies within the files that the rows are dealt by
-    top = tokens.repartition("path").withColumn("top", F.col("depth") == 0)
-    before = lambda c: F.lag(c).over(level)
-    new_line = F.col("line") > before("end_line")
-    after = F.lead("text").over(level)
-    word = (F.col("kind") == "name") & (F.col("text").isin(*STARTERS) | (F.col("text") == "async") & (after == "function") | (F.col("text") == "type") & (F.lead("kind").over(level) == "name"))
-    ended = (before("text") == "}") & ~F.col("text").isin(*_GO_ON) & (new_line | word)
-    begins = before("text").isNull() | (before("text") == ";") | ended | (new_line & word & ~before("text").isin(*_OPEN_END))
-    both = top.withColumn("begin", F.when(F.col("top") & begins, F.col("at")))
-    return both.withColumn("statement", F.last("begin", True).over(_file())).drop("begin", "top")
+
+    def begin(x: Column, i: Column) -> Column:
+        before, after, text = F.get("top", i - 1), F.get("top", i + 1), x["text"]
+        new_line = x["line"] > before["end_line"]
+        word = (x["kind"] == "name") & (text.isin(*STARTERS) | (text == "async") & (after["text"] == "function") | (text == "type") & (after["kind"] == "name"))
+        ended = (before["text"] == "}") & ~text.isin(*_GO_ON) & (new_line | word)
+        return before["text"].isNull() | (before["text"] == ";") | ended | (new_line & word & ~before["text"].isin(*_OPEN_END))
+
+    # What is at the top level and where statements begin are columns of their own, so that they are made once for a file.
+    top = files.withColumn("top", F.filter("tokens", lambda x: x["depth"] == 0))
+    cut = top.withColumn("begins", F.transform(F.filter("top", begin), lambda x: x["at"])).drop("top")
+    end = lambda k: F.coalesce(F.get("begins", k + 1), F.size("tokens"))
+    piece = lambda s, k: F.struct(s.alias("statement"), F.slice("tokens", s + 1, end(k) - s).alias("tokens"), F.get("tokens", end(k)).alias("after"))
+    others = [c for c in files.columns if c != "tokens"]
+    return cut.select(*others, F.explode(F.transform("begins", piece)).alias("s")).select(*others, "s.*")
 
 
 def declarations(tokens: DataFrame) -> DataFrame:
-    """(path, name, kind, line, end_line, exported, first, last) of the named top-level declarations of scripts, exported or not.
+    """(path, name, kind, line, end_line, exported, first, last, code) of the named top-level declarations of scripts, exported or not.
 
-    Each declarator of a variable statement is one, destructured ones aside; ``first`` and ``last`` are its tokens. Names in
-    ``export {...}`` without a source, and in ``export default name``, are exported as well.
+    Each declarator of a variable statement is one, destructured ones aside; ``first`` and ``last`` are its tokens, ``code`` holds them
+    and the one that follows. Names in ``export {...}`` without a source, and in ``export default name``, are exported as well.
     """
-    # One row for each statement, with its tokens of the top level and the names of an export list: the rows of a file stay
-    # where they are, and the tokens are read once.
-    own = Window.partitionBy("path", "statement").orderBy("at")
-    marked = statements(tokens).withColumn("opens", F.first("text").over(own)).withColumn("second", F.nth_value("text", 2).over(own))
-    top = F.sort_array(F.collect_list(F.when(F.col("depth") == 0, F.struct("at", "kind", "text", "line", "end_line"))))
-    one = F.sort_array(F.collect_list(F.when((F.col("depth") == 1) & (F.col("opens") == "export") & (F.col("second") == "{"), F.struct("at", "kind", "text"))))
-    each = marked.where("depth <= 1").groupBy("path", "statement").agg(top.alias("top"), one.alias("one")).withColumn("t", F.slice("top", 1, 10))
+    listing = (F.get("tokens", F.lit(0))["text"] == "export") & (F.get("tokens", F.lit(1))["text"] == "{")
+    top, one = F.filter("tokens", lambda x: x["depth"] == 0), F.filter("tokens", lambda x: listing & (x["depth"] == 1))
+    each = statements(tokens.select("path", "tokens")).withColumns({"top": top, "one": one}).withColumn("t", F.slice("top", 1, 10))
     words = F.transform("t", lambda x: x["text"])
     skip = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.forall(F.slice(words, F.lit(1), i), lambda w: w.isin(*_BEFORE_KIND))), lambda ok: ok))
     h = each.withColumn("skip", skip).withColumn("kw", F.get(words, F.col("skip"))).withColumn("kw2", F.get(words, F.col("skip") + 1))
@@ -89,9 +99,10 @@ def declarations(tokens: DataFrame) -> DataFrame:
     inside = F.when(out & (F.get(words, F.lit(1)) == "{") & ~F.array_contains(words, "from"), F.transform(names, lambda x: x["text"]))
     alone = F.when(out & F.get(words, F.lit(1)).isin("default", "=") & (F.get("t", F.lit(2))["kind"] == "name") & (F.get(words, F.lit(3)).isNull() | (F.get(words, F.lit(3)) == ";")), F.array(F.get(words, F.lit(2))))
     listed = F.coalesce(F.transform(F.coalesce(inside, alone), lambda name: row(name, F.lit(None).cast("string"), F.col("t"), F.lit(False), True)), empty)
-    found = h.select("path", F.explode(F.concat(single, several, listed)).alias("d")).select("path", "d.*")
+    found = h.select("path", "statement", "tokens", "after", F.explode(F.concat(single, several, listed)).alias("d")).select("path", "statement", "tokens", "after", "d.*")
+    found = found.withColumn("code", F.slice(F.concat("tokens", F.array("after")), F.col("first") - F.col("statement") + 1, F.col("last") - F.col("first") + 2)).drop("statement", "tokens", "after")
     found = found.withColumn("exported", F.col("direct") | F.bool_or("listed").over(Window.partitionBy("path", "name"))).where("NOT listed")
-    return found.select("path", "name", "kind", "line", "end_line", "exported", "first", "last")
+    return found.select("path", "name", "kind", "line", "end_line", "exported", "first", "last", "code")
 
 
 def _string_value(text: Column) -> Column:
@@ -103,32 +114,36 @@ def imports(tokens: DataFrame) -> DataFrame:
 
     Type positions (``typeof import("x")``, types and interfaces) are no calls.
     """
-    at = lambda c, k: F.lead(c, k).over(_file())
-    near = statements(tokens).withColumns({"before": F.lag("text").over(_file()), "paren": at("text", 1), "k": at("kind", 2), "str": at("text", 2), "end": at("text", 3), "dot": at("text", 4), "member": at("text", 5), "call_end": at("end_line", 3)})
-    called = F.expr("text = 'import' AND kind = 'name' AND paren = '(' AND k = 'string' AND end IN (')', ',') AND coalesce(before, '') NOT IN ('.', 'typeof', '<', '|', '&', 'extends', 'keyof')")
-    called = called & ~((F.col("before") == ":") & (F.coalesce("dot", F.lit("")) == ".") & F.coalesce("member", F.lit("")).rlike("^[A-Z]"))
     found = lambda s, line, end_line, dynamic: F.struct(_string_value(s).alias("specifier"), line.alias("line"), end_line.alias("end_line"), F.lit(dynamic).alias("dynamic"))
-    own = F.col("depth") == 0
-    top = near.groupBy("path", "statement").agg(
-        F.min_by("text", F.when(own, F.col("at"))).alias("first"), F.bool_or(own & F.expr("text = 'from' AND kind = 'name'")).alias("from"), F.max_by("text", F.when(own & (F.col("kind") == "string"), F.col("at"))).alias("s"),
-        F.min(F.when(own, F.col("line"))).alias("line"), F.max(F.when(own, F.col("end_line"))).alias("end_line"), F.count_if(own & (F.col("text") == "(")).alias("calls"), F.count_if(own & F.col("text").isin("=", "function", "class")).alias("others"),
-        F.collect_list(F.when(called, found(F.col("str"), F.col("line"), F.col("call_end"), True))).alias("called"), F.sort_array(F.collect_list(F.when(own, F.struct("at", "text")))).alias("t"),
-    )
-    plain = F.expr("s IS NOT NULL AND (first = 'import' AND calls = 0 AND others = 0 OR first = 'export' AND from AND others = 0)")
-    typed = F.exists(F.slice("t", 1, 4), lambda x: x["text"].isin("type", "interface"))
-    none = F.slice("called", 1, 0)
-    every = F.concat(F.when(plain, F.array(found(F.col("s"), F.col("line"), F.col("end_line"), False))).otherwise(none), F.when(typed, none).otherwise(F.col("called")))
-    return top.select("path", F.explode(every).alias("i")).select("path", "i.*")
+    none = F.array().cast("array<struct<specifier: string, line: int, end_line: int, dynamic: boolean>>")
+
+    def call(x: Column, i: Column) -> Column:
+        near = lambda k, c="text": F.get("tokens", i + k)[c]
+        text = lambda k: F.coalesce(near(k), F.lit(""))
+        called = (x["text"] == "import") & (x["kind"] == "name") & (near(1) == "(") & (near(2, "kind") == "string") & near(3).isin(")", ",") & ~text(-1).isin(".", "typeof", "<", "|", "&", "extends", "keyof")
+        typed = (text(-1) == ":") & (text(4) == ".") & text(5).rlike("^[A-Z]")
+        return F.when(called & ~typed, F.struct(x["at"].alias("at"), found(near(2), x["line"], near(3, "end_line"), True).alias("call")))
+
+    calls = F.filter(F.transform("tokens", call), lambda c: c.isNotNull())
+    each = statements(tokens.select("path", "tokens", calls.alias("calls"))).withColumn("top", F.filter("tokens", lambda x: x["depth"] == 0))
+    own = F.transform(F.filter("calls", lambda c: (c["at"] >= F.col("statement")) & (c["at"] < F.col("statement") + F.size("tokens"))), lambda c: c["call"])
+    first, has = F.get("top", F.lit(0)), lambda fits: F.exists("top", fits)
+    s = F.get(F.reverse(F.filter("top", lambda x: x["kind"] == "string")), F.lit(0))["text"]
+    source = has(lambda x: (x["text"] == "from") & (x["kind"] == "name"))
+    plain = s.isNotNull() & ~has(lambda x: x["text"].isin("=", "function", "class")) & ((first["text"] == "import") & ~has(lambda x: x["text"] == "(") | (first["text"] == "export") & source)
+    typed = F.exists(F.slice("top", 1, 4), lambda x: x["text"].isin("type", "interface"))
+    end_line = F.array_max(F.transform("top", lambda x: x["end_line"]))
+    every = F.concat(F.when(plain, F.array(found(s, first["line"], end_line, False))).otherwise(none), F.when(typed, none).otherwise(own))
+    return each.select("path", F.explode(every).alias("i")).select("path", "i.*")
 
 
 def import_bindings(tokens: DataFrame) -> DataFrame:
     """(path, local, specifier, exported): what each imported name stands for; ``default`` and ``*`` for the whole module."""
-    marked = statements(tokens)
-    stated = marked.withColumn("head", F.first("text").over(Window.partitionBy("path", "statement").orderBy("at"))).where("head = 'import'")
-    own = Window.partitionBy("path", "statement").orderBy("at")
-    spec = F.max(F.when((F.col("kind") == "string") & (F.col("depth") == 0), _string_value(F.col("text")))).over(Window.partitionBy("path", "statement"))
-    lag = lambda k: F.coalesce(F.lag("text", k).over(own), F.lit(""))
-    rows = stated.withColumn("specifier", spec).withColumns({"b1": lag(1), "b2": lag(2), "a1": F.coalesce(F.lead("text").over(own), F.lit(""))}).where("kind = 'name' AND specifier IS NOT NULL")
+    stated = statements(tokens.select("path", "tokens")).where(F.get("tokens", F.lit(0))["text"] == "import")
+    spec = F.array_max(F.transform(F.filter("tokens", lambda x: (x["kind"] == "string") & (x["depth"] == 0)), lambda x: _string_value(x["text"])))
+    near = lambda i: F.coalesce(F.get("tokens", i)["text"], F.lit(""))
+    seen = F.transform("tokens", lambda x, i: F.struct(x["text"].alias("text"), x["kind"].alias("kind"), x["depth"].alias("depth"), near(i - 1).alias("b1"), near(i - 2).alias("b2"), near(i + 1).alias("a1")))
+    rows = stated.select("path", spec.alias("specifier"), F.explode(seen).alias("x")).select("path", "specifier", "x.*").where("kind = 'name' AND specifier IS NOT NULL")
     whole = rows.where("depth = 0 AND b1 = 'as' AND b2 = '*'").select("path", F.col("text").alias("local"), "specifier", F.lit("*").alias("exported"))
     default = rows.where("depth = 0 AND (b1 = 'import' OR b1 = 'type' AND b2 = 'import') AND a1 IN (',', 'from') AND NOT (text = 'type' AND a1 <> 'from')").select("path", F.col("text").alias("local"), "specifier", F.lit("default").alias("exported"))
     named = rows.where("depth = 1")
@@ -138,45 +153,47 @@ def import_bindings(tokens: DataFrame) -> DataFrame:
 
 
 def function_bodies(tokens: DataFrame, declared: DataFrame) -> DataFrame:
-    """(path, name, line, first, last, own): declarations that are functions, with the scope that their body is; of a variable,
-    from its value on."""
-    ranges = declared.where("kind IN ('function', 'const', 'let', 'var')").select("path", "name", "line", "kind", "first", "last")
-    t = tokens.select(F.col("path").alias("t_path"), "at", "text", F.col("kind").alias("t_kind"), "depth", F.lead("text").over(_file()).alias("next"), F.lead("text", 2).over(_file()).alias("next2"))
-    inner = ranges.join(t, (F.col("path") == F.col("t_path")) & (F.col("at") >= F.col("first")) & (F.col("at") <= F.col("last")))
-    # A file's tokens are few, and its declarations disjoint: the range condition only parts the rows of equal paths.
-    equals = F.min(F.when((F.col("text") == "=") & (F.col("depth") == 0), F.struct("at", "next", "next2")))
-    body = F.max(F.when((F.col("text") == "{") & (F.col("depth") == 0), F.col("at")))
-    arrows = F.sort_array(F.collect_list(F.when((F.col("depth") == 0) & (F.col("text") == "=>"), F.struct("at", "next"))))
-    both = inner.groupBy("path", "name", "line", "kind", "first", "last").agg(equals.alias("eq"), body.alias("body"), arrows.alias("arrows"))
-    value = F.col("eq.at") + 1
-    a = F.get(F.filter("arrows", lambda x: x["at"] > F.col("eq.at")), F.lit(0))
-    arrow = a["at"]
-    v_text, v_next = F.col("eq.next"), F.col("eq.next2")
-    has_value = (v_text == "function") | (v_text == "async") & (v_next == "function") | arrow.isNotNull() & ((v_text == "(") | (v_text == "<") | (v_text == "async") | (v_next == "=>"))
-    kept = both.where(F.when(F.col("kind") == "function", F.col("body").isNotNull()).otherwise(F.coalesce(has_value, F.lit(False))))
-    own = F.when((F.col("kind") != "function") & arrow.isNotNull(), F.when(a["next"] == "{", arrow + 1).otherwise(arrow)).otherwise(F.col("body"))
-    return kept.select("path", "name", "line", F.when(F.col("kind") == "function", F.col("first")).otherwise(value).alias("first"), "last", own.alias("own"))
+    """(path, name, line, first, last, own, code): declarations that are functions, with the scope that their body is; of a variable,
+    from its value on. ``code`` holds their tokens and the one that follows.
 
-
-def _of_bodies(tokens: DataFrame, bodies: DataFrame) -> DataFrame:
-    t = tokens.withColumns({"next": F.lead("text").over(_file()), "before": F.lag("text").over(_file())})
-    b = bodies.select(F.col("path").alias("b_path"), "name", F.col("line").alias("d_line"), "first", "last", "own")
-    return t.join(b, (F.col("path") == F.col("b_path")) & (F.col("at") >= F.col("first")) & (F.col("at") <= F.col("last"))).drop("b_path")
+    Declarations that lost their ``code`` get it from ``tokens`` by path; those of :func:`declarations` have it, and nothing is shuffled.
+    """
+    d = declared.where("kind IN ('function', 'const', 'let', 'var')")
+    if "code" not in d.columns:
+        d = d.join(tokens.select("path", "tokens").hint("merge"), "path").withColumn("code", F.slice("tokens", F.col("first") + 1, F.col("last") - F.col("first") + 2))
+    d = d.select("path", "name", "line", "kind", "first", "last", "code")
+    d = d.withColumn("top", F.filter(F.slice("code", F.lit(1), F.col("last") - F.col("first") + 1), lambda x: x["depth"] == 0))
+    at = lambda fits: F.transform(F.filter("top", fits), lambda x: x["at"])
+    d = d.withColumns({"eq": F.get(at(lambda x: x["text"] == "="), F.lit(0)), "body": F.array_max(at(lambda x: x["text"] == "{")), "arrows": at(lambda x: x["text"] == "=>")})
+    d = d.withColumn("arrow", F.get(F.filter("arrows", lambda a: a > F.col("eq")), F.lit(0)))
+    text = lambda at: F.get("code", at - F.col("first"))["text"]
+    value, arrow = F.col("eq") + 1, F.col("arrow")
+    v_text, v_next = text(value), text(value + 1)
+    has_value = (v_text == "function") | (v_text == "async") & (v_next == "function") | arrow.isNotNull() & ((v_text == "(") | (v_text == "<") | (v_text == "async") | (v_next == "=>"))
+    kept = d.where(F.when(F.col("kind") == "function", F.col("body").isNotNull()).otherwise(F.coalesce(has_value, F.lit(False))))
+    own = F.when((F.col("kind") != "function") & arrow.isNotNull(), F.when(text(arrow + 1) == "{", arrow + 1).otherwise(arrow)).otherwise(F.col("body"))
+    skip = F.when(F.col("kind") == "function", 0).otherwise(value - F.col("first"))
+    return kept.select("path", "name", "line", (F.col("first") + skip).alias("first"), "last", own.alias("own"), F.slice("code", skip + 1, F.size("code")).alias("code"))
 
 
 def complexity(tokens: DataFrame, declared: DataFrame) -> DataFrame:
     """(path, name, line, complexity, flagged): one and the branches of each function's own body; functions and classes inside it
     have their own."""
-    rows = _of_bodies(tokens, function_bodies(tokens, declared))
-    outer = F.col("scope") < F.col("first")  # parameters and types before the body
-    word = (F.col("kind") == "name") & F.col("text").isin("if", "for", "do", "catch", "case") & ~F.coalesce("before", F.lit("")).isin(".", "?.") & ~F.col("next").isin(":", ",", "=")
-    # The while of a do statement follows a closing brace that the do opened, and is counted with it.
-    loop = (F.col("kind") == "name") & (F.col("text") == "while") & (F.coalesce("before", F.lit("")) != ".")
-    logic = (F.col("kind") == "mark") & F.col("text").isin("&&", "||", "??", "&&=", "||=", "??=")
-    choice = (F.col("kind") == "mark") & (F.col("text") == "?") & ~F.coalesce("next", F.lit("")).isin(":", ")", ",", ";", "=")
-    own = rows.where((F.col("scope") == F.col("own")) | outer)
-    counts = own.groupBy("path", "name", "d_line", "first").agg((1 + F.count_if(word) + F.count_if(loop) - F.count_if(word & (F.col("text") == "do")) + F.count_if(logic) + F.count_if(choice)).cast("int").alias("complexity"))
-    return counts.select("path", "name", F.col("d_line").alias("line"), "complexity", (F.col("complexity") > MOST_COMPLEXITY).alias("flagged"))
+    bodies = function_bodies(tokens, declared)
+
+    def branch(x: Column, i: Column) -> Column:
+        text, near = x["text"], lambda k: F.get("code", i + k)["text"]
+        # The while of a do statement follows a closing brace that the do opened, and is counted for it.
+        word = text.isin("if", "for", "catch", "case") & ~F.coalesce(near(-1), F.lit("")).isin(".", "?.") & ~near(1).isin(":", ",", "=")
+        loop = (text == "while") & (F.coalesce(near(-1), F.lit("")) != ".")
+        logic = text.isin("&&", "||", "??", "&&=", "||=", "??=")
+        choice = (text == "?") & ~F.coalesce(near(1), F.lit("")).isin(":", ")", ",", ";", "=")
+        own = (x["scope"] == F.col("own")) | (x["scope"] < F.col("first"))  # parameters and types stand before the body
+        return ((x["kind"] == "name") & (word | loop) | (x["kind"] == "mark") & (logic | choice)) & own
+
+    code = F.slice("code", F.lit(1), F.col("last") - F.col("first") + 1)
+    counts = bodies.select("path", "name", "line", (1 + F.size(F.filter(code, branch))).cast("int").alias("complexity"))
+    return counts.withColumn("flagged", F.col("complexity") > MOST_COMPLEXITY)
 
 
 def copy_fingerprints(tokens: DataFrame, declared: DataFrame, least: int = LEAST_COPY_TOKENS) -> DataFrame:
@@ -184,10 +201,13 @@ def copy_fingerprints(tokens: DataFrame, declared: DataFrame, least: int = LEAST
 
     Keywords and marks stand for themselves, and brackets are among them, so equal fingerprints mean equal structure.
     """
-    rows = _of_bodies(tokens, function_bodies(tokens, declared))
-    shape = F.when((F.col("kind") == "name") & ~F.col("text").isin(*sorted(_WORDS)), "I").when(F.col("kind").isin("number", "string", "template", "regex"), "L").otherwise(F.col("text"))
-    made = rows.groupBy("path", "name", "d_line", "first").agg(F.count("*").alias("tokens"), F.transform(F.sort_array(F.collect_list(F.struct("at", shape.alias("s")))), lambda x: x["s"]).alias("shapes"))
-    return made.where(F.col("tokens") >= least).select("path", "name", F.col("d_line").alias("line"), "tokens", F.sha2(F.array_join("shapes", " "), 256).alias("fingerprint"))
+    bodies = function_bodies(tokens, declared).withColumn("tokens", (F.col("last") - F.col("first") + 1).cast("long")).where(F.col("tokens") >= least)
+
+    def shape(x: Column) -> Column:
+        return F.when((x["kind"] == "name") & ~x["text"].isin(*sorted(_WORDS)), "I").when(x["kind"].isin("number", "string", "template", "regex"), "L").otherwise(x["text"])
+
+    shapes = F.transform(F.slice("code", F.lit(1), F.col("tokens").cast("int")), shape)
+    return bodies.select("path", "name", "line", "tokens", F.sha2(F.array_join(shapes, " "), 256).alias("fingerprint"))
 
 
 #: The reserved words of scripts.
@@ -207,6 +227,7 @@ def rust_outline(tokens: DataFrame) -> DataFrame:
 
     Items marked as tests are left out. ``pub`` exports, ``pub(crate)`` does not.
     """
+    tokens = _rows(tokens)
     own = Window.partitionBy("path", "inside").orderBy("at")
     lag = lambda c, k=1: F.lag(c, k).over(own)
     # Items begin where the one before ended: at the first token of a block, after a semicolon or a closing brace.
@@ -254,6 +275,7 @@ def rust_outline(tokens: DataFrame) -> DataFrame:
 
 def rust_roots(tokens: DataFrame) -> DataFrame:
     """(path, root, line, kind): first segments of use trees and extern crates, own paths left out, whatever block they stand in."""
+    tokens = _rows(tokens)
     at = lambda c, k: F.lead(c, k).over(_file())
     near = tokens.select("path", "at", "text", "kind", "line", "inside", "depth", F.lag("text").over(_file()).alias("before"), at("text", 1).alias("n1"), at("kind", 1).alias("k1"), at("text", 2).alias("n2"), at("kind", 2).alias("k2"))
     stated = (F.col("kind") == "name") & F.coalesce("before", F.lit(";")).isin(";", "}", "{", "pub", ")", "]")
@@ -299,7 +321,7 @@ def signatures(excerpts: DataFrame) -> DataFrame:
     own = own.select("id", "path", join(F.lit(1), F.col("first")).alias("preamble"), join(F.col("first") + 1, F.size("lines")).alias("text"))
     rust = F.coalesce(F.endswith("path", F.lit(".rs")), F.lit(False)) | F.coalesce(F.col("text").rlike(r"^\s*(pub(\s*\([^)]*\))?\s+)?((const|async|unsafe|default|extern(\s+\"[^\"]*\")?)\s+)*fn\s"), F.lit(False))
     files = lambda which: own.where(which).select(F.col("id").alias("path"), "text")
-    t = code_tokens(files(~rust)).unionAll(code_tokens(files(rust), rust=True))
+    t = _rows(code_tokens(files(~rust)).unionAll(code_tokens(files(rust), rust=True)))
     turn = F.when((F.col("depth") == 0) & (F.col("text") == "<"), 1).when((F.col("depth") == 0) & (F.col("text") == ">"), -1).otherwise(0)
     t = t.withColumn("angle", F.sum(turn).over(_file())).withColumn("level", (F.col("depth") == 0) & (F.col("angle") <= 0))
     t = t.withColumn("before", F.lag("text").over(_file())).withColumn("next", F.lead("text").over(_file())).withColumn("gap_from", F.coalesce(F.lag("stop").over(_file()), F.lit(0)))

@@ -176,3 +176,14 @@ def test_changes_of_surface_and_inside(spark):
     two = [("in", "a.ts", f.format(2)), ("out", "a.ts", f.format(1).replace("number", "string")), ("same", "a.ts", f.format(1)), ("new", "a.ts", "x"), ("type", "a.ts", "type A = 2")]
     got = C.signature_changes(*(spark.createDataFrame(x, "id string, path string, text string") for x in (one, two))).collect()
     assert {r.id: r.change for r in got} == {"in": "internal", "out": "surface", "same": "same", "gone": "removed", "new": "added", "type": "surface"}
+
+
+def test_digits_that_are_no_decimals_are_read(spark):
+    assert [r[1:3] for r in read_tokens("x² = ½ + ٣.5")] == [["name", "x²"], ["mark", "="], ["name", "½"], ["mark", "+"], ["number", "٣.5"]]
+    assert [r[2] for r in read_tokens("² .²", rust=True)] == ["²", ".", "²"]
+
+
+def test_bodies_of_declarations_without_code(tokens):
+    declared = C.declarations(tokens)
+    one, two = (sorted(map(tuple, C.complexity(tokens, d).collect())) for d in (declared, declared.drop("code")))
+    assert one == two and len(one) == 4

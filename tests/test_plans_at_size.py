@@ -205,3 +205,9 @@ def test_bundle_files_are_compressed_and_in_order(spark, tmp_path):
     assert [(r["fact"], r["id"]) for r in rows] == [("entity", "a"), ("entity", "b"), ("relation", "x"), ("relation", "y")]
     assert json.loads(rows[1]["body"]) == {"id": "b", "kind": "k", "rank": 1} and json.loads(rows[2]["body"]) == {"id": "x", "from_id": "b", "to_id": "a", "kind": "calls"}
     assert [sorted(map(tuple, df.drop("snapshot").collect())) for df in bundles.read_bundle(spark, str(tmp_path / "out"))] == [sorted(map(tuple, entities.collect())), sorted(map(tuple, relations.collect()))]
+
+
+def test_tokens_of_scripts_are_never_shuffled(spark):
+    # One exchange deals the table over tasks; copies are counted by fingerprint.
+    plan = _plan(plans.QUERIES["t20_clone_fingerprints"](spark, SF))
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 2 and "hashpartitioning(fingerprint" in plan and "Join" not in plan and "Window" not in plan
