@@ -211,3 +211,8 @@ def test_tokens_of_scripts_are_never_shuffled(spark):
     # One exchange deals the table over tasks; copies are counted by fingerprint.
     plan = _plan(plans.QUERIES["t20_clone_fingerprints"](spark, SF))
     assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 2 and "hashpartitioning(fingerprint" in plan and "Join" not in plan and "Window" not in plan
+
+
+def test_complexity_shuffles_files_alone(spark):
+    plan = _plan(plans.QUERIES["t21_keyword_complexity"](spark, SF))
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
