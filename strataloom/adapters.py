@@ -95,10 +95,15 @@ GRAPH = f"WITH {ENTITIES}, {RELATIONS}, {CLOSURE} "
 
 def flows(t: Tables) -> DataFrame:
     """(from_id, to_id): a directed graph that grows with the tables: nation to customer to supplier to part."""
+    return repeated_flows(t).distinct()
+
+
+def repeated_flows(t: Tables) -> DataFrame:
+    """The arcs of :func:`flows` as often as lines have them, for operators that merge repeated arcs themselves."""
     lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_partkey").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     arc = lambda a, b: F.struct(a.alias("from_id"), b.alias("to_id"))
     c, s = tag("c", "o_custkey"), tag("s", "l_suppkey")
-    traded = lines.select(F.explode(F.array(arc(c, s), arc(s, tag("p", "l_partkey")))).alias("a")).select("a.*").distinct()
+    traded = lines.select(F.explode(F.array(arc(c, s), arc(s, tag("p", "l_partkey")))).alias("a")).select("a.*")
     return traded.unionAll(t.customer.select(tag("n", "c_nationkey").alias("from_id"), tag("c", "c_custkey").alias("to_id")))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: The rank of each kind, coarse to fine.
 KIND_RANKS = {"person": 0, "softwareSystem": 0, "externalSystem": 0, "boundary": 0, "container": 1, "dataStore": 1, "queue": 1, "component": 2, "code": 3}
 BANDS = ("context", "container", "component", "code")
+#: Nodes of a frontier that are few enough to be sent to all tasks.
+FEW_NODES = 10_000
 
 
 def kind_rank(kind: Column) -> Column:
@@ -182,24 +184,47 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None =
 
     Fewest hops, then the least sequence of ids. One round per hop: the paths of the frontier are numbered in their order,
     so the least path to a node is the least number among those that lead to it, and paths themselves are neither compared
-    nor carried along the edges; nodes that were reached before are dropped. Ends when the frontier is empty, or after
-    ``max_hops`` where that is given; the driver sees only counts.
+    nor carried along the edges. Nodes are dealt over blocks: the arcs to the nodes of a block meet there the numbers of the nodes
+    they come from, which are sent once for each block, not for each arc. There the least are taken, and nodes that were reached
+    before are dropped; only nodes that arcs lead on from are numbered again. Ends when there are none, or after ``max_hops``
+    where that is given; the driver sees only counts.
     """
-    arcs = written(edges.select("from_id", "to_id").where("from_id <> to_id").distinct())
-    frontier = sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops"), F.array("source").alias("path")).distinct()
-    seen = frontier
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = lambda c: F.pmod(F.hash(c), F.lit(n))
+    arcs = written(edges.where("from_id <> to_id").groupBy("from_id", block("to_id").alias("block")).agg(F.collect_set("to_id").alias("to")))
+    out = written(arcs.groupBy("from_id").agg(F.collect_set("block").alias("blocks")))
+    start = lambda source, number: F.struct(source.alias("source"), number.cast("long").alias("number"))
+    none, alone = F.lit(None), lambda c: F.array(F.col(c))
+    frontier = sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops"), F.array("source").alias("path"), F.lit(True).alias("on")).distinct()
+    seen = frontier.drop("on")
     hop = 0
     while max_hops is None or hop < max_hops:
         hop += 1
         # Numbers ascend over sorted partitions; they are written down, as another run might cut the partitions elsewhere.
-        at = written(frontier.orderBy("path").select("source", "node", "path", F.monotonically_increasing_id().alias("number")))
-        step = at.select("source", "node", "number").join(arcs, F.col("node") == F.col("from_id")).groupBy("source", F.col("to_id").alias("next")).agg(F.min("number").alias("number"))
-        step = step.join(seen.select("source", F.col("node").alias("next")), ["source", "next"], "left_anti")
-        grown = step.select("next", "number").join(at.select("source", "path", "number"), "number")
-        frontier = written(grown.select("source", F.col("next").alias("node"), F.lit(hop).alias("hops"), F.concat("path", F.array("next")).alias("path")))
+        at = written(frontier.where("on").orderBy("path").select("source", "node", "path", F.monotonically_increasing_id().alias("number")))
+        starts = at.groupBy(F.col("node").alias("from_id")).agg(F.collect_list(start(F.col("source"), F.col("number"))).alias("starts")).join(out, "from_id")
+        # Where few nodes are left, all else is dropped before it is dealt.
+        own = arcs.join(F.broadcast(at.select(F.col("node").alias("from_id")).distinct()), "from_id", "left_semi") if at.count() <= FEW_NODES else arcs
+        # What meets in a block: numbers of nodes (0), arcs of these nodes (1), pairs reached before (2), nodes to go on from (3).
+        kinds = [
+            starts.select(F.explode("blocks").alias("block"), "from_id", F.lit(0).alias("kind"), "starts", none.cast(arcs.schema["to"].dataType).alias("to")),
+            own.select("block", "from_id", F.lit(1), none, "to"),
+            seen.select(block("node"), "node", F.lit(2), F.array(start(F.col("source"), none)), alone("node")),
+            out.select(block("from_id"), "from_id", F.lit(3), F.array(start(none, none)), alone("from_id")),
+        ]
+        rows = kinds[0].unionAll(kinds[1]).unionAll(kinds[2]).unionAll(kinds[3]).repartitionById(n, F.col("block"))
+        known = F.last(F.when(F.col("kind") == 0, F.col("starts")), True).over(Window.partitionBy("block", "from_id").orderBy("kind"))
+        each = rows.withColumn("starts", F.when(F.col("kind") == 1, known).otherwise(F.col("starts"))).where("kind > 0 AND starts IS NOT NULL")
+        each = each.select("block", "kind", "starts", F.explode("to").alias("next")).select("block", "kind", "next", F.explode("starts").alias("s"))
+        least = each.groupBy("block", "next", "s.source").agg(F.min("s.number").alias("number"), F.max("kind").alias("kind"))
+        step = least.withColumn("on", F.bool_or(F.col("kind") == 3).over(Window.partitionBy("block", "next"))).where("kind = 1").drop("block", "kind")
+        grown = step.select("next", "number", "on").join(at.select("source", "path", "number"), "number")
+        frontier = written(grown.select("source", F.col("next").alias("node"), F.lit(hop).alias("hops"), F.concat("path", F.array("next")).alias("path"), "on"))
         if frontier.isEmpty():
             return seen
-        seen = seen.unionAll(frontier)
+        seen = seen.unionAll(frontier.drop("on"))
+        if frontier.where("on").isEmpty():
+            return seen
         if hop % 4 == 0:
             seen = written(seen)
     return seen

@@ -113,7 +113,7 @@ _BFS = f"""WITH {A.FLOWS}, w0 AS (SELECT DISTINCT from_id AS source, from_id AS
 @query("g10_canonical_paths", _BFS)
 def _(t):
     starts = t.customer.select(A.tag("n", "c_nationkey").alias("source")).distinct()
-    return G.shortest_paths(A.flows(t), starts).withColumn("path", F.array_join("path", ">"))
+    return G.shortest_paths(A.repeated_flows(t), starts).withColumn("path", F.array_join("path", ">"))
 
 
 @query("g11_hop_evidence", f"WITH {A.ENTITIES}, {A.RELATIONS} SELECT from_id, to_id, min(id) AS relation_id, sum(evidence)::BIGINT AS evidence, count(*)::BIGINT AS parallel FROM relations GROUP BY 1, 2")

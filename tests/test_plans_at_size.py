@@ -216,3 +216,20 @@ def test_tokens_of_scripts_are_never_shuffled(spark):
 def test_complexity_shuffles_files_alone(spark):
     plan = _plan(plans.QUERIES["t21_keyword_complexity"](spark, SF))
     assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_numbers_of_paths_are_sent_once_for_a_block(spark, monkeypatch):
+    from strataloom.operators import graph as G
+
+    made, keep = [], G.written
+    monkeypatch.setattr(G, "written", lambda df: made.append(_plan(df)) or keep(df))
+    arcs = [(f"s{i}", f"m{j}") for i in range(3) for j in range(20)] + [(f"m{j}", f"t{k:02d}") for j in range(20) for k in range(30)] * 2 + [("t07", "z"), ("t07", "s1")]
+    df, starts = spark.createDataFrame(arcs, "from_id string, to_id string").repartition(5), spark.createDataFrame([("s0",), ("s1",), ("s2",)], "source string")
+    for few in (0, G.FEW_NODES):
+        made.clear()
+        monkeypatch.setattr(G, "FEW_NODES", few)
+        got = {(r.source, r.node): r.path for r in G.shortest_paths(df, starts).collect()}
+        assert len(got) == 3 * (1 + 20 + 30 + 1) + 2 and got["s2", "t29"] == ["s2", "m0", "t29"] and got["s0", "s1"] == ["s0", "m0", "t07", "s1"] and got["s1", "z"] == ["s1", "m0", "t07", "z"]
+        # Each hop deals rows over blocks and takes the least numbers there.
+        hops = [p for p in made if "REPARTITION_BY_NUM" in p and "Window" in p]
+        assert len(hops) == 4 and not any("hashpartitioning(next" in p or "LeftAnti" in p for p in hops)
