@@ -233,3 +233,33 @@ def test_numbers_of_paths_are_sent_once_for_a_block(spark, monkeypatch):
         # Each hop deals rows over blocks and takes the least numbers there.
         hops = [p for p in made if "REPARTITION_BY_NUM" in p and "Window" in p]
         assert len(hops) == 4 and not any("hashpartitioning(next" in p or "LeftAnti" in p for p in hops)
+
+
+def test_scores_are_added_up_where_postings_of_a_document_lie(spark):
+    import re
+
+    from strataloom.operators import retrieval as R
+
+    fields = spark.createDataFrame([(1, "name", "alpha beta"), (1, "excerpt", "beta"), (2, "name", "alpha"), (3, "summary", "gamma")], "doc int, field string, text string")
+    postings, vocabulary, size = R.build_index(fields)
+    asked = spark.createDataFrame([("a", "alpha", "alpha", 1.0), ("a", "beta", "beta", 1.0), ("b", "alpha", "alpha", 0.6)], "q string, token string, term string, weight double")
+    scores = R.bm25f(asked, postings, vocabulary, size)
+    plan = _plan(scores)
+    assert len(re.findall(r"hashpartitioning\(doc#\d+, ", plan)) == 1 and not re.search(r"hashpartitioning\(q#\d+, doc#", plan)
+    assert {(r.q, r.doc) for r in scores.collect()} == {("a", 1), ("a", 2), ("b", 1), ("b", 2)}
+
+
+def test_pairs_of_questions_and_documents_meet_their_places_once(spark, monkeypatch):
+    from strataloom.operators import answers as Q
+
+    made, keep = [], Q.written
+    monkeypatch.setattr(Q, "written", lambda df: made.append(_plan(df)) or keep(df))
+    place = spark.createDataFrame([("box", "container", None, "box", "box"), ("f", "component", "box", "f", "box"), ("g", "component", "box", "g", "box"), ("x", "code", "f", "f", "box"), ("y", "code", "f", "f", "box"), ("z", "code", "g", "g", "box")], "doc string, kind string, parent_id string, file string, container string")
+    base = spark.createDataFrame([("a", "x", 2.0), ("a", "y", 1.0), ("a", "f", 0.5), ("b", "z", 1.0)], "q string, doc string, score double")
+    relations = spark.createDataFrame([("x", "z", "calls")], "from_id string, to_id string, kind string")
+    ranked, inside = Q.ranked_files(base, place, relations)
+    assert sorted(map(tuple, inside.select("q", "file", "doc", "score").collect())) == [("a", "f", "x", 2.0), ("a", "f", "y", 1.0), ("b", "g", "z", 1.0)]
+    # f: its own 0.5, its best child's 2 and a tenth of the next one; the box: a fifth of f; g: lifted by x, and a later one of its box.
+    got = {(r.q, r.doc): round(r.score, 6) for r in ranked.collect()}
+    assert got == {("a", "f"): 2.6, ("a", "g"): round(2.0 * 0.9 * 0.95, 6), ("a", "box"): round(2.6 * 0.2 * 0.95**2, 6), ("b", "g"): 1.0, ("b", "f"): round(0.9 * 0.95, 6), ("b", "box"): round(0.2 * 0.95**2, 6)}
+    assert made and "Join" not in _plan(inside)
